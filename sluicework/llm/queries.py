@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encode_digests
 from .exactdedup import exact_groups
 
 
@@ -11,12 +12,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded texts of all ``documents``, as digests."""
+    documents = _table(spark, sf_dir, "documents")
+    return encode_digests(documents, _vocabulary("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal whole texts of ``documents``."""
     return exact_groups(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {
+    "op4_bpe": op4_bpe,
     "op6_exact_dedup": op6_exact_dedup,
 }
 

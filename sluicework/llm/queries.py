@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_digests
 from .exactdedup import exact_groups
+from .packing import pack
+from .tokencount import token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +20,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` packed into sequences of 4096 tokens."""
+    packed = pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), 4096, 1)
+    return packed.withColumnRenamed("id", "doc_id")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded texts of all ``documents``, as digests."""
     documents = _table(spark, sf_dir, "documents")
@@ -29,9 +37,17 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all ``documents``."""
+    documents = _table(spark, sf_dir, "documents")
+    return token_counts(documents, _vocabulary("byte_bpe_50k.json"), 1024).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
+    "op2_packing": op2_packing,
     "op4_bpe": op4_bpe,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_token_counts": op7_token_counts,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"

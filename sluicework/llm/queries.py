@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import encode_digests
 from .exactdedup import exact_groups
 from .packing import pack
+from .simhash import as_hex, near_groups
 from .tokencount import token_counts
 
 
@@ -43,11 +45,18 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents, _vocabulary("byte_bpe_50k.json"), 1024).withColumnRenamed("id", "doc_id")
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash components of all ``documents``: 3-word shingles, 3 bits."""
+    found = near_groups(_table(spark, sf_dir, "documents"), 3, 3)
+    return found.select(F.col("id").alias("doc_id"), as_hex("fp").alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op2_packing": op2_packing,
     "op4_bpe": op4_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_counts": op7_token_counts,
+    "op10_simhash": op10_simhash,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import langid, toxicity
 from .bpe import encode_digests
 from .exactdedup import exact_groups
 from .packing import pack
@@ -22,6 +23,23 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all ``documents``; only labelled rows that are not held out teach."""
+    documents = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(documents, _table(spark, sf_dir, "labels").filter(~langid.held_out("doc_id")))
+    scored = toxicity.score(documents, model, ["doc_id"])
+    predicted = (F.col("score") >= 0.7).cast("int").alias("predicted")
+    return scored.select("doc_id", langid.held_out("doc_id").alias("held_out"), "score", predicted)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all ``documents``; only rows with a language that are not held out teach."""
+    documents = _table(spark, sf_dir, "documents")
+    model = langid.fit(documents.filter(~langid.held_out("doc_id")))
+    found = langid.identify(documents, model, ["doc_id"])
+    return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` packed into sequences of 4096 tokens."""
     packed = pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), 4096, 1)
@@ -52,10 +70,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
     "op4_bpe": op4_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_counts": op7_token_counts,
+    "op9_language_id": op9_language_id,
     "op10_simhash": op10_simhash,
 }
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, toxicity
+from . import chat, langid, toxicity
+from .ann import nearest
 from .bpe import encode_digests
 from .exactdedup import exact_groups
 from .packing import pack
 from .simhash import as_hex, near_groups
 from .tokencount import token_counts
+from .urlfilter import judge
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,12 +48,32 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id")
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest found of every row of ``embeddings`` whose id is divisible by 50."""
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded texts of all ``documents``, as digests."""
     documents = _table(spark, sf_dir, "documents")
     return encode_digests(documents, _vocabulary("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
 
 
+#: Fixed values: (verdict, host, path) of the rules.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on every url of ``pages``."""
+    return judge(_table(spark, sf_dir, "pages"), URL_RULES).withColumnRenamed("id", "page_id")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal whole texts of ``documents``."""
     return exact_groups(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
@@ -63,6 +85,17 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents, _vocabulary("byte_bpe_50k.json"), 1024).withColumnRenamed("id", "doc_id")
 
 
+SAMPLE_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``conversations`` and one that holds control strings, formatted and read back."""
+    own = [(-1, 0, "user", SAMPLE_TEXT), (-1, 1, "assistant", SAMPLE_TEXT)]
+    own = spark.createDataFrame(own, "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.read_back(chat.format_turns(rows))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all ``documents``: 3-word shingles, 3 bits."""
     found = near_groups(_table(spark, sf_dir, "documents"), 3, 3)
@@ -72,16 +105,53 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
+    "op3_ann": op3_ann,
     "op4_bpe": op4_bpe,
+    "op5_url_filter": op5_url_filter,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_counts": op7_token_counts,
+    "op8_chat": op8_chat,
     "op9_language_id": op9_language_id,
     "op10_simhash": op10_simhash,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+
+
+def _chat_sql() -> str:
+    marks = " + ".join(
+        f"(length({{x}}) - length(replace({{x}}, '{c}', ''))) // {len(c)}" for c in (*chat.CONTROL, "\\")
+    )
+    size = lambda x: f"length({x}) + " + marks.replace("{x}", x)
+    frame = len(chat.START + chat.SAYS + chat.END)
+    return f"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -1, 0, 'user', '{SAMPLE_TEXT}' UNION ALL SELECT -1, 1, 'assistant', '{SAMPLE_TEXT}'),
+        g AS (SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+            sum({frame} + {size('role')} + {size('text')})::BIGINT AS formatted_chars
+          FROM t GROUP BY conv_id)
+        SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
+        FROM g"""
+
+
+def _rules_sql() -> str:
+    order = sorted(URL_RULES, key=lambda r: (-len(r[1] + r[2]), -len(r[1])))
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in order)
+    verdict = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in order)
+    at = r"^[\s\S]*?://([^/?#]*)([^?#]*)"
+    return f"""
+        WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{at}', 1), {_AZ}) AS host,
+            regexp_extract(coalesce(url, ''), '{at}', 2) AS path FROM pages)
+        SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} ELSE 'allow' END AS verdict FROM u"""
+
+
 ORACLE_SQL = {
+    "op5_url_filter": _rules_sql(),
+    "op8_chat": _chat_sql(),
     "op6_exact_dedup": f"""
         WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), {_AZ})) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256)

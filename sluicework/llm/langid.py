@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 
 PER_LANGUAGE = 250
@@ -200,30 +201,34 @@ class Scorer:
         return self.model.names[k], float(p[k]), bool(p[k] < self.model.reject_below)
 
 
-def identify(df: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` of every row, then ``lang_pred, score, rejected``; nothing is shuffled."""
+def identify(df: DataFrame, model: Model | None, keep: list[str], text_col: str = "text", accepted_only: bool = False) -> DataFrame:
+    """The columns ``keep`` of every row, then ``lang_pred, score, rejected``; nothing is shuffled.
+
+    With ``accepted_only``, only the rows that are not rejected, and only the columns ``keep``."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    source = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("text"))
-    kept = source.schema[:-1]
-    schema = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
+    at = keep.index(text_col) if text_col in keep else len(keep)
+    names = [*keep, *([] if text_col in keep else [text_col])]
+    source = df.select(*[df[c].alias(f"k{i}") for i, c in enumerate(names)])
+    kinds = (("lang_pred", pa.string(), StringType()), ("score", pa.float64(), DoubleType()), ("rejected", pa.bool_(), BooleanType()))
 
     def run(batches):
         scorer = Scorer(shared.value) if shared.value is not None else None
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                texts = part.column(part.num_columns - 1)
-                found = [
-                    ("und", 0.0, True) if scorer is None or not (t := x.as_py()) else scorer.score(t) for x in texts
-                ]
-                cols = [pa.array([f[k] for f in found], type=schema.field(k).type) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *cols], names=[*part.schema.names[:-1], *schema.names])
-
-    from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
-
-    out = StructType([*kept, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
-    found = source.mapInArrow(run, out)
-    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "rejected")
+                texts = [x.as_py() for x in part.column(at)]
+                found = [scorer.score(t) if scorer is not None and t else ("und", 0.0, True) for t in texts]
+                if accepted_only:
+                    yield part.filter(pa.array([not f[2] for f in found], type=pa.bool_())).select(range(len(keep)))
+                else:
+                    cols = [pa.array([f[i] for f in found], type=k[1]) for i, k in enumerate(kinds)]
+                    yield pa.RecordBatch.from_arrays(
+                        [*part.columns[: len(keep)], *cols], names=[*part.schema.names[: len(keep)], *(k[0] for k in kinds)]
+                    )
+
+    extra = [] if accepted_only else [StructField(k[0], k[2]) for k in kinds]
+    out = source.mapInArrow(run, StructType([*source.schema[: len(keep)], *extra]))
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[x.name for x in extra])
 
 
 def held_out(id_col):

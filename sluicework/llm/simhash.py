@@ -67,19 +67,44 @@ def fingerprint_many(texts: list[bytes], width: int) -> np.ndarray:
     return out
 
 
-def fingerprints(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, fp`` of every row, fp as a signed long."""
+BINS = 128
+"""Bytes of a sketch: one-permutation minima of shingle hashes, a byte a bin, 0 where a bin is empty."""
+
+
+def sketch(data: bytes, width: int) -> bytes:
+    """Sketch of the set of shingles, from which the Jaccard similarity of two texts is estimated."""
+    digests = shingle_digests(data, width)
+    if not digests:
+        return bytes(BINS)
+    h = np.frombuffer(b"".join(digests), dtype=">u8").astype(np.uint64)
+    low = np.full(BINS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    np.minimum.at(low, (h % np.uint64(BINS)).astype(np.int64), h >> np.uint64(7))
+    held = low != np.iinfo(np.uint64).max
+    return np.where(held, 1 + (low * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(255), 0).astype(np.uint8).tobytes()
+
+
+def similarity(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarities of one sketch with others; two empty sets are alike."""
+    either = np.maximum(((one | many) != 0).sum(axis=1), 1)
+    same = ((one == many) & (many != 0)).sum(axis=1)
+    return np.where(((one | many) != 0).any(axis=1), (same / either - 1 / 255) / (1 - 1 / 255), 1.0)
+
+
+def fingerprints(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text", sketch_width: int = 0) -> DataFrame:
+    """``id, fp`` of every row, fp as a signed long; with ``sketch_width`` also ``sketch``."""
 
     def run(batches):
         for batch in batches:
             for held in _batches(batch):
                 fps = fingerprint_many([t for _, t in held], width)
+                sketches = [sketch(t, sketch_width) for _, t in held] if sketch_width else [b""] * len(held)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([i for i, _ in held], type=pa.int64()), pa.array(fps.view(np.int64))], names=["id", "fp"]
+                    [pa.array([i for i, _ in held], type=pa.int64()), pa.array(fps.view(np.int64)), pa.array(sketches, type=pa.binary())],
+                    names=["id", "fp", "sketch"],
                 )
 
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "id long, fp long")
+    return source.mapInArrow(run, "id long, fp long, sketch binary")
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -156,8 +181,11 @@ def _project(fps: np.ndarray, group: list[int]) -> np.ndarray:
     return out
 
 
+ROWS = "bucket long, fp long, own boolean, sketch binary"
+
+
 def signatures(fps: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
-    """``bucket, fp, own``: each fingerprint under its own value and those within the threshold."""
+    """``bucket, fp, own, sketch``: each fingerprint under its own value and those within the threshold."""
 
     def run(batches):
         masks = []
@@ -168,17 +196,22 @@ def signatures(fps: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
             masks.append(np.array(own, dtype=np.uint64))
         for batch in batches:
             column = batch.column(0).to_numpy()
-            for lo in range(0, len(column), 4096):
-                values = column[lo : lo + 4096].view(np.uint64)
+            for lo in range(0, len(column), 2048):
+                values = column[lo : lo + 2048].view(np.uint64)
                 for i, ((group, _), mask) in enumerate(zip(plan, masks, strict=True)):
                     key = (_project(values, group)[:, None] ^ mask[None, :]) | (np.uint64(i) << np.uint64(56))
                     own = np.broadcast_to(np.arange(len(mask)) == 0, key.shape)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(values.view(np.int64), len(mask))), pa.array(own.ravel())],
-                        names=["bucket", "fp", "own"],
+                        [
+                            pa.array(key.ravel().view(np.int64)),
+                            pa.array(np.repeat(values.view(np.int64), len(mask))),
+                            pa.array(own.ravel()),
+                            batch.column(1).take(pa.array(np.repeat(np.arange(lo, lo + len(values)), len(mask)))),
+                        ],
+                        names=["bucket", "fp", "own", "sketch"],
                     )
 
-    return fps.select("fp").mapInArrow(run, "bucket long, fp long, own boolean")
+    return fps.select("fp", "sketch").mapInArrow(run, ROWS)
 
 
 def split_hot(rows: DataFrame, plan: list[tuple[list[int], int]], most: int) -> DataFrame:
@@ -199,15 +232,15 @@ def split_hot(rows: DataFrame, plan: list[tuple[list[int], int]], most: int) ->
                     sub = _project(fp[at], piece) | np.uint64((k + 1) << 40)
                     mixed = (bucket[at].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (sub * np.uint64(0xC2B2AE3D27D4EB4F))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(mixed.view(np.int64)), pa.array(fp[at].view(np.int64)), batch.column(2).take(pa.array(at))],
-                        names=["bucket", "fp", "own"],
+                        [pa.array(mixed.view(np.int64)), pa.array(fp[at].view(np.int64)), *(c.take(pa.array(at)) for c in batch.columns[2:])],
+                        names=["bucket", "fp", "own", "sketch"],
                     )
 
     marked = rows.join(hot, "bucket", "left")
     return (
         marked.filter("hot is null")
-        .select("bucket", "fp", "own")
-        .union(marked.filter("hot").select("bucket", "fp", "own").mapInArrow(cut, "bucket long, fp long, own boolean"))
+        .select("bucket", "fp", "own", "sketch")
+        .union(marked.filter("hot").select("bucket", "fp", "own", "sketch").mapInArrow(cut, ROWS))
     )
 
 
@@ -215,22 +248,26 @@ SMALL = 48
 """Rows of a bucket up to which it is compared together with other small ones."""
 
 
-def bucket_links(bucket: np.ndarray, fp: np.ndarray, own: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tree links among the fingerprints of whole buckets (sorted) that differ in at most ``most`` bits."""
+def bucket_links(bucket: np.ndarray, fp: np.ndarray, own: np.ndarray, sketches: np.ndarray, most: int, alike: float) -> tuple[np.ndarray, np.ndarray]:
+    """Tree links among the fingerprints of whole buckets (sorted) that differ in at most ``most`` bits.
+
+    With ``alike``, linked fingerprints also have sketches of at least that similarity."""
     starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     sizes = np.diff(np.append(starts, len(bucket)))
-    small = np.repeat(sizes <= SMALL, sizes)
+    small = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
     b, f, o = bucket[small], fp[small], own[small]
     left, right = [], []
     top = int(sizes[sizes <= SMALL].max(initial=0))
     for shift in range(1, top):
         at = np.flatnonzero((b[:-shift] == b[shift:]) & (o[:-shift] | o[shift:]))
         at = at[np.bitwise_count(f[at] ^ f[at + shift]) <= most]
+        if alike and len(at):
+            at = at[similarity(sketches[small[at]], sketches[small[at + shift]]) >= alike]
         left.append(f[at])
         right.append(f[at + shift])
     for k in np.flatnonzero(sizes > SMALL).tolist():
         part = slice(starts[k], starts[k] + sizes[k])
-        for members in _search(fp[part], own[part], most):
+        for members in _search(fp[part], own[part], sketches[part] if alike else None, most, alike):
             a, c = tree_links(members)
             left.append(a)
             right.append(c)
@@ -239,32 +276,37 @@ def bucket_links(bucket: np.ndarray, fp: np.ndarray, own: np.ndarray, most: int)
     return spanning(np.concatenate(left), np.concatenate(right))
 
 
-def _search(fps: np.ndarray, own: np.ndarray, most: int):
+def _search(fps: np.ndarray, own: np.ndarray, sketches: np.ndarray | None, most: int, alike: float):
     """Components of one large bucket, breadth first: each member is compared with those not reached yet."""
     order = np.argsort(~own, kind="stable")  # a fingerprint that is there both ways counts as own
     fps, first = np.unique(fps[order], return_index=True)
-    own = own[order][first]
-    free_fp, free_own = fps, own
-    while len(free_fp):
-        seed, seed_own = free_fp[0], free_own[0]
-        free_fp, free_own = free_fp[1:], free_own[1:]
-        found, queue = [seed], [(seed, seed_own)]
-        while queue and len(free_fp):
-            at, is_own = queue.pop()
-            near = np.bitwise_count(free_fp ^ at) <= most
-            if not is_own:  # two rows that only probe here meet elsewhere
-                near &= free_own
+    own, place = own[order][first], order[first]
+    left = np.arange(len(fps))
+    free = fps
+    while len(left):
+        found, queue = [left[0]], [left[0]]
+        left, free = left[1:], free[1:]
+        while queue and len(left):
+            at = queue.pop()
+            near = np.bitwise_count(free ^ fps[at]) <= most
+            if not near.any():
+                continue
+            if not own[at]:  # two rows that only probe here meet elsewhere
+                near &= own[left]
+            if sketches is not None:
+                which = np.flatnonzero(near)
+                near[which] = similarity(sketches[place[at]][None, :], sketches[place[left[which]]]) >= alike
             if near.any():
-                found += list(free_fp[near])
-                queue += list(zip(free_fp[near], free_own[near], strict=True))
-                free_fp, free_own = free_fp[~near], free_own[~near]
+                found += left[near].tolist()
+                queue += left[near].tolist()
+                left, free = left[~near], free[~near]
         if len(found) > 1:
-            yield np.array(found, dtype=fps.dtype)
+            yield fps[np.array(found)]
 
 
-def near_links(fps: DataFrame, most: int) -> DataFrame:
+def near_links(fps: DataFrame, most: int, alike: float = 0.0) -> DataFrame:
     """Tree links ``a, b`` that connect all distinct fingerprints differing in at most ``most`` bits."""
-    fps = written(fps.select("fp").distinct(), "distinct-fingerprints")
+    fps = written(fps.groupBy("fp").agg(F.min("sketch").alias("sketch")), "distinct-fingerprints")
     count = fps.count()
     sample = fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(dtype=np.int64).view(np.uint64)
     plan = allot(_bits(sample).astype(np.float64), count, most)
@@ -275,14 +317,16 @@ def near_links(fps: DataFrame, most: int) -> DataFrame:
         held = 0
 
         def out(parts):
-            bucket, fp, own = (np.concatenate(x) for x in zip(*parts, strict=True))
-            a, b = bucket_links(bucket, fp.view(np.uint64), own, most)
+            bucket, fp, own, sketches = (np.concatenate(x) for x in zip(*parts, strict=True))
+            a, b = bucket_links(bucket, fp.view(np.uint64), own, sketches, most, alike)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:3]]
+            data = b"".join(batch.column(3).to_pylist()) if alike else b""
+            cols.append(np.frombuffer(data, dtype=np.uint8).reshape(batch.num_rows, -1) if alike else np.zeros((batch.num_rows, 0), np.uint8))
             cut = int(np.searchsorted(cols[0], cols[0][-1], side="left"))  # the last bucket may go on
             if cut and held + cut >= 50_000:
                 yield out([*carry, tuple(c[:cut] for c in cols)])
@@ -296,10 +340,15 @@ def near_links(fps: DataFrame, most: int) -> DataFrame:
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
 
 
-def near_groups(df: DataFrame, width: int = 3, most: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, fp (long), component_id`` of every row: the smallest id reachable over links of ``most`` bits."""
-    prints = written(fingerprints(df, width, id_col, text_col), "simhash")
-    roots = components(written(near_links(prints, most), "simhash-links"))
+def near_groups(
+    df: DataFrame, width: int = 3, most: int = 3, id_col: str = "doc_id", text_col: str = "text", alike: float = 0.0, alike_width: int = 5
+) -> DataFrame:
+    """``id, fp (long), component_id`` of every row: the smallest id reachable over links of ``most`` bits.
+
+    With ``alike``, links also need that similarity (estimated Jaccard) of shingles of ``alike_width`` words.
+    """
+    prints = written(fingerprints(df, width, id_col, text_col, alike_width if alike else 0), "simhash")
+    roots = components(written(near_links(prints, most, alike), "simhash-links"))
     named = prints.groupBy("fp").agg(F.min("id").alias("low")).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     named = written(named.select("fp", "low", F.coalesce("root", "fp").alias("root")), "simhash-roots")
     lowest = written(named.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-lowest")

@@ -260,18 +260,27 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def score(df: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` of every row, then ``score``; the model is broadcast, nothing is shuffled."""
+def score(df: DataFrame, model: Model, keep: list[str], text_col: str = "text", below: float | None = None) -> DataFrame:
+    """The columns ``keep`` of every row, then ``score``; the model is broadcast, nothing is shuffled.
+
+    With ``below``, only the rows with a lower score, and without the score."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    source = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("text"))
+    at = keep.index(text_col) if text_col in keep else len(keep)
+    names = [*keep, *([] if text_col in keep else [text_col])]
+    source = df.select(*[df[c].alias(f"k{i}") for i, c in enumerate(names)])
 
     def run(batches):
         scorer = Scorer(shared.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                found = [scorer.score(t.as_py() or "") for t in part.column(part.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, type=pa.float64())], names=[*part.schema.names[:-1], "score"])
-
-    out = source.mapInArrow(run, StructType([*source.schema[:-1], StructField("score", DoubleType())]))
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "score")
+                found = [scorer.score(t.as_py() or "") for t in part.column(at)]
+                if below is None:
+                    cols = [*part.columns[: len(keep)], pa.array(found, type=pa.float64())]
+                    yield pa.RecordBatch.from_arrays(cols, names=[*part.schema.names[: len(keep)], "score"])
+                else:
+                    yield part.filter(pa.array([z < below for z in found], type=pa.bool_())).select(range(len(keep)))
+
+    extra = [StructField("score", DoubleType())] if below is None else []
+    out = source.mapInArrow(run, StructType([*source.schema[: len(keep)], *extra]))
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[x.name for x in extra])

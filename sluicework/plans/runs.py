@@ -67,7 +67,7 @@ def resumable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Urls that no good visit has finished."""
     v = _visits(spark, sf_dir)
     targets = v.select("url", "site").distinct()
-    return telemetry.not_done(targets, v.filter("event_id % 10 = 0"), "url")
+    return telemetry.not_done(targets, v.filter("event_id % 97 = 0"), "url")
 
 
 def latest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +109,7 @@ ORACLE_SQL = {
     "j10_combined_sites": f"""WITH {VISITS_SQL}, a AS (SELECT site, count(*) AS crawled FROM visits WHERE outcome = 'ok' AND site < 40 GROUP BY site),
         b AS (SELECT site, count(*) AS searched FROM visits WHERE outcome = 'failed' AND site >= 10 GROUP BY site)
         SELECT coalesce(a.site, b.site) AS site, coalesce(crawled, 0) AS crawled, coalesce(searched, 0) AS searched FROM a FULL JOIN b ON a.site = b.site""",
-    "j8_resumable": f"WITH {VISITS_SQL} SELECT DISTINCT url, site FROM visits WHERE url NOT IN (SELECT url FROM visits WHERE event_id % 10 = 0)",
+    "j8_resumable": f"WITH {VISITS_SQL} SELECT DISTINCT url, site FROM visits WHERE url NOT IN (SELECT url FROM visits WHERE event_id % 97 = 0)",
     "w4_latest_runs": f"""WITH {VISITS_SQL} SELECT site, row_number() OVER (PARTITION BY site ORDER BY ts DESC NULLS LAST, event_id DESC)::INT AS place, event_id FROM visits
         QUALIFY place <= 3""",
     "t0_daily_outcomes": f"WITH {VISITS_SQL} SELECT date_trunc('day', ts)::TIMESTAMP AS day, outcome, count(*) AS n FROM visits GROUP BY 1, 2",

@@ -306,6 +306,8 @@ def _search(fps: np.ndarray, own: np.ndarray, sketches: np.ndarray | None, most:
 
 def near_links(fps: DataFrame, most: int, alike: float = 0.0) -> DataFrame:
     """Tree links ``a, b`` that connect all distinct fingerprints differing in at most ``most`` bits."""
+    if most < 1:  # equal fingerprints need no link
+        return fps.sparkSession.createDataFrame([], "a long, b long")
     fps = written(fps.groupBy("fp").agg(F.min("sketch").alias("sketch")), "distinct-fingerprints")
     count = fps.count()
     sample = fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(dtype=np.int64).view(np.uint64)

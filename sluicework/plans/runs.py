@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import telemetry
-from .views import table
+from ..operators.matching import top_per
+from ..streaming.visits import site_counts
+from .views import scratch, table
 
 VISITS_SQL = """visits AS (SELECT event_id, ts, user_id % 50 AS site, value AS seconds, event_type,
     CASE WHEN event_id % 10 < 6 THEN 'ok' WHEN event_id % 10 < 8 THEN 'failed' ELSE 'skipped' END AS outcome,
@@ -18,7 +22,11 @@ _STATUS = "CASE WHEN pages = 0 THEN 'failed' WHEN failed = 0 THEN 'success' WHEN
 
 
 def _visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return _shaped(table(spark, sf_dir, "events"))
+
+
+def _shaped(e: DataFrame) -> DataFrame:
+    """Events as page visits; batches and streams alike."""
     turn = F.col("event_id") % 10
     return e.select(
         "event_id", "ts", (F.col("user_id") % 50).alias("site"), F.col("value").alias("seconds"), "event_type",
@@ -72,8 +80,6 @@ def resumable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def latest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three latest visits of each site."""
-    from ..operators.matching import top_per
-
     v = _visits(spark, sf_dir).select("site", "event_id", "ts")
     return top_per(v, ["site"], [F.desc_nulls_last("ts"), F.desc("event_id")], 3).select("site", "place", "event_id")
 
@@ -84,7 +90,32 @@ def retry_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.groupBy(F.date_trunc("day", "ts").alias("day"), "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each site and outcome by a stream that works off all files, its state in a checkpoint."""
+    path = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: a stream takes a plain path for a folder
+    counts = site_counts(_shaped(events))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/counts")
+
+    run = counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{path}/counts")
+
+
+def fallback_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every site, failed ones or not, its first five distinct kinds of failure in order of time."""
+    v = _visits(spark, sf_dir)
+    first = v.filter("outcome = 'failed'").groupBy("site", "event_type").agg(F.min(F.struct("ts", "event_id")).alias("at"))
+    listed = top_per(first, ["site"], ["at"], 5).groupBy("site").agg(F.array_sort(F.collect_list(F.struct("place", "event_type"))).alias("x"))
+    sites = v.select("site").distinct().join(listed, "site", "left")
+    return sites.select("site", F.array_join(F.transform(F.coalesce("x", F.array()), lambda s: s["event_type"]), "|").alias("reasons"))
+
+
 QUERIES = {
+    "t3_streamed_counts": streamed_counts,
+    "k7_fallback_reasons": fallback_reasons,
     "k4_site_report": site_report,
     "k1_run_totals": run_totals,
     "k14_skip_reasons": skip_reasons,
@@ -97,6 +128,10 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "t3_streamed_counts": f"WITH {VISITS_SQL} SELECT site, outcome, count(*) AS n FROM visits GROUP BY site, outcome",
+    "k7_fallback_reasons": f"""WITH {VISITS_SQL}, f AS (SELECT site, event_type, min((ts, event_id)) AS began FROM visits WHERE outcome = 'failed' GROUP BY site, event_type),
+        p AS (SELECT site, event_type, row_number() OVER (PARTITION BY site ORDER BY began) AS place FROM f), l AS (SELECT site, string_agg(event_type, '|' ORDER BY place) AS reasons FROM p WHERE place <= 5 GROUP BY site)
+        SELECT site, coalesce(reasons, '') AS reasons FROM (SELECT DISTINCT site FROM visits) LEFT JOIN l USING (site)""",
     "k4_site_report": f"""WITH {SITES_SQL} SELECT site, pages, ok, failed, skipped, urls,
         CASE WHEN ok > 0 THEN round(CAST(ok_seconds AS DOUBLE) / ok, 4) END AS mean_seconds, {_STATUS} AS status FROM sites""",
     "k1_run_totals": f"""WITH {SITES_SQL} SELECT count(*) AS sites, sum(pages)::BIGINT AS pages, sum(ok)::BIGINT AS ok, sum(failed)::BIGINT AS failed,

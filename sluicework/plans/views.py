@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """Folder that driver and executors share: the session's, or in local mode without one a temporary folder."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        return f"file://{tempfile.gettempdir()}/sluicework-scratch"
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+
+
 PROGRAMMES_SQL = """
 base AS (SELECT l_partkey AS pk, l_suppkey AS sk, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, max(l_shipdate) AS shipped,
     min(l_discount) AS d1, max(l_discount) AS d2 FROM lineitem GROUP BY l_partkey, l_suppkey),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numbers import mean_of, ordered, overlap, status, view_status
+from ..functions.numbers import mean_of, ordered, status, view_status
 from ..operators import catalog, matching, quality
 from .views import AS_OF, PROGRAMMES_SQL, programmes, table
 

@@ -30,7 +30,7 @@ def test_gates(spark):
     got = [r[0] for r in df.select(records.url_gate(*[F.col(c) for c in "ueipt"])).collect()]
     assert got == [False, True, True, True]
     pages = spark.createDataFrame([(200, "<p>" + "word " * 200 + "<a href=x>", "text/html"), (403, "x", None), (200, "", "application/pdf"), (200, "<div id=\"root\"></div>", None)], "s int, h string, t string")
-    rows = pages.select(records.fetched("s", F.col("h"), F.col("t")) if False else records.fetched(F.col("s"), F.col("h"), F.col("t")).alias("ok"), records.render_reason(F.col("s"), F.col("h")).alias("why")).collect()
+    rows = pages.select(records.fetched(F.col("s"), F.col("h"), F.col("t")).alias("ok"), records.render_reason(F.col("s"), F.col("h")).alias("why")).collect()
     assert [(r.ok, r.why) for r in rows] == [(True, None), (False, "blocked"), (True, "empty"), (True, "script_shell")]
 
 

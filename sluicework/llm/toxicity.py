@@ -26,30 +26,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-TOXIC_ROWS, CLEAN_ROWS = 2500, 5000
+TOXIC_ROWS, CLEAN_ROWS = 1500, 3000
 """Labelled rows of either class, at most about, that the models are fitted on."""
 TERMS, VOTERS = 400, 64
 CACHE = 400_000
 _WORD = re.compile(r"\w+")
 
 
-def terms_of(chunk: str) -> list[str]:
-    """Words of a lower-cased chunk (as ``=word``) and the beginnings that go on (as ``stem``)."""
-    out = []
-    for w in _WORD.findall(chunk):
-        out.append(f"={w}")
-        out += [w[:n] for n in range(3, min(9, len(w) - 1) + 1)]
+PAIR = 0x9E3779B9
+"""Mixed into a stem's number for the term that two or more words share it."""
+
+
+def terms_of(word: str) -> list[int]:
+    """Numbers (32-bit hashes) of a word, and of its beginnings that go on (stems)."""
+    data = word.encode("utf-8", "surrogatepass")
+    out = [zlib.crc32(b"=" + data)]
+    if word.isascii():
+        out += [zlib.crc32(data[:n]) for n in range(3, min(9, len(word) - 1) + 1)]
+    else:
+        out += [zlib.crc32(word[:n].encode("utf-8", "surrogatepass")) for n in range(3, min(9, len(word) - 1) + 1)]
     return out
 
 
-def counted(found: Iterable[str]) -> set[str]:
-    """Terms of a text: those of its distinct words, and ``stem@2`` for a stem that two or more words share."""
+def counted(found: Iterable[int]) -> set[int]:
+    """Terms of a text: those of its distinct words, and the mixed number of each stem that two or more share."""
     times = Counter(found)
-    return set(times).union(f"{t}@2" for t, n in times.items() if n > 1)
+    return set(times).union(t ^ PAIR for t, n in times.items() if n > 1)
 
 
-def term_set(text: str) -> set[str]:
-    return counted(t for w in set(_WORD.findall(text.lower())) for t in terms_of(w))
+def term_set(text: str) -> np.ndarray:
+    """Sorted numbers of all terms of a text: an array, as sets of a whole sample would not fit the driver."""
+    ids, times = np.unique(np.array([t for w in set(_WORD.findall(text.lower())) for t in terms_of(w)], dtype=np.uint32), return_counts=True)
+    return np.unique(np.concatenate([ids, ids[times > 1] ^ np.uint32(PAIR)]))
 
 
 def _tail(a: np.ndarray, n: np.ndarray, share: float) -> np.ndarray:
@@ -59,31 +67,33 @@ def _tail(a: np.ndarray, n: np.ndarray, share: float) -> np.ndarray:
     return np.where(q > share, bound, 0.0)
 
 
-def mine(sets: list[set[str]], y: np.ndarray, most: int = TERMS) -> list[str]:
+def mine(sets: list[np.ndarray], y: np.ndarray, most: int = TERMS) -> list[int]:
     """Terms that mark toxic texts, strongest first.
 
     A term counts if its rows are toxic more often than chance allows among that many terms; one whose
     toxic rows are nearly all those of a stronger term adds nothing and is left out.
     """
-    here, there = Counter(), Counter()
-    for s, k in zip(sets, y.tolist(), strict=True):
-        (here if k else there).update(s)
-    share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6))
-    names = sorted(t for t, a in here.items() if a >= 3)
-    if not names:
+    count = lambda k: np.unique(np.concatenate([np.zeros(0, np.uint32), *(s for s, x in zip(sets, y, strict=True) if x == k)]), return_counts=True)
+    (ids, a), (others, b) = count(1), count(0)
+    enough = a >= 3
+    if not enough.any():
         return []
-    a = np.array([here[t] for t in names], dtype=float)
-    strength = _tail(a, a + np.array([there.get(t, 0) for t in names]), share)
-    need = np.log(len(here) + len(there)) + 2
-    ranked = [names[i] for i in np.lexsort((-np.array([len(t) for t in names]), -np.round(strength, 6))) if strength[i] > need]
-    wanted = set(ranked)
-    rows: dict[str, set[int]] = {t: set() for t in ranked}
+    need = np.log(len(ids) + len(others)) + 2
+    ids, a = ids[enough], a[enough].astype(float)
+    at = np.minimum(np.searchsorted(others, ids), max(0, len(others) - 1))
+    against = np.where(others[at] == ids, b[at], 0) if len(others) else np.zeros(len(ids))
+    strength = _tail(a, a + against, float(np.clip(y.mean(), 1e-6, 1 - 1e-6)))
+    # where a stem and its longer forms are in the same rows, fewer rows against decide, then the number
+    order = np.lexsort((ids, against, -np.round(strength, 6)))
+    ranked = ids[[i for i in order[: 50 * most].tolist() if strength[i] > need]]
+    rows: dict[int, set[int]] = {int(t): set() for t in ranked}
+    listed = np.sort(ranked)
     for i, (s, k) in enumerate(zip(sets, y.tolist(), strict=True)):
         if k:
-            for t in wanted & s:
+            for t in np.intersect1d(listed, s, assume_unique=True).tolist():
                 rows[t].add(i)
-    kept: list[str] = []
-    for t in ranked:
+    kept: list[int] = []
+    for t in ranked.tolist():
         if all(len(rows[t] & rows[k]) < 0.9 * len(rows[t]) for k in kept):
             kept.append(t)
             if len(kept) == most:
@@ -109,7 +119,7 @@ def unlike(texts: list[str]) -> list[int]:
 _MIXERS = tuple(np.uint64(x) for x in (2654435761, 2246822519, 3266489917, 668265263))
 
 
-def votes_of(found: set[str], text: str, voters: list[str]) -> list[int]:
+def votes_of(found: set[int], text: str, voters: list[int]) -> list[int]:
     """1 toxic, 0 clean, -1 abstains: one vote per strong term, then the pattern voters."""
     hits = sum(t in found for t in voters)
     marks = text.count("!") + text.count("?")
@@ -131,8 +141,10 @@ class LabelModel:
     The last voter is the given label, of fixed accuracy."""
 
     def __init__(self, votes: np.ndarray, prior: float, rounds: int = 25) -> None:
-        self.weights = np.ones(votes.shape[1])
-        first = np.where((votes == 1).sum(axis=1) > (votes == 0).sum(axis=1), 0.9, 0.1)
+        # before the classes are known, agreement alone keeps a block of copies from outvoting the rest
+        self.weights = 1 / self._agreement(votes, np.full(len(votes), 0.5), 0.9)
+        self.weights[-1] = 1
+        first = np.where((votes == 1) @ self.weights > (votes == 0) @ self.weights, 0.9, 0.1)
         p = self._fit(votes, first, prior, rounds)
         self.weights = 1 / self._agreement(votes, p)
         self.weights[-1] = 1
@@ -157,8 +169,8 @@ class LabelModel:
             p = new
         return p
 
-    def _agreement(self, votes: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """1 + the correlations of each voter with the others, given the class."""
+    def _agreement(self, votes: np.ndarray, p: np.ndarray, least: float = 0.1) -> np.ndarray:
+        """1 + the correlations (from ``least``) of each voter with the others, given the class."""
         self.correlation = np.zeros((votes.shape[1],) * 2)
         for q in (1 - p, p):
             if q.sum() < 2:
@@ -169,23 +181,24 @@ class LabelModel:
             scale = np.sqrt(np.diag(cov)) + 1e-6
             self.correlation = np.maximum(self.correlation, np.abs(cov / np.outer(scale, scale)))
         np.fill_diagonal(self.correlation, 0)
-        return 1 + np.where(self.correlation > 0.1, self.correlation, 0).sum(axis=1)
+        return 1 + np.where(self.correlation > least, self.correlation, 0).sum(axis=1)
 
 
 class Model:
-    """Weights of terms and a bias."""
+    """Weights of terms (by number) and a bias."""
 
-    def __init__(self, weights: dict[str, float], bias: float) -> None:
+    def __init__(self, weights: dict[int, float], bias: float) -> None:
         self.weights, self.bias = weights, bias
 
 
-def train_linear(sets: list[set[str]], target: np.ndarray, terms: list[str], rounds: int = 30, ridge: float = 0.005) -> Model:
+def train_linear(sets: list[np.ndarray], target: np.ndarray, terms: list[int], rounds: int = 30, ridge: float = 0.005) -> Model:
     """Ridge logistic regression on the presence of terms, on posterior labels, by Newton steps."""
     at = {t: i for i, t in enumerate(terms)}
     x = np.zeros((len(sets), len(terms) + 1))
+    listed = np.array(terms, dtype=np.uint32)
     x[:, -1] = 1
     for i, s in enumerate(sets):
-        x[i, [at[t] for t in s if t in at]] = 1
+        x[i, [at[t] for t in s[np.isin(s, listed)].tolist()]] = 1
     x, back = np.unique(x, axis=0, return_inverse=True)  # most rows hold no term
     count = np.bincount(back.ravel(), minlength=len(x)).astype(float)
     share = np.bincount(back.ravel(), weights=target, minlength=len(x)) / count
@@ -218,7 +231,8 @@ def train(texts: list[str], toxic: list[int], seed: int = 5) -> Model:
     if y[half].min() == y[half].max():
         half[:] = True
     mined = mine([s for s, h in zip(sets, half, strict=True) if h], y[half], VOTERS)
-    votes = np.array([[*votes_of(s, t, mined), int(k)] for s, t, k in zip(sets, texts, y, strict=True)])
+    listed = np.array(mined, dtype=np.uint32)
+    votes = np.array([[*votes_of(set(s[np.isin(s, listed)].tolist()), t, mined), int(k)] for s, t, k in zip(sets, texts, y, strict=True)])
     labels = LabelModel(votes, float(y.mean())).posterior
     terms = mine(sets, (labels > 0.5).astype(np.int64)) if (labels > 0.5).any() else mined
     return train_linear(sets, labels, terms)
@@ -244,7 +258,7 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.known: dict[str, tuple[tuple[str, str], ...]] = {}
+        self.known: dict[str, tuple[tuple[str, int], ...]] = {}
 
     def score(self, text: str) -> float:
         words = set(text.lower().split())
@@ -254,7 +268,7 @@ class Scorer:
             new = words
         weights = self.model.weights
         for w in new:
-            self.known[w] = tuple((x, t) for x in _WORD.findall(w) for t in terms_of(x) if t in weights or f"{t}@2" in weights)
+            self.known[w] = tuple((x, t) for x in _WORD.findall(w) for t in terms_of(x) if t in weights or t ^ PAIR in weights)
         found = counted(t for _, t in {pair for hit in map(self.known.__getitem__, words) if hit for pair in hit})
         z = self.model.bias + sum(weights.get(t, 0.0) for t in sorted(found))
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))

@@ -76,3 +76,14 @@ def rows_of(batch: pa.RecordBatch, step: int = 256) -> Iterator[tuple]:
 def doc_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: whatever else the table holds, clashing names included, is left out."""
     return df.select(*[df[n] for n in names])
+
+
+_LAST: dict[str, object] = {}
+
+
+def reused(key: str, make):
+    """What ``make`` gives, kept in a Python worker for later tasks that ask for the same key; one at a time."""
+    if key not in _LAST:
+        _LAST.clear()
+        _LAST[key] = make()
+    return _LAST[key]

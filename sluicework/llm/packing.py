@@ -19,7 +19,9 @@ each; ties of length are ordered by id and piece; an empty table gives no pieces
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,19 +29,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _held, _source
-from .common import written
-from .vocab import ODD
+from .common import reused, written
+from .vocab import CONTRACTIONS, LETTER, NUMBER, ODD
 
-CACHE = 500_000
-"""Chunks whose ids a worker keeps at most."""
+CACHE = 1_000_000
+"""Pre-tokens whose ids a worker keeps at most."""
 
 
 class LibraryIds:
-    """Ids that the tokenizers library gives, with the chunks it has seen kept.
+    """Ids that the tokenizers library gives, with the pre-tokens it has seen kept.
 
-    No pre-token crosses white space and the normaliser works on characters, so for texts of common
-    characters the ids of a text are those of its white-space chunks in a row. Other texts, and those that
-    may hold added tokens, go to the library whole.
+    The library merges within pre-tokens, so the ids of a text are those of its pre-tokens in a row. Texts
+    of common characters are cut into pre-tokens here; other texts, and those that may hold added tokens, go
+    to the library whole.
     """
 
     def __init__(self, data: bytes) -> None:
@@ -51,15 +53,16 @@ class LibraryIds:
         self.library = Tokenizer.from_str(data.decode())
         self.library.no_truncation()
         self.library.no_padding()
+        self.cut = re.compile(f"{CONTRACTIONS}|[{LETTER}]+|[{NUMBER}]|[^\\s{LETTER}{NUMBER}]+").findall
         self.kept: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
     def many(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         lowered = [t.lower() for t in texts]
-        split = [low.split() if ODD.search(t) is None and "<|" not in low else None for t, low in zip(texts, lowered, strict=True)]
+        split = [self.cut(low) if ODD.search(t) is None and "<|" not in low else None for t, low in zip(texts, lowered, strict=True)]
         new = set().union(*(s for s in split if s)).difference(self.kept)
         if len(self.kept) + len(new) > CACHE:
             self.kept.clear()
@@ -77,7 +80,7 @@ def pieces(df: DataFrame, vocab_path: str, capacity: int, end_id: int, id_col: s
     data = df.sparkSession.sparkContext.broadcast(open(vocab_path, "rb").read())
 
     def run(batches):
-        library = LibraryIds(data.value)
+        library = reused(f"LibraryIds {zlib.crc32(data.value)}", lambda: LibraryIds(data.value))
         end = np.array([end_id], dtype="<u4").tobytes()
         for held in _held(batches):
             rows = []

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterable
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of
+from .common import reused, rows_of
 from .vocab import CONTRACTIONS, LETTER, NUMBER, ODD, LibrarySplitter, Vocabulary
 
 LONG = 64
@@ -235,7 +236,7 @@ def encode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str
     data = df.sparkSession.sparkContext.broadcast(open(vocab_path, "rb").read())
 
     def run(batches):
-        encoder = Encoder(data.value)
+        encoder = reused(f"Encoder {zlib.crc32(data.value)}", lambda: Encoder(data.value))
         for held in _held(batches):
             coded = encoder.encode_many([t for _, t in held])
             ids = [np.frombuffer(b, dtype="<u4").astype(np.int32) for b, _ in coded]
@@ -252,7 +253,7 @@ def encode_digests(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
     data = df.sparkSession.sparkContext.broadcast(open(vocab_path, "rb").read())
 
     def run(batches):
-        encoder = Encoder(data.value)
+        encoder = reused(f"Encoder {zlib.crc32(data.value)}", lambda: Encoder(data.value))
         for held in _held(batches):
             coded = encoder.encode_many([t for _, t in held])
             yield pa.RecordBatch.from_arrays(

@@ -14,12 +14,14 @@ text count as one token each, as the library does by default.
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import _held, _source
+from .common import reused
 from .vocab import CONTRACTIONS, LETTER, NUMBER, ODD, LibrarySplitter, Vocabulary
 
 CACHE = 600_000
@@ -120,7 +122,7 @@ def token_counts(df: DataFrame, vocab_path: str, limit: int, id_col: str = "doc_
     data = df.sparkSession.sparkContext.broadcast(open(vocab_path, "rb").read())
 
     def run(batches):
-        counter = Counter(data.value)
+        counter = reused(f"Counter {zlib.crc32(data.value)}", lambda: Counter(data.value))
         for held in _held(batches, 128):
             texts = [t for _, t in held]
             n = counter.count_many(texts)

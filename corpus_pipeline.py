@@ -9,17 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicework.llm import langid, toxicity
+from sluicework.llm import exactdedup, langid, toxicity
 from sluicework.llm.common import written
-from sluicework.llm.exactdedup import exact_groups
 from sluicework.llm.packing import pack
-from sluicework.llm.simhash import near_groups
+from sluicework.llm.simhash import near_copies
 
 TOXIC_FROM = 0.7
 """Documents of this score and more go."""
 NEAR_BITS, NEAR_SIMILARITY = 11, 0.77
-"""Near copies differ in at most so many fingerprint bits (3-word shingles), and their sketches show this similarity
-of 5-word shingles: 0.8 less a standard error of the sketch (0.035), so that copies of 0.8 are caught."""
+"""Near copies have this Jaccard similarity of their whole sets of 5-word shingles; candidates differ in at most so many
+fingerprint bits (3-word shingles) or share a band of their sketches."""
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,22 +34,24 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return langid.identify(docs, model, docs.columns, accepted_only=True)
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+def _without(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """The rows whose id (null included) and text aren't among ``copies (id, text_sha256)``."""
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (exactdedup.text_sha256(F.col("text")) == F.col("text_sha256"))
+    return docs.join(copies, same, "left_anti").select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    groups = written(exact_groups(docs), "exact-groups")
-    rest = _without(docs, written(groups.filter(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct(), "exact-copies"))
+    groups = written(exactdedup.exact_groups(docs), "exact-groups")
+    copies = written(groups.filter(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct(), "exact-copies")
+    rest = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
     repeated = groups.filter("kept").groupBy("id").count().filter("count > 1")
     return rest if repeated.isEmpty() else rest.dropDuplicates(["doc_id"])
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    groups = near_groups(docs, 3, NEAR_BITS, alike=NEAR_SIMILARITY, alike_width=5)
-    return _without(docs, written(groups.filter("id <> component_id").select(F.col("id").alias("doc_id")).distinct(), "near-copies"))
+    """One document of each group of near copies, by id and text as above; rows that repeat both stay."""
+    return _without(docs, written(near_copies(docs, 3, NEAR_BITS, NEAR_SIMILARITY, 5), "near-copies"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

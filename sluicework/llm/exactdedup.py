@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +81,13 @@ def normalised(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
+def text_sha256(text):
+    """SHA-256 of the normalised text as a column; equals that of ``fingerprints``."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    plain = F.length(text) == F.octet_length(text)  # only then does lower() change nothing but A-Z
+    return F.sha2(F.when(plain, F.lower(text)).otherwise(F.translate(text, ascii_uppercase, ascii_lowercase)).cast("binary"), 256)
+
+
 def _batches(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[list[tuple]]:
     held, size = [], 0
     for ident, text in rows_of(batch, 64):

@@ -18,17 +18,18 @@ never name a component; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 from .components import components, spanning, tree_links
-from .exactdedup import _batches
+from .exactdedup import _batches, text_sha256
 
 SAMPLE = 8192
 """Fingerprints, at most, from which costs are estimated."""
@@ -91,20 +92,21 @@ def similarity(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text", sketch_width: int = 0) -> DataFrame:
-    """``id, fp`` of every row, fp as a signed long; with ``sketch_width`` also ``sketch``."""
+    """``id, fp`` of every row, fp as a signed long; with ``sketch_width`` also ``sketch`` and ``text_sha256``."""
 
     def run(batches):
         for batch in batches:
             for held in _batches(batch):
                 fps = fingerprint_many([t for _, t in held], width)
                 sketches = [sketch(t, sketch_width) for _, t in held] if sketch_width else [b""] * len(held)
+                keys = [hashlib.sha256(t).hexdigest() if sketch_width else "" for _, t in held]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([i for i, _ in held], type=pa.int64()), pa.array(fps.view(np.int64)), pa.array(sketches, type=pa.binary())],
-                    names=["id", "fp", "sketch"],
+                    [pa.array([i for i, _ in held], type=pa.int64()), pa.array(fps.view(np.int64)), pa.array(sketches, type=pa.binary()), pa.array(keys)],
+                    names=["id", "fp", "sketch", "text_sha256"],
                 )
 
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "id long, fp long, sketch binary")
+    return source.mapInArrow(run, "id long, fp long, sketch binary, text_sha256 string")
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -312,7 +314,11 @@ def near_links(fps: DataFrame, most: int, alike: float = 0.0) -> DataFrame:
     count = fps.count()
     sample = fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(dtype=np.int64).view(np.uint64)
     plan = allot(_bits(sample).astype(np.float64), count, most)
-    rows = split_hot(signatures(fps, plan), plan, most)
+    return _linked(split_hot(signatures(fps, plan), plan, most), most, alike)
+
+
+def _linked(rows: DataFrame, most: int, alike: float) -> DataFrame:
+    """Tree links ``a, b`` of the rows that meet in a bucket."""
 
     def run(batches):
         carry: list[tuple[np.ndarray, ...]] = []
@@ -342,15 +348,10 @@ def near_links(fps: DataFrame, most: int, alike: float = 0.0) -> DataFrame:
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
 
 
-def near_groups(
-    df: DataFrame, width: int = 3, most: int = 3, id_col: str = "doc_id", text_col: str = "text", alike: float = 0.0, alike_width: int = 5
-) -> DataFrame:
-    """``id, fp (long), component_id`` of every row: the smallest id reachable over links of ``most`` bits.
-
-    With ``alike``, links also need that similarity (estimated Jaccard) of shingles of ``alike_width`` words.
-    """
-    prints = written(fingerprints(df, width, id_col, text_col, alike_width if alike else 0), "simhash")
-    roots = components(written(near_links(prints, most, alike), "simhash-links"))
+def near_groups(df: DataFrame, width: int = 3, most: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, fp (long), component_id`` of every row: the smallest id reachable over links of ``most`` bits."""
+    prints = written(fingerprints(df, width, id_col, text_col), "simhash")
+    roots = components(written(near_links(prints, most), "simhash-links"))
     named = prints.groupBy("fp").agg(F.min("id").alias("low")).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     named = written(named.select("fp", "low", F.coalesce("root", "fp").alias("root")), "simhash-roots")
     lowest = written(named.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-lowest")
@@ -358,6 +359,165 @@ def near_groups(
     return prints.join(table, "fp").select("id", "fp", "component_id")
 
 
+LOOSE = 0.62
+"""Sketched similarity of candidates: five standard errors (0.035) under 0.8."""
+BAND, BANDS = 5, 25
+"""Texts of similarity 0.8 share no band of the sketch with probability (1 - 0.8^5)^25 = 5e-5, and a twentieth of them
+differ in more fingerprint bits than any search can afford."""
+LARGE, PIVOTS = 64, 16
+"""Members of a candidate group up to which one task compares all of them; first pivots of larger groups."""
+
+
+def shingle_set(data: bytes, width: int) -> bytes:
+    """The distinct shingles of a text as sorted 64-bit numbers."""
+    return np.unique(np.frombuffer(b"".join(shingle_digests(data, width)), dtype=np.uint64)).tobytes()
+
+
+def jaccard_from(one: np.ndarray, other: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets have at least this Jaccard similarity; two empty sets are alike."""
+    small, large = (one, other) if len(one) <= len(other) else (other, one)
+    if len(small) < least * len(large):
+        return False
+    if not len(small):
+        return True
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[at] == small).sum())
+    return both >= least * (len(small) + len(large) - both)
+
+
+def band_links(nodes: DataFrame) -> DataFrame:
+    """Tree links of the ``node``s that share a band of their ``sketch`` and have sketches of LOOSE similarity."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            data = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
+            empty = ~data.any(axis=1)
+            for k in range(BANDS):
+                part = data[:, k * BAND : (k + 1) * BAND]
+                at = np.flatnonzero(part.any(axis=1) | (empty & (k == 0)))
+                keys = part[at].astype(np.int64) @ (1 << np.arange(0, 8 * BAND, 8)) | k << 56
+                picked = pa.array(at)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys), batch.column(0).take(picked), pa.array(np.ones(len(at), dtype=bool)), batch.column(1).take(picked)],
+                    names=["bucket", "fp", "own", "sketch"],
+                )
+
+    return _linked(nodes.select("node", "sketch").mapInArrow(run, ROWS), 64, LOOSE)
+
+
+def _candidates(nodes: DataFrame, most: int) -> DataFrame:
+    """``node, root`` of the candidate groups: near fingerprints or a common band, and LOOSE similarity of the sketches."""
+    by_bits = written(near_links(nodes, most, LOOSE), "near-bits")
+    first = written(nodes.groupBy("fp").agg(F.min_by("node", F.struct("sketch", "node")).alias("node")), "near-first")
+    for side in ("a", "b"):
+        named = first.select(F.col("fp").alias(side), F.col("node").alias("n"))
+        by_bits = by_bits.join(named, side).drop(side).withColumnRenamed("n", side)
+    return components(written(by_bits.select("a", "b").union(band_links(nodes)), "near-candidates"))
+
+
+def _sets(df: DataFrame, groups: DataFrame, width: int, text_col: str) -> DataFrame:
+    """``node, root, size, shingles`` of the nodes of the groups, one row each."""
+    text = df.select(F.col(text_col).cast("string").alias("text"), text_sha256(F.col(text_col)).alias("text_sha256"))
+    held = groups.join(text.dropDuplicates(["text_sha256"]), "text_sha256").select(F.struct("node", "root", "size").alias("id"), "text")
+
+    def run(batches):
+        for batch in batches:
+            for part in _batches(batch):
+                columns = [pa.array([i[c] for i, _ in part], type=pa.int64()) for c in ("node", "root", "size")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([shingle_set(t, width) for _, t in part], type=pa.binary())], names=["node", "root", "size", "shingles"])
+
+    return held.mapInArrow(run, "node long, root long, size long, shingles binary")
+
+
+def _arrays(table: pa.Table) -> tuple[list[int], list[np.ndarray]]:
+    return table["node"].to_pylist(), [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table["shingles"]]
+
+
+def _as_links(pairs: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([a for a, _ in pairs], type=pa.int64()), "b": pa.array([b for _, b in pairs], type=pa.int64())})
+
+
+def _small_links(sets: DataFrame, least: float) -> DataFrame:
+    """Links of the groups of up to LARGE members, breadth first: each member is compared with those not reached yet."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names, held = _arrays(table)
+        left, pairs = list(range(len(names))), []
+        while left:
+            queue = [left.pop()]
+            while queue and left:
+                at = queue.pop()
+                near = [k for k in left if jaccard_from(held[at], held[k], least)]
+                pairs += [(names[at], names[k]) for k in near]
+                queue += near
+                left = [k for k in left if k not in set(near)]
+        return _as_links(pairs)
+
+    return sets.filter(F.col("size") <= LARGE).groupBy("root").applyInArrow(run, "a long, b long")
+
+
+def _large_links(sets: DataFrame, least: float) -> DataFrame | None:
+    """Links of larger groups, in rounds: all members, dealt over tasks, are compared with some pivots.
+
+    Afterwards only members outside the largest part of their group become pivots; when all of those have been,
+    no pair of different parts is left untested."""
+    hot = written(sets.filter(F.col("size") > LARGE), "near-large")
+    if hot.isEmpty():
+        return None
+    shares = F.ceil(F.col("size") / LARGE)
+    members = hot.withColumn("salt", F.pmod(F.xxhash64("node"), shares))
+    turn = Window.partitionBy("root").orderBy(F.xxhash64("node"), "node")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, held = _arrays(left)
+        pivots, theirs = _arrays(right)
+        return _as_links([(n, p) for n, x in zip(names, held, strict=True) for p, y in zip(pivots, theirs, strict=True) if n != p and jaccard_from(x, y, least)])
+
+    waiting, used, links, most = hot.select("node", "root"), None, None, PIVOTS
+    while True:
+        chosen = waiting.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= most).select("node")
+        chosen = written(chosen, "near-pivots")
+        if chosen.isEmpty():
+            return links
+        used = chosen if used is None else used.union(chosen)
+        pivots = written(hot.join(chosen, "node").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1))), "near-pivot-sets")
+        found = members.groupBy("root", "salt").cogroup(pivots.groupBy("root", "salt")).applyInArrow(run, "a long, b long")
+        found = written(found, "near-pivot-links")
+        links = found if links is None else links.union(found)
+        parts = components(links).withColumnRenamed("root", "part")
+        named = written(hot.select("node", "root").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "near-parts")
+        counts = named.groupBy("root", "part").agg(F.count(F.lit(1)).alias("n"))
+        largest = counts.groupBy("root").agg(F.max_by("part", F.struct("n", "part")).alias("largest"))
+        waiting = named.join(largest, "root").filter("part <> largest").select("node", "root").join(used, "node", "left_anti")
+        most *= 4
+
+
+def near_copies(
+    df: DataFrame, width: int, most: int, least: float, set_width: int, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``id, text_sha256`` of the rows that are near copies of a row that stays.
+
+    Two texts are near copies if their whole sets of shingles of ``set_width`` words have a Jaccard similarity of
+    ``least`` or more; of all that are linked so, over any number of steps, the row of the least id stays (null ids last,
+    then by digest). Fingerprints and sketches only find candidates; every link is decided on the sets."""
+    prints = written(fingerprints(df, width, id_col, text_col, set_width), "near-prints")
+    nodes = prints.groupBy("text_sha256").agg(F.min("fp").alias("fp"), F.min("sketch").alias("sketch"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
+    groups = _candidates(nodes, most)
+    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    groups = written(groups.join(sizes, "root").join(nodes.select("node", "text_sha256"), "node"), "near-groups")
+    sets = written(_sets(df, groups, set_width, text_col), "near-sets")
+    links, large = _small_links(sets, least), _large_links(sets, least)
+    roots = components(written(links if large is None else links.union(large), "near-links"))
+    named = nodes.select("node", "text_sha256").join(roots, "node", "left").select("text_sha256", F.coalesce("root", "node").alias("root"))
+    rows = written(prints.select("id", "text_sha256").distinct().join(named, "text_sha256"), "near-rows")
+    order = F.struct(F.col("id").isNull(), "id", "text_sha256")
+    lowest = rows.groupBy("root").agg(F.min(order).alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return rows.join(lowest, "root").filter(~F.struct("id", "text_sha256").eqNullSafe(F.struct("low.id", "low.text_sha256"))).select("id", "text_sha256")
+
+
 def as_hex(fp):
     """A fingerprint as 16 lowercase hexadecimal digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -16,7 +16,7 @@ from sluicework.llm.simhash import near_copies
 
 TOXIC_FROM = 0.7
 """Documents of this score and more go."""
-NEAR_BITS, NEAR_SIMILARITY = 11, 0.77
+NEAR_BITS, NEAR_SIMILARITY = 11, 0.8
 """Near copies have this Jaccard similarity of their whole sets of 5-word shingles; candidates differ in at most so many
 fingerprint bits (3-word shingles) or share a band of their sketches."""
 

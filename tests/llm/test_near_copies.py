@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
 from sluicework.llm import simhash
 
@@ -20,3 +22,51 @@ def test_equal_fingerprints_of_unlike_texts_stay(spark):
     assert len(set(prints.tolist())) == 1
     rows.append((9, rows[0][1] + " end"))
     assert [i for i, _ in stage(spark, corpus_pipeline.simhash_stage, rows)] == [0, 1, 2, 3, 4, 5]
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def near(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+@pytest.mark.parametrize("large", [64, 4])
+def test_near_copies_equal_brute_force(spark, monkeypatch, large):
+    monkeypatch.setattr(simhash, "LARGE", large)
+    monkeypatch.setattr(simhash, "PIVOTS", 2)
+    rng, rows = random.Random(5), []
+    for g in range(40):
+        base = [str(rng.random()) for _ in range(rng.randrange(60, 300))]
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(25 if g < 3 else 3):
+            words = list(base)
+            for _ in range(rng.randrange(1, max(2, len(base) // 14))):
+                words[rng.randrange(len(words))] = str(rng.random())
+            rows.append((len(rows), " ".join(words)))
+    rows += [(900, None), (901, " "), (902, "one"), (903, "One "), (None, "one"), (None, rows[0][1].replace("0.1", "0.10", 1))]
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in range(len(rows)):
+        for y in range(x):
+            if near(sets[x], sets[y]):
+                root[find(x)] = find(y)
+    want = {}
+    for k, row in enumerate(rows):
+        want[find(k)] = min(want.get(find(k), row), row, key=lambda r: (r[0] is None, r[0]))
+    assert len(want) > 60
+    assert stage(spark, corpus_pipeline.simhash_stage, rows) == sorted(want.values(), key=repr)
+
+
+def test_no_documents(spark):
+    empty = spark.createDataFrame([], COLUMNS)
+    assert corpus_pipeline.simhash_stage(spark, empty, "").count() == 0
+    assert corpus_pipeline.exact_stage(spark, empty, "").count() == 0

@@ -41,12 +41,15 @@ def _without(docs: DataFrame, copies: DataFrame) -> DataFrame:
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One row of each group of equal texts: that of the greatest id, a row without id only if none has one.
+
+    An id that occurs with several texts counts as several documents."""
     groups = written(exactdedup.exact_groups(docs), "exact-groups")
-    copies = written(groups.filter(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct(), "exact-copies")
-    rest = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    repeated = groups.filter("kept").groupBy("id").count().filter("count > 1")
-    return rest if repeated.isEmpty() else rest.dropDuplicates(["doc_id"])
+    rest = _without(docs, written(groups.filter(~F.col("kept")).select("id", "text_sha256").distinct(), "exact-copies"))
+    repeated = groups.filter("kept").groupBy("id", "text_sha256").count().filter("count > 1")
+    if repeated.isEmpty():
+        return rest
+    return rest.withColumn("text_sha256", exactdedup.text_sha256(F.col("text"))).dropDuplicates(["doc_id", "text_sha256"]).select(*docs.columns)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

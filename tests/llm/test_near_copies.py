@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from sluicework.llm import simhash
+from sluicework.llm import exactdedup, simhash
 
 COLUMNS = "doc_id long, text string, lang string"
 
@@ -70,3 +70,20 @@ def test_no_documents(spark):
     empty = spark.createDataFrame([], COLUMNS)
     assert corpus_pipeline.simhash_stage(spark, empty, "").count() == 0
     assert corpus_pipeline.exact_stage(spark, empty, "").count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(None, "first"), (None, "second"), (None, "second"), (7, "copied text"), (9, "Copied text"), (7, "only here"), (7, "only here"), (8, "ÉA"), (3, "Éa"), (2, "éa"), (None, "éa")]
+    left = [(2, "éa"), (7, "only here"), (8, "ÉA"), (9, "Copied text"), (None, "first"), (None, "second")]
+    assert stage(spark, corpus_pipeline.exact_stage, rows) == left
+    assert stage(spark, corpus_pipeline.simhash_stage, left) == left
+    same = " ".join(str(k) for k in range(80))
+    rows = [(4, same), (5, same + " end"), (5, "other"), (None, same + " End."), (None, "rest")]
+    assert stage(spark, corpus_pipeline.simhash_stage, rows) == [(4, same), (5, "other"), (None, "rest")]
+
+
+def test_text_digest_as_in_groups(spark):
+    rows = [(1, "AbC"), (2, None), (3, "ÄÖ İ K"), (4, "\x00Z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = exactdedup.fingerprints(df).join(df.select("doc_id", exactdedup.text_sha256(exactdedup.F.col("text")).alias("d")), exactdedup.F.col("id") == exactdedup.F.col("doc_id"))
+    assert sum(r.d == r.text_sha256 for r in got.collect()) == 4

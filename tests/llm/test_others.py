@@ -22,33 +22,52 @@ def brute(rows, wanted, k):
     return out
 
 
-def test_small_tables_are_exact(spark):
+def found_by(df, k=5, step=10, **how):
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % step == 0, k, **how).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    return got
+
+
+def odd_vectors():
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(150)] + [(i, [1.0] * 8) for i in range(200, 240)]
     rows += [(300, None), (301, [0.0] * 8), (302, [float("nan")] + [1.0] * 7), (303, [None] + [1.0] * 7), (305, [2.0] * 8), (310, [1.0, 2.0]), (311, [1.0, 3.0]), (312, []), (200, [1.0] * 8)]
+    return rows + [(None, [1.0] * 8), (320, [1e200] * 8), (330, [-0.0, 1.0]), (331, [0.0, 1.0])]
+
+
+@pytest.mark.parametrize("tables", [1, 3])
+def test_all_pairs_give_ranks_and_scores_of_brute_force(spark, tables, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 8)  # many blocks, hot ones with salts
+    rows = odd_vectors()
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, score string")
-    got = {}
-    for r in ann.nearest(df, F.col("vec_id") % 10 == 0, 5).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append(r.vec_id)
-    want = brute(rows, lambda q: q % 10 == 0, 5)
-    assert got == {q: v for q, v in want.items() if v}
+    got = found_by(df, tables=tables, share=1)
+    want = {q: v for q, v in brute(rows, lambda q: q % 10 == 0, 5).items() if v}
+    assert {q: [i for _, i, _ in v] for q, v in got.items()} == want
+    held = {i: np.array(v) for i, v in rows if v and i is not None and None not in v}
+    for q, v in got.items():
+        assert [r for r, _, _ in v] == list(range(1, len(v) + 1))
+        assert [s for _, _, s in v] == [float(ann.cosines(held[q], held[i][None, :])[0]) for _, i, _ in v]
     assert ann.nearest(df.limit(0), F.lit(True), 5).count() == 0
 
 
-def test_recall(spark, monkeypatch):
-    monkeypatch.setattr(ann, "GROUP", 40)
-    rng = np.random.default_rng(5)
-    rows = [(i, rng.normal(size=64).tolist()) for i in range(2600)]
+def test_too_few_probed_are_answered_exactly(spark):
+    rows = odd_vectors()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = ann.nearest(df, F.col("vec_id") % 50 == 0, 5).toPandas()
-    x = np.array([v for _, v in rows])
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    hit = 0
-    for q in range(0, 2600, 50):
-        s = x @ x[q]
-        s[q] = -2
-        hit += len(set(np.argsort(-s)[:5].tolist()) & set(got[got.query_id == q].vec_id))
-    assert hit / (5 * 52) > 0.9
+    got = found_by(df, tables=1, share=0)  # the own pair alone: nearly no candidates
+    want = brute(rows, lambda q: q % 10 == 0, 5)
+    assert {q: len(v) for q, v in got.items()} == {q: len(v) for q, v in want.items() if v}
+
+
+@pytest.mark.parametrize("count, block", [(400, 16384), (2600, 40)])
+def test_recall(spark, monkeypatch, count, block):
+    monkeypatch.setattr(ann, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=64).tolist()) for i in range(count)]
+    got = found_by(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), step=50)
+    want = brute([(i, [float(np.float32(c)) for c in v]) for i, v in rows], lambda q: q % 50 == 0, 5)
+    assert all(len(v) == 5 for v in got.values())
+    assert sum(len(set(want[q]) & {i for _, i, _ in v}) for q, v in got.items()) / (5 * len(want)) > 0.9
 
 
 def test_hadamard():

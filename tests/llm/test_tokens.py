@@ -84,28 +84,38 @@ def brute(lengths, capacity):
     return len(gaps)
 
 
-@pytest.mark.parametrize("seed", range(20))
-def test_sweeps_equal_best_fit_decreasing(seed):
+def pieces_of(spark, lengths):
+    return spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "id long, length long").selectExpr("id", "0 AS piece", "0L AS start", "length", "id AS ids_crc32")
+
+
+def packed(spark, monkeypatch, lengths, capacity):
+    monkeypatch.setattr(packing, "pieces", lambda df, *rest: df)
+    return packing.pack(pieces_of(spark, lengths), "", capacity).toPandas()
+
+
+def whole(got, lengths, capacity):
+    """All pieces are there once, gapless in their sequences; the number of sequences."""
+    assert sorted(zip(got.id, got.length, strict=True)) == list(enumerate(lengths))
+    for _, seq in got.sort_values("offset").groupby("sequence_id"):
+        assert (seq.length.cumsum() - seq.length == seq.offset).all() and seq.length.sum() <= capacity
+    return got.sequence_id.nunique()
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_sweeps_equal_best_fit_decreasing(spark, monkeypatch, seed):
     rng = random.Random(seed)
-    capacity = rng.choice([10, 50, 100])
-    lengths = [rng.randint(1, rng.choice([capacity, capacity // 2, max(1, capacity // 5)])) for _ in range(150)]
-    counts = {n: lengths.count(n) for n in set(lengths)}
-    plan = packing.sweep_plan(counts, capacity)
-    held = {}
-    for n, many in counts.items():
-        mine = plan[plan[:, 0] == n]
-        mine = mine[np.argsort(mine[:, 1])]
-        for rank in range(many):
-            row = mine[np.searchsorted(mine[:, 1], rank, side="right") - 1]
-            j = rank - row[1]
-            held.setdefault(int(row[2] + j // row[3]), []).append((int(row[4] + j % row[3] * n), n))
-    for spans in held.values():
-        at = 0
-        for offset, n in sorted(spans):
-            assert offset == at
-            at += n
-        assert at <= capacity
-    assert len(held) == brute(lengths, capacity)
+    capacity = rng.choice([10, 50, 100, 500])
+    lengths = [rng.randint(1, rng.choice([capacity, capacity // 2, max(1, capacity // 5)])) for _ in range(200)]
+    assert whole(packed(spark, monkeypatch, lengths, capacity), lengths, capacity) == brute(lengths, capacity)
+
+
+@pytest.mark.parametrize("kinds", ["mixed", "equal", "small"])
+def test_sweeps_over_many_tasks(spark, monkeypatch, kinds):
+    monkeypatch.setattr(packing, "SEQUENCES", 4)
+    monkeypatch.setattr(packing, "ROWS", 300)
+    rng = random.Random(4)
+    lengths = {"mixed": [rng.choice([rng.randint(1, 100), rng.randint(1, 20)]) for _ in range(3000)], "equal": [30] * 900 + [7] * 900, "small": [rng.randint(1, 9) for _ in range(3000)]}[kinds]
+    assert whole(packed(spark, monkeypatch, lengths, 100), lengths, 100) <= 1.02 * brute(lengths, 100) + 2
 
 
 def test_packing(spark):

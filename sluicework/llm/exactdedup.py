@@ -30,8 +30,9 @@ COMPARE_CHUNK = 1 << 16
 """Bytes in one row of the chunkwise comparison."""
 PRIMES = (2147483629, 2147483587)
 BASES = (911382323, 972663749)
-MAP_BITS = 1 << 24
-"""Positions of the fixed-size map of repeated fingerprints (2 MB, whatever the corpus size)."""
+MAP_BITS, MOST_BITS = 1 << 24, 1 << 28
+"""Positions of the map of repeated fingerprints: 16 for each, from 2 MB up to 32 MB whatever the corpus size. A fuller map
+only lets more texts through to the comparison."""
 
 
 def _powers(count: int, base: int, prime: int) -> list[int]:
@@ -126,21 +127,22 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 KEY = ["fp0", "fp1", "n_bytes"]
 
 
-def _position(fp0, fp1, n_bytes):
-    return (fp0 * 1000003 + fp1 * 7919 + n_bytes) % MAP_BITS
+def _position(fp0, fp1, n_bytes, bits):
+    return (fp0 * 1000003 + fp1 * 7919 + n_bytes) % bits
 
 
 def repeated_map(groups: DataFrame) -> np.ndarray:
-    """Bit map of the fingerprints that repeat: at most MAP_BITS / 32768 rows of 4 KB reach the driver."""
-    at = F.pmod(F.col("fp0") * 1000003 + F.col("fp1") * 7919 + F.col("n_bytes"), F.lit(MAP_BITS))
+    """Bit map of the fingerprints that repeat: at most MOST_BITS / 32768 rows of 4 KB reach the driver."""
+    repeated = groups.filter("group_size > 1")
+    bits = min(MOST_BITS, max(MAP_BITS, 1 << (16 * repeated.count()).bit_length()))
+    at = _position(F.col("fp0"), F.col("fp1"), F.col("n_bytes"), F.lit(bits))
     maps = (
-        groups.filter("group_size > 1")
-        .select(at.alias("at"))
+        repeated.select(at.alias("at"))
         .groupBy(F.expr("at div 32768").alias("part"))
         .agg(F.bitmap_construct_agg(F.expr("at % 32768")).alias("bits"))
         .collect()
     )
-    out = np.zeros(MAP_BITS // 8, dtype=np.uint8)
+    out = np.zeros(bits // 8, dtype=np.uint8)
     for part, bits in maps:
         out[part * 4096 : (part + 1) * 4096] = np.frombuffer(bytes(bits), dtype=np.uint8)
     return out
@@ -161,7 +163,7 @@ def mismatched(df: DataFrame, groups: DataFrame, text_col: str = "text") -> Data
                 texts = [t for _, t in held]
                 fps = hasher.many(texts)
                 size = np.array([len(t) for t in texts], dtype=np.int64)
-                at = _position(fps[:, 0], fps[:, 1], size)
+                at = _position(fps[:, 0], fps[:, 1], size, 8 * len(seen))
                 hit = np.flatnonzero(seen[at >> 3] >> (at & 7).astype(np.uint8) & 1)
                 for i in hit.tolist():
                     text = texts[i]

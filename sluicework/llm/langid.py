@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-
-PER_LANGUAGE = 250
-"""Labelled rows of each language, at most about, that the model is trained on."""
+PER_LANGUAGE, LEARN_CHARS = 250, 48_000_000
+"""Labelled rows of each language, and characters of all, at most about, that the model is trained on."""
+STRETCH = 4096
+"""Characters of a word from which its subwords are made in parts."""
 BUCKETS, DIMS, WINDOW = 1 << 16, 16, 24
 CACHE = 250_000
 REJECT_SHARE = 0.002
@@ -51,6 +53,16 @@ def subwords(chunk: str) -> list[int]:
     return out
 
 
+def long_subwords(chunk: str) -> Iterator[list[int]]:
+    """What ``subwords`` gives, in parts of bounded size for chunks of any length."""
+    for word in letters(chunk):
+        data = f"<{word}>"
+        yield [zlib.crc32(data.encode()) % BUCKETS]
+        for lo in range(0, len(data), STRETCH):
+            here = data[lo : lo + STRETCH + 3]
+            yield [zlib.crc32(here[i : i + n].encode()) % BUCKETS for n in (2, 3, 4) for i in range(min(STRETCH, len(here) - n + 1))]
+
+
 class Model:
     """Logits of each hashed subword, names of the languages, temperature and rejection threshold."""
 
@@ -139,10 +151,13 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
     """Trains on a sample of the labelled rows: about ``per_label`` of each, picked by a hash of the id."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"))
     rows = rows.filter("label is not null and text is not null")
-    counts = dict(rows.groupBy("label").count().collect())
-    if not counts:
+    found = rows.groupBy("label").agg(F.count(F.lit(1)), F.sum(F.length("text"))).collect()
+    if not found:
         return None
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_label / n)))])
+    counts = {k: n for k, n, _ in found}
+    most = LEARN_CHARS / len(found)  # so the labels together stay within it
+    shares = {k: min(1.0, per_label / n, most / max(size, 1)) for k, n, size in found}
+    share = F.create_map(*[x for k, s in shares.items() for x in (F.lit(k), F.lit(s))])
     luck = F.pmod(F.xxhash64("id", F.length("text")), F.lit(1_000_003)) / 1_000_003.0
     picked = rows.filter(luck < share[F.col("label")]).limit(2 * per_label * len(counts))
     sample = picked.select("id", "text", "label").toPandas().sort_values(["id", "text"])
@@ -158,18 +173,21 @@ class Scorer:
         self.table = np.zeros((CACHE + 1, len(model.names) + 1), dtype=np.float32)
 
     def _row(self, chunk: str) -> np.ndarray:
-        ids = subwords(chunk)
         row = np.zeros(self.table.shape[1], dtype=np.float64)
-        if ids:
-            row[:-1] = self.model.logits[ids].sum(axis=0)
-            row[-1] = len(ids)
+        for ids in long_subwords(chunk):
+            row[:-1] += self.model.logits[ids].sum(axis=0)
+            row[-1] += len(ids)
         return row
 
     def score(self, text: str) -> tuple[str, float, bool]:
         """(language, calibrated score, rejected)."""
         words = text.lower().split()
         extra = np.zeros(self.table.shape[1])
-        if len(text) > 1000 * (len(words) + 1) // 2:  # hardly any white space: long chunks are not kept
+        if len(text) > STRETCH and max(map(len, words), default=0) > STRETCH:  # long chunks are not kept
+            for w in [w for w in words if len(w) > STRETCH]:
+                extra += self._row(w)
+            words = [w for w in words if len(w) <= STRETCH]
+        elif len(text) > 500 * (len(words) + 1):  # nor those of texts with hardly any white space
             for w in [w for w in words if len(w) > 64]:
                 extra += self._row(w)
             words = [w for w in words if len(w) <= 64]

@@ -93,7 +93,8 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = [(-1, 0, "user", SAMPLE_TEXT), (-1, 1, "assistant", SAMPLE_TEXT)]
     own = spark.createDataFrame(own, "conv_id long, turn long, role string, text string")
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    return chat.read_back(chat.format_turns(rows))
+    rows = rows.withColumn("parts", chat.text_parts(F.col("text")))  # the table holds no other kind
+    return chat.read_back(chat.format_turns(rows, parts_col="parts"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +134,8 @@ def _chat_sql() -> str:
             coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
             sum({frame} + {size('role')} + {size('text')})::BIGINT AS formatted_chars
           FROM t GROUP BY conv_id)
-        SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
+        SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars,
+          0::BIGINT AS n_attachments, 0::BIGINT AS expanded_tokens
         FROM g"""
 
 

@@ -28,6 +28,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 TOXIC_ROWS, CLEAN_ROWS = 1500, 3000
 """Labelled rows of either class, at most about, that the models are fitted on."""
+LEARN_CHARS = 48_000_000
+"""Characters of those rows, at most about; with longer texts there are fewer rows, each whole."""
 TERMS, VOTERS = 400, 64
 CACHE = 400_000
 _WORD = re.compile(r"\w+")
@@ -248,7 +250,11 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     picked = marks.filter(luck < share).limit(2 * (TOXIC_ROWS + CLEAN_ROWS))
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # the sample of ids is broadcast: it is bounded by the limit above
-    rows = texts.join(F.broadcast(picked), "id").limit(4 * (TOXIC_ROWS + CLEAN_ROWS)).toPandas().sort_values(["id", "text"])
+    rows = texts.join(F.broadcast(picked), "id")
+    held = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    if held > LEARN_CHARS:  # long texts: fewer of them, each whole
+        rows = rows.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_003)) / 1_000_003.0 < LEARN_CHARS / held)
+    rows = rows.limit(4 * (TOXIC_ROWS + CLEAN_ROWS)).toPandas().sort_values(["id", "text"])
     rows = rows.drop_duplicates("id")
     return train([t or "" for t in rows["text"]], rows["label"].tolist())
 

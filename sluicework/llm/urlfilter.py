@@ -10,46 +10,66 @@ key pass. Over that universe membership is then exact, and urls are judged witho
 candidate key that is listed is the rule. A second cascade, over the rules themselves, tells block from
 allow. A url that no rule fits gets the verdict of a key that is not listed: allow.
 
+Keys, listed ones and those of the universe, are a table of digests; every level is built on the executors from it
+as bit maps of 4 KB. Only the levels travel: some ten bits for each listed key (ten million rules: 12 MB) and for each
+key that passes wrongly, which the first level's size keeps at about as many; nothing grows with the urls.
+
 Cases: null urls and those without ``://`` have empty host and path and no rule; rows repeat as they are;
 of rules of the same length the one with the longer host wins; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 AZ, az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def digests(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves of a 128-bit digest of each key."""
+    from xxhash import xxh3_128_digest
+
+    data = bytearray().join(xxh3_128_digest(k.encode("utf-8", "surrogatepass")) for k in keys)
+    halves = np.frombuffer(data, dtype="<i8").reshape(-1, 2) if keys else np.zeros((0, 2), dtype=np.int64)
+    return halves[:, 0].copy(), halves[:, 1].copy()
+
+
+def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
+    """A bijection of 64-bit numbers, another one for each salt."""
+    x = h.view(np.uint64) + np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 class Bloom:
-    """A Bloom filter sized for a count of keys and a rate of false positives."""
+    """A Bloom filter sized for a count of keys and a rate of false positives; levels hash unlike one another."""
 
-    def __init__(self, count: int, rate: float) -> None:
+    def __init__(self, count: int, rate: float, level: int) -> None:
         self.size = max(64, int(np.ceil(-max(count, 1) * np.log(rate) / np.log(2) ** 2)))
-        self.hashes = max(1, round(self.size / max(count, 1) * np.log(2)))
-        self.hashes = min(self.hashes, 30)
-        self.bits = np.zeros(-(-self.size // 8), dtype=np.uint8)
+        self.hashes = min(30, max(1, round(self.size / max(count, 1) * np.log(2))))
+        self.level = level
+        self.bits = np.zeros(-(-self.size // MAP) * MAP // 8, dtype=np.uint8)
 
-    def places(self, key: str, level: int) -> list[int]:
-        from xxhash import xxh3_128_intdigest
+    def places(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """(keys, hashes) positions."""
+        a, b = _mixed(high, 2 * self.level), _mixed(low, 2 * self.level + 1) | np.uint64(1)
+        return ((a[:, None] + np.arange(self.hashes, dtype=np.uint64)[None, :] * b[:, None]) % np.uint64(self.size)).astype(np.int64)
 
-        h = xxh3_128_intdigest(key.encode("utf-8", "surrogatepass"), level)
-        a, b = h & 0xFFFFFFFFFFFFFFFF, (h >> 64) | 1
-        return [(a + i * b) % self.size for i in range(self.hashes)]
+    def has(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        at = self.places(high, low)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool).all(axis=1)
 
-    def set(self, places: Iterable[int]) -> None:
-        at = np.fromiter(places, dtype=np.int64)
-        np.bitwise_or.at(self.bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
 
-    def has(self, key: str, level: int) -> bool:
-        return all(self.bits[p >> 3] >> (p & 7) & 1 for p in self.places(key, level))
+MAP = 32768
+"""Bits of one bit map."""
+DEEPEST = 60
+"""Levels after which building gives up; each lets a hundredth of the wrong keys pass, so a handful is enough."""
 
 
 class Cascade:
@@ -58,75 +78,63 @@ class Cascade:
     def __init__(self) -> None:
         self.levels: list[Bloom] = []
 
-    def passes(self, key: str, upto: int) -> bool:
-        """Whether the key is in the levels before ``upto``."""
-        return all(self.levels[i].has(key, i) for i in range(upto))
-
-    def __contains__(self, key: str) -> bool:
+    def passes(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Whether each key is in all levels."""
+        out = np.ones(len(high), dtype=bool)
+        for level in self.levels:
+            at = np.flatnonzero(out)
+            out[at] = level.has(high[at], low[at])
+        return out
+
+    def contains(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Whether each key is listed: those that stop at an even level are not, those at an odd one are."""
+        out = np.full(len(high), len(self.levels) % 2 == 1)
+        left = np.arange(len(high))
         for i, level in enumerate(self.levels):
-            if not level.has(key, i):
-                return i % 2 == 1
-        return len(self.levels) % 2 == 1
+            held = level.has(high[left], low[left])
+            out[left[~held]] = i % 2 == 1
+            left = left[held]
+        return out
 
 
-def small_cascade(inside: set[str], outside: set[str], rate: float = 0.01) -> Cascade:
-    """A cascade over two sets that the driver holds."""
-    out = Cascade()
-    turn, other = inside, outside
-    while turn:
-        level = len(out.levels)
-        bloom = Bloom(len(turn), rate)
-        bloom.set(p for k in turn for p in bloom.places(k, level))
-        out.levels.append(bloom)
-        turn, other = {k for k in other if bloom.has(k, level)}, turn
-    return out
-
-
-def corpus_cascade(listed: set[str], universe: DataFrame, distinct: int) -> Cascade:
-    """A cascade over listed keys and the keys of ``universe (key)``, which stay on the executors.
+def cascade(keys: DataFrame) -> Cascade:
+    """A cascade over a table of distinct digests ``high, low, listed``, which stays on the executors.
 
     The first level's rate is chosen so that about as many keys pass wrongly as are listed.
     """
-    spark = universe.sparkSession
+    spark = keys.sparkSession
     out = Cascade()
-    bloom = Bloom(len(listed), float(np.clip(len(listed) / max(distinct, 1), 1e-6, 0.05)))
-    bloom.set(p for k in listed for p in bloom.places(k, 0))
-    out.levels.append(bloom)
-    rules = spark.sparkContext.broadcast(listed)
-
-    def passing(level: int, unlisted: bool):
-        shared = spark.sparkContext.broadcast(out.levels[level])
+    counts = {bool(x): n for x, n in keys.groupBy("listed").count().collect()}
+    waiting = {True: counts.get(True, 0), False: counts.get(False, 0)}
+    while count := waiting[turn := len(out.levels) % 2 == 0]:
+        level = len(out.levels)
+        if level > DEEPEST:
+            raise RuntimeError("the cascade doesn't end: digests of a listed and another key are equal")
+        rate = 0.01 if level else float(np.clip(count / max(waiting[False], 1), 1e-6, 0.05))
+        bloom = Bloom(count, rate, level)
+        before = spark.sparkContext.broadcast(out)
 
-        def run(batches):
-            bloom = shared.value
+        def places(batches, before=before, bloom=bloom):
             for batch in batches:
-                keys = {k for k in batch.column(0).to_pylist() if bloom.has(k, level) and not (unlisted and k in rules.value)}
-                yield pa.RecordBatch.from_arrays([pa.array(list(keys), type=pa.string())], names=["key"])
-
-        return run
-
-    wrong = written(universe.mapInArrow(passing(0, True), "key string").distinct(), "passed-keys")
-    inside = listed
-    while count := wrong.count():
-        level = len(out.levels)
-        bloom = Bloom(count, 0.01)
-        shared = spark.sparkContext.broadcast(bloom)
+                high, low = (batch.column(k).to_numpy() for k in (0, 1))
+                on = before.value.passes(high, low)
+                at = np.unique(bloom.places(high[on], low[on]))
+                yield pa.RecordBatch.from_arrays([pa.array(at)], names=["at"])
+
+        set_bits = keys.filter(F.col("listed") == turn).select("high", "low").mapInArrow(places, "at long")
+        maps = set_bits.groupBy(F.expr(f"at div {MAP}").alias("part")).agg(F.bitmap_construct_agg(F.expr(f"at % {MAP}")).alias("bits"))
+        for part, bits in maps.collect():
+            bloom.bits[part * MAP // 8 : (part + 1) * MAP // 8] = np.frombuffer(bytes(bits), dtype=np.uint8)
+        out.levels.append(bloom)
+        after = spark.sparkContext.broadcast(out)
 
-        def places(batches, level=level, shared=shared):
+        def passing(batches, after=after):
             for batch in batches:
-                at = [p for k in batch.column(0).to_pylist() for p in shared.value.places(k, level)]
-                yield pa.RecordBatch.from_arrays([pa.array(at, type=pa.int64())], names=["at"])
+                n = int(after.value.passes(batch.column(0).to_numpy(), batch.column(1).to_numpy()).sum())
+                yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
 
-        # at most as many positions as the level has bits
-        bloom.set(r.at for r in wrong.mapInArrow(places, "at long").distinct().toLocalIterator())
-        out.levels.append(bloom)
-        inside = {k for k in inside if bloom.has(k, level)}
-        if not inside:
-            break
-        again = Bloom(len(inside), 0.01)
-        again.set(p for k in inside for p in again.places(k, level + 1))
-        out.levels.append(again)
-        wrong = written(wrong.mapInArrow(passing(level + 1, False), "key string").distinct(), "passed-keys")
+        rest = keys.filter(F.col("listed") != turn).select("high", "low").mapInArrow(passing, "n long")
+        waiting[not turn] = rest.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return out
 
 
@@ -148,6 +156,14 @@ def candidates(host: str, path: str, shapes: list[tuple[int, int]]) -> list[str]
     return [k for _, _, k in sorted(found, reverse=True)]
 
 
+def listed_keys(spark, keys: set[str], marked: set[str]) -> DataFrame:
+    """Digests of rule keys, with whether each is marked."""
+    names = sorted(keys)
+    high, low = digests(names)
+    rows = [(int(a), int(b), k in marked) for k, a, b in zip(names, high, low, strict=True)]
+    return spark.createDataFrame(rows, "high long, low long, listed boolean")
+
+
 def judge(df: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``id, host, path, rule, verdict`` of every row; rules are (verdict, host, path)."""
     spark = df.sparkSession
@@ -160,20 +176,31 @@ def judge(df: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_
     def keys(batches):
         for batch in batches:
             found = {k for h, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k in candidates(h, p, shapes)}
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), type=pa.string())], names=["key"])
+            high, low = digests(list(found))
+            yield pa.RecordBatch.from_arrays([pa.array(high), pa.array(low)], names=["high", "low"])
 
-    universe = urls.select("host", "path").mapInArrow(keys, "key string")
-    distinct = universe.agg(F.approx_count_distinct("key")).first()[0]
-    shared = spark.sparkContext.broadcast((corpus_cascade(listed, universe, distinct), small_cascade(blocked, listed - blocked)))
+    seen = urls.select("host", "path").mapInArrow(keys, "high long, low long").withColumn("listed", F.lit(False))
+    # a key that is listed and in the corpus too counts as listed
+    universe = seen.unionByName(listed_keys(spark, listed, listed)).groupBy("high", "low").agg(F.max("listed").alias("listed"))
+    universe = written(universe, "url-keys")
+    shared = spark.sparkContext.broadcast((cascade(universe), cascade(listed_keys(spark, listed, blocked))))
+    dropped(universe)
 
     def run(batches):
         inside, block = shared.value
         for batch in batches:
-            rule, verdict = [], []
-            for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                fit = next((k for k in candidates(h, p, shapes) if k in inside), None)
-                rule.append(fit)
-                verdict.append("block" if fit is not None and fit in block else "allow")
+            found = [candidates(h, p, shapes) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            high, low = digests([k for f in found for k in f])
+            hit = np.flatnonzero(inside.contains(high, low))
+            row = np.repeat(np.arange(len(found)), [len(f) for f in found])[hit]
+            rows, first = np.unique(row, return_index=True)  # the longest key that is listed
+            hit = hit[first]
+            bad = block.contains(high[hit], low[hit])
+            start = np.cumsum([0, *(len(f) for f in found)])
+            rule, verdict = [None] * len(found), ["allow"] * len(found)
+            for i, at, is_bad in zip(rows.tolist(), hit.tolist(), bad.tolist(), strict=True):
+                rule[i] = found[i][at - start[i]]
+                verdict[i] = "block" if is_bad else "allow"
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(rule, type=pa.string()), pa.array(verdict, type=pa.string())], names=["id", "host", "path", "rule", "verdict"]
             )

@@ -52,20 +52,33 @@ def test_exact_groups(spark):
     assert exactdedup.exact_groups(df.limit(0)).count() == 0
 
 
-def test_exact_groups_with_colliding_fingerprints(spark, monkeypatch):
-    rows, df = documents(spark)
-    real = exactdedup.fingerprints(df).withColumns({"fp0": exactdedup.F.lit(1).cast("long"), "fp1": exactdedup.F.lit(1).cast("long")})
-    monkeypatch.setattr(exactdedup, "fingerprints", lambda *a: real)
-    clashes = real.select(*exactdedup.KEY).distinct()
-    monkeypatch.setattr(exactdedup, "mismatched", lambda *a: clashes)
-    check_groups(rows, exactdedup.exact_groups(df).collect())
+def coarse():
+    """A class (local, so that workers get it by value) of fingerprints that collide: the length modulo 7 alone."""
 
+    class Coarse:
+        def many(self, texts):
+            return np.array([[len(t) % 7, 1] for t in texts], dtype=np.int64).reshape(-1, 2)
 
-def test_mismatch_is_found(spark):
-    df = spark.createDataFrame([(1, "ab"), (2, "ab"), (3, "cd")], "doc_id long, text string")
+    return Coarse
+
+
+def test_comparison_finds_unlike_texts_of_equal_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(exactdedup, "Fingerprinter", coarse())
+    monkeypatch.setattr(exactdedup, "COMPARE_CHUNK", 4)
+    long = "z" * 1000
+    rows = [(1, "ab"), (2, "AB"), (3, "abc"), (4, "abd"), (5, "abc"), (6, long), (7, long[:-1] + "y"), (8, "same"), (9, "same"), (10, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
     prints = exactdedup.fingerprints(df)
     groups = prints.groupBy(*exactdedup.KEY).agg(exactdedup.F.count("*").alias("group_size"))
-    assert exactdedup.mismatched(df, groups).count() == 0
+    wrong = {r.n_bytes for r in exactdedup.mismatched(df, groups).collect()}
+    assert wrong == {3, 1000}  # a single byte, the last one, sets those of 1000 apart
+    check_groups(rows, exactdedup.exact_groups(df).collect())
+
+
+def test_exact_groups_with_colliding_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(exactdedup, "Fingerprinter", coarse())
+    rows, df = documents(spark)
+    check_groups(rows, exactdedup.exact_groups(df).collect())
 
 
 def test_spanning_and_components(spark):

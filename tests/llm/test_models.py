@@ -84,3 +84,45 @@ def test_label_model_learns_accuracies_and_correlations():
     model = toxicity.LabelModel(votes, 0.3)
     assert model.weights[0] > 2 * model.weights[3]
     assert np.mean((model.posterior > 0.5) == y) > 0.93
+
+
+def test_long_words_in_parts():
+    rng = random.Random(3)
+    for size in (1, 3, 4096, 4097, 9000):
+        word = "".join(rng.choice("abcdé") for _ in range(size))
+        assert sorted(i for part in langid.long_subwords(word) for i in part) == sorted(langid.subwords(word))
+
+
+def test_scores_equal_plain_sums():
+    rng = random.Random(6)
+    langs = [rng.choice(list(WORDS)) for _ in range(120)]
+    model = langid.train([said(rng, lang) for lang in langs], langs)
+    texts = [said(rng, "aa"), "kala strom noche " * 50, "x" * 9000, said(rng, "bb") + " " + "wald" * 3000, "Kala kala KALA"]
+    for text in texts + texts:  # again, from the cache
+        ids = [i for w in text.lower().split() for i in langid.subwords(w)]
+        p = model.probabilities(model.logits[ids].astype(float).mean(axis=0))
+        name, score, _ = langid.Scorer(model).score(text)
+        assert name == model.names[int(np.argmax(p))] and score == pytest.approx(float(p.max()), abs=1e-4)
+
+
+def test_toxicity_scores_equal_plain_sums():
+    rows = toxic_rows()
+    model = toxicity.train([t for _, t, _ in rows], [k for _, _, k in rows])
+    scorer = toxicity.Scorer(model)
+    for _, text, _ in rows[:100] + [rows[3]]:
+        terms = [t for w in {x for c in set(text.lower().split()) for x in toxicity._WORD.findall(c)} for t in toxicity.terms_of(w)]
+        z = model.bias + sum(model.weights.get(t, 0.0) for t in toxicity.counted(terms))
+        assert scorer.score(text) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def test_samples_are_bounded_in_characters(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, said(rng, lang := rng.choice(list(WORDS))), lang) for i in range(600)]
+    df = spark.createDataFrame(rows * 2, "doc_id long, text string, lang string")  # repeated rows
+    got = {}
+    for module in (langid, toxicity):
+        monkeypatch.setattr(module, "LEARN_CHARS", 30_000)
+        monkeypatch.setattr(module, "train", lambda texts, marks, module=module: got.setdefault(module, sum(map(len, texts))))
+    langid.fit(df)
+    toxicity.fit(df, spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, toxic int"))
+    assert all(5_000 < n < 60_000 for n in got.values())

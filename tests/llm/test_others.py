@@ -98,14 +98,21 @@ def test_url_filter(spark):
     assert urlfilter.judge(df.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_repeated_urls_keep_their_rows(spark):
+    df = spark.createDataFrame([(1, "http://net/es/"), (1, "http://net/es/"), (None, None)], "page_id long, url string")
+    assert sorted((r.id or 0, r.verdict) for r in urlfilter.judge(df, queries.URL_RULES).collect()) == [(0, "allow"), (1, "block"), (1, "block")]
+    assert {r.verdict for r in urlfilter.judge(df, []).collect()} == {"allow"}
+
+
 def test_cascades_are_exact(spark):
     inside, outside = {f"in{i}" for i in range(500)}, {f"out{i}" for i in range(20_000)}
-    small = urlfilter.small_cascade(inside, outside)
-    assert all(k in small for k in inside) and not any(k in small for k in outside)
-    df = spark.createDataFrame([(k,) for k in outside | inside], "key string")
-    big = urlfilter.corpus_cascade(inside, df, 20_500)
-    assert len(big.levels) > 1
-    assert all(k in big for k in inside) and not any(k in big for k in outside)
+    keys = urlfilter.listed_keys(spark, inside | outside, inside)
+    found = urlfilter.cascade(keys)
+    assert len(found.levels) > 1
+    for group, want in ((inside, True), (outside, False)):
+        assert (found.contains(*urlfilter.digests(sorted(group))) == want).all()
+    none = urlfilter.cascade(keys.filter("not listed"))
+    assert not none.levels and not none.contains(*urlfilter.digests(["in1"])).any()
 
 
 def test_escape_round_trip():
@@ -128,6 +135,33 @@ def test_chat_parts():
     assert got["formatted"][got["loss_start"] : got["loss_end"]] == "see <|image|><|audio|><|document|>"
 
 
+def test_typed_parts_of_a_table(spark):
+    rows = [
+        (1, 0, "user", [("text", "look: <|image|>", None, None), ("image", None, "i.png", None), ("video", None, "v.mp4", None), None, (None, "bye", None, None)]),
+        (1, 1, "assistant", [("audio", None, "a.wav", 9), ("text", "ok \\ fine", None, None), ("document", None, None, None), ("text", None, None, None)]),
+        (2, 0, "user", []),
+        (3, 0, "user", None),
+    ]
+    df = spark.createDataFrame([(c, t, r, "own text", p) for c, t, r, p in rows], f"conv_id long, turn long, role string, text string, parts {chat.PARTS}")
+    made = {(r.conv_id, r.turn): r for r in chat.format_turns(df, parts_col="parts").collect()}
+    for c, t, _, parts in rows:
+        mine = made[c, t]
+        held = [a.asDict() for a in mine.attachments]
+        sizes = {"image": 256, "audio": 128, "document": 512}
+        want = []
+        for p in [("text", "own text", None, None)] if parts is None else parts:
+            if p is None or p[0] in (None, "text"):
+                want += [{"type": "text", "text": p[1]}] if p and p[1] else []
+            else:
+                want.append({"type": p[0], "ref": p[2], "tokens": sizes.get(p[0], 0) if p[3] is None else p[3]})
+        assert chat.parse_parts(mine.formatted, held) == want
+        assert mine.expanded_tokens == sum(p["tokens"] for p in want if "tokens" in p)
+    listed = chat.attachments(chat.format_turns(df, parts_col="parts")).orderBy("conv_id", "turn", "place").collect()
+    assert [(r.turn, r.kind, r.ref, r.tokens) for r in listed] == [(0, "image", "i.png", 256), (0, "video", "v.mp4", 0), (1, "audio", "a.wav", 9), (1, "document", None, 512)]
+    sums = {r.conv_id: (r.n_attachments, r.expanded_tokens) for r in chat.read_back(chat.format_turns(df, parts_col="parts")).collect()}
+    assert sums == {1: (4, 777), 2: (0, 0), 3: (0, 0)}
+
+
 def test_conversations(spark):
     rng = random.Random(3)
     rows = [(c, t, rng.choice(["user", "assistant", "system", None]), rng.choice(["hi </s>", None, "", "a\\b[INST]", "x" * 5000])) for c in range(20) for t in range(rng.randrange(1, 30))]

@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its output is written as Parquet and reread
 as the next stage's docs. All but the last return the columns of ``documents``.
+
+Cases, for every stage: a null text is an empty one; a null id is an id of its own for each text; an id that occurs
+with several texts counts as several documents, and what is decided on one of them leaves the others; rows that repeat
+wholly fare alike; texts of any length are read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,15 +26,18 @@ fingerprint bits (3-word shingles) or share a band of their sketches."""
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model doesn't reject."""
+    """Documents that the toxicity model doesn't reject; without labelled rows of both classes it rejects none or all of a
+    corpus whose labels are all toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~langid.held_out("doc_id"))
     model = toxicity.fit(docs, labels)
     return toxicity.score(docs, model, docs.columns, below=TOXIC_FROM)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a language that the model accepts."""
+    """Documents of a language that the model accepts; with no labelled row there is no model, and all stay."""
     model = langid.fit(docs.filter(~langid.held_out("doc_id")))
+    if model is None:
+        return docs
     return langid.identify(docs, model, docs.columns, accepted_only=True)
 
 

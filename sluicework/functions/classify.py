@@ -70,10 +70,11 @@ def page_type(c: Column) -> Column:
 
 
 def page_structure(c: Column, records: Column, blocks: Column, internal: Column, details: Column, applications: Column, documents: Column,
-                   terms: dict[str, Sequence[str]]) -> Column:
-    """Page type by ordered rules over text terms (keys procurement, station, support, news, fundable, detail) and counts."""
+                   terms: dict[str, Sequence[str]], detail: Column) -> Column:
+    """Page type by ordered rules over text terms (keys procurement, station, support, news, fundable), whether the text goes
+    into ``detail``, and counts."""
     low = F.lower(F.coalesce(c, F.lit("")))
-    has = {k: _holds(low, v) for k, v in terms.items()}
+    has = {k: _holds(low, v) for k, v in terms.items()} | {"detail": detail}
     call = low.contains("open call") | low.contains("call for applications")
     many = (records > 1) | (blocks > 1) | (details > 2) | ((internal > 8) & (records <= 1))
     return (
@@ -88,17 +89,6 @@ def page_structure(c: Column, records: Column, blocks: Column, internal: Column,
     )
 
 
-def deadline(c: Column) -> Column:
-    """Struct of kind and date: open, then rolling, then a fixed date (y-m-d, d/m/y or d Month y)."""
-    low = F.lower(F.coalesce(c, F.lit("")))
-    ymd = F.try_to_date(F.regexp_extract(low, r"\b(\d{4}-\d{1,2}-\d{1,2})\b", 1), "yyyy-M-d")
-    dmy = F.try_to_date(F.regexp_extract(low, r"\b(\d{1,2}/\d{1,2}/\d{4})\b", 1), "d/M/yyyy")
-    long = F.try_to_date(F.initcap(F.regexp_extract(low, r"\b(\d{1,2} (?:january|february|march|april|may|june|july|august|september|october|november|december) \d{4})\b", 1)), "d MMMM yyyy")
-    day = F.coalesce(ymd, dmy, long)
-    kind = F.when(_holds(low, ("open all year", "always open", "no deadline", "applications are open")), "Open").when(_holds(low, ("rolling", "ongoing")), "Rolling").when(day.isNotNull(), "FixedDate").otherwise("Unknown")
-    return F.struct(kind.alias("kind"), F.when(kind == "FixedDate", day).alias("day"))
-
-
 def month_range(c: Column) -> Column:
     """Struct of least and most months in wording such as ``12 to 36 months`` or ``up to 5 years``."""
     low = F.lower(F.coalesce(c, F.lit("")))

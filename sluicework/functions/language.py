@@ -1,38 +1,60 @@
-"""Languages by common words and letters, without a model: rates per language, best first."""
+"""Languages by common words, letters and scripts, without a model: rates per language, best first."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Frequent words, and letters that only some alphabets have.
+from ..operators.quality import computed
+from .text import collapse
+
+# Frequent words of each language, and the letters of its alphabet.
 COMMON_WORDS = {
-    "en": ("the", "and", "of", "to", "in", "is", "for", "that"),
-    "fr": ("le", "la", "les", "des", "et", "une", "est", "pour"),
-    "de": ("der", "die", "und", "das", "ist", "von", "mit", "nicht"),
-    "es": ("el", "la", "los", "que", "una", "por", "para", "del"),
+    "en": ("the", "and", "for", "are", "with", "this", "that", "from", "have", "will"),
+    "af": ("die", "van", "en", "is", "vir", "met", "wat", "het", "word", "sal"),
+    "zu": ("ukuthi", "futhi", "ngoba", "uma", "ukuba", "noma", "kodwa", "ngakho"),
+    "xh": ("ukuba", "kwaye", "okanye", "kodwa", "ngoba", "ukuze", "xa"),
+    "fr": ("le", "la", "les", "de", "et", "pour", "dans", "avec", "que", "qui"),
+    "es": ("el", "la", "los", "las", "de", "y", "para", "con", "que", "por"),
+    "pt": ("o", "a", "os", "as", "de", "e", "para", "com", "que", "por"),
+    "de": ("der", "die", "das", "und", "für", "mit", "von", "zu", "auf", "ist"),
+    "ar": ("في", "من", "على", "إلى", "هذا", "التي", "أن", "كان"),
+    "zh": ("的", "是", "在", "和", "有", "了", "人", "我", "他", "这"),
 }
-LETTERS = {"en": "a-z", "fr": "a-zàâçéèêëîïôûùœ", "de": "a-zäöüß", "es": "a-záéíñóúü"}
+_LATIN = "abcdefghijklmnopqrstuvwxyz"
+LETTERS = {
+    "en": _LATIN, "af": _LATIN + "êëïôûáéíóú", "zu": _LATIN, "xh": _LATIN, "fr": _LATIN + "àâäæçéèêëïîôùûüÿœ", "es": _LATIN + "áéíóúüñ¿¡",
+    "pt": _LATIN + "áàâãéêíóôõúüç", "de": _LATIN + "äöüß", "ar": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "zh": "",
+}
+SCRIPTS = {"zh": "[\u4e00-\u9fff]", "ar": "[\u0600-\u06ff]"}
 LEAST = 10
+NOT_WORD = r"[^\p{L}\p{N}_]+"
 
 
-def _within(known: Column):
-    return lambda w: F.array_contains(known, w)
-
+def languages(df: DataFrame, text_col: str = "text", top: int = 3) -> DataFrame:
+    """Adds ``languages``: structs of (score, lang), best first, at most ``top``.
 
-def scores(c: Column) -> Column:
-    """Array of (score, lang), best first: ten times the rate of common words and five times the share of letters, over the best."""
-    low = F.lower(F.coalesce(c, F.lit("")))
-    words = F.split(F.trim(F.regexp_replace(low, r"[^\p{L}]+", " ")), " ")
-    n = F.greatest(F.size(words), F.lit(1))
+    Ten times the rate of common words, five times the share of letters, ten more for a script of its own, over the best.
+    Languages without a point are left out; equal scores keep the order above; short texts are English by half. The text is
+    cleaned once, and each language counts in one pass over it."""
+    raw = F.coalesce(F.col(text_col), F.lit(""))
+    out = computed(df, _clean=F.lower(collapse(raw)))
+    clean = F.col("_clean")
+    parted = F.concat(F.lit(" "), F.regexp_replace(clean, NOT_WORD, "  "), F.lit(" "))
+    out = computed(out, _parted=parted, _words=F.greatest(F.size(F.split(clean, " ")), F.lit(1)), _chars=F.greatest(F.length(clean), F.lit(1)))
     made = []
-    for lang, common in COMMON_WORDS.items():
-        known = F.array(*[F.lit(w) for w in common])
-        rate = F.size(F.filter(words, _within(known))) / n
-        share = F.regexp_count(low, F.lit(f"[{LETTERS[lang]}]")) / F.greatest(F.length(low), F.lit(1))
-        made.append(F.struct((rate * 10 + share * 5).alias("score"), F.lit(lang).alias("lang")))
-    ranked = F.sort_array(F.array(*made), asc=False)
-    best = F.greatest(ranked[0]["score"], F.lit(1e-9))
-    full = F.transform(ranked, lambda x: F.struct(F.round(x["score"] / best, 4).alias("score"), x["lang"].alias("lang")))
-    short = F.array(F.struct(F.lit(0.5).alias("score"), F.lit("en").alias("lang")))
-    return F.when(F.length(F.trim(low)) < LEAST, short).otherwise(full)
+    for i, (lang, words) in enumerate(COMMON_WORDS.items()):
+        hits = F.regexp_count(F.col("_parted"), F.lit(" (?:" + "|".join(words) + ") ")) / F.col("_words") * 10
+        share = (F.length(clean) - F.length(F.translate(clean, LETTERS[lang], ""))) / F.col("_chars") * 5 if LETTERS[lang] else F.lit(0.0)
+        extra = F.when(raw.rlike(SCRIPTS[lang]), 10.0).otherwise(0.0) if lang in SCRIPTS else F.lit(0.0)
+        made.append(F.struct((hits + share + extra).alias("score"), F.lit(-i).alias("turn"), F.lit(lang).alias("lang")))
+    out = computed(out, _ranked=F.sort_array(F.filter(F.array(*made), lambda x: x["score"] > 0), asc=False))
+    best = F.try_element_at("_ranked", F.lit(1))["score"]
+    rated = F.transform(F.slice("_ranked", 1, top), lambda x: F.struct(F.round(x["score"] / best, 4).alias("score"), x["lang"].alias("lang")))
+    english = F.array(F.struct(F.lit(0.5).alias("score"), F.lit("en").alias("lang")))
+    return out.withColumn("languages", F.when((F.length(collapse(raw)) < LEAST) | (F.size("_ranked") == 0), english).otherwise(rated)).drop("_clean", "_parted", "_words", "_chars", "_ranked")
+
+
+def multilingual(languages: Column, least: float = 0.3) -> Column:
+    """Whether a second language has a share of its own."""
+    return F.coalesce(F.try_element_at(languages, F.lit(2))["score"] >= least, F.lit(False))

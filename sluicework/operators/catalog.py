@@ -17,9 +17,9 @@ def best_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def latest_by(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Last row of each key by an order column, as one aggregation."""
+    """Last row of each key by an order column, as one aggregation; of equal order the greatest row."""
     rest = [c for c in df.columns if c not in keys]
-    found = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("r"))
+    found = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(order), F.to_json(F.struct(*rest)))).alias("r"))
     return found.select(*keys, "r.*")
 
 

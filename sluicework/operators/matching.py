@@ -1,4 +1,4 @@
-"""Applicants against programmes: match scores, blended importance, bounded top lists."""
+"""Applicants against programmes: match scores, blended importance, rankings and bounded top lists."""
 
 from __future__ import annotations
 
@@ -6,29 +6,87 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp, half_up, overlap
-from ..functions.text import words_only
-
-
-def _has(a: str, b: str) -> Column:
-    """A text of one column contains the other's, in normal form."""
-    return (F.length(words_only(F.col(b))) > 0) & words_only(F.col(a)).contains(words_only(F.col(b)))
-
-
-def match_score(pairs: DataFrame) -> DataFrame:
-    """Adds ``match`` (0 to 100) to rows that hold a programme and a profile (columns ``f_*``)."""
-    industry = _has("industry", "f_sector") | _has("use_of_funds", "f_sector")
-    place = (F.col("geography_scope") == "National") | _has("province", "f_province")
-    amount = overlap(F.col("ticket_min"), F.col("ticket_max"), F.col("f_min"), F.col("f_max"))
-    wants = F.col("f_min").isNotNull() | F.col("f_max").isNotNull()
-    pick = lambda c, yes, no=0: F.when(F.coalesce(c, F.lit(False)), yes).otherwise(no)
-    total = (
-        pick(industry, 28, F.when(F.length(F.coalesce("f_sector", F.lit(""))) > 0, -10).otherwise(0))
-        + pick(place, 20, F.when(F.length(F.coalesce("f_province", F.lit(""))) > 0, -18).otherwise(0))
-        + pick(amount, 18, F.when(wants, -20).otherwise(0))
-        + pick(F.col("has_ownership") & F.col("f_owned"), 10)
-        + pick(F.lower("funding_type") == F.lower("f_type"), 8)
-    )
-    return pairs.withColumn("match", clamp(total, 0, 100).cast("int"))
+from ..functions.text import unique_by, words_only
+from .quality import flags, labels
+
+# Words of each stage of a business, and reasons and blockers of the match score in order.
+STAGE_WORDS = {
+    "idea": ("idea", "concept", "startup", "seed", "early stage", "pre-seed"),
+    "early": ("early stage", "startup", "seed", "pilot", "trading less than"),
+    "growth": ("growth", "scale", "expansion", "established", "series a"),
+    "established": ("established", "mature", "scale", "expansion"),
+}
+MATCH_REASONS = (
+    "Strong industry match", "Geography match", "Within funding range", "Business stage match", "Ownership target match", "Use-of-funds match",
+    "Years-in-business match", "Turnover range overlaps", "Employee count match", "Preferred funding type",
+)
+MATCH_BLOCKERS = ("No clear industry match", "Geography may be out of scope", "Requested amount may not fit this programme")
+MOST_CLASSES = 4096
+"""Kinds of profiles (all but place and user) in one block that is scored against all programmes."""
+
+
+def normal(items: Column) -> Column:
+    """Texts of a list in normal form, blanks left out."""
+    some = F.coalesce(items, F.array().cast("array<string>"))
+    return F.filter(F.transform(some, words_only), lambda x: F.length(x) > 0)
+
+
+def joined(*lists: Column) -> Column:
+    """All texts of some lists as one, cut by a mark that no normal form has."""
+    return F.array_join(normal(F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in lists])), "|")
+
+
+def holds_any(haystack: Column, needles: Column) -> Column:
+    """Whether any text of ``joined`` lists contains any of ``normal`` needles: no word borders."""
+    return F.exists(needles, lambda n: haystack.contains(n))
+
+
+def prepared_programmes(df: DataFrame) -> DataFrame:
+    """Programmes with their texts in normal form, once for all profiles (columns ``p_*``)."""
+    return df.select(
+        "pid", "program_name", "view_quality", "view_reasons", "view_blockers", "ticket_min", "ticket_max", "years_min", "years_max", "turnover_min", "turnover_max", "staff_min", "staff_max",
+        joined("industries", "funds_used", "stages", "raw_eligibility").alias("p_industry"),
+        joined("stages").alias("p_stage"), joined("ownership_targets").alias("p_owned"), joined("funds_used").alias("p_use"),
+        words_only(F.col("funding_type")).alias("p_type"),
+        joined("provinces", "municipalities", F.array("geography_scope")).alias("p_place"),
+    )
+
+
+KIND = ("f_sectors", "f_stage_words", "f_owned", "f_use", "f_types", "f_years", "f_turnover_min", "f_turnover_max", "f_staff", "f_min", "f_max")
+PLACE = ("f_country", "f_province", "f_municipality")
+
+
+def prepared_profiles(df: DataFrame) -> DataFrame:
+    """Profiles (``user_id, country, province, municipality, sectors, stage, ...``) with normal forms and a key of their kind."""
+    words = F.create_map(*[x for k, v in STAGE_WORDS.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in v]))])
+    stage = F.when(F.length(F.coalesce("stage", F.lit(""))) > 0, F.coalesce(words[F.col("stage")], words["early"]))
+    out = df.select(
+        "user_id", words_only(F.col("country")).alias("f_country"), words_only(F.col("province")).alias("f_province"), words_only(F.col("municipality")).alias("f_municipality"),
+        normal(F.col("sectors")).alias("f_sectors"), normal(stage).alias("f_stage_words"), normal(F.col("ownership_targets")).alias("f_owned"), normal(F.col("use_of_funds")).alias("f_use"),
+        normal(F.col("preferred_types")).alias("f_types"), F.col("years_operating").alias("f_years"), F.col("turnover_min").alias("f_turnover_min"), F.col("turnover_max").alias("f_turnover_max"),
+        F.col("employees").alias("f_staff"), F.col("requested_min").alias("f_min"), F.col("requested_max").alias("f_max"),
+    )
+    return out.withColumn("kind", F.sha2(F.to_json(F.struct(*KIND)), 256))
+
+
+def _inside(x: Column, low: Column, high: Column) -> Column:
+    return (x >= low) & (x <= high)
+
+
+def match_parts(place: Column) -> tuple[list[Column], list[Column], list[int], list[int]]:
+    """Conditions and points of the match score, reasons first; ``place`` says whether the geography fits."""
+    wants = (F.coalesce("f_min", F.lit(0)) != 0) | (F.coalesce("f_max", F.lit(0)) != 0)
+    amount = wants & overlap(F.col("ticket_min"), F.col("ticket_max"), F.col("f_min"), F.col("f_max"))
+    industry = holds_any(F.col("p_industry"), F.col("f_sectors"))
+    good = [
+        industry, place, amount, holds_any(F.col("p_stage"), F.coalesce("f_stage_words", F.array().cast("array<string>"))), holds_any(F.col("p_owned"), F.col("f_owned")),
+        holds_any(F.col("p_use"), F.col("f_use")), _inside(F.col("f_years"), F.col("years_min"), F.col("years_max")),
+        (F.col("f_turnover_min") <= F.col("turnover_max")) & (F.col("f_turnover_max") >= F.col("turnover_min")), _inside(F.col("f_staff"), F.col("staff_min"), F.col("staff_max")),
+        F.array_contains("f_types", F.col("p_type")),
+    ]
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    bad = [no(industry) & (F.size("f_sectors") > 0), no(place), no(amount) & (F.col("f_min").isNotNull() | F.col("f_max").isNotNull())]
+    return good, bad, [28, 20, 18, 10, 10, 10, 6, 6, 6, 8], [-10, -18, -20]
 
 
 def importance(quality: Column, match: Column) -> Column:
@@ -36,17 +94,106 @@ def importance(quality: Column, match: Column) -> Column:
     return half_up(quality * 0.4 + match * 0.6).cast("int")
 
 
+def scored_kinds(programmes: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Each programme with each kind of profile, both for a place that fits and for one that doesn't (``fits``).
+
+    Programmes are read once for a block of kinds, which is broadcast; of National ones only the fit is kept, of placeless
+    ones only the misfit. The number of kinds grows with the options of the profile form, not with users."""
+    kinds = kinds.select("kind", *KIND)
+    pairs = programmes.crossJoin(F.broadcast(kinds))
+    national = F.concat(F.lit("|"), "p_place", F.lit("|")).contains("|national|")
+    outcomes = F.when(national, F.array(F.lit(True))).when(F.col("p_place") == "", F.array(F.lit(False))).otherwise(F.array(F.lit(True), F.lit(False)))
+    good, bad, plus, minus = match_parts(F.lit(False))
+    base = flags([c for i, c in enumerate(good) if i != 1] + [bad[0], bad[2]])
+    slim = pairs.select("pid", "program_name", "view_quality", "view_reasons", "view_blockers", F.when(national, F.lit("national")).otherwise(F.col("p_place")).alias("p_place"), "kind", base.alias("bits"), outcomes.alias("outcomes"))
+    out = slim.select("*", F.explode("outcomes").alias("fits")).drop("outcomes")
+    points = [p for i, p in enumerate(plus) if i != 1] + [minus[0], minus[2]]
+    total = sum((F.when(F.col("bits").bitwiseAND(F.lit(1 << i)) != 0, p).otherwise(0) for i, p in enumerate(points)), F.when(F.col("fits"), plus[1]).otherwise(minus[1]))
+    out = out.withColumn("match", clamp(total, 0, 100).cast("int"))
+    return out.withColumn("importance", importance(F.col("view_quality"), F.col("match")))
+
+
+def reason_tags(bits: Column, fits: Column, match: Column, quality: Column, view_reasons: Column, view_blockers: Column) -> Column:
+    """First six tags: why it matches, why it is good, and below half of either score what speaks against it."""
+    none = F.array().cast("array<string>")
+    rest = [n for i, n in enumerate(MATCH_REASONS) if i != 1]
+    first = labels(bits, tuple(rest[:1]))
+    place = F.when(fits, F.array(F.lit(MATCH_REASONS[1]))).otherwise(none)
+    others = labels(F.shiftright(bits, 1), tuple(rest[1:]))
+    against = F.concat(
+        labels(F.shiftright(bits, 9), MATCH_BLOCKERS[:1]), F.when(~fits, F.array(F.lit(MATCH_BLOCKERS[1]))).otherwise(none), labels(F.shiftright(bits, 10), MATCH_BLOCKERS[2:])
+    )
+    from .quality import VIEW_BLOCKERS, VIEW_REASONS
+
+    tags = F.concat(first, place, others, labels(view_reasons, VIEW_REASONS), F.when(match < 50, against).otherwise(none), F.when(quality < 50, labels(view_blockers, VIEW_BLOCKERS)).otherwise(none))
+    return F.slice(unique_by(tags, words_only), 1, 6)
+
+
+ORDER = ("importance", "view_quality", "match", "program_name", "pid")
+
+
+def _best_first() -> list[Column]:
+    return [F.desc("importance"), F.desc("view_quality"), F.desc("match"), F.coalesce("program_name", F.lit("")), F.col("pid")]
+
+
+def place_fits(programmes: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``p_place, f_country, f_province, f_municipality, fits`` of all places of both sides (lists of places, not of rows)."""
+    mine = programmes.select(F.when(F.concat(F.lit("|"), "p_place", F.lit("|")).contains("|national|"), "national").otherwise(F.col("p_place")).alias("p_place")).distinct()
+    theirs = profiles.select(*PLACE).distinct()
+    wanted = F.filter(F.array(*PLACE), lambda x: F.length(x) > 0)
+    fits = (F.col("p_place") == "national") | ((F.col("p_place") != "") & holds_any(F.col("p_place"), wanted))
+    return mine.join(theirs, F.lit(True)).withColumn("fits", fits)
+
+
+def _kind_blocks(profiles: DataFrame) -> list[DataFrame]:
+    """Distinct kinds of profiles in blocks of about MOST_CLASSES."""
+    kinds = profiles.select("kind", *KIND).dropDuplicates(["kind"])
+    blocks = -(-kinds.count() // MOST_CLASSES)
+    return [kinds] if blocks < 2 else [kinds.filter(F.pmod(F.xxhash64("kind"), F.lit(blocks)) == b) for b in range(blocks)]
+
+
+def best_for_profiles(programmes: DataFrame, profiles: DataFrame, k: int) -> DataFrame:
+    """The k programmes of most importance for every profile, of all programmes.
+
+    The score depends on the profile's kind and on whether the place fits. So the best k of each kind, programme place and
+    outcome hold the best k of every profile; each task cuts its rows down to them before the shuffle. Profiles then join
+    those short lists by kind and place."""
+    programmes, profiles = prepared_programmes(programmes), prepared_profiles(profiles)
+    fits = place_fits(programmes, profiles)
+    per_place = Window.partitionBy("kind", "p_place", "fits").orderBy(*_best_first())
+    lists = None
+    for block in _kind_blocks(profiles):
+        short = scored_kinds(programmes, block).withColumn("n", F.row_number().over(per_place)).filter(F.col("n") <= k).drop("n")
+        lists = short if lists is None else lists.unionByName(short)
+    spots = profiles.select("kind", *PLACE).distinct()
+    per_spot = Window.partitionBy("kind", *PLACE).orderBy(*_best_first())
+    met = spots.join(lists, "kind").join(fits, [*PLACE, "p_place", "fits"])
+    top = met.withColumn("place", F.row_number().over(per_spot)).filter(F.col("place") <= k)
+    tags = reason_tags(F.col("bits"), F.col("fits"), F.col("match"), F.col("view_quality"), F.col("view_reasons"), F.col("view_blockers"))
+    return profiles.select("user_id", "kind", *PLACE).join(top.withColumn("tags", tags), ["kind", *PLACE]).select("user_id", "place", "pid", "match", "importance", "tags")
+
+
+PREVIEW_PLACES = ("africa", "malawi")
+"""Words of a region or country that the preview takes for eligible."""
+
+
 def preview(pairs: DataFrame) -> DataFrame:
-    """Adds ``preview`` and ``preview_status``: the simple matcher of 35, 30, 20 and 15 points."""
-    place = (F.col("geography_scope") == "National") | _has("province", "f_province")
-    amount = overlap(F.col("ticket_min"), F.col("ticket_max"), F.col("f_min"), F.col("f_max"))
-    pick = lambda c, yes: F.when(F.coalesce(c, F.lit(False)), yes).otherwise(0)
-    industry = _has("industry", "f_sector") | _has("use_of_funds", "f_sector")
-    total = pick(industry, 35) + pick(amount, 30) + pick(place, 20) + pick(F.col("has_eligibility"), 15)
-    blocked = ~F.coalesce(industry, F.lit(False)) | ~F.coalesce(amount, F.lit(False))
-    out = pairs.withColumn("preview", total)
-    state = F.when(total >= 80, "high").when(total >= 60, "medium").when(blocked, "manual_review").otherwise("low")
-    return out.withColumn("preview_status", state)
+    """Adds ``preview`` and ``preview_status``: 35 sector, 30 geography, 20 funding type, 15 amount with all four bounds.
+
+    Needs ``sectors, geography, funding_type, ticket_min, ticket_max`` and ``f_sectors, f_country, f_types, f_min, f_max``.
+    A programme without regions fits nowhere; another fits if a region of it or the country has a word of the list."""
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    none = F.array().cast("array<string>")
+    sector = F.exists(F.coalesce("f_sectors", none), lambda s: F.exists(F.coalesce("sectors", none), lambda p: low(p).contains(low(s))))
+    word = lambda c: low(c).rlike("|".join(PREVIEW_PLACES))
+    place = F.exists(F.coalesce("geography", none), lambda r: word(r) | word(F.col("f_country")))
+    kind = F.array_contains(F.coalesce("f_types", none), F.col("funding_type"))
+    amount = (F.col("ticket_max") >= F.col("f_min")) & (F.col("ticket_min") <= F.col("f_max"))
+    pick = lambda c, n: F.when(F.coalesce(c, F.lit(False)), n).otherwise(0)
+    total = pick(sector, 35) + pick(place, 30) + pick(kind, 20) + pick(amount, 15)
+    blocked = ~F.coalesce(place, F.lit(False))
+    state = F.when(total >= 80, "high_fit").when(total >= 60, "medium_fit").when(blocked, "manual_review").otherwise("low_fit")
+    return pairs.withColumns({"preview": total, "preview_status": state})
 
 
 def top_per(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
@@ -57,3 +204,24 @@ def top_per(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
 def top_overall(df: DataFrame, order: list, k: int) -> DataFrame:
     """The first k rows with ``place``: every task keeps k, and only k rows are numbered."""
     return df.orderBy(*order).limit(k).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+def ranked(df: DataFrame, order: list, keep, place: str = "place") -> DataFrame:
+    """All rows with their place in an order: sorted by ranges over the cluster, numbered within each range, and moved on
+    by the rows of the ranges before (one number a range). ``keep`` writes a frame and reads it back."""
+    at = F.monotonically_increasing_id()
+    sorted_ = keep(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_range": F.shiftright(at, 33), "_at": at.bitwiseAND(F.lit((1 << 33) - 1))}), "ranked")
+    sizes = dict(sorted_.groupBy("_range").count().collect())
+    before, starts = 0, []
+    for r in sorted(sizes):
+        starts.append((r, before))
+        before += sizes[r]
+    moved = df.sparkSession.createDataFrame(starts, "_range long, _start long")
+    return sorted_.join(F.broadcast(moved), "_range").withColumn(place, F.col("_start") + F.col("_at") + 1).drop("_range", "_at", "_start")
+
+
+def ranked_per(df: DataFrame, keys: list[str], order: list, keep) -> DataFrame:
+    """All rows with their ``place`` within their key, however many rows a key has."""
+    whole = ranked(df, [*[F.col(k) for k in keys], *order], keep, "_place")
+    first = whole.groupBy(*keys).agg(F.min("_place").alias("_first"))
+    return whole.join(first, keys).withColumn("place", F.col("_place") - F.col("_first") + 1).drop("_place", "_first")

@@ -112,27 +112,48 @@ def route(df: DataFrame, accept: int = ACCEPT, review: int = REVIEW) -> DataFram
     return df.withColumn("route", F.when((F.col("quality") >= accept) & named, "accept").when(held, "review").otherwise("reject"))
 
 
+# Reasons and blockers of the catalogue score, in order.
+VIEW_REASONS = (
+    "Has programme name", "Has funder name", "Known funding type", "Funding range available", "Industry information captured",
+    "Use of funds captured", "Ownership targets captured", "Eligibility details captured", "Application route available",
+    "Contact or apply link available", "Open or active deadline", "Geography captured", "Supporting documents linked",
+)
+VIEW_BLOCKERS = (
+    "Missing programme name", "Missing funder name", "Unknown funding type", "Missing application route", "Missing application contact",
+    "Expired deadline", "Mostly incomplete record",
+)
+
+
+def flags(conditions: list[Column]) -> Column:
+    """Conditions as bits of one integer, the first lowest."""
+    return sum((F.when(F.coalesce(c, F.lit(False)), 1 << i).otherwise(0) for i, c in enumerate(conditions)), F.lit(0))
+
+
+def labels(bits: Column, names: tuple[str, ...]) -> Column:
+    """The names whose bits are set, in order."""
+    return F.array_compact(F.array(*[F.when(bits.bitwiseAND(F.lit(1 << i)) != 0, F.lit(n)) for i, n in enumerate(names)]))
+
+
 def catalogue_score(df: DataFrame, as_of: Column) -> DataFrame:
-    """Adds ``view_quality`` (0 to 100), the score that orders the catalogue; weights differ from ``score``."""
+    """Adds ``view_quality`` (0 to 100), the score that orders the catalogue, and its reasons and blockers as bits."""
     name, funder = has_text(F.col("program_name")), has_text(F.col("funder_name"))
     typed = F.col("funding_type") != "Unknown"
     amount = F.col("ticket_min").isNotNull() | F.col("ticket_max").isNotNull()
     said = has_text(F.col("application_channel"))
     channel = said & (F.col("application_channel") != "Unknown")
-    contact = said | has_text(F.col("application_url")) | has_text(F.col("contact_email"))  # an unknown channel is still a value
+    contact = said | has_text(F.col("application_url")) | has_text(F.col("contact_email")) | has_text(F.col("contact_phone"))  # an unknown channel is still a value
     open_now = F.col("deadline_type").isin("Open", "Rolling") | F.coalesce(F.col("deadline_date") >= as_of, F.lit(False))
-    pick = lambda c, yes, no=0: F.when(c, yes).otherwise(no)
+    past = ~open_now & F.coalesce(F.col("deadline_date") < as_of, F.lit(False))
+    eligible = _filled("raw_eligibility") | _filled("stages")
     geo = _filled("provinces") | _filled("municipalities") | (F.col("geography_scope") != "Unknown")
     signals = [name, funder, has_text(F.col("funding_type")), amount, _filled("industries"), _filled("funds_used"), said, contact]
-    total = (
-        pick(name, 12, -15) + pick(funder, 10, -10) + pick(typed, 8, -8) + pick(amount, 8, -4) + pick(_filled("industries"), 8)
-        + pick(_filled("funds_used"), 6) + pick(_filled("ownership_targets"), 5) + pick(_filled("raw_eligibility"), 8)
-        + pick(channel, 8, -10) + pick(contact, 8, -8)
-        + F.when(open_now, 10).when(F.col("deadline_date") < as_of, -15).otherwise(0)
-        + pick(geo, 5) + pick(_filled("related_documents"), 4)
-        + pick(sum((s.cast("int") for s in signals), F.lit(0)) <= 3, -12)
-    )
-    return computed(df, view_quality=clamp(total, 0, 100).cast("int"))
+    few = sum((s.cast("int") for s in signals), F.lit(0)) <= 3
+    good = [name, funder, typed, amount, _filled("industries"), _filled("funds_used"), _filled("ownership_targets"), eligible, channel, contact, open_now, geo, _filled("related_documents")]
+    bad = [~name, ~funder, ~typed, ~channel, ~contact, past, few]
+    points = [(12, 10, 8, 8, 8, 6, 5, 8, 8, 8, 10, 5, 4), (-15, -10, -8, -10, -8, -15, -12)]
+    pick = lambda c, n: F.when(F.coalesce(c, F.lit(False)), n).otherwise(0)
+    total = sum((pick(c, n) for side, cs in zip(points, (good, bad), strict=True) for n, c in zip(side, cs, strict=True)), pick(~amount, -4))
+    return computed(df, view_quality=clamp(total, 0, 100).cast("int"), view_reasons=flags(good), view_blockers=flags(bad))
 
 
 def band(c: Column) -> Column:

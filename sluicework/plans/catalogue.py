@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import records, urls
 from ..functions.numbers import mean_of, ordered, status, view_status
 from ..operators import catalog, matching, quality
-from .views import AS_OF, PROGRAMMES_SQL, programmes, table
+from .views import AS_OF, PROGRAMMES_SQL, kept, programmes, table
 
 
 def day() -> Column:
@@ -55,20 +56,26 @@ _QUALITY = _points(
         ("conf < 0.25", -10), ("conf >= 0.6", 4), (_FEW, -10), ("has_conflicts", -12),
     ]
 )
-_VIEW = (
-    f"CASE WHEN {_NAME} THEN 12 ELSE -15 END + CASE WHEN {_FUNDER} THEN 10 ELSE -10 END + CASE WHEN funding_type <> 'Unknown' THEN 8 ELSE -8 END"
-    f" + CASE WHEN {_AMOUNT} THEN 8 ELSE -4 END + CASE WHEN industry IS NOT NULL THEN 8 ELSE 0 END + CASE WHEN use_of_funds IS NOT NULL THEN 6 ELSE 0 END"
-    " + CASE WHEN has_ownership THEN 5 ELSE 0 END + CASE WHEN has_eligibility THEN 8 ELSE 0 END"
-    " + CASE WHEN application_channel <> 'Unknown' THEN 8 ELSE -10 END + 8"
-    f" + CASE WHEN deadline_type IN ('Open', 'Rolling') OR (deadline_date IS NOT NULL AND deadline_date >= DATE '{AS_OF}') THEN 10 WHEN deadline_date < DATE '{AS_OF}' THEN -15 ELSE 0 END"
-    f" + CASE WHEN {_GEO} THEN 5 ELSE 0 END + CASE WHEN has_documents THEN 4 ELSE 0 END"
-    f" + CASE WHEN CAST({_NAME} AS INT) + CAST({_FUNDER} AS INT) + 1 + CAST({_AMOUNT} AS INT) + CAST(industry IS NOT NULL AS INT) + CAST(use_of_funds IS NOT NULL AS INT) + 2 <= 3 THEN -12 ELSE 0 END"
-)
+_FUTURE_OPEN = f"(deadline_type IN ('Open', 'Rolling') OR coalesce(deadline_date >= DATE '{AS_OF}', false))"
+_EXPIRED = f"(NOT {_FUTURE_OPEN} AND coalesce(deadline_date < DATE '{AS_OF}', false))"
+_MOSTLY_EMPTY = f"(CAST({_NAME} AS INT) + CAST({_FUNDER} AS INT) + 1 + CAST({_AMOUNT} AS INT) + CAST(industry IS NOT NULL AS INT) + CAST(use_of_funds IS NOT NULL AS INT) + 2 <= 3)"
+# (condition, points if it holds, points if not, reason, blocker)
+_VIEW_RULES = [
+    (_NAME, 12, -15, "Has programme name", "Missing programme name"), (_FUNDER, 10, -10, "Has funder name", "Missing funder name"),
+    ("funding_type <> 'Unknown'", 8, -8, "Known funding type", "Unknown funding type"), (_AMOUNT, 8, -4, "Funding range available", None),
+    ("industry IS NOT NULL", 8, 0, "Industry information captured", None), ("use_of_funds IS NOT NULL", 6, 0, "Use of funds captured", None),
+    ("has_ownership", 5, 0, "Ownership targets captured", None), ("(has_eligibility OR stage IS NOT NULL)", 8, 0, "Eligibility details captured", None),
+    ("application_channel <> 'Unknown'", 8, -10, "Application route available", "Missing application route"), ("true", 8, -8, "Contact or apply link available", "Missing application contact"),
+    (_FUTURE_OPEN, 10, 0, "Open or active deadline", None), (_GEO, 5, 0, "Geography captured", None), ("has_documents", 4, 0, "Supporting documents linked", None),
+]
+_VIEW = " + ".join(f"CASE WHEN {c} THEN {y} ELSE {n} END" for c, y, n, _, _ in _VIEW_RULES) + f" + CASE WHEN {_EXPIRED} THEN -15 ELSE 0 END + CASE WHEN {_MOSTLY_EMPTY} THEN -12 ELSE 0 END"
+_VIEW_REASONS = "[" + ", ".join(f"CASE WHEN {c} THEN '{r}' END" for c, _, _, r, _ in _VIEW_RULES) + "]"
+_VIEW_BLOCKERS = "[" + ", ".join([f"CASE WHEN NOT {c} THEN '{b}' END" for c, _, _, _, b in _VIEW_RULES if b] + [f"CASE WHEN {_EXPIRED} THEN 'Expired deadline' END", f"CASE WHEN {_MOSTLY_EMPTY} THEN 'Mostly incomplete record' END"]) + "]"
 _BLOCKED = "concat_ws('|', " + ", ".join(f"CASE WHEN {c} THEN '{b}' END" for c, b in _BLOCKERS) + ")"
 SCORED_SQL = f"""{PROGRAMMES_SQL},
 confident AS (SELECT *, round((conf_a + conf_b) / 2, 4) AS conf FROM programmes),
 rated AS (SELECT *, greatest(0, least(100, {_QUALITY} - least(10, n_reviews * 2)))::INT AS quality,
-    greatest(0, least(100, {_VIEW}))::INT AS view_quality, {_BLOCKED} AS blocked FROM confident),
+    greatest(0, least(100, {_VIEW}))::INT AS view_quality, {_VIEW_REASONS} AS view_reasons, {_VIEW_BLOCKERS} AS view_blockers, {_BLOCKED} AS blocked FROM confident),
 scored AS (SELECT *, CASE WHEN quality >= 35 AND {_NAME} AND {_FUNDER} THEN 'accept'
     WHEN quality >= 20 AND ({_ARTICLE} OR quality < 35) THEN 'review' ELSE 'reject' END AS route FROM rated)
 """
@@ -110,19 +117,27 @@ def record_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_per_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best record of each page and how many it had."""
-    found = _scored(spark, sf_dir).withColumn("n_blockers", F.size("blockers"))
-    slim = found.select("source_url", "pid", "quality", "n_blockers", F.floor(F.col("overall_confidence") * 100).cast("int").alias("conf100"))
-    return catalog.best_by(slim, ["source_url"], [F.desc("quality"), F.desc("conf100"), "n_blockers", "pid"])
+    """The best record of each page by the seven ranks, and how many it had."""
+    found = _scored(spark, sf_dir)
+    signals = ["ticket_min", "ticket_max", "budget_total", "application_url", "contact_email", "contact_phone"]
+    name = F.trim(F.coalesce("program_name", F.lit("")))
+    slim = found.select(
+        urls.canonical(F.col("source_url")).alias("page"), "pid", "quality", F.col("ai_enriched").cast("int").alias("ai"), F.floor(F.col("overall_confidence") * 100).cast("int").alias("conf100"),
+        sum((F.col(c).isNotNull().cast("int") for c in signals), F.lit(0)).alias("signals"), F.size("blockers").alias("n_blockers"),
+        F.when(records.is_support_title(name) | name.endswith(":"), 0).otherwise(1).alias("plain"), F.when(F.size(F.split(name, " ")) >= 10, 0).otherwise(1).alias("short"),
+    )
+    order = F.struct("quality", "ai", "conf100", "signals", -F.col("n_blockers"), "plain", "short", -F.col("pid"))
+    best = slim.groupBy("page").agg(F.max_by(F.struct("pid", "quality", "ai", "conf100", "signals", "n_blockers"), order).alias("b"), F.count(F.lit(1)).alias("n_rows"))
+    return best.select("page", "b.*", "n_rows")
 
 
 def published_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of accepted, approved programmes the best of each page, ranked; first 100."""
+    """Of accepted, approved programmes the best of each page, all of them ranked."""
     found = catalog.published(_scored(spark, sf_dir).filter("route = 'accept'")).withColumn("conf100", F.floor(F.col("overall_confidence") * 100).cast("int"))
-    slim = found.select("source_url", "pid", "program_name", "quality", "view_quality", "conf100")
+    slim = found.select("source_url", "pid", F.col("program_name").alias("title"), "quality", "view_quality", "conf100")
     best = catalog.best_by(slim, ["source_url"], [F.desc("quality"), F.desc("conf100"), "pid"])
-    top = matching.top_overall(best, [F.desc("view_quality"), F.desc("quality"), "program_name", "pid"], 100)
-    return top.select("place", "pid", "program_name", "view_quality", "quality", quality.band(F.col("view_quality")).alias("band"))
+    order = [F.desc("view_quality"), F.desc("quality"), F.col("title"), F.col("pid")]
+    return matching.ranked(best, order, kept).select("place", "pid", "title", "view_quality", "quality", quality.band(F.col("view_quality")).alias("band"))
 
 
 def catalogue_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,94 +148,133 @@ def catalogue_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter(hit).select("pid", "program_name", "view_quality")
 
 
-def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
-    return c.join(n, c.c_nationkey == n.n_nationkey).select(
-        F.col("c_custkey").alias("user_id"),
-        F.concat(F.lit("Brand#"), (F.col("c_custkey") % 5 + 1).cast("string")).alias("f_sector"),
-        F.col("n_name").alias("f_province"),
-        F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("f_min"),
-        F.when(F.col("c_custkey") % 3 > 0, F.col("c_acctbal") + 30000).alias("f_max"),
-        (F.col("c_custkey") % 2 == 0).alias("f_owned"),
-        F.when(F.col("c_mktsegment") == "BUILDING", "Loan").otherwise("Grant").alias("f_type"),
-    )
-
-
-PROFILES_SQL = """profiles AS (SELECT c_custkey AS user_id, 'Brand#' || CAST(c_custkey % 5 + 1 AS VARCHAR) AS f_sector, n_name AS f_province,
-    CASE WHEN c_acctbal > 0 THEN c_acctbal END AS f_min, CASE WHEN c_custkey % 3 > 0 THEN c_acctbal + 30000 END AS f_max,
-    c_custkey % 2 = 0 AS f_owned, CASE WHEN c_mktsegment = 'BUILDING' THEN 'Loan' ELSE 'Grant' END AS f_type
-  FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
-
-
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profiles with the programme of lowest id of each funder in their province: an equi-join, no cross join."""
-    p = _scored(spark, sf_dir).filter("province is not null")
-    one = catalog.best_by(
-        p.select("sk", "pid", "province", "geography_scope", "industry", "use_of_funds", "ticket_min", "ticket_max", "has_ownership", "has_eligibility", "funding_type", "view_quality"),
-        ["sk"],
-        ["pid"],
-    )
-    return one.join(_profiles(spark, sf_dir), F.col("province") == F.col("f_province"))
+# Answers of the profile form, by market segment, and amounts by band of the balance: the options that make kinds of profiles.
+_FORM = {
+    "BUILDING": (["Brand#1", "brand 3"], "idea", ["Women"], [], 3, 12, ["Loan"]),
+    "AUTOMOBILE": (["Brand#2"], "early", [], ["polished"], 8, 40, ["Grant", "Equity"]),
+    "MACHINERY": (["Brand#4", "brass", "BRASS"], "growth", ["women-owned"], ["steel"], None, 25, []),
+    "HOUSEHOLD": ([], "established", ["youth"], [], 12, None, ["hybrid"]),
+    "FURNITURE": (["Brand#5", " "], "new", [], ["copper", "tin"], 5, 9, ["Guarantee", "loan"]),
+}
 
 
-_WORDS = "trim(regexp_replace(lower(coalesce({}, '')), '[^a-z0-9]+', ' ', 'g'))"
-_HAS = lambda a, b: f"coalesce(contains({_WORDS.format(a)}, {_WORDS.format(b)}), false)"
+def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    form = "segment string, sectors array<string>, stage string, ownership_targets array<string>, use_of_funds array<string>, years_operating int, employees int, preferred_types array<string>"
+    answers = F.broadcast(spark.createDataFrame([(k, *v) for k, v in _FORM.items()], form))
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    level = F.floor(F.col("c_acctbal") / 4000).cast("int")
+    rows = c.join(n, c.c_nationkey == n.n_nationkey).join(answers, F.col("c_mktsegment") == F.col("segment")).withColumn("level", level)
+    return rows.select(
+        F.col("c_custkey").alias("user_id"), F.lit("South Africa").alias("country"), F.col("n_name").alias("province"), F.lit(None).cast("string").alias("municipality"),
+        "sectors", "stage", "ownership_targets", "use_of_funds", "preferred_types", "years_operating", "employees",
+        F.when(F.col("level") >= 0, F.col("level") * 12000).alias("requested_min"), F.when(F.col("level") != 1, (F.col("level") + 1) * 12000 + 8000).alias("requested_max"),
+        F.when(F.col("level") != 2, F.col("level") * 20000 + 5000).alias("turnover_min"), (F.col("level") * 20000 + 25000).alias("turnover_max"),
+    )
+
+
+def _form_sql() -> str:
+    lists = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]::VARCHAR[]"
+    none = lambda x: "NULL" if x is None else str(x)
+    return "VALUES " + ", ".join(f"('{k}', {lists(v[0])}, '{v[1]}', {lists(v[2])}, {lists(v[3])}, {none(v[4])}, {none(v[5])}, {lists(v[6])})" for k, v in _FORM.items())
+
+
+_N = lambda x: f"trim(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9]+', ' ', 'g'))"
+_ANY = lambda hay, needles: f"coalesce(list_bool_or(list_transform(list_filter({needles}, lambda n: {_N('n')} <> ''), lambda n: {' OR '.join(f'contains({_N(h)}, {_N(chr(110))})' for h in hay)})), false)"
+_STAGE_LISTS = "CASE stage_asked " + " ".join(f"WHEN '{k}' THEN [" + ", ".join(f"'{w}'" for w in v) + "]" for k, v in matching.STAGE_WORDS.items()) + " ELSE [" + ", ".join(f"'{w}'" for w in matching.STAGE_WORDS["early"]) + "] END"
+PROFILES_SQL = f"""form(segment, sectors, stage_asked, owned_asked, use_asked, years, staff, types) AS ({_form_sql()}),
+profiles AS (SELECT c_custkey AS user_id, n_name AS own_place, form.*, floor(c_acctbal / 4000)::INT AS lv FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN form ON segment = c_mktsegment),
+kinds AS (SELECT DISTINCT own_place, segment, lv, sectors, {_STAGE_LISTS} AS stage_words, owned_asked, use_asked, years, staff, types,
+    CASE WHEN lv >= 0 THEN lv * 12000 END AS f_min, CASE WHEN lv <> 1 THEN (lv + 1) * 12000 + 8000 END AS f_max,
+    CASE WHEN lv <> 2 THEN lv * 20000 + 5000 END AS t_min, lv * 20000 + 25000 AS t_max FROM profiles)"""
+_WANTS = "(coalesce(f_min, 0) <> 0 OR coalesce(f_max, 0) <> 0)"
 _OVERLAP = "coalesce(coalesce(ticket_min, ticket_max) <= coalesce(f_max, f_min) AND coalesce(f_min, f_max) <= coalesce(ticket_max, ticket_min), false)"
-_INDUSTRY = f"({_HAS('industry', 'f_sector')} OR {_HAS('use_of_funds', 'f_sector')})"
-_PLACE = f"(geography_scope = 'National' OR {_HAS('province', 'f_province')})"
+_ELIGIBLE = "CASE WHEN has_eligibility THEN 'must be registered' END"
+# (reason, condition, points, blocker, condition of the blocker, points): the match rules
+_MATCH_RULES = [
+    ("Strong industry match", "ind", 28, "No clear industry match", "NOT ind AND len(sectors) > 0", -10),
+    ("Geography match", "geo", 20, "Geography may be out of scope", "NOT geo", -18),
+    ("Within funding range", f"({_WANTS} AND {_OVERLAP})", 18, "Requested amount may not fit this programme", f"NOT ({_WANTS} AND {_OVERLAP}) AND (f_min IS NOT NULL OR f_max IS NOT NULL)", -20),
+    ("Business stage match", "stg", 10, None, None, 0),
+    ("Ownership target match", "own", 10, None, None, 0),
+    ("Use-of-funds match", "usd", 10, None, None, 0),
+    ("Years-in-business match", "coalesce(years BETWEEN years_min AND years_max, false)", 6, None, None, 0),
+    ("Turnover range overlaps", "coalesce(t_min <= turnover_max AND t_max >= turnover_min, false)", 6, None, None, 0),
+    ("Employee count match", "coalesce(staff BETWEEN staff_min AND staff_max, false)", 6, None, None, 0),
+    ("Preferred funding type", f"list_contains(list_transform(types, lambda t: {_N('t')}), {_N('funding_type')})", 8, None, None, 0),
+]
+_MATCH = " + ".join(f"CASE WHEN {c} THEN {p} ELSE 0 END" + (f" + CASE WHEN {n} THEN {m} ELSE 0 END" if b else "") for _, c, p, b, n, m in _MATCH_RULES)
+_TAGS = (
+    "list_filter(list_concat([" + ", ".join(f"CASE WHEN {c} THEN '{r}' END" for r, c, *_ in _MATCH_RULES) + "], view_reasons, CASE WHEN match < 50 THEN ["
+    + ", ".join(f"CASE WHEN {n} THEN '{b}' END" for _, _, _, b, n, _ in _MATCH_RULES if b) + "] ELSE [] END, CASE WHEN view_quality < 50 THEN view_blockers ELSE [] END), lambda x: x IS NOT NULL)[1:6]"
+)
+# one row for each kind and place of profiles, as programmes see no more of them
 PAIRS_SQL = f"""{SCORED_SQL}, {PROFILES_SQL},
-one AS (SELECT * FROM scored WHERE province IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sk ORDER BY pid) = 1),
-pairs AS (SELECT one.*, profiles.* FROM one JOIN profiles ON province = f_province),
-matched AS (SELECT *, greatest(0, least(100, CASE WHEN {_INDUSTRY} THEN 28 ELSE -10 END + CASE WHEN {_PLACE} THEN 20 ELSE -18 END
-    + CASE WHEN {_OVERLAP} THEN 18 WHEN f_min IS NOT NULL OR f_max IS NOT NULL THEN -20 ELSE 0 END
-    + CASE WHEN has_ownership AND f_owned THEN 10 ELSE 0 END + CASE WHEN lower(funding_type) = lower(f_type) THEN 8 ELSE 0 END))::INT AS match FROM pairs),
+texts AS MATERIALIZED (SELECT DISTINCT segment, sectors, stage_words, owned_asked, use_asked FROM kinds),
+slim AS MATERIALIZED (SELECT pid, coalesce(program_name, '') AS title, view_quality, view_reasons, view_blockers, ticket_min, ticket_max, years_min, years_max, turnover_min, turnover_max, staff_min, staff_max,
+    funding_type, industry, use_of_funds, stage, has_ownership, has_eligibility, province, geography_scope FROM scored),
+sides AS MATERIALIZED (SELECT slim.*, segment, {_ANY(['industry', 'use_of_funds', 'stage', _ELIGIBLE], 'sectors')} AS ind, {_ANY(['stage'], 'stage_words')} AS stg,
+    {_ANY(["CASE WHEN has_ownership THEN 'women-owned' END"], 'owned_asked')} AS own, {_ANY(['use_of_funds'], 'use_asked')} AS usd FROM slim CROSS JOIN texts),
+pairs AS (SELECT sides.*, kinds.* EXCLUDE (segment, stage_words, owned_asked, use_asked), geography_scope = 'National' OR coalesce(contains({_N('province')}, {_N('own_place')}), false) AS geo
+  FROM sides JOIN kinds USING (segment)),
+matched AS (SELECT *, greatest(0, least(100, {_MATCH}))::INT AS match FROM pairs),
 blended AS (SELECT *, CAST(floor(view_quality * 0.4::DOUBLE + match * 0.6::DOUBLE + 0.5) AS INT) AS importance FROM matched)"""
 
 
 def profile_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five programmes of most importance for each profile."""
-    pairs = matching.match_score(_pairs(spark, sf_dir)).withColumn("importance", matching.importance(F.col("view_quality"), F.col("match")))
-    top = matching.top_per(pairs, ["user_id"], [F.desc("importance"), F.desc("view_quality"), F.desc("match"), "pid"], 5)
-    return top.select("user_id", "place", "pid", "match", "importance", quality.band(F.col("importance")).alias("band"))
+    """Of all programmes the five of most importance for each profile, with tags."""
+    top = matching.best_for_profiles(_scored(spark, sf_dir), _profiles(spark, sf_dir), 5)
+    return top.select("user_id", "place", "pid", "match", "importance", quality.band(F.col("importance")).alias("band"), F.array_join("tags", "|").alias("tags"))
 
 
 def preview_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many previews each profile has of each status."""
-    return matching.preview(_pairs(spark, sf_dir)).groupBy("user_id", "preview_status").agg(F.count(F.lit(1)).alias("n"), F.max("preview").alias("best"))
+    """How many previews each profile has of each status, over all programmes.
+
+    Programmes that the preview can't tell apart are counted once, with their number; so are profiles of one kind."""
+    none = F.array().cast("array<string>")
+    p = programmes(spark, sf_dir).withColumn("geography", F.when(F.col("geography_scope") == "Unknown", none).otherwise(F.array(F.when(F.col("pk") % 3 == 0, "Southern Africa").otherwise(F.coalesce("province", F.lit("elsewhere"))))))
+    p = p.withColumn("level", F.floor(F.coalesce("ticket_min", F.lit(-1)) / 20000)).withColumns({"ticket_min": F.when(F.col("level") >= 0, F.col("level") * 20000), "ticket_max": F.when(F.col("ticket_max").isNotNull(), F.ceil(F.col("ticket_max") / 20000) * 20000)})
+    p = p.groupBy(F.col("industries").alias("sectors"), "geography", "funding_type", "ticket_min", "ticket_max").agg(F.count(F.lit(1)).alias("n"))
+    users = _profiles(spark, sf_dir).select("user_id", F.col("sectors").alias("f_sectors"), F.col("province").alias("f_country"), F.col("preferred_types").alias("f_types"), F.col("requested_min").alias("f_min"), F.col("requested_max").alias("f_max"))
+    kind = ["f_sectors", "f_country", "f_types", "f_min", "f_max"]
+    kinds = users.select(*kind).distinct().withColumn("kind", F.sha2(F.to_json(F.struct(*kind)), 256))
+    # kinds of profiles are as many as the form has answers, not as users: a stated query set against all rows
+    seen = matching.preview(p.crossJoin(F.broadcast(kinds))).groupBy("kind", "preview_status").agg(F.sum("n").alias("n"), F.max("preview").alias("best"))
+    return users.withColumn("kind", F.sha2(F.to_json(F.struct(*kind)), 256)).select("user_id", "kind").join(seen, "kind").drop("kind")
 
 
 def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as a stored table, a later batch over it; the batch's last row wins, priority is kept."""
-    o = table(spark, sf_dir, "orders")
-    stored = o.filter("o_orderkey % 3 <> 0").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority", F.lit(0).cast("bigint").alias("seq"))
-    again = o.filter("o_orderkey % 2 = 0").select(
-        "o_orderkey", F.lit("X").alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice"), F.lit("none").alias("o_orderpriority"), F.lit(1).cast("bigint").alias("seq")
-    )
-    later = again.filter("o_orderkey % 4 = 0").withColumn("o_orderstatus", F.lit("Y")).withColumn("seq", F.lit(2).cast("bigint"))
-    return catalog.upsert(stored, again.unionByName(later), ["o_orderkey"], "seq", keep=("o_orderpriority",))
+    """Orders that are filled or part filled as a stored table, those open or part filled as a batch over it, urgent ones
+    twice; the batch's last row wins, priority is kept."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority", F.lit(0).cast("bigint").alias("seq"))
+    again = o.filter("o_orderstatus <> 'F'").withColumns({"o_totalprice": F.col("o_totalprice") + 1, "o_orderpriority": F.lit("none"), "seq": F.lit(1).cast("bigint")})
+    later = again.filter("o_totalprice > 100000").withColumns({"o_orderstatus": F.lit("Y"), "seq": F.lit(2).cast("bigint")})
+    return catalog.upsert(o.filter("o_orderstatus <> 'O'"), again.unionByName(later), ["o_orderkey"], "seq", keep=("o_orderpriority",))
 
 
 def backfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Approved programmes that are not published yet join the published ones."""
-    p = programmes(spark, sf_dir).select("pid", "program_name", "approval_status")
-    return catalog.backfill(p.filter("pid % 3 = 0 and approval_status = 'approved'"), p, ["pid"])
+    """Approved programmes that are not published yet join the published ones (loans so far)."""
+    p = programmes(spark, sf_dir).select("pid", "program_name", "approval_status", "funding_type")
+    return catalog.backfill(p.filter("funding_type = 'Loan' and approval_status = 'approved'"), p, ["pid"]).drop("funding_type")
 
 
 def children_with_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as sub-programmes, with the newest order of equal priority as parent."""
-    o = table(spark, sf_dir, "orders")
-    parents = o.filter("o_orderstatus = 'F'").select(F.lower("o_orderpriority").alias("name"), F.col("o_orderkey").alias("program_id"), "o_orderdate")
-    kids = o.filter("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("child_id"), F.when(F.col("o_orderkey") % 25 == 0, "lost").otherwise(F.upper("o_orderpriority")).alias("name"))
-    out = catalog.with_parent(kids, parents, ["name"], [F.desc("o_orderdate"), F.desc("program_id")])
+    """Orders as sub-programmes, with the newest filled order of equal priority, customer and day of the week as
+    parent; the others stay with a note."""
+    o = table(spark, sf_dir, "orders").withColumns({"name": F.lower("o_orderpriority"), "funder": F.concat(F.lit("C"), F.col("o_custkey") % 500), "domain": F.dayofweek("o_orderdate").cast("string")})
+    parents = o.filter("o_orderstatus = 'F'").select("name", "funder", "domain", F.col("o_orderkey").alias("program_id"), "o_orderdate")
+    kids = o.select(F.col("o_orderkey").alias("child_id"), F.upper("name").alias("name"), F.concat(F.lit(" "), F.lower("funder")).alias("funder"), "domain")
+    out = catalog.with_parent(kids, parents, ["name", "funder", "domain"], [F.desc("o_orderdate"), F.desc("program_id")])
     return out.select("child_id", "parent_id", "parent_note")
 
 
 def registry_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as new sites, with the fields that a stored site already takes."""
-    s = table(spark, sf_dir, "supplier")
-    stored = s.filter("s_suppkey % 4 = 0").select(F.upper("s_name").alias("display_name"), F.concat(F.lit("k"), F.col("s_nationkey")).alias("site_key"))
-    new = s.select("s_suppkey", F.col("s_name").alias("display_name"), F.concat(F.lit("K"), F.col("s_nationkey")).alias("site_key"))
-    out = catalog.duplicates_of(new, stored, ["display_name", "site_key"])
+    """Suppliers as new sites, with the fields that a stored site (one with a positive balance) already takes."""
+    s = table(spark, sf_dir, "supplier").select(
+        "s_suppkey", "s_acctbal", F.col("s_name").alias("display_name"), F.concat(F.lit("K"), "s_nationkey", F.lit("-"), F.floor(F.col("s_acctbal") / 1000)).alias("site_key"),
+        F.concat(F.lit("d"), F.col("s_suppkey") % 70, F.lit(".example")).alias("primary_domain"), F.concat(F.lit("A"), F.floor(F.col("s_acctbal") / 100)).alias("adapter_key"),
+    )
+    stored = s.filter("s_acctbal > 0").select(F.upper("display_name").alias("display_name"), F.lower("site_key").alias("site_key"), "primary_domain", "adapter_key")
+    out = catalog.duplicates_of(s, stored, ["display_name", "site_key", "primary_domain", "adapter_key"])
     return out.select("s_suppkey", F.array_join("taken", ",").alias("taken"))
 
 
@@ -251,35 +305,45 @@ ORACLE_SQL = {
         CASE WHEN deadline_date IS NULL THEN CASE WHEN deadline_type IN ('Open', 'Rolling') THEN 'active' ELSE 'draft' END
           WHEN deadline_date < DATE '{AS_OF}' THEN 'closed' WHEN deadline_date - DATE '{AS_OF}' <= 14 THEN 'closing_soon' ELSE 'active' END AS view_status,
         round((conf_a + conf_b) / 2, 4) AS confidence FROM programmes""",
-    "b8_best_per_page": f"""WITH {SCORED_SQL}, s AS (SELECT source_url, pid, quality,
-          CASE WHEN blocked = '' THEN 0 ELSE len(string_split(blocked, '|')) END::INT AS n_blockers, floor(conf * 100)::INT AS conf100 FROM scored)
-        SELECT source_url, pid, quality, n_blockers, conf100, count(*) OVER (PARTITION BY source_url) AS n_rows FROM s
-        QUALIFY row_number() OVER (PARTITION BY source_url ORDER BY quality DESC, conf100 DESC, n_blockers, pid) = 1""",
-    "w1_published_ranked": f"""WITH {SCORED_SQL}, best AS (SELECT * FROM scored WHERE route = 'accept' AND approval_status = 'approved'
-          QUALIFY row_number() OVER (PARTITION BY source_url ORDER BY quality DESC, floor(conf * 100)::INT DESC, pid) = 1),
-        placed AS (SELECT row_number() OVER (ORDER BY view_quality DESC, quality DESC, program_name, pid)::INT AS place, * FROM best)
-        SELECT place, pid, program_name, view_quality, quality, {_BAND('view_quality')} AS band FROM placed WHERE place <= 100""",
+    "b8_best_per_page": f"""WITH {SCORED_SQL}, s AS (SELECT source_url AS page, pid, quality, ai_enriched::INT AS ai, floor(conf * 100)::INT AS conf100,
+          CAST(ticket_min IS NOT NULL AS INT) + CAST(ticket_max IS NOT NULL AS INT) + CAST(budget_total IS NOT NULL AS INT) + CAST(application_url IS NOT NULL AS INT)
+            + CAST(contact_email IS NOT NULL AS INT) + CAST(contact_phone IS NOT NULL AS INT) AS signals,
+          CASE WHEN blocked = '' THEN 0 ELSE len(string_split(blocked, '|')) END::INT AS n_blockers FROM scored)
+        SELECT page, pid, quality, ai, conf100, signals, n_blockers, count(*) OVER (PARTITION BY page) AS n_rows FROM s
+        QUALIFY row_number() OVER (PARTITION BY page ORDER BY quality DESC, ai DESC, conf100 DESC, signals DESC, n_blockers, pid) = 1""",
+    "w1_published_ranked": f"""WITH {SCORED_SQL}, best AS (SELECT *, program_name AS title FROM scored WHERE route = 'accept' AND approval_status = 'approved'
+          QUALIFY row_number() OVER (PARTITION BY source_url ORDER BY quality DESC, floor(conf * 100)::INT DESC, pid) = 1)
+        SELECT row_number() OVER (ORDER BY view_quality DESC, quality DESC, title, pid) AS place, pid, title, view_quality, quality, {_BAND('view_quality')} AS band FROM best""",
     "c14_catalogue_search": f"""WITH {SCORED_SQL} SELECT pid, program_name, view_quality FROM scored WHERE approval_status = 'approved' AND view_quality >= 70
         AND contains(lower(concat_ws(' ', program_name, funder_name, industry, use_of_funds)), 'brand#1')""",
-    "r6_profile_matches": f"""WITH {PAIRS_SQL}, placed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY importance DESC, view_quality DESC, match DESC, pid)::INT AS place FROM blended)
-        SELECT user_id, place, pid, match, importance, {_BAND('importance')} AS band FROM placed WHERE place <= 5""",
-    "r9_preview_matches": f"""WITH {PAIRS_SQL}, pre AS (SELECT *, CASE WHEN {_INDUSTRY} THEN 35 ELSE 0 END + CASE WHEN {_OVERLAP} THEN 30 ELSE 0 END
-          + CASE WHEN {_PLACE} THEN 20 ELSE 0 END + CASE WHEN has_eligibility THEN 15 ELSE 0 END AS preview FROM pairs),
-        st AS (SELECT *, CASE WHEN preview >= 80 THEN 'high' WHEN preview >= 60 THEN 'medium' WHEN NOT {_INDUSTRY} OR NOT {_OVERLAP} THEN 'manual_review' ELSE 'low' END AS preview_status FROM pre)
-        SELECT user_id, preview_status, count(*) AS n, max(preview)::INT AS best FROM st GROUP BY user_id, preview_status""",
-    "b11_upsert": """WITH stored AS (SELECT * FROM orders WHERE o_orderkey % 3 <> 0), batch AS (SELECT * FROM orders WHERE o_orderkey % 2 = 0)
+    "r6_profile_matches": f"""WITH {PAIRS_SQL}, titles AS (SELECT pid, row_number() OVER (ORDER BY title, pid) AS rank FROM slim),
+        lists AS (SELECT own_place, segment, lv, max_by(pid, (importance, view_quality, match, -rank), 5) AS pids FROM blended JOIN titles USING (pid) GROUP BY own_place, segment, lv),
+        best AS (SELECT own_place, segment, lv, unnest(pids) AS pid FROM lists)
+        SELECT user_id, place, pid, match, importance, band, tags FROM (SELECT p.user_id, row_number() OVER (PARTITION BY p.user_id ORDER BY importance DESC, view_quality DESC, match DESC, title, b.pid)::INT AS place, b.pid, match, importance,
+          {_BAND('importance')} AS band, array_to_string({_TAGS}, '|') AS tags
+        FROM (SELECT user_id, own_place, segment, lv FROM profiles) p JOIN best t USING (own_place, segment, lv) JOIN blended b ON b.pid = t.pid AND b.own_place = t.own_place AND b.segment = t.segment AND b.lv = t.lv)""",
+    "r9_preview_matches": f"""WITH {PROGRAMMES_SQL}, {PROFILES_SQL},
+        p AS (SELECT industry, CASE WHEN geography_scope <> 'Unknown' THEN CASE WHEN pk % 3 = 0 THEN 'Southern Africa' ELSE coalesce(province, 'elsewhere') END END AS region, funding_type,
+            floor(ticket_min / 20000)::BIGINT * 20000 AS lo, ceil(ticket_max / 20000)::BIGINT * 20000 AS hi, count(*) AS n FROM programmes GROUP BY ALL),
+        pre AS (SELECT own_place, segment, lv, n, region IS NOT NULL AND (lower(region) LIKE '%africa%' OR lower(region) LIKE '%malawi%' OR lower(own_place) LIKE '%africa%') AS fits,
+            CASE WHEN coalesce(list_bool_or(list_transform(sectors, lambda s: contains(lower(industry), lower(s)))), false) THEN 35 ELSE 0 END + CASE WHEN fits THEN 30 ELSE 0 END
+            + CASE WHEN list_contains(types, funding_type) THEN 20 ELSE 0 END + CASE WHEN coalesce(hi >= f_min AND lo <= f_max, false) THEN 15 ELSE 0 END AS preview FROM p CROSS JOIN kinds),
+        c AS (SELECT own_place, segment, lv, CASE WHEN preview >= 80 THEN 'high_fit' WHEN preview >= 60 THEN 'medium_fit' WHEN NOT fits THEN 'manual_review' ELSE 'low_fit' END AS preview_status,
+            sum(n)::BIGINT AS n, max(preview)::INT AS best FROM pre GROUP BY ALL)
+        SELECT user_id, preview_status, n, best FROM profiles JOIN c USING (own_place, segment, lv)""",
+    "b11_upsert": """WITH stored AS (SELECT * FROM orders WHERE o_orderstatus <> 'O'), batch AS (SELECT * FROM orders WHERE o_orderstatus <> 'F')
         SELECT coalesce(b.o_orderkey, s.o_orderkey) AS o_orderkey,
-          CASE WHEN b.o_orderkey IS NULL THEN s.o_orderstatus WHEN b.o_orderkey % 4 = 0 THEN 'Y' ELSE 'X' END AS o_orderstatus,
+          CASE WHEN b.o_orderkey IS NULL THEN s.o_orderstatus WHEN b.o_totalprice + 1 > 100000 THEN 'Y' ELSE b.o_orderstatus END AS o_orderstatus,
           CASE WHEN b.o_orderkey IS NULL THEN s.o_totalprice ELSE b.o_totalprice + 1 END AS o_totalprice,
           coalesce(s.o_orderpriority, 'none') AS o_orderpriority,
-          CASE WHEN b.o_orderkey IS NULL THEN 0 WHEN b.o_orderkey % 4 = 0 THEN 2 ELSE 1 END::BIGINT AS seq
+          CASE WHEN b.o_orderkey IS NULL THEN 0 WHEN b.o_totalprice + 1 > 100000 THEN 2 ELSE 1 END::BIGINT AS seq
         FROM stored s FULL JOIN batch b ON s.o_orderkey = b.o_orderkey""",
     "b14_backfill": f"WITH {PROGRAMMES_SQL} SELECT pid, program_name, approval_status FROM programmes WHERE approval_status = 'approved'",
-    "j6_children_with_parents": """WITH newest AS (SELECT lower(o_orderpriority) AS name, o_orderkey FROM orders WHERE o_orderstatus = 'F'
-          QUALIFY row_number() OVER (PARTITION BY lower(o_orderpriority) ORDER BY o_orderdate DESC, o_orderkey DESC) = 1),
-        kids AS (SELECT o_orderkey AS child_id, CASE WHEN o_orderkey % 25 = 0 THEN 'lost' ELSE lower(o_orderpriority) END AS name FROM orders WHERE o_orderkey % 5 = 0)
-        SELECT child_id, o_orderkey AS parent_id, CASE WHEN o_orderkey IS NULL THEN 'parent not found' END AS parent_note FROM kids LEFT JOIN newest USING (name)""",
-    "b20_registry_duplicates": """WITH st AS (SELECT * FROM supplier WHERE s_suppkey % 4 = 0)
-        SELECT s_suppkey, concat_ws(',', CASE WHEN s_name IN (SELECT s_name FROM st) THEN 'display_name' END,
-          CASE WHEN s_nationkey IN (SELECT s_nationkey FROM st) THEN 'site_key' END) AS taken FROM supplier""",
+    "j6_children_with_parents": """WITH o AS (SELECT *, lower(o_orderpriority) AS name, o_custkey % 500 AS funder, dayofweek(o_orderdate) AS day FROM orders), newest AS (SELECT name, funder, day, o_orderkey AS parent_id FROM o WHERE o_orderstatus = 'F'
+          QUALIFY row_number() OVER (PARTITION BY name, funder, day ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)
+        SELECT o_orderkey AS child_id, parent_id, CASE WHEN parent_id IS NULL THEN 'parent not found' END AS parent_note FROM o LEFT JOIN newest USING (name, funder, day)""",
+    "b20_registry_duplicates": """WITH x AS (SELECT s_suppkey, s_acctbal, s_name AS a, s_nationkey || '-' || floor(s_acctbal / 1000)::BIGINT AS b, s_suppkey % 70 AS c, floor(s_acctbal / 100)::BIGINT AS d FROM supplier),
+        st AS (SELECT * FROM x WHERE s_acctbal > 0)
+        SELECT s_suppkey, concat_ws(',', CASE WHEN a IN (SELECT a FROM st) THEN 'display_name' END, CASE WHEN b IN (SELECT b FROM st) THEN 'site_key' END,
+          CASE WHEN c IN (SELECT c FROM st) THEN 'primary_domain' END, CASE WHEN d IN (SELECT d FROM st) THEN 'adapter_key' END) AS taken FROM x""",
 }

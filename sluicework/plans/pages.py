@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import classify, money, text, urls
+from ..functions import classify, dates, money, text, urls
 from ..operators import resolve
+from ..operators.matching import ranked_per
 from ..sources import html
-from .views import table
+from .views import kept, table
 
 KEYWORDS, IRRELEVANT = ("/en/", "blog", "html"), ("ads-track", "/login")
 
@@ -33,13 +34,11 @@ def canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of a site that matter, best first, at most ten of each host."""
-    from ..operators.matching import top_per
-
+    """All links of a site that matter, best first; of a link's spellings the best score counts."""
     u = F.col("url")
-    found = _urls(spark, sf_dir).filter("form in (0, 3)").select(urls.canonical(u).alias("link"), urls.host(u).alias("host"), urls.relevance(u, F.lit(""), KEYWORDS, IRRELEVANT).alias("score"))
+    found = _urls(spark, sf_dir).filter("form in (0, 3)").filter(urls.same_site(u, F.concat(F.lit("http://"), urls.domain(u)))).select(urls.canonical(u).alias("link"), urls.host(u).alias("host"), urls.relevance(u, F.lit(""), KEYWORDS, IRRELEVANT).alias("score"))
     best = found.groupBy("host", "link").agg(F.max("score").alias("score")).filter("score > 0")
-    return top_per(best, ["host"], [F.desc("score"), "link"], 10)
+    return ranked_per(best, ["host"], [F.desc("score"), F.col("link")], kept)
 
 
 def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,10 +104,10 @@ def deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     say = (
         F.when(k == 0, F.concat(F.lit("Apply by "), F.date_format("day", "d MMMM yyyy"), F.lit(" for 12 to 36 months")))
         .when(k == 1, F.concat(F.lit("Closing date "), F.date_format("day", "yyyy-MM-dd"), F.lit(", up to 5 years")))
-        .when(k == 2, F.lit("Rolling intake, 6 months"))
+        .when(k == 2, F.lit("Reviewed on a rolling basis, 6 months"))
         .otherwise(F.lit("Applications are open"))
     )
-    d = d.select("o_orderkey", classify.deadline(say).alias("d"), classify.month_range(say).alias("m"))
+    d = d.select("o_orderkey", dates.deadline_of(say, F.lit("1995-01-01").cast("date")).alias("d"), classify.month_range(say).alias("m"))
     return d.select("o_orderkey", F.col("d.kind").alias("kind"), F.col("d.day").cast("string").alias("day"), F.col("m.low").alias("low"), F.col("m.high").alias("high"))
 
 
@@ -155,7 +154,7 @@ ORACLE_SQL = {
     "u6_url_scores": f"""WITH {_URLS_SQL}, s AS (SELECT {_CANON} AS link, {_HOST} AS host, CASE WHEN url LIKE '%ads-track%' OR url LIKE '%/login%' THEN -100
           ELSE 5 * (CAST(url LIKE '%/en/%' AS INT) + CAST(url LIKE '%blog%' AS INT) + CAST(url LIKE '%html%' AS INT)) END AS score FROM forms WHERE form IN (0, 3)),
         b AS (SELECT host, link, max(score) AS score FROM s GROUP BY host, link HAVING max(score) > 0)
-        SELECT host, link, score, row_number() OVER (PARTITION BY host ORDER BY score DESC, link)::INT AS place FROM b QUALIFY place <= 10""",
+        SELECT host, link, score, row_number() OVER (PARTITION BY host ORDER BY score DESC, link) AS place FROM b""",
     "s11_keyword_map": "SELECT doc_id, concat_ws('|', " + ", ".join(f"CASE WHEN {_HITS(v)} THEN '{k}' END" for k, v in TAXONOMY.items()) + ") AS categories FROM documents",
     "m4_money_ranges": f"""WITH o AS ({_OFFER_SQL}) SELECT o_orderkey, CASE k WHEN 0 THEN a WHEN 2 THEN a WHEN 3 THEN (a % 90 + 1) * 1e6 END::DOUBLE AS low,
         CASE k WHEN 0 THEN b WHEN 1 THEN b WHEN 3 THEN (a % 90 + 100) * 1e6 WHEN 4 THEN a END::DOUBLE AS high, CASE k WHEN 2 THEN 'USD' WHEN 5 THEN NULL ELSE 'ZAR' END AS currency FROM o""",

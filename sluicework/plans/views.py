@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,18 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """Folder that driver and executors share: the session's, or in local mode without one a temporary folder."""
+    """Folder that driver and executors share: the session's, or one beside the warehouse where none is set."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
-        return f"file://{tempfile.gettempdir()}/sluicework-scratch"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return found.rstrip("/") if found else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
-PROGRAMMES_SQL = """
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written into the shared folder and read back: what follows starts from the table."""
+    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_PROGRAMMES = """
 base AS (SELECT l_partkey AS pk, l_suppkey AS sk, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, max(l_shipdate) AS shipped,
-    min(l_discount) AS d1, max(l_discount) AS d2 FROM lineitem GROUP BY l_partkey, l_suppkey),
+    min(l_discount) AS d1, max(l_discount) AS d2 FROM {lineitem} GROUP BY l_partkey, l_suppkey),
 programmes AS (SELECT pk * 100000 + sk AS pid, pk, sk,
     CASE WHEN pk % 17 = 0 THEN '' ELSE p_name END AS program_name,
     CASE WHEN sk % 23 = 0 THEN NULL ELSE s_name END AS funder_name,
@@ -48,22 +51,21 @@ programmes AS (SELECT pk * 100000 + sk AS pid, pk, sk,
     pk % 13 = 0 AS has_conflicts, CAST(sk % 7 AS INT) AS n_reviews, d1 * 10 AS conf_a, d2 * 10 AS conf_b,
     CASE pk % 19 WHEN 0 THEN 'news_article' WHEN 1 THEN 'tender_procurement' WHEN 2 THEN 'funding_listing' ELSE 'funding_programme' END AS page_type,
     'https://www.example.com/' || CASE WHEN pk % 29 = 0 THEN 'news/' ELSE 'p/' END || CAST(pk % 500 AS VARCHAR(20)) AS source_url,
-    p_name AS source_title, CASE WHEN sk % 2 = 0 THEN 'approved' ELSE 'pending' END AS approval_status
-  FROM base JOIN part ON pk = p_partkey JOIN supplier ON sk = s_suppkey JOIN nation ON s_nationkey = n_nationkey)
+    p_name AS source_title, CASE WHEN sk % 2 = 0 THEN 'approved' ELSE 'pending' END AS approval_status,
+    CASE p_size % 5 WHEN 0 THEN NULL WHEN 1 THEN 'Startup' WHEN 2 THEN 'Early stage' WHEN 3 THEN 'Growth and expansion' ELSE 'Established' END AS stage,
+    CASE WHEN p_size % 3 > 0 THEN p_size % 10 END AS years_min, CASE WHEN p_size % 4 > 0 THEN p_size % 10 + 6 END AS years_max,
+    CASE WHEN p_size % 2 = 0 THEN p_size * 1000 END AS turnover_min, CASE WHEN p_size % 2 = 0 THEN p_size * 1000 + 40000 END AS turnover_max,
+    CASE WHEN p_size % 3 = 0 THEN p_size END AS staff_min, CASE WHEN p_size % 3 = 0 THEN p_size + 30 END AS staff_max,
+    pk % 10 = 0 AS ai_enriched, CASE WHEN sk % 5 = 0 THEN '011 555 0100' END AS contact_phone, CASE WHEN pk % 8 = 0 THEN hi * 10 END AS budget_total
+  FROM base JOIN {part} ON pk = p_partkey JOIN {supplier} ON sk = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey)
 """
-
-
-def _views(spark: SparkSession, sf_dir: str, *names: str) -> str:
-    """Registers tables under names of their own and gives the prefix."""
-    for n in names:
-        table(spark, sf_dir, n).createOrReplaceTempView(n)
-    return ""
+_TABLES = ("lineitem", "part", "supplier", "nation")
+PROGRAMMES_SQL = _PROGRAMMES.format(**{n: n for n in _TABLES})
 
 
 def programmes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Programme-shaped rows: one per part and supplier, with arrays and a confidence map."""
-    _views(spark, sf_dir, "lineitem", "part", "supplier", "nation")
-    flat = spark.sql(f"WITH {PROGRAMMES_SQL} SELECT * FROM programmes")
+    flat = spark.sql(f"WITH {_PROGRAMMES} SELECT * FROM programmes", **{n: table(spark, sf_dir, n) for n in _TABLES})
     none = F.array().cast("array<string>")
     one = lambda c: F.when(F.col(c).isNotNull(), F.array(F.col(c))).otherwise(none)
     when = lambda c, v: F.when(F.col(c), F.array(F.lit(v))).otherwise(none)
@@ -73,6 +75,7 @@ def programmes(spark: SparkSession, sf_dir: str) -> DataFrame:
         none.alias("municipalities"),
         one("industry").alias("industries"),
         one("use_of_funds").alias("funds_used"),
+        one("stage").alias("stages"),
         when("has_ownership", "women-owned").alias("ownership_targets"),
         when("has_eligibility", "must be registered").alias("raw_eligibility"),
         when("has_documents", "guidelines.pdf").alias("related_documents"),

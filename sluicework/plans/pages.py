@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, dates, money, text, urls
-from ..operators import resolve
+from ..operators import builder, resolve
 from ..operators.matching import ranked_per
 from ..sources import html
 from .views import kept, table
@@ -42,7 +42,7 @@ def url_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H1 to H8: title, counts and size of each parsed page."""
+    """H1, H2, H3, H4, H5, H6, H7: title, counts and size of each parsed page."""
     d = html.documents(table(spark, sf_dir, "pages"))
     return d.select(
         F.col("id").alias("page_id"), "title", F.size("headings").alias("n_headings"), F.size("links").alias("n_links"),
@@ -51,7 +51,7 @@ def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections of pages as candidate records."""
+    """Sections of pages as candidate records, best per label."""
     return html.candidates(html.documents(table(spark, sf_dir, "pages"))).select("id", "place", "heading", F.length("content").alias("chars"))
 
 
@@ -62,6 +62,12 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.filter("size(e) + size(p) + size(u) > 0").select("doc_id", F.array_join("e", "|").alias("emails"), F.size("p").alias("n_phones"), F.size("u").alias("n_urls"))
 
 
+def built_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record, with whether and why it would be dropped."""
+    r = builder.page_records(table(spark, sf_dir, "pages"), F.lit("2026-01-10").cast("date"))
+    return r.select("id", "page_type", "page_role", "program_name", "funder_name", "funding_type", "application_channel", "persist.ok", "acceptance", F.size("raw_criteria").alias("n_criteria"))
+
+
 TAXONOMY = {"articles": ("the", "der", "la", "le"), "links": ("and", "und", "et", "y"), "places": ("in", "on", "dans", "en", "von")}
 
 
@@ -140,6 +146,7 @@ QUERIES = {
     "u6_url_scores": url_scores,
     "h1_parsed_pages": parsed_pages,
     "h13_page_candidates": page_candidates,
+    "h15_page_records": built_records,
     "s7_contacts": contacts,
     "s11_keyword_map": keyword_map,
     "m4_money_ranges": money_ranges,

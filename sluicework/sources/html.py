@@ -6,54 +6,79 @@ styles and navigation are left out of the text; unclosed tags need no repair, as
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.urls import DOCUMENT_ENDINGS, canonical_text
+
 # Elements whose text is not content, and those that end a line.
 SILENT = {"script", "style", "noscript", "template", "svg"}
 NOISE = {"nav", "footer", "header", "aside", "form"}
-BLOCK = {"p", "div", "li", "tr", "br", "section", "article", "table", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd"}
+BLOCK = {"main", "details", "summary", "p", "div", "li", "tr", "br", "section", "article", "table", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd"}
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+
+def unbalanced(html: str) -> set[str]:
+    """Noise elements that are opened more often than closed: their text can't be told from the page's, and stays."""
+    low = html.lower()
+    return {t for t in NOISE if len(re.findall(rf"<{t}[\s>]", low)) > len(re.findall(rf"</{t}\s*>", low))}
+
+
 class Page(HTMLParser):
-    """Collects what a page holds."""
+    """Collects what a page holds. Open elements lie on a stack; an end tag closes all that its element still has open."""
 
-    def __init__(self) -> None:
+    def __init__(self, plain: set[str] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
+        self.plain = plain
         self.title, self.headings, self.links = "", [], []
         self.lines: list[str] = []
         self.sections: list[tuple[str, list[str]]] = []
+        self.meta: dict[str, str] = {}
+        self.data: list[str] = []
+        self.tabs: dict[str, str] = {}
+        self.panels: list[list] = []  # kind, label or the id of its tab, texts
         self._line: list[str] = []
-        self._hidden = self._noise = 0
-        self._in_title, self._heading, self._link = False, None, None
+        self._open: list[tuple[str, dict]] = []
+        self._heading, self._link, self._label = None, None, None
+
+    def _within(self, tags: set[str]) -> bool:
+        return any(t in tags for t, _ in self._open)
+
+    @property
+    def _noise(self) -> bool:
+        return any(t in NOISE and t not in self.plain for t, _ in self._open)
 
     def handle_starttag(self, tag, attrs):
-        if tag in SILENT:
-            self._hidden += 1
-        elif tag in NOISE:
-            self._flush()
-            self._noise += 1
-        elif tag == "title":
-            self._in_title = True
-        if tag in BLOCK:
+        at = {k: v or "" for k, v in attrs}
+        if tag in BLOCK or tag in NOISE:
             self._flush()
+        if tag == "meta" and (name := at.get("name") or at.get("property")) and at.get("content"):
+            self.meta.setdefault(name.lower(), " ".join(at["content"].split()))
         if tag in HEADING:
             self._heading = []
-        if tag == "a" and (href := dict(attrs).get("href")):
-            self._link = [href, []]
+        if tag == "a" and at.get("href"):
+            self._end_link()
+            self._link = [at["href"], []]
+        if tag == "summary" or at.get("role") == "tab":
+            self._label = [at.get("id", ""), []]
+        if tag == "details":
+            self.panels.append(["accordion", None, []])
+        elif at.get("role") == "tabpanel":
+            self.panels.append(["tab", at.get("aria-labelledby", ""), []])
+        if tag not in VOID:
+            panel = len(self.panels) - 1 if tag == "details" or at.get("role") == "tabpanel" else None
+            self._open.append((tag, at | ({"#": panel} if panel is not None else {})))
 
     def handle_endtag(self, tag):
-        if tag in SILENT:
-            self._hidden = max(0, self._hidden - 1)
-        elif tag in NOISE:
+        if tag in BLOCK or tag in NOISE:
             self._flush()
-            self._noise = max(0, self._noise - 1)
-        elif tag == "title":
-            self._in_title = False
         if tag in HEADING and self._heading is not None:
             text = " ".join("".join(self._heading).split())
             self._heading = None
@@ -62,20 +87,46 @@ class Page(HTMLParser):
                 self.headings.append(text)
                 self.sections.append((text, []))
                 self.lines.append(text)
-        if tag == "a" and self._link is not None:
+        if tag == "a":
+            self._end_link()
+        if any(t == tag for t, _ in self._open):
+            while self._open:
+                t, at = self._open.pop()
+                if self._label is not None and (t == "summary" or at.get("role") == "tab"):
+                    self._end_label(t, at)
+                if t == tag:
+                    break
+
+    def _end_label(self, tag, at):
+        text = " ".join("".join(self._label[1]).split())
+        if tag == "summary" and self.panels:
+            self.panels[-1][1] = text
+        elif at.get("id"):
+            self.tabs[at["id"]] = text
+        self._label = None
+
+    def _end_link(self):
+        if self._link is not None:
             self.links.append((self._link[0], " ".join("".join(self._link[1]).split())))
             self._link = None
-        if tag in BLOCK:
-            self._flush()
 
     def handle_data(self, data):
-        if self._hidden:
+        tag, at = self._open[-1] if self._open else ("", {})
+        if tag == "script" and at.get("type") == "application/ld+json":
+            self.data.append(data.strip())
+        if self._within(SILENT):
             return
-        if self._in_title:
+        if tag == "title":
             self.title += data
             return
         if self._link is not None:
             self._link[1].append(data)
+        if self._label is not None:
+            self._label[1].append(data)
+        else:
+            for _, held in self._open:
+                if "#" in held:
+                    self.panels[held["#"]][2].append(data)
         if self._heading is not None:
             self._heading.append(data)
         elif not self._noise:
@@ -84,43 +135,54 @@ class Page(HTMLParser):
     def _flush(self):
         text = " ".join("".join(self._line).split())
         self._line = []
-        if text and not self._noise:
+        if text:
             self.lines.append(text)
             if self.sections:
                 self.sections[-1][1].append(text)
 
     def done(self) -> dict:
         self._flush()
-        lines = list(dict.fromkeys(self.lines))
+        self._end_link()
         seen, sections = set(), []
         for heading, body in self.sections:
             key = (heading.lower(), "\n".join(body).lower())
             if key not in seen:
                 seen.add(key)
                 sections.append({"heading": heading, "content": "\n".join(dict.fromkeys(body))})
+        panels = [{"kind": k, "label": label if k == "accordion" else self.tabs.get(label, ""), "content": " ".join("".join(x).split())} for k, label, x in self.panels]
         return {
-            "title": " ".join(self.title.split()),
+            "title": " ".join(self.title.split()) or self.meta.get("og:title", ""),
             "headings": self.headings,
             "sections": sections,
             "links": [{"href": h, "text": t} for h, t in dict.fromkeys(self.links)],
-            "text": "\n".join(lines),
+            "text": "\n".join(dict.fromkeys(self.lines)),
+            "panels": [p for p in panels if p["content"]],
+            "summary": self.meta.get("description") or self.meta.get("og:description") or "",
+            "data": [d for d in self.data if d],
         }
 
 
 def parse(html: str | None) -> dict:
-    """Parts of one page; null is an empty page."""
-    page = Page()
-    page.feed(html or "")
-    page.close()
-    return page.done()
+    """Parts of one page; null is an empty page. Marked sections that the parser can't read count as text."""
+    html = html or ""
+    for source in (html, html.replace("<!", "&lt;!")):
+        page = Page(unbalanced(html))
+        try:
+            page.feed(source)
+            page.close()
+        except AssertionError:
+            continue
+        return page.done()
+    return Page().done()
 
 
-SCHEMA = "title string, headings array<string>, sections array<struct<heading:string,content:string>>, links array<struct<href:string,text:string>>, text string"
-_TYPES = [
-    pa.string(), pa.list_(pa.string()), pa.list_(pa.struct([("heading", pa.string()), ("content", pa.string())])),
-    pa.list_(pa.struct([("href", pa.string()), ("text", pa.string())])), pa.string(),
-]
-_NAMES = ["title", "headings", "sections", "links", "text"]
+SCHEMA = (
+    "title string, headings array<string>, sections array<struct<heading:string,content:string>>, links array<struct<href:string,text:string>>, text string, "
+    "panels array<struct<kind:string,label:string,content:string>>, summary string, data array<string>"
+)
+_pair = lambda *names: pa.list_(pa.struct([(n, pa.string()) for n in names]))
+_TYPES = [pa.string(), pa.list_(pa.string()), _pair("heading", "content"), _pair("href", "text"), pa.string(), _pair("kind", "label", "content"), pa.string(), pa.list_(pa.string())]
+_NAMES = ["title", "headings", "sections", "links", "text", "panels", "summary", "data"]
 
 
 def documents(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -139,7 +201,63 @@ def documents(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     return source.mapInArrow(run, f"id {kind}, url string, {SCHEMA}")
 
 
+# What links to applications and documents are told by, and labels that are no programme's.
+APPLY_WORDS = ("apply", "application", "portal", "register")
+NO_LABELS = (
+    "eligibility", "eligibility criteria", "requirements", "how to apply", "application", "application process", "documents", "required documents", "overview",
+    "terms", "support", "contact", "contact us", "about", "about us", "home", "news", "faq", "faqs", "share", "menu", "search",
+)
+
+
+def with_links(docs: DataFrame) -> DataFrame:
+    """Adds ``apply_links, document_links, page_links``: the page's links in canonical form, each once, by kind."""
+
+    def run(batches):
+        for batch in batches:
+            kinds: tuple[list, list, list] = ([], [], [])
+            for url, links in zip(batch.column(1).to_pylist(), batch.column(batch.schema.get_field_index("links")).to_pylist(), strict=True):
+                held: tuple[dict, dict, dict] = ({}, {}, {})
+                for link in links or []:
+                    try:
+                        full = canonical_text(link["href"], url)
+                    except ValueError:
+                        continue
+                    if not full.startswith(("http://", "https://")):
+                        continue
+                    held[2].setdefault(full)
+                    if full.lower().endswith(DOCUMENT_ENDINGS):
+                        held[1].setdefault(full)
+                    elif any(w in full.lower() or w in (link["text"] or "").lower() for w in APPLY_WORDS):
+                        held[0].setdefault(full)
+                for out, h in zip(kinds, held, strict=True):
+                    out.append(list(h))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(k, type=pa.list_(pa.string())) for k in kinds)], names=[*batch.schema.names, "apply_links", "document_links", "page_links"])
+
+    kind = dict(docs.dtypes)["id"]
+    return docs.select("id", "url", *_NAMES).mapInArrow(run, f"id {kind}, url string, {SCHEMA}, apply_links array<string>, document_links array<string>, page_links array<string>")
+
+
+def candidate_label(c):
+    """A heading as the name of a candidate: without a call to action at its end."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)\s*[-–|:]?\s*(read more|learn more|apply now|find out more|view details)\s*$", ""), r"\s+", " "))
+
+
+def is_label(c):
+    """4 to 110 letters, at most twelve words, and not the heading of a part of a page."""
+    return F.length(c).between(4, 110) & (F.size(F.split(c, " ")) <= 12) & ~F.lower(c).isin(*NO_LABELS)
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """One row per section of a page, with its place: the candidate records of a listing."""
+    """Sections of a page as candidate records, with their place: those with a telling label and some content; of one label
+    the section with the longest content."""
     rows = docs.select("id", "url", F.posexplode("sections").alias("place", "section"))
-    return rows.select("id", "url", "place", F.col("section.heading").alias("heading"), F.col("section.content").alias("content"))
+    rows = rows.select("id", "url", "place", candidate_label(F.col("section.heading")).alias("heading"), F.col("section.content").alias("content"))
+    rows = rows.filter(is_label(F.col("heading")) & (F.length("content") > 0))
+    best = rows.groupBy("id", "url", F.lower("heading").alias("_k")).agg(F.max_by(F.struct("place", "heading", "content"), F.struct(F.length("content"), -F.col("place"))).alias("x"))
+    return best.select("id", "url", "x.*")
+
+
+def scoped_links(label, links):
+    """Links that share a word of four letters and more with a candidate's label."""
+    words = F.filter(F.split(F.lower(label), "[^a-z0-9]+"), lambda w: F.length(w) >= 4)
+    return F.filter(links, lambda u: F.exists(words, lambda w: F.lower(u).contains(w)))

@@ -21,28 +21,15 @@ def windowed(visits: DataFrame, late: str = "10 minutes", length: str = "1 hour"
 def replace_sites(stored_path: str, key: str = "site"):
     """A ``foreachBatch`` function: each batch replaces the stored rows of the sites it holds.
 
-    Every batch is written to a folder of its own before the pointer moves, so a repeated batch after a
-    failure gives the same table.
-    """
+    The table is partitioned by site and only the batch's partitions are overwritten, so a batch costs what it holds,
+    whatever its number, and one that is repeated after a failure gives the same table."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        target = f"{stored_path}/batch={batch_id}"
-        previous = f"{stored_path}/batch={batch_id - 1}"
-        new = batch
-        if batch_id and _exists(spark, previous):
-            old = spark.read.parquet(previous)
-            new = old.join(batch.select(key).distinct(), key, "left_anti").unionByName(batch)
-        new.write.mode("overwrite").parquet(target)
+        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(stored_path)
 
     return write
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def run_once(stream: DataFrame, write, checkpoint: str) -> None:
     """Works off all that has arrived, then stops; a later call goes on from the checkpoint."""
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -60,29 +47,30 @@ def cached_decisions(rows: DataFrame, cache: DataFrame, least: float = 0.85) ->
     return rows.join(sure, "key", "left")
 
 
-def crawl(spark: SparkSession, seeds: DataFrame, links: DataFrame, scratch: str, rounds: int, per_target: int = 50, depth: int = 2) -> DataFrame:
+def crawl(
+    spark: SparkSession, seeds: DataFrame, links: DataFrame, scratch: str, rounds: int, per_target: int = 50, depth: int = 2, queue: int = 500, per_page: int = 120
+) -> DataFrame:
     """Best-first crawl over a table of links, one page per target and round: ``target, url, score, round``.
 
     seeds: ``target, url, score``; links: ``src, url, score``. Each round takes the best waiting url of every
-    target (ties: first come, then url), adds the links of what it took, and drops what was seen. The state
-    is written to ``scratch`` every round.
-    """
-    waiting = seeds.select("target", "url", "score", F.lit(0).alias("level"), F.lit(0).alias("born"))
-    waiting = waiting.dropDuplicates(["target", "url"])
+    target (ties: first come, then url), adds the ``per_page`` best links of what it took, and drops what was seen and
+    what goes beyond the best ``queue`` of a target. Each round's pages are a table of their own in ``scratch``."""
+    best = Window.partitionBy("target").orderBy(F.desc("score"), "born", "url")
+    of_page = Window.partitionBy("src").orderBy(F.desc("score"), "url")
+    links = links.withColumn("_n", F.row_number().over(of_page)).filter(F.col("_n") <= per_page).drop("_n").withColumnsRenamed({"score": "s", "url": "u"})
+    waiting = seeds.select("target", "url", "score", F.lit(0).alias("level"), F.lit(0).alias("born")).dropDuplicates(["target", "url"])
     done = None
     for n in range(min(rounds, per_target)):
-        best = Window.partitionBy("target").orderBy(F.desc("score"), "born", "url")
         took = waiting.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
         took = _kept(took.withColumn("round", F.lit(n)), scratch)
         if took.isEmpty():
             break
-        done = took if done is None else _kept(done.unionByName(took), scratch)
-        fresh = took.filter(F.col("level") < depth).join(links.withColumnsRenamed({"score": "s", "url": "u"}), F.col("url") == F.col("src"))
+        done = took if done is None else done.unionByName(took)
+        fresh = took.filter(F.col("level") < depth).join(links, F.col("url") == F.col("src"))
         fresh = fresh.select("target", F.col("u").alias("url"), F.col("s").alias("score"), (F.col("level") + 1).alias("level"), F.lit(n + 1).alias("born"))
-        seen = done.select("target", "url")
         merged = waiting.unionByName(fresh).groupBy("target", "url").agg(F.min(F.struct("born", "level", (-F.col("score")).alias("m"))).alias("x"))
-        waiting = merged.join(seen, ["target", "url"], "left_anti").select("target", "url", (-F.col("x.m")).alias("score"), F.col("x.level").alias("level"), F.col("x.born").alias("born"))
-        waiting = _kept(waiting, scratch)
+        waiting = merged.join(done.select("target", "url"), ["target", "url"], "left_anti").select("target", "url", (-F.col("x.m")).alias("score"), F.col("x.level").alias("level"), F.col("x.born").alias("born"))
+        waiting = _kept(waiting.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= queue).drop("_n"), scratch)
     return done if done is not None else waiting.limit(0).withColumn("round", F.lit(0))
 
 

@@ -103,8 +103,6 @@ def test_classes(spark):
     assert kind("nothing") == ("Unknown", 0.0) and kind(None) == ("Unknown", 0.0)
     assert one(spark, "Call for applications", classify.page_type) == "open_call"
     assert one(spark, None, classify.page_type) == "generic_content"
-    assert one(spark, "rolling, 31/12/2026", classify.deadline).kind == "Rolling"
-    assert str(one(spark, "by 5 March 2026", classify.deadline).day) == "2026-03-05"
     assert tuple(one(spark, "2 to 3 years", classify.month_range)) == (24, 36)
 
 
@@ -114,3 +112,13 @@ def test_html():
     assert page["sections"] == [{"heading": "One", "content": "a\nb"}, {"heading": "Two", "content": "c"}]
     assert page["links"] == [{"href": "/n", "text": "n"}] and page["text"] == "One\na\nb\nTwo\nc"
     assert html.parse(None)["text"] == ""
+
+
+def test_html_of_broken_pages():
+    assert "kept" in html.parse("<p>a<![bogus[ x ]]><p>kept")["text"]
+    assert html.parse("<nav>menu<p>text of the page")["text"] == "menu\ntext of the page"  # never closed: not told apart
+    assert html.parse("<div><nav>menu</div><nav>more</nav></nav><p>text")["text"] == "text"  # closed with its parent
+    assert [x["href"] for x in html.parse("<a href=1>x<a href=2>y</a>")["links"]] == ["1", "2"]
+    page = html.parse("<details><summary>Who?</summary>All</details><b id=t role=tab>Tab</b><div role=tabpanel aria-labelledby=t>Panel</div><meta property=og:title content=T><script type='application/ld+json'>{}</script>")
+    assert page["panels"] == [{"kind": "accordion", "label": "Who?", "content": "All"}, {"kind": "tab", "label": "Tab", "content": "Panel"}]
+    assert page["title"] == "T" and page["data"] == ["{}"]

@@ -122,6 +122,36 @@ def compact(c: Column, most: int) -> Column:
     return F.substring(F.array_join(F.array_distinct(lines), "\n"), 1, most)
 
 
+def site_pages(sitemaps: DataFrame, robots: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
+    """``host, loc``: pages of the sitemaps that robots files and the usual places name, indexes followed to a depth, on the
+    host itself only.
+
+    sitemaps: ``source, content`` (fetched maps, packed or not); robots: ``host, content``; seeds: ``host``."""
+    from ..functions.urls import domain, host
+
+    def run(batches):
+        for batch in batches:
+            texts_ = []
+            for x in batch.column(1).to_pylist():
+                try:
+                    texts_.append(unzipped(x or b"").decode("utf-8", "replace"))
+                except (OSError, EOFError):  # a broken archive is an empty map
+                    texts_.append("")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts_, type=pa.string())], names=["source", "xml"])
+
+    maps = sitemap_urls(sitemaps.select("source", F.col("content").cast("binary")).mapInArrow(run, "source string, xml string").filter("xml like '%<loc>%'"))
+    named = F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r"(?im)^\s*sitemap:\s*(\S+)"), 1)
+    usual = seeds.select("host", F.concat(F.lit("https://"), "host", F.lit("/sitemap.xml")).alias("source"))
+    level = usual.unionByName(robots.select("host", F.explode(named).alias("source"))).distinct()
+    found = None
+    for _ in range(depth + 1):
+        here = level.join(maps, "source").filter(domain(F.col("loc")) == F.regexp_replace(F.lower("host"), "^www[.]", ""))
+        pages = here.filter(~F.col("is_index")).select("host", "loc")
+        found = pages if found is None else found.unionByName(pages)
+        level = here.filter("is_index").select("host", F.col("loc").alias("source")).distinct()
+    return found.filter(host(F.col("loc")) != "").distinct()
+
+
 def sitemap_urls(maps: DataFrame) -> DataFrame:
     """``source, loc, is_index`` of sitemap texts (``source, xml``)."""
     loc = F.expr("xpath(xml, '//*[local-name()=\"loc\"]/text()')")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from ..operators.quality import computed
-from .text import collapse
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 # Frequent words of each language, and the letters of its alphabet.
 COMMON_WORDS = {
@@ -26,33 +28,48 @@ LETTERS = {
     "en": _LATIN, "af": _LATIN + "êëïôûáéíóú", "zu": _LATIN, "xh": _LATIN, "fr": _LATIN + "àâäæçéèêëïîôùûüÿœ", "es": _LATIN + "áéíóúüñ¿¡",
     "pt": _LATIN + "áàâãéêíóôõúüç", "de": _LATIN + "äöüß", "ar": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "zh": "",
 }
-SCRIPTS = {"zh": "[\u4e00-\u9fff]", "ar": "[\u0600-\u06ff]"}
+SCRIPTS = {"zh": ("\u4e00", "\u9fff"), "ar": ("\u0600", "\u06ff")}
 LEAST = 10
-NOT_WORD = r"[^\p{L}\p{N}_]+"
-
-
-def languages(df: DataFrame, text_col: str = "text", top: int = 3) -> DataFrame:
-    """Adds ``languages``: structs of (score, lang), best first, at most ``top``.
-
-    Ten times the rate of common words, five times the share of letters, ten more for a script of its own, over the best.
-    Languages without a point are left out; equal scores keep the order above; short texts are English by half. The text is
-    cleaned once, and each language counts in one pass over it."""
-    raw = F.coalesce(F.col(text_col), F.lit(""))
-    out = computed(df, _clean=F.lower(collapse(raw)))
-    clean = F.col("_clean")
-    parted = F.concat(F.lit(" "), F.regexp_replace(clean, NOT_WORD, "  "), F.lit(" "))
-    out = computed(out, _parted=parted, _words=F.greatest(F.size(F.split(clean, " ")), F.lit(1)), _chars=F.greatest(F.length(clean), F.lit(1)))
-    made = []
-    for i, (lang, words) in enumerate(COMMON_WORDS.items()):
-        hits = F.regexp_count(F.col("_parted"), F.lit(" (?:" + "|".join(words) + ") ")) / F.col("_words") * 10
-        share = (F.length(clean) - F.length(F.translate(clean, LETTERS[lang], ""))) / F.col("_chars") * 5 if LETTERS[lang] else F.lit(0.0)
-        extra = F.when(raw.rlike(SCRIPTS[lang]), 10.0).otherwise(0.0) if lang in SCRIPTS else F.lit(0.0)
-        made.append(F.struct((hits + share + extra).alias("score"), F.lit(-i).alias("turn"), F.lit(lang).alias("lang")))
-    out = computed(out, _ranked=F.sort_array(F.filter(F.array(*made), lambda x: x["score"] > 0), asc=False))
-    best = F.try_element_at("_ranked", F.lit(1))["score"]
-    rated = F.transform(F.slice("_ranked", 1, top), lambda x: F.struct(F.round(x["score"] / best, 4).alias("score"), x["lang"].alias("lang")))
-    english = F.array(F.struct(F.lit(0.5).alias("score"), F.lit("en").alias("lang")))
-    return out.withColumn("languages", F.when((F.length(collapse(raw)) < LEAST) | (F.size("_ranked") == 0), english).otherwise(rated)).drop("_clean", "_parted", "_words", "_chars", "_ranked")
+_LANGS = list(COMMON_WORDS)
+_WORDS: dict[str, list[int]] = {}
+for _i, _lang in enumerate(_LANGS):
+    for _w in COMMON_WORDS[_lang]:
+        _WORDS.setdefault(_w, []).append(_i)
+_WORD = re.compile(r"\w+")
+RANKED = ArrayType(StructType([StructField("score", DoubleType()), StructField("lang", StringType())]))
+
+
+def ranked_languages(text: str | None, top: int = 3) -> list[tuple[float, str]]:
+    """(score, language), best first: ten times the rate of common words, five times the share of letters, ten more for a
+    script of its own, over the best. Languages without a point are left out; equal scores keep the order above; short texts
+    are English by half."""
+    clean = " ".join((text or "").split()).lower()
+    if len(clean) < LEAST:
+        return [(0.5, "en")]
+    score = [0.0] * len(_LANGS)
+    words = max(1, clean.count(" ") + 1)
+    for w, n in Counter(_WORD.findall(clean)).items():
+        for i in _WORDS.get(w, ()):
+            score[i] += 10.0 * n / words
+    chars = Counter(clean)
+    for i, lang in enumerate(_LANGS):
+        letters = LETTERS[lang]
+        score[i] += 5.0 * sum(n for c, n in chars.items() if c in letters) / len(clean)
+        if lang in SCRIPTS and any(SCRIPTS[lang][0] <= c <= SCRIPTS[lang][1] for c in chars):
+            score[i] += 10.0
+    order = [i for i in sorted(range(len(_LANGS)), key=lambda i: (-score[i], i)) if score[i] > 0]
+    return [(round(score[i] / score[order[0]], 4), _LANGS[i]) for i in order[:top]] or [(0.5, "en")]
+
+
+@F.pandas_udf(RANKED)
+def languages_of(texts: pd.Series) -> pd.Series:
+    """``ranked_languages`` of a column (Arrow UDF: one pass counts words and letters for all languages)."""
+    return texts.map(lambda t: [{"score": s, "lang": lang} for s, lang in ranked_languages(t)])
+
+
+def languages(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds ``languages``: up to three structs of (score, lang), best first."""
+    return df.withColumn("languages", languages_of(text_col))
 
 
 def multilingual(languages: Column, least: float = 0.3) -> Column:

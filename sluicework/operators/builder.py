@@ -122,3 +122,114 @@ def page_records(pages: DataFrame, as_of: Column, id_col: str = "page_id", url_c
         text.unique_text(needed).alias("required_documents"), F.col("document_links").alias("related_documents"), F.transform("sections", lambda s: s["heading"]).alias("funding_lines"), none.alias("notes"),
     )
     return records.accepted(records.review_marks(records.persist_gate(records.gates(out))))
+
+
+# Signals of programme pages and of others, of files that are none, and of links to forms.
+PROGRAMME_SIGNALS = (
+    "funding", "fund", "grant", "loan", "equity", "investment", "finance", "programme", "program", "eligibility", "criteria", "apply", "application",
+    "who qualifies", "support for entrepreneurs",
+)
+OTHER_SIGNALS = (
+    "news", "article", "blog", "philosophy", "governance", "process", "procedure", "press release", "media", "publication", "report", "annual report",
+    "case study", "success story", "about us", "contact us", "privacy", "terms", "policy", "faq", "download", "procurement", "tender", "pdf", "xlsx",
+    "screenshot", "image", "gallery", "attachment",
+)
+FILE_BLOCKS = (
+    "performance", "current", "signature", "report", "annual report", "news", "article", "success story", "media", "procurement", "tender", "faq", "policy",
+    "governance", "process",
+)
+FILE_ALLOWS = (
+    "fund", "funding", "programme", "program", "application", "eligibility", "criteria", "investment", "loan", "grant", "equity", "apply", "form", "checklist",
+)
+FORM_WORDS, GUIDE_WORDS = ("portal", "apply", "application", "register", "submit", "online", "form"), ("brochure", "checklist", "guidelines", "download", "template", "sample")
+ROUTE_FROM = 8
+
+
+def _hits(low: Column, terms: tuple[str, ...]) -> Column:
+    return sum((low.contains(t).cast("int") for t in terms), F.lit(0))
+
+
+def preflight(page_type: Column, low: Column, file_kind: Column, name: Column, chars: Column) -> Column:
+    """Struct of decision (yes, no, unclear), confidence and reason before a page is read closely; the first rule that holds.
+
+    ``low`` is the page's text in lower case, ``name`` the last part of its url, ``chars`` the length of its body."""
+    strong = _hits(low, tuple(t for t in PROGRAMME_SIGNALS if t != "investment"))
+    other = _hits(low, OTHER_SIGNALS)
+    file_like = file_kind.isin("pdf", "docx", "xlsx", "image")
+    say = lambda d, c, r: F.struct(F.lit(d).alias("decision"), c.alias("confidence"), F.lit(r).alias("reason"))
+    sure = lambda x: F.lit(x).cast("double")
+    dropped = page_type.isin(*records.DROPPED_TYPES)
+    split = F.when((page_type == "generic_content") & (strong >= 2), 0.55).otherwise(0.95)
+    allowed, blocked = (_hits(low, t) + _hits(name, t) > 0 for t in (FILE_ALLOWS, FILE_BLOCKS))
+    return (
+        F.when(dropped, say("no", split, "page type"))
+        .when((_hits(low, ("philosophy", "governance", "process", "procedure")) > 0) & (strong == 0), say("no", sure(0.97), "governance or philosophy"))
+        .when(file_like & ~allowed & (strong == 0), say("no", sure(0.96), "file without programme terms"))
+        .when(file_like & blocked & (strong == 0), say("no", sure(0.94), "report or media file"))
+        .when((other >= 2) & (strong == 0), say("no", sure(0.93), "article, media or policy"))
+        .when(strong >= 2, say("yes", sure(0.9), "programme signals"))
+        .when((strong == 1) & (other == 0) & (chars >= 600), say("yes", sure(0.8), "one programme signal"))
+        .otherwise(say("unclear", sure(0.55), ""))
+    )
+
+
+def application_route(links: Column, page: Column, low: Column) -> Column:
+    """The application link of most points, if it has ROUTE_FROM: words of forms and portals count for it, of guides, uploads,
+    documents and the page itself against it; of equals the first."""
+    own = urls.domain(page)
+
+    def points(u: Column) -> Column:
+        url = F.lower(u)
+        online = url.contains("online.") | url.contains("portal")
+        away = F.when((urls.domain(u) != "") & (urls.domain(u) != own), F.when(url.rlike("portal|apply|application|online"), 6).otherwise(-2)).otherwise(0)
+        score = (
+            F.when(url.rlike("|".join(FORM_WORDS)), 18).otherwise(0) + F.when(online, 10).otherwise(0) + F.when(online & low.contains("application portal"), 10).otherwise(0)
+            - F.when(url.rlike("|".join(GUIDE_WORDS)), 18).otherwise(0) - F.when(url.contains("/wp-content/uploads/"), 24).otherwise(0) + away
+            - F.when(F.regexp_replace(url, "/+$", "") == F.regexp_replace(F.lower(page), "/+$", ""), 6).otherwise(0)
+        )
+        return F.when(urls.is_document(u), -100).otherwise(score)
+
+    ranked = F.array_sort(F.transform(links, lambda u, i: F.struct((-points(u)).alias("p"), i.alias("i"), u.alias("u"))))
+    best = F.try_element_at(ranked, F.lit(1))
+    return F.when(-best["p"] >= ROUTE_FROM, best["u"])
+
+
+def linked_documents(docs: DataFrame, most: int = 4) -> DataFrame:
+    """``id, document``: documents of a page on its own domain that share words with its title, address and headings, the first
+    ``most`` links only."""
+    context = F.concat_ws(" ", "title", "url", F.array_join(F.slice("headings", 1, 8), " "))
+    rows = docs.select("id", "url", context.alias("context"), F.posexplode(F.slice("document_links", 1, most)).alias("place", "document"))
+    fits = (urls.domain(F.col("document")) == urls.domain(F.col("url"))) & urls.document_fits(F.col("document"), F.col("context"), F.lit(""))
+    return rows.filter(fits).select("id", "place", "document")
+
+
+def document_evidence(links: DataFrame, texts: DataFrame) -> DataFrame:
+    """``id, group, line``: of each linked document with a text (``document, text``) one line tagged with its name, in up to four
+    groups of fields by its terms."""
+    rows = links.join(texts.filter(F.length(F.trim("text")) > 0), "document")
+    name = F.regexp_extract("document", "([^/]+)$", 1)
+    line = F.concat(F.lit("["), name, F.lit("] "), F.substring(text.collapse(F.col("text")), 1, 400))
+    low = F.lower("text")
+    groups = F.array_compact(F.array(*[F.when(low.rlike("|".join(v)), F.lit(k)) for k, v in GROUPS.items()]))
+    return rows.select("id", "place", F.explode(F.slice(groups, 1, 4)).alias("group"), line.alias("line"))
+
+
+SAYS_NOTHING = ("fund", "funding", "programme", "program", "facility", "finance", "investment")
+"""Words that don't set programmes apart."""
+
+
+def _telling(c: Column) -> Column:
+    words = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda w: (F.length(w) >= 4) & ~w.isin(*SAYS_NOTHING))
+    return F.array_distinct(words)
+
+
+def missed_candidates(candidates: DataFrame, found: DataFrame) -> DataFrame:
+    """Candidates of a page (``id, heading``) that none of its records (``id, name``) is: names are equal, or all telling words
+    of the shorter one are shared. Pages with one candidate, or as many records as candidates, have none."""
+    counts = candidates.groupBy("id").agg(F.count(F.lit(1)).alias("_c")).join(found.groupBy("id").agg(F.count(F.lit(1)).alias("_r")), "id", "left")
+    few = counts.filter((F.col("_c") > 1) & (F.coalesce("_r", F.lit(0)) < F.col("_c"))).select("id")
+    a, b = _telling(F.col("heading")), _telling(F.col("name"))
+    shared = F.size(F.array_intersect(a, b))
+    same = (F.lower(F.trim("heading")) == F.lower(F.trim("name"))) | ((F.size(a) > 0) & (F.size(b) > 0) & (shared >= F.least(F.size(a), F.size(b))))
+    named = found.select(F.col("id").alias("_id"), "name")
+    return candidates.join(few, "id", "left_semi").join(named, (F.col("id") == F.col("_id")) & same, "left_anti")

@@ -340,6 +340,49 @@ def candidate_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("id", "place", "heading", "content", F.size(html.scoped_links(F.col("heading"), F.col("page_links"))).alias("n_links"))
 
 
+# (page type, text, file kind, name, chars, decision, confidence)
+PREFLIGHT = [
+    ("news_article", "grant and loan", "unsupported", "x", 900, "no", 0.95), ("generic_content", "apply for a grant", "unsupported", "x", 9, "no", 0.55), ("funding_programme", "our philosophy", "unsupported", "x", 9, "no", 0.97),
+    ("funding_programme", "minutes", "pdf", "minutes.pdf", 9, "no", 0.96), ("funding_programme", "figures", "pdf", "form-report.pdf", 9, "no", 0.94), ("funding_programme", "press release and gallery", "unsupported", "x", 9, "no", 0.93),
+    ("funding_programme", "a grant: apply", "unsupported", "x", 9, "yes", 0.9), ("funding_programme", "one loan", "unsupported", "x", 700, "yes", 0.8), ("funding_programme", "one loan", "unsupported", "x", 70, "unclear", 0.55),
+]
+# (links, page, text, route)
+ROUTES = [
+    (["https://a.org/form.pdf", "https://a.org/apply", "https://online.b.org/apply"], "https://a.org/p", "", "https://online.b.org/apply"), (["https://a.org/apply"], "https://a.org/apply/", "", "https://a.org/apply"),
+    (["https://a.org/guidelines/apply", "https://a.org/x"], "https://a.org/p", "", None), ([], "https://a.org/p", "", None), (["https://a.org/wp-content/uploads/portal"], "https://a.org/", "the application portal", "https://a.org/wp-content/uploads/portal"),
+]
+
+
+def preflights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C20: what is decided of pages before they are read closely."""
+    d = spark.createDataFrame([(i, *r[:5]) for i, r in enumerate(PREFLIGHT)], "id int, t string, l string, k string, n string, c int")
+    return d.select("id", builder.preflight(*[F.col(x) for x in "tlknc"]).alias("p")).select("id", "p.decision", "p.confidence")
+
+
+def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The application link of most points."""
+    d = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(ROUTES)], "id int, l array<string>, p string, t string")
+    return d.select("id", builder.application_route(F.col("l"), F.col("p"), F.col("t")).alias("route"))
+
+
+def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that belong to a page, and the groups of fields that their texts speak of."""
+    d = spark.createDataFrame([
+        (1, "https://a.org/seed-grant", "Seed Grant", ["Who qualifies"], ["https://a.org/seed-grant-checklist.pdf", "https://b.org/seed.pdf", "https://a.org/annual.pdf", "https://www.a.org/seed.docx", "https://a.org/seed-fifth.pdf"]),
+        (2, "https://a.org/none", "", [], []),
+    ], "id int, url string, title string, headings array<string>, document_links array<string>")
+    texts = spark.createDataFrame([("https://a.org/seed-grant-checklist.pdf", "Proof of tax\nrequirements"), ("https://www.a.org/seed.docx", "Nothing here"), ("https://a.org/annual.pdf", "loan")], "document string, text string")
+    e = builder.document_evidence(builder.linked_documents(d), texts)
+    return e.select("id", "place", "group", "line")
+
+
+def missed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed programmes that no record stands for."""
+    c = spark.createDataFrame([(1, "Bridge Loan"), (1, "Asset Finance Facility"), (1, "Women Growth Fund"), (2, "Alone"), (3, "One Loan"), (3, "Two Loan")], "id int, heading string")
+    f = spark.createDataFrame([(1, "bridge loan "), (1, "Growth fund for women")], "id int, name string")
+    return builder.missed_candidates(c, f)
+
+
 # (label, type)
 ALIASES = [("Programme-Listing", "funding_listing"), ("call for applications", "open_call"), ("News/Article", "news_article"), ("press", "generic_content"), (" product page", "funding_programme"), ("mixed", "funding_listing"), (None, "generic_content")]
 
@@ -365,6 +408,7 @@ QUERIES = {
     "e1_star_clusters": star_cases, "j1_records_to_sites": site_cases, "e9_hybrid_records": hybrid_cases, "h23_draft_records": draft_cases,
     "j13_draft_sources": source_cases, "u1_relative_urls": url_cases, "g9_page_types": page_type_cases, "s1_text_cases": text_cases,
     "g8_type_aliases": alias_cases, "e10_best_by_key": best_cases, "h15_record_cases": record_cases, "h13_candidate_cases": candidate_cases,
+    "c20_preflights": preflights, "h19_routes": routes, "h29_linked_documents": linked, "h14_missed_candidates": missed,
 }
 ORACLE_SQL = {
     "c5_render_reasons": _values("id, reason", [(r[0], r[6]) for r in RENDER]),
@@ -381,6 +425,10 @@ ORACLE_SQL = {
     "s1_text_cases": _values("id, folded, slug, bare, fund", [(i, *r[1:]) for i, r in enumerate(TEXTS)]),
     "g8_type_aliases": _values("id, page_type", [(i, r[1]) for i, r in enumerate(ALIASES)]),
     "e10_best_by_key": _values("ord, first_ord", [(3, 1), (4, 4), (5, 5)]),
+    "c20_preflights": _values("id, decision, confidence", [(i, *r[5:]) for i, r in enumerate(PREFLIGHT)]),
+    "h19_routes": _values("id, route", [(i, r[3]) for i, r in enumerate(ROUTES)]),
+    "h29_linked_documents": _values('id, place, "group", line', [(1, 0, g, "[seed-grant-checklist.pdf] Proof of tax requirements") for g in ("eligibility", "documents")]),
+    "h14_missed_candidates": _values("id, heading", [(1, "Asset Finance Facility"), (3, "One Loan"), (3, "Two Loan")]),
     "h13_candidate_cases": _values("id, place, heading, content, n_links", CANDIDATES),
     "h15_record_cases": _values("id, page_type, page_role, program_name, funder_name, funding_type, ticket_min, ticket_max, currency, deadline_type, deadline, geography_scope, application_channel, "
                                 "application_url, contact_email, criteria, documents, acceptance, doubts", PAGE_RECORDS),

@@ -234,10 +234,10 @@ def preview_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = programmes(spark, sf_dir).withColumn("geography", F.when(F.col("geography_scope") == "Unknown", none).otherwise(F.array(F.when(F.col("pk") % 3 == 0, "Southern Africa").otherwise(F.coalesce("province", F.lit("elsewhere"))))))
     p = p.withColumn("level", F.floor(F.coalesce("ticket_min", F.lit(-1)) / 20000)).withColumns({"ticket_min": F.when(F.col("level") >= 0, F.col("level") * 20000), "ticket_max": F.when(F.col("ticket_max").isNotNull(), F.ceil(F.col("ticket_max") / 20000) * 20000)})
     p = p.groupBy(F.col("industries").alias("sectors"), "geography", "funding_type", "ticket_min", "ticket_max").agg(F.count(F.lit(1)).alias("n"))
-    users = _profiles(spark, sf_dir).select("user_id", F.col("sectors").alias("f_sectors"), F.col("province").alias("f_country"), F.col("preferred_types").alias("f_types"), F.col("requested_min").alias("f_min"), F.col("requested_max").alias("f_max"))
+    users = _profiles(spark, sf_dir).select("user_id", F.col("sectors").alias("f_sectors"), F.regexp_extract(F.lower("province"), "|".join(matching.PREVIEW_PLACES), 0).alias("f_country"), F.col("preferred_types").alias("f_types"), F.col("requested_min").alias("f_min"), F.col("requested_max").alias("f_max"))
     kind = ["f_sectors", "f_country", "f_types", "f_min", "f_max"]
     kinds = users.select(*kind).distinct().withColumn("kind", F.sha2(F.to_json(F.struct(*kind)), 256))
-    # kinds of profiles are as many as the form has answers, not as users: a stated query set against all rows
+    # of a profile's country only the words that count are kept, so kinds of profiles are as many as the form has answers, not as users: a stated query set against all rows
     seen = matching.preview(p.crossJoin(F.broadcast(kinds))).groupBy("kind", "preview_status").agg(F.sum("n").alias("n"), F.max("preview").alias("best"))
     return users.withColumn("kind", F.sha2(F.to_json(F.struct(*kind)), 256)).select("user_id", "kind").join(seen, "kind").drop("kind")
 

@@ -93,7 +93,7 @@ def _languages_sql() -> str:
         listed = ", ".join(f"'{w}'" for w in words)
         letters = language.LETTERS[lang]
         share = f"(length(low) - length(regexp_replace(low, '[{letters}]', '', 'g'))) / greatest(length(low), 1)::DOUBLE * 5" if letters else "0"
-        extra = f"CASE WHEN regexp_matches(coalesce(text, ''), '{language.SCRIPTS[lang]}') THEN 10 ELSE 0 END" if lang in language.SCRIPTS else "0"
+        extra = f"CASE WHEN regexp_matches(low, '[{'-'.join(language.SCRIPTS[lang])}]') THEN 10 ELSE 0 END" if lang in language.SCRIPTS else "0"
         scores.append(f"{{'s': len(list_filter(words, lambda w: w IN ({listed}))) / n * 10 + {share} + {extra}, 'i': {-len(scores)}, 'l': '{lang}'}}")
     return f"""WITH t AS (SELECT doc_id, text, {low} AS low FROM documents),
         w AS (SELECT *, regexp_split_to_array(low, '[^\\p{{L}}\\p{{N}}_]+') AS words, greatest(len(string_split(low, ' ')), 1)::DOUBLE AS n FROM t),

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import telemetry
 from ..operators.matching import top_per
 from ..streaming.visits import site_counts
-from .views import scratch, table
+from .views import folder, table
 
 VISITS_SQL = """visits AS (SELECT event_id, ts, user_id % 50 AS site, value AS seconds, event_type,
     CASE WHEN event_id % 10 < 6 THEN 'ok' WHEN event_id % 10 < 8 THEN 'failed' ELSE 'skipped' END AS outcome,
@@ -103,7 +101,7 @@ def retry_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of each site and outcome by a stream that works off all files, its state in a checkpoint."""
-    path = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
+    path = folder(spark, "stream")
     events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: a stream takes a plain path for a folder
     counts = site_counts(_shaped(events))
 

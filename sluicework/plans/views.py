@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,11 +24,31 @@ def scratch(spark: SparkSession) -> str:
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` written into the shared folder and read back: what follows starts from the table."""
-    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_MADE: list[tuple[SparkSession, str]] = []
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder name under ``scratch``; what is written there goes when the driver ends."""
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append((spark, path))
+    return path
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _MADE:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session may have ended before the interpreter
+            return
+
+
 _PROGRAMMES = """
 base AS (SELECT l_partkey AS pk, l_suppkey AS sk, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, max(l_shipdate) AS shipped,
     min(l_discount) AS d1, max(l_discount) AS d2 FROM {lineitem} GROUP BY l_partkey, l_suppkey),

@@ -12,9 +12,10 @@ os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
+    top = tmp_path_factory.mktemp("spark")
     session = (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
@@ -22,6 +23,8 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", f"file://{top}/checkpoints")
+        .config("spark.sql.warehouse.dir", f"file://{top}/warehouse")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

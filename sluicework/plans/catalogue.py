@@ -212,7 +212,7 @@ PAIRS_SQL = f"""{SCORED_SQL}, {PROFILES_SQL},
 texts AS MATERIALIZED (SELECT DISTINCT segment, sectors, stage_words, owned_asked, use_asked FROM kinds),
 slim AS MATERIALIZED (SELECT pid, coalesce(program_name, '') AS title, view_quality, view_reasons, view_blockers, ticket_min, ticket_max, years_min, years_max, turnover_min, turnover_max, staff_min, staff_max,
     funding_type, industry, use_of_funds, stage, has_ownership, has_eligibility, province, geography_scope FROM scored),
-sides AS MATERIALIZED (SELECT slim.*, segment, {_ANY(['industry', 'use_of_funds', 'stage', _ELIGIBLE], 'sectors')} AS ind, {_ANY(['stage'], 'stage_words')} AS stg,
+sides AS MATERIALIZED (SELECT slim.* EXCLUDE (view_reasons, view_blockers), segment, {_ANY(['industry', 'use_of_funds', 'stage', _ELIGIBLE], 'sectors')} AS ind, {_ANY(['stage'], 'stage_words')} AS stg,
     {_ANY(["CASE WHEN has_ownership THEN 'women-owned' END"], 'owned_asked')} AS own, {_ANY(['use_of_funds'], 'use_asked')} AS usd FROM slim CROSS JOIN texts),
 pairs AS (SELECT sides.*, kinds.* EXCLUDE (segment, stage_words, owned_asked, use_asked), geography_scope = 'National' OR coalesce(contains({_N('province')}, {_N('own_place')}), false) AS geo
   FROM sides JOIN kinds USING (segment)),
@@ -321,7 +321,8 @@ ORACLE_SQL = {
         best AS (SELECT own_place, segment, lv, unnest(pids) AS pid FROM lists)
         SELECT user_id, place, pid, match, importance, band, tags FROM (SELECT p.user_id, row_number() OVER (PARTITION BY p.user_id ORDER BY importance DESC, view_quality DESC, match DESC, title, b.pid)::INT AS place, b.pid, match, importance,
           {_BAND('importance')} AS band, array_to_string({_TAGS}, '|') AS tags
-        FROM (SELECT user_id, own_place, segment, lv FROM profiles) p JOIN best t USING (own_place, segment, lv) JOIN blended b ON b.pid = t.pid AND b.own_place = t.own_place AND b.segment = t.segment AND b.lv = t.lv)""",
+        FROM (SELECT user_id, own_place, segment, lv FROM profiles) p JOIN best t USING (own_place, segment, lv) JOIN blended b ON b.pid = t.pid AND b.own_place = t.own_place AND b.segment = t.segment AND b.lv = t.lv
+          JOIN (SELECT pid, view_reasons, view_blockers FROM slim) w ON w.pid = b.pid)""",
     "r9_preview_matches": f"""WITH {PROGRAMMES_SQL}, {PROFILES_SQL},
         p AS (SELECT industry, CASE WHEN geography_scope <> 'Unknown' THEN CASE WHEN pk % 3 = 0 THEN 'Southern Africa' ELSE coalesce(province, 'elsewhere') END END AS region, funding_type,
             floor(ticket_min / 20000)::BIGINT * 20000 AS lo, ceil(ticket_max / 20000)::BIGINT * 20000 AS hi, count(*) AS n FROM programmes GROUP BY ALL),

@@ -47,7 +47,7 @@ def run_states(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if(F.col("event_type") == "purchase").alias("merged"), F.count_if(F.col("event_type").isin("purchase", "view")).alias("found"),
     )
     status = lambda good: telemetry.run_status(F.col("errors"), F.col(good))
-    return v.select("day", "site", status("fetched").alias("crawl"), status("merged").alias("hybrid"), status("found").alias("search"))
+    return v.select(F.col("day").cast("string").alias("day"), "site", status("fetched").alias("crawl"), status("merged").alias("hybrid"), status("found").alias("search"))
 
 
 def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ def call_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def combined_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By day and site, good visits to expensive pages and failed ones to cheap pages, full outer."""
-    v = _visits(spark, sf_dir).withColumn("day", F.to_date("ts"))
+    v = _visits(spark, sf_dir).withColumn("day", F.to_date("ts").cast("string"))
     crawl = v.filter("outcome = 'ok' and seconds > 80").groupBy("day", "site").agg(F.count(F.lit(1)).alias("crawled"))
     web = v.filter("outcome = 'failed' and seconds < 20").groupBy("day", "site").agg(F.count(F.lit(1)).alias("searched"))
     return telemetry.combine(crawl, web, ["day", "site"])
@@ -148,7 +148,7 @@ ORACLE_SQL = {
           candidate_pages, multi_pages, most_of_a_page FROM sites LEFT JOIN rec USING (site)""",
     "k5_run_states": f"""WITH {VISITS_SQL}, d AS (SELECT CAST(ts AS DATE) AS day, site, count(*) FILTER (WHERE outcome = 'failed') AS errors, count(*) FILTER (WHERE outcome = 'ok') AS a,
           count(*) FILTER (WHERE event_type = 'purchase') AS b, count(*) FILTER (WHERE event_type IN ('purchase', 'view')) AS c FROM visits GROUP BY 1, 2)
-        SELECT day, site, """
+        SELECT CAST(day AS VARCHAR) AS day, site, """
     + ", ".join(f"CASE WHEN errors = 0 THEN 'success' WHEN {x} = 0 THEN 'failed' ELSE 'partial' END AS {n}" for x, n in (("a", "crawl"), ("b", "hybrid"), ("c", "search")))
     + " FROM d",
     "k1_run_totals": f"""WITH {SITES_SQL} SELECT count(*) AS sites, sum(pages)::BIGINT AS pages, sum(ok)::BIGINT AS ok, sum(failed)::BIGINT AS failed,
@@ -158,7 +158,7 @@ ORACLE_SQL = {
     "k6_gap_ratios": f"""WITH {VISITS_SQL} SELECT event_type, round(avg(CASE WHEN outcome = 'failed' THEN 1.0::DOUBLE ELSE 0 END), 6) AS failure_rate, count(*) AS n FROM visits GROUP BY event_type""",
     "k17_call_budget": f"""WITH {VISITS_SQL}, c AS (SELECT event_id, count(*) OVER (PARTITION BY url ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS used FROM visits WHERE outcome = 'ok')
         SELECT event_id, CASE WHEN used <= 5 THEN used END AS used, used <= 5 AS allowed FROM c""",
-    "j10_combined_sites": f"""WITH {VISITS_SQL}, v AS (SELECT *, CAST(ts AS DATE) AS day FROM visits), a AS (SELECT day, site, count(*) AS crawled FROM v WHERE outcome = 'ok' AND seconds > 80 GROUP BY day, site),
+    "j10_combined_sites": f"""WITH {VISITS_SQL}, v AS (SELECT *, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM visits), a AS (SELECT day, site, count(*) AS crawled FROM v WHERE outcome = 'ok' AND seconds > 80 GROUP BY day, site),
         b AS (SELECT day, site, count(*) AS searched FROM v WHERE outcome = 'failed' AND seconds < 20 GROUP BY day, site)
         SELECT day, site, coalesce(crawled, 0) AS crawled, coalesce(searched, 0) AS searched FROM a FULL JOIN b USING (day, site)""",
     "j8_resumable": f"""WITH {VISITS_SQL}, v AS (SELECT *, url || ' ' || CAST(CAST(ts AS DATE) AS VARCHAR) AS target FROM visits)

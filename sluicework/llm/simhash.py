@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bit_map, digest_place, in_map, map_size, written
 from .components import components, spanning, tree_links
-from .exactdedup import _batches, text_sha256
+from .exactdedup import _batches
 
 SAMPLE = 8192
 """Fingerprints, at most, from which costs are estimated."""
@@ -72,16 +72,39 @@ BINS = 128
 """Bytes of a sketch: one-permutation minima of shingle hashes, a byte a bin, 0 where a bin is empty."""
 
 
-def sketch(data: bytes, width: int) -> bytes:
-    """Sketch of the set of shingles, from which the Jaccard similarity of two texts is estimated."""
+BAND, BANDS = 4, 20
+"""Bins of a band, and bands of a text with nearly all bins filled; a shorter text has all BINS / BAND."""
+_EMPTY = np.iinfo(np.uint64).max
+
+
+def minima(data: bytes, width: int) -> np.ndarray:
+    """Least shingle hash of each bin, all ones where a bin is empty."""
     digests = shingle_digests(data, width)
-    if not digests:
-        return bytes(BINS)
-    h = np.frombuffer(b"".join(digests), dtype=">u8").astype(np.uint64)
-    low = np.full(BINS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    np.minimum.at(low, (h % np.uint64(BINS)).astype(np.int64), h >> np.uint64(7))
-    held = low != np.iinfo(np.uint64).max
-    return np.where(held, 1 + (low * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(255), 0).astype(np.uint8).tobytes()
+    low = np.full(BINS, _EMPTY, dtype=np.uint64)
+    if digests:
+        h = np.frombuffer(b"".join(digests), dtype=">u8").astype(np.uint64)
+        np.minimum.at(low, (h % np.uint64(BINS)).astype(np.int64), h >> np.uint64(7))
+    return low
+
+
+def sketch(low: np.ndarray) -> bytes:
+    """Sketch of the set of shingles, from which the Jaccard similarity of two texts is estimated."""
+    return np.where(low != _EMPTY, 1 + (low * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(255), 0).astype(np.uint8).tobytes()
+
+
+def band_keys(low: np.ndarray) -> bytes:
+    """64-bit keys of the bands that hold a shingle, from the whole hashes; one key that all texts without shingles share."""
+    rows = low.reshape(-1, BAND)
+    full = np.flatnonzero((rows != _EMPTY).any(axis=1))
+    if not len(full):
+        return np.zeros(1, dtype=np.uint64).tobytes()
+    if (low == _EMPTY).sum() < BINS // 4:
+        full = full[full < BANDS]
+    key = full.astype(np.uint64)
+    for c in range(BAND):
+        key = (key ^ rows[full, c]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.tobytes()
 
 
 def similarity(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -92,21 +115,22 @@ def similarity(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text", sketch_width: int = 0) -> DataFrame:
-    """``id, fp`` of every row, fp as a signed long; with ``sketch_width`` also ``sketch`` and ``text_sha256``."""
+    """``id, fp`` of every row, fp as a signed long; with ``sketch_width`` also ``sketch``, ``bands`` and ``text_sha256``."""
 
     def run(batches):
         for batch in batches:
             for held in _batches(batch):
                 fps = fingerprint_many([t for _, t in held], width)
-                sketches = [sketch(t, sketch_width) for _, t in held] if sketch_width else [b""] * len(held)
+                lows = [minima(t, sketch_width) for _, t in held] if sketch_width else []
+                sketches, bands = ([f(x) for x in lows] or [b""] * len(held) for f in (sketch, band_keys))
                 keys = [hashlib.sha256(t).hexdigest() if sketch_width else "" for _, t in held]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([i for i, _ in held], type=pa.int64()), pa.array(fps.view(np.int64)), pa.array(sketches, type=pa.binary()), pa.array(keys)],
-                    names=["id", "fp", "sketch", "text_sha256"],
+                    [pa.array([i for i, _ in held], type=pa.int64()), pa.array(fps.view(np.int64)), pa.array(sketches, type=pa.binary()), pa.array(bands, type=pa.binary()), pa.array(keys)],
+                    names=["id", "fp", "sketch", "bands", "text_sha256"],
                 )
 
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "id long, fp long, sketch binary, text_sha256 string")
+    return source.mapInArrow(run, "id long, fp long, sketch binary, bands binary, text_sha256 string")
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -360,10 +384,8 @@ def near_groups(df: DataFrame, width: int = 3, most: int = 3, id_col: str = "doc
 
 
 LOOSE = 0.62
-"""Sketched similarity of candidates: five standard errors (0.035) under 0.8."""
-BAND, BANDS = 5, 25
-"""Texts of similarity 0.8 share no band of the sketch with probability (1 - 0.8^5)^25 = 5e-5, and a twentieth of them
-differ in more fingerprint bits than any search can afford."""
+"""Sketched similarity of candidates: five standard errors (0.035) under 0.8. Most texts of just 0.8 differ in more
+fingerprint bits than a search can afford; they meet in bands: all are missed with probability (1 - 0.8^4)^20 = 3e-5."""
 LARGE, PIVOTS = 64, 16
 """Members of a candidate group up to which one task compares all of them; first pivots of larger groups."""
 
@@ -386,25 +408,36 @@ def jaccard_from(one: np.ndarray, other: np.ndarray, least: float) -> bool:
 
 
 def band_links(nodes: DataFrame) -> DataFrame:
-    """Tree links of the ``node``s that share a band of their ``sketch`` and have sketches of LOOSE similarity."""
+    """Tree links of the ``node``s that share one of their ``bands`` and have sketches of LOOSE similarity.
 
-    def run(batches):
+    Only keys and nodes are shuffled first; sketches are joined to what shares a key."""
+
+    def spread(batches):
+        for batch in batches:
+            held = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column(1)]
+            sizes = [len(x) for x in held]
+            if sizes:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(np.repeat(batch.column(0).to_numpy(), sizes))], names=["bucket", "node"])
+
+    def shared(batches):
+        key, first = None, None  # the last row: its node is given out once another of its key follows
         for batch in batches:
             if not batch.num_rows:
                 continue
-            data = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
-            empty = ~data.any(axis=1)
-            for k in range(BANDS):
-                part = data[:, k * BAND : (k + 1) * BAND]
-                at = np.flatnonzero(part.any(axis=1) | (empty & (k == 0)))
-                keys = part[at].astype(np.int64) @ (1 << np.arange(0, 8 * BAND, 8)) | k << 56
-                picked = pa.array(at)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), batch.column(0).take(picked), pa.array(np.ones(len(at), dtype=bool)), batch.column(1).take(picked)],
-                    names=["bucket", "fp", "own", "sketch"],
-                )
-
-    return _linked(nodes.select("node", "sketch").mapInArrow(run, ROWS), 64, LOOSE)
+            bucket, node = (batch.column(k).to_numpy() for k in (0, 1))
+            same = np.concatenate([[bucket[0] == key], bucket[1:] == bucket[:-1]])
+            out = same.copy()
+            out[:-1] |= same[1:]
+            rows, names = bucket[out], node[out]
+            if same[0] and first is not None:
+                rows, names = np.append(rows, key), np.append(names, first)
+            key, first = bucket[-1], None if same[-1] else node[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(names)], names=["bucket", "node"])
+
+    shape = "bucket long, node long"
+    keys = nodes.select("node", "bands").mapInArrow(spread, shape).repartition("bucket").sortWithinPartitions("bucket")
+    meet = keys.mapInArrow(shared, shape).join(nodes.select("node", "sketch"), "node")
+    return _linked(meet.select("bucket", F.col("node").alias("fp"), F.lit(True).alias("own"), "sketch"), 64, LOOSE)
 
 
 def _candidates(nodes: DataFrame, most: int) -> DataFrame:
@@ -417,18 +450,28 @@ def _candidates(nodes: DataFrame, most: int) -> DataFrame:
     return components(written(by_bits.select("a", "b").union(band_links(nodes)), "near-candidates"))
 
 
-def _sets(df: DataFrame, groups: DataFrame, width: int, text_col: str) -> DataFrame:
-    """``node, root, size, shingles`` of the nodes of the groups, one row each."""
-    text = df.select(F.col(text_col).cast("string").alias("text"), text_sha256(F.col(text_col)).alias("text_sha256"))
-    held = groups.join(text.dropDuplicates(["text_sha256"]), "text_sha256").select(F.struct("node", "root", "size").alias("id"), "text")
+def _sets(df: DataFrame, groups: DataFrame, width: int, text_col: str, repeated: bool) -> DataFrame:
+    """``node, root, size, shingles`` of the nodes of the groups, one row each; texts may be ``repeated``.
+
+    Texts are read where they lie: a bit map of the digests wanted (16 bits for each, at most 32 MB) lets the others pass
+    by, and only shingle sets are shuffled."""
+    size = map_size(groups.count())
+    shared = df.sparkSession.sparkContext.broadcast(bit_map(groups.select(digest_place(F.col("text_sha256"), size).alias("at")), size))
 
     def run(batches):
+        on = shared.value
         for batch in batches:
             for part in _batches(batch):
-                columns = [pa.array([i[c] for i, _ in part], type=pa.int64()) for c in ("node", "root", "size")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([shingle_set(t, width) for _, t in part], type=pa.binary())], names=["node", "root", "size", "shingles"])
+                keys = [hashlib.sha256(t).hexdigest() for _, t in part]
+                hit = np.flatnonzero(in_map(on, np.array([int(k[:8], 16) % (8 * len(on)) for k in keys], dtype=np.int64))).tolist()
+                if hit:
+                    sets = [shingle_set(part[i][1], width) for i in hit]
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in hit]), pa.array(sets, type=pa.binary())], names=["text_sha256", "shingles"])
 
-    return held.mapInArrow(run, "node long, root long, size long, shingles binary")
+    source = df.select(F.lit(None).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    held = source.mapInArrow(run, "text_sha256 string, shingles binary").join(groups, "text_sha256")
+    held = held.select("node", "root", "size", "shingles")
+    return held.dropDuplicates(["node"]) if repeated else held
 
 
 def _arrays(table: pa.Table) -> tuple[list[int], list[np.ndarray]]:
@@ -436,7 +479,10 @@ def _arrays(table: pa.Table) -> tuple[list[int], list[np.ndarray]]:
 
 
 def _as_links(pairs: list[tuple[int, int]]) -> pa.Table:
-    return pa.table({"a": pa.array([a for a, _ in pairs], type=pa.int64()), "b": pa.array([b for _, b in pairs], type=pa.int64())})
+    """Tree links of what the pairs connect."""
+    both = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+    a, b = spanning(both[:, 0], both[:, 1])
+    return pa.table({"a": pa.array(a, type=pa.int64()), "b": pa.array(b, type=pa.int64())})
 
 
 def _small_links(sets: DataFrame, least: float) -> DataFrame:
@@ -503,12 +549,12 @@ def near_copies(
     ``least`` or more; of all that are linked so, over any number of steps, the row of the least id stays (null ids last,
     then by digest). Fingerprints and sketches only find candidates; every link is decided on the sets."""
     prints = written(fingerprints(df, width, id_col, text_col, set_width), "near-prints")
-    nodes = prints.groupBy("text_sha256").agg(F.min("fp").alias("fp"), F.min("sketch").alias("sketch"))
+    nodes = prints.groupBy("text_sha256").agg(F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.min("bands").alias("bands"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     groups = _candidates(nodes, most)
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     groups = written(groups.join(sizes, "root").join(nodes.select("node", "text_sha256"), "node"), "near-groups")
-    sets = written(_sets(df, groups, set_width, text_col), "near-sets")
+    sets = written(_sets(df, groups, set_width, text_col, prints.count() > nodes.count()), "near-sets")
     links, large = _small_links(sets, least), _large_links(sets, least)
     roots = components(written(links if large is None else links.union(large), "near-links"))
     named = nodes.select("node", "text_sha256").join(roots, "node", "left").select("text_sha256", F.coalesce("root", "node").alias("root"))

@@ -1,8 +1,9 @@
 """Connected components of a graph held as a table of links, without ever gathering it.
 
-Each node points to a node of its component, at first itself. A round points every node to the least
-pointer among its neighbours, then follows pointers once (so chains shorten by half), until nothing
-changes. Every round's pointers are written to the shared folder, so a lost executor costs one round.
+A round points every node to the least of itself and its neighbours and follows the pointers once. Links are then drawn
+between what their ends point to; those within one node go, so the table shrinks by half and more each round, and the
+large table of the start is read only in the first. Every round's pointers and links are written to the shared folder, so
+a lost executor costs one round.
 """
 
 from __future__ import annotations
@@ -48,20 +49,27 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` of every node in ``links (a long, b long)``; root is the least node of its component."""
-    both = written(
-        links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(),
-        "links",
-    )
-    now = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")), "roots")
+    ends = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    edges = written(links.filter("a <> b").select(*ends("a", "b")).distinct(), "links")
+    roots = None
     while True:
-        near = both.join(now.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("low"))
-        hooked = written(now.join(near, "node").select("node", F.least("root", "low").alias("root"), F.col("root").alias("old")), "roots")
-        above = hooked.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        jumped = written(hooked.join(above, "root").select("node", F.least("root", "next").alias("root"), "old"), "roots")
-        done = jumped.filter("root <> old").isEmpty()
-        dropped(now)
-        dropped(hooked)
-        now = jumped
-        if done:
-            dropped(both)
-            return now.select("node", "root")
+        sides = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a"))
+        hooks = written(sides.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("p")), "hooks")
+        up = written(hooks.join(hooks.select(F.col("node").alias("p"), F.col("p").alias("q")), "p").select("node", F.col("q").alias("p")), "pointers")
+        rest = edges.join(up.select(F.col("node").alias("a"), F.col("p").alias("pa")), "a").join(up.select(F.col("node").alias("b"), F.col("p").alias("pb")), "b")
+        rest = written(rest.filter("pa <> pb").select(*ends("pa", "pb")).distinct(), "links")
+        if roots is None:
+            new = up.withColumnRenamed("p", "root")
+        else:
+            moved = roots.join(up.withColumnRenamed("node", "root"), "root", "left")
+            new = written(moved.select("node", F.coalesce("p", "root").alias("root")), "roots")
+            dropped(roots)
+            dropped(up)
+        dropped(edges)
+        dropped(hooks)
+        # the first round's pointers are its roots, under the name of the table that they lie in
+        new._sluice_path = getattr(new, "_sluice_path", None) or up._sluice_path
+        roots, edges = new, rest
+        if edges.isEmpty():
+            dropped(edges)
+            return roots.select("node", "root")

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SCRATCH: list[tuple[SparkSession, str]] = []
 
@@ -17,18 +17,12 @@ _SCRATCH: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see.
 
-    ``spark.checkpoint.dir`` of the session is used where it is set. Only where it is unset: a temporary
-    folder in single-JVM local mode (tests), else a folder beside the warehouse.
+    ``spark.checkpoint.dir`` of the session is used where it is set, else a folder in the warehouse.
     """
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    master = spark.sparkContext.master
-    if master.startswith("local") and not master.startswith("local-cluster"):
-        base = os.path.join(tempfile.gettempdir(), f"sluicework-{os.getuid()}")
-        os.makedirs(base, exist_ok=True)
-        return f"file://{base}"
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
@@ -66,6 +60,34 @@ def _clean() -> None:
             return
 
 
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+
+
+def map_size(count: int) -> int:
+    """Positions of a bit map for so many keys: 16 for each, from 128 KB up to 32 MB whatever the count. A fuller map lets
+    more keys pass that aren't in it, never fewer that are."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * count).bit_length()))
+
+
+def bit_map(places: DataFrame, size: int) -> np.ndarray:
+    """Bits of the positions in column ``at``, built on the executors; at most size / 32768 rows of 4 KB reach the driver."""
+    maps = places.groupBy(F.expr("at div 32768").alias("part")).agg(F.bitmap_construct_agg(F.expr("at % 32768")).alias("bits")).collect()
+    out = np.zeros(size // 8, dtype=np.uint8)
+    for part, bits in maps:
+        out[part * 4096 : (part + 1) * 4096] = np.frombuffer(bytes(bits), dtype=np.uint8)
+    return out
+
+
+def in_map(held: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether positions are set."""
+    return (held[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def digest_place(sha256, size: int):
+    """Position of a hexadecimal digest, as a column."""
+    return F.conv(F.substring(sha256, 1, 8), 16, 10).cast("long") % size
+
+
 def rows_of(batch: pa.RecordBatch, step: int = 256) -> Iterator[tuple]:
     """The rows of a batch as tuples, turned into Python objects ``step`` rows at a time."""
     for lo in range(0, batch.num_rows, step):

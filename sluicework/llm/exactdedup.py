@@ -18,11 +18,12 @@ from collections.abc import Iterator
 from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of, written
+from .common import bit_map, digest_place, in_map, map_size, rows_of, written
 
 CHUNK = 4096
 """Bytes hashed by one row of the matrix product: 4096 * 255 * 2^31 < 2^53, so float64 sums are exact."""
@@ -30,9 +31,6 @@ COMPARE_CHUNK = 1 << 16
 """Bytes in one row of the chunkwise comparison."""
 PRIMES = (2147483629, 2147483587)
 BASES = (911382323, 972663749)
-MAP_BITS, MOST_BITS = 1 << 24, 1 << 28
-"""Positions of the map of repeated fingerprints: 16 for each, from 2 MB up to 32 MB whatever the corpus size. A fuller map
-only lets more texts through to the comparison."""
 
 
 def _powers(count: int, base: int, prime: int) -> list[int]:
@@ -132,20 +130,10 @@ def _position(fp0, fp1, n_bytes, bits):
 
 
 def repeated_map(groups: DataFrame) -> np.ndarray:
-    """Bit map of the fingerprints that repeat: at most MOST_BITS / 32768 rows of 4 KB reach the driver."""
+    """Bit map of the fingerprints that repeat."""
     repeated = groups.filter("group_size > 1")
-    bits = min(MOST_BITS, max(MAP_BITS, 1 << (16 * repeated.count()).bit_length()))
-    at = _position(F.col("fp0"), F.col("fp1"), F.col("n_bytes"), F.lit(bits))
-    maps = (
-        repeated.select(at.alias("at"))
-        .groupBy(F.expr("at div 32768").alias("part"))
-        .agg(F.bitmap_construct_agg(F.expr("at % 32768")).alias("bits"))
-        .collect()
-    )
-    out = np.zeros(bits // 8, dtype=np.uint8)
-    for part, bits in maps:
-        out[part * 4096 : (part + 1) * 4096] = np.frombuffer(bytes(bits), dtype=np.uint8)
-    return out
+    size = map_size(repeated.count())
+    return bit_map(repeated.select(_position(F.col("fp0"), F.col("fp1"), F.col("n_bytes"), F.lit(size)).alias("at")), size)
 
 
 def mismatched(df: DataFrame, groups: DataFrame, text_col: str = "text") -> DataFrame:
@@ -163,8 +151,7 @@ def mismatched(df: DataFrame, groups: DataFrame, text_col: str = "text") -> Data
                 texts = [t for _, t in held]
                 fps = hasher.many(texts)
                 size = np.array([len(t) for t in texts], dtype=np.int64)
-                at = _position(fps[:, 0], fps[:, 1], size, 8 * len(seen))
-                hit = np.flatnonzero(seen[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                hit = np.flatnonzero(in_map(seen, _position(fps[:, 0], fps[:, 1], size, 8 * len(seen))))
                 for i in hit.tolist():
                     text = texts[i]
                     n = max(1, -(-len(text) // COMPARE_CHUNK))
@@ -208,3 +195,23 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         )
         joined = marked.join(regrouped, [*KEY, "digest"])
     return joined.select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def rows_without(df: DataFrame, copies: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows whose id (null included) and text aren't among ``copies (id, text_sha256)``, a written table.
+
+    Rows whose digest a bit map of the copies doesn't hold stay where they are; only the others are shuffled to the copies."""
+    size = map_size(copies.count())
+    shared = df.sparkSession.sparkContext.broadcast(bit_map(copies.select(digest_place(F.col("text_sha256"), size).alias("at")), size))
+
+    @F.pandas_udf("boolean")
+    def held(at: pd.Series) -> pd.Series:
+        return pd.Series(in_map(shared.value, at.to_numpy()))
+
+    columns = df.columns
+    marked = df.select(F.struct(*columns).alias("r"), F.col(id_col).cast("long").alias("id"), text_sha256(F.col(text_col)).alias("sha"))
+    marked = marked.withColumn("hit", held(digest_place(F.col("sha"), size)))
+    other = copies.select(F.col("id").alias("copy_id"), "text_sha256").distinct()
+    same = F.col("id").eqNullSafe(F.col("copy_id")) & (F.col("sha") == F.col("text_sha256"))
+    stay = marked.filter(~F.col("hit")).unionByName(marked.filter("hit").join(other, same, "left_anti"))
+    return stay.select("r.*")

@@ -41,18 +41,12 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return langid.identify(docs, model, docs.columns, accepted_only=True)
 
 
-def _without(docs: DataFrame, copies: DataFrame) -> DataFrame:
-    """The rows whose id (null included) and text aren't among ``copies (id, text_sha256)``."""
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (exactdedup.text_sha256(F.col("text")) == F.col("text_sha256"))
-    return docs.join(copies, same, "left_anti").select(*docs.columns)
-
-
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts: that of the greatest id, a row without id only if none has one.
 
     An id that occurs with several texts counts as several documents."""
     groups = written(exactdedup.exact_groups(docs), "exact-groups")
-    rest = _without(docs, written(groups.filter(~F.col("kept")).select("id", "text_sha256").distinct(), "exact-copies"))
+    rest = exactdedup.rows_without(docs, written(groups.filter(~F.col("kept")).select("id", "text_sha256").distinct(), "exact-copies"))
     repeated = groups.filter("kept").groupBy("id", "text_sha256").count().filter("count > 1")
     if repeated.isEmpty():
         return rest
@@ -61,7 +55,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, by id and text as above; rows that repeat both stay."""
-    return _without(docs, written(near_copies(docs, 3, NEAR_BITS, NEAR_SIMILARITY, 5), "near-copies"))
+    return exactdedup.rows_without(docs, written(near_copies(docs, 3, NEAR_BITS, NEAR_SIMILARITY, 5), "near-copies"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -151,9 +151,13 @@ def category_evidence(c: Column, taxonomy: dict[str, Sequence[str]]) -> Column:
     return F.map_from_entries(F.filter(entries, lambda e: F.size(e["value"]) > 0))
 
 
+# Fixed value: a leading number or roman numeral and its mark, or the space behind it.
+NUMBERING = r"(?i)^\s*(?:\d+|[ivxlcdm]+)(?:\s*[.)-]\s*|\s+)"
+
+
 def strip_numbering(c: Column) -> Column:
-    """Without a leading number or roman numeral and its mark."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)^\s*(?:\d+|[ivxlcdm]+)(?:\s*[.)-]\s*|\s+)", "")
+    """Without a leading number and its mark."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), NUMBERING, "")
 
 
 def programme_key(c: Column, funder: Column) -> Column:

@@ -112,8 +112,11 @@ def merged_results(results: DataFrame, numbers: list[str], lists: list[str]) ->
     return sums
 
 
-METHODS = {"structured": 4, "section": 3, "table": 3, "heuristic": 2, "model": 1}
-"""Rank of the ways evidence was found."""
+# Rank of the ways in which evidence was found.
+METHODS = {
+    "direct_page_evidence": 5, "deterministic_parser": 4, "regex_from_prose": 3, "heading_based_inference": 2, "parent_page_inheritance": 1,
+    "llm_only_inference": 0,
+}
 
 
 def field_confidence(evidence: DataFrame, methods: dict[str, int] | None = None) -> DataFrame:

@@ -140,7 +140,7 @@ def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EVIDENCE = [
-    (1, "name", "heuristic", 0.9, "Weak"), (1, "name", "section", 0.5, "Strong"), (1, "tags", "model", 0.7, "B"), (1, "tags", "model", 0.2, "a"), (2, "amount", "unknown way", 0.3, "5"),
+    (1, "name", "llm_only_inference", 0.9, "Weak"), (1, "name", "regex_from_prose", 0.5, "Strong"), (1, "tags", "parent_page_inheritance", 0.7, "B"), (1, "tags", "parent_page_inheritance", 0.2, "a"), (2, "amount", "unknown way", 0.3, "5"),
 ]
 
 

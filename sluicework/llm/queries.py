@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from . import chat, langid, toxicity
 from .ann import nearest
 from .bpe import encode_digests
 from .exactdedup import exact_groups
+from .filteraudit import filter_audit
 from .packing import pack
 from .simhash import as_hex, near_groups
 from .tokencount import token_counts
@@ -103,6 +106,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), as_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of all 120 orders of the five filters on all ``documents``, per language."""
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -114,6 +122,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_language_id": op9_language_id,
     "op10_simhash": op10_simhash,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -151,7 +160,38 @@ def _rules_sql() -> str:
         SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} ELSE 'allow' END AS verdict FROM u"""
 
 
+def _audit_sql() -> str:
+    """Every order run on every class of documents, step by step."""
+    words = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
+    orders = ", ".join(f"('{''.join(p)}')" for p in permutations("ABCDE"))
+    lost = lambda c: f"coalesce(sum(n) FILTER (WHERE here AND left_ AND {c}), 0)::BIGINT"
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, {words} AS ws, min(doc_id) OVER (PARTITION BY t) AS low FROM d),
+        l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+            (CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END)
+            || (CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END)
+            || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END)
+            || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END)
+            || (CASE WHEN doc_id > low OR (doc_id IS NULL AND low IS NOT NULL) THEN 'E' ELSE '' END) AS failed
+          FROM w LEFT JOIN l USING (doc_id)),
+        c AS (SELECT part, good, toxic, failed, count(*) AS n FROM f GROUP BY ALL),
+        o AS (SELECT filter_order, step::INT AS step, substr(filter_order, step::INT, 1) AS now,
+            '[_' || substr(filter_order, 1, step::INT - 1) || ']' AS before
+          FROM (VALUES {orders}) AS v(filter_order), range(1, 6) AS r(step)),
+        s AS (SELECT part, filter_order, step, now, good, toxic, n, failed = now AS only_, contains(failed, now) AS here,
+            NOT regexp_matches(failed, before) AS left_ FROM c, o),
+        g AS (SELECT part, filter_order, step, now, coalesce(sum(n) FILTER (WHERE left_ AND NOT here), 0)::BIGINT AS kept,
+            {lost('true')} AS removed, coalesce(sum(n) FILTER (WHERE here AND NOT left_), 0)::BIGINT AS redundant,
+            coalesce(sum(n) FILTER (WHERE only_), 0)::BIGINT AS unique_fails, {lost('good')} AS good_lost, {lost('toxic')} AS toxic_lost
+          FROM s GROUP BY ALL)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+          (sum(removed) OVER (PARTITION BY part, now))::BIGINT AS shapley FROM g"""
+
+
 ORACLE_SQL = {
+    "op13_filter_audit": _audit_sql(),
     "op5_url_filter": _rules_sql(),
     "op8_chat": _chat_sql(),
     "op6_exact_dedup": f"""

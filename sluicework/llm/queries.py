@@ -13,6 +13,7 @@ from .bpe import encode_digests
 from .exactdedup import exact_groups
 from .filteraudit import filter_audit
 from .packing import pack
+from .phrases import collocations
 from .simhash import as_hex, near_groups
 from .tokencount import token_counts
 from .urlfilter import judge
@@ -106,6 +107,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), as_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of each language of ``documents``."""
+    return collocations(_table(spark, sf_dir, "documents")).withColumnRenamed("part", "lang")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps of all 120 orders of the five filters on all ``documents``, per language."""
     return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -122,6 +128,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_language_id": op9_language_id,
     "op10_simhash": op10_simhash,
+    "op12_phrases": op12_phrases,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -190,7 +197,30 @@ def _audit_sql() -> str:
           (sum(removed) OVER (PARTITION BY part, now))::BIGINT AS shapley FROM g"""
 
 
+def _phrases_sql() -> str:
+    """All phrases listed and counted."""
+    return f"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), {_AZ}), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+        p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM d),
+        s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p WHERE len(w) > 0),
+        g AS (SELECT lang, k::INT AS k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM s, range(1, 6) AS r(k) WHERE i + k - 1 <= len(w)),
+        n AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang),
+        f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+        c AS (SELECT f.lang, f.phrase, f.a, cut, n.n, lf.a AS l, rf.a AS r,
+            (1000::HUGEINT * f.a * n.n // (lf.a::HUGEINT * rf.a))::BIGINT AS score
+          FROM f JOIN n USING (lang), range(1, 5) AS x(cut), f AS lf, f AS rf
+          WHERE f.k > cut AND lf.lang = f.lang AND rf.lang = f.lang
+            AND lf.phrase = array_to_string(string_split(f.phrase, ' ')[1:cut], ' ')
+            AND rf.phrase = array_to_string(string_split(f.phrase, ' ')[cut + 1:], ' ')),
+        b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        z AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM f AS o WHERE o.lang = b.lang AND o.a >= b.a
+            AND length(o.phrase) > length(b.phrase) AND contains(' ' || o.phrase || ' ', ' ' || b.phrase || ' ')))
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM z QUALIFY rank <= 2000"""
+
+
 ORACLE_SQL = {
+    "op12_phrases": _phrases_sql(),
     "op13_filter_audit": _audit_sql(),
     "op5_url_filter": _rules_sql(),
     "op8_chat": _chat_sql(),

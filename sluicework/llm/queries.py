@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import chat, langid, toxicity
 from .ann import nearest
 from .bpe import encode_digests
+from .chosenpath import similar_groups
 from .exactdedup import exact_groups
 from .filteraudit import filter_audit
 from .packing import pack
@@ -107,6 +108,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), as_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near copies among all ``documents``: 5-word shingles, similarity 0.85."""
+    return similar_groups(_table(spark, sf_dir, "documents"), 5, 85).withColumnRenamed("id", "doc_id")
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2000 collocations of each language of ``documents``."""
     return collocations(_table(spark, sf_dir, "documents")).withColumnRenamed("part", "lang")
@@ -128,6 +134,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_language_id": op9_language_id,
     "op10_simhash": op10_simhash,
+    "op11_minhash": op11_minhash,
     "op12_phrases": op12_phrases,
     "op13_filter_audit": op13_filter_audit,
 }
@@ -219,7 +226,22 @@ def _phrases_sql() -> str:
         FROM z QUALIFY rank <= 2000"""
 
 
+def _near_sql() -> str:
+    """All pairs of sets that share a shingle, and what they reach."""
+    return f"""
+        WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        e AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0),
+        s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle FROM e),
+        c AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM s AS x JOIN s AS y USING (shingle) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+        l AS MATERIALIZED (SELECT a, b FROM p JOIN c AS x ON a = x.doc_id JOIN c AS y ON b = y.doc_id WHERE 100 * m >= 85 * (x.n + y.n - m)),
+        r(doc_id, low) AS (SELECT doc_id, doc_id FROM d UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.doc_id WHERE r.low < l.b),
+        m AS (SELECT doc_id, min(low) AS component_id FROM r GROUP BY doc_id)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN c USING (doc_id)"""
+
+
 ORACLE_SQL = {
+    "op11_minhash": _near_sql(),
     "op12_phrases": _phrases_sql(),
     "op13_filter_audit": _audit_sql(),
     "op5_url_filter": _rules_sql(),

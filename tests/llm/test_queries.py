@@ -32,7 +32,7 @@ def texts():
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = run(spark, name), con.execute(queries.ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 SPACE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
@@ -29,6 +29,24 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), SPACE, " "))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def valid_patterns(patterns: pd.Series) -> pd.Series:
+    """The patterns that are regular expressions both here and in Spark; null is none (Arrow UDF: a bad one would end the job).
+
+    What only one side knows (possessive groups, named groups, classes of Java's own) is passed by as well."""
+
+    def good(p: str | None) -> bool:
+        if not p or re.search(r"\(\?P|\\[pPQEhHvVRXG]|[*+?}]\+|\[[^\]]*(\[|&&)", p):
+            return False
+        try:
+            re.compile(p)
+        except (re.error, OverflowError):
+            return False
+        return not re.search(r"(^|[^\\])(\\\\)*\{(?!\d+(,\d*)?\})", p)  # a brace that Java reads as a count
+
+    return patterns.map(lambda many: [p for p in ([] if many is None else many) if good(p)])
+
+
 @F.pandas_udf(StringType())
 def folded(s: pd.Series) -> pd.Series:
     """NFKC and collapsed white space (Arrow UDF: Spark has no normal forms)."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,9 +60,11 @@ def routed(items: DataFrame) -> DataFrame:
     low = F.lower(F.concat_ws(" ", "label", "content"))
     groups = F.array_compact(F.array(*[F.when(low.rlike("|".join(v)), F.lit(k)) for k, v in GROUPS.items()]))
     hits = items.filter("kind in ('section', 'interactive', 'body')").select("id", "place", "kind", "content", "certainty", F.explode(groups).alias("group"))
-    parts = hits.groupBy("id", "group").agg(F.count_if(F.col("kind") != "body").alias("n"))
-    kept = hits.join(parts, ["id", "group"]).filter((F.col("kind") != "body") | (F.col("n") == 0))
-    return kept.groupBy("id", "group").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "content"))), lambda x: x["content"]).alias("lines"), F.max("certainty").alias("certainty"))
+    every = F.array_sort(F.collect_list(F.struct("place", "content", "kind", "certainty")))
+    rows = hits.groupBy("id", "group").agg(every.alias("x"))
+    parts = F.filter("x", lambda x: x["kind"] != "body")
+    rows = rows.select("id", "group", F.when(F.size(parts) > 0, parts).otherwise(F.col("x")).alias("x"))
+    return rows.select("id", "group", F.transform("x", lambda x: x["content"]).alias("lines"), F.array_max(F.transform("x", lambda x: x["certainty"])).alias("certainty"))
 
 
 def programme_name(title: Column, headings: Column) -> Column:
@@ -89,9 +93,15 @@ def page_role(page_type: Column, low: Column) -> Column:
     return out.otherwise("overview")
 
 
-def page_records(pages: DataFrame, as_of: Column, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One record per page, with its gates, acceptance and doubts; nothing is dropped here."""
+def page_records(pages: DataFrame, as_of: Column, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", kept: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """One record per page, with its gates, acceptance and doubts; nothing is dropped here. With ``kept`` (writes a table and
+    reads it back) pages are parsed once; else each of two branches parses them."""
     docs = html.with_links(html.documents(pages, id_col, url_col, html_col))
+    return document_records(kept(docs, "parsed-pages") if kept else docs, as_of)
+
+
+def document_records(docs: DataFrame, as_of: Column) -> DataFrame:
+    """One record per parsed page with links."""
     groups = routed(content_items(docs)).groupBy("id").pivot("group", list(GROUPS)).agg(F.first("lines"))
     none = F.array().cast("array<string>")
     d = docs.join(groups, "id", "left")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, dates, money, text, urls
-from ..operators import builder, resolve
+from ..operators import builder, resolve, sections
 from ..operators.matching import ranked_per
 from ..sources import html
 from .views import kept, table
@@ -64,10 +64,55 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def built_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a record, with whether and why it would be dropped."""
-    r = builder.page_records(table(spark, sf_dir, "pages"), F.lit("2026-01-10").cast("date"))
+    r = builder.page_records(table(spark, sf_dir, "pages"), F.lit("2026-01-10").cast("date"), kept=kept)
     return r.select("id", "page_type", "page_role", "program_name", "funder_name", "funding_type", "application_channel", "persist.ok", "acceptance", F.size("raw_criteria").alias("n_criteria"))
 
 
+def _built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.documents(table(spark, sf_dir, "pages"), built=True)
+
+
+def section_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H9: every heading of every page in its tree."""
+    t = sections.section_tree(_built(spark, sf_dir))
+    return t.select(F.col("id").alias("page_id"), "node", "parent", "depth", "last", "level", "heading", F.length("content").alias("chars"), F.sha2("content", 256).alias("content_sha256"))
+
+
+def section_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every section with the headings above it and the text of all sections under it."""
+    t = sections.subtrees(_built(spark, sf_dir))
+    return t.select(F.col("id").alias("page_id"), "node", F.array_join("path", " > ").alias("path"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def scoped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of each page that is its article, without tables."""
+    t = sections.scoped_text(_built(spark, sf_dir), include=("article",), exclude=("table", ".share"))
+    return t.select(F.col("id").alias("page_id"), F.length("text").alias("chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+BLOCK_WORDS = ("funding", "grant", "the", "una")
+
+
+def element_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of pages that may hold a programme."""
+    b = sections.element_blocks(_built(spark, sf_dir), BLOCK_WORDS, (".ad",))
+    return b.select(F.col("id").alias("page_id"), "tag", "heading", F.length("content").alias("chars"), F.sha2("content", 256).alias("content_sha256"))
+
+
+def content_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of pages, where of those that say the same the fuller one stays."""
+    b = sections.content_blocks(_built(spark, sf_dir))
+    return b.select(F.col("id").alias("page_id"), "place", "heading", F.sha2("content", 256).alias("content_sha256"))
+
+
+def record_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record with the block that it is of."""
+    docs = kept(html.with_links(_built(spark, sf_dir)), "built-pages")
+    records = builder.document_records(docs, F.lit("2026-01-10").cast("date")).withColumn("record", F.lit(0))
+    best = sections.best_blocks(records, sections.content_blocks(docs))
+    return best.select(F.col("id").alias("page_id"), "place", "heading", "score", F.length("content").alias("chars"))
+
+
 TAXONOMY = {"articles": ("the", "der", "la", "le"), "links": ("and", "und", "et", "y"), "places": ("in", "on", "dans", "en", "von")}
 
 
@@ -146,7 +191,13 @@ QUERIES = {
     "u6_url_scores": url_scores,
     "h1_parsed_pages": parsed_pages,
     "h13_page_candidates": page_candidates,
+    "h9_section_trees": section_trees,
+    "h10_element_blocks": element_blocks,
+    "h11_subtrees": section_subtrees,
+    "h11_scoped_pages": scoped_pages,
+    "h12_content_blocks": content_blocks,
     "h15_page_records": built_records,
+    "h20_record_blocks": record_blocks,
     "s7_contacts": contacts,
     "s11_keyword_map": keyword_map,
     "m4_money_ranges": money_ranges,
@@ -155,8 +206,44 @@ QUERIES = {
     "e6_merged_records": merged_records,
 }
 
+# Pages as SQL reads them: an article holds one heading, paragraphs, and paragraphs that begin with a line in bold.
+_PLAIN = lambda x: f"""regexp_replace(regexp_replace(trim(regexp_replace({x}, '\\s+', ' ', 'g')), '&quot;?', '"', 'g'), '&amp;?', '&', 'g')"""
+_LINES = lambda x: f"""list_filter(list_transform(string_split(regexp_replace(replace({x}, chr(10), ' '), '<[^>]*>', chr(10), 'g'), chr(10)), lambda y: {_PLAIN('y')}), lambda y: y <> '')"""
+_ONCE = lambda x: f"list_filter({x}, lambda y, i: list_position({x}, y) = i)"
+_SECTIONS_SQL = f"""a AS (SELECT page_id, regexp_extract(html, '<article>([\\s\\S]*?)</article>', 1) AS body FROM pages),
+    q AS (SELECT page_id, unnest(string_split(replace(replace(body, '<h1>', chr(1) || '1'), '<p><b>', chr(1) || '7'), chr(1))[2:]) AS part, unnest(range(len(string_split(replace(replace(body, '<h1>', chr(1) || '1'), '<p><b>', chr(1) || '7'), chr(1))) - 1))::INT AS node FROM a),
+    r AS (SELECT page_id, node, left(part, 1)::INT AS level, {_PLAIN("regexp_extract(part, '^.([\\s\\S]*?)(?:</h1>|<br>)', 1)")} AS heading, {_LINES("regexp_replace(part, '^.[\\s\\S]*?(?:</h1>|<br>)', '')")} AS lines FROM q),
+    s AS (SELECT page_id, node, level, heading, array_to_string({_ONCE('lines')}, chr(10)) AS content, CASE WHEN level = 1 THEN -1 ELSE 0 END::INT AS parent,
+        CASE WHEN level = 1 THEN 0 ELSE 1 END::INT AS depth, CASE WHEN level = 1 THEN max(node) OVER (PARTITION BY page_id) ELSE node END::INT AS last FROM r)"""
+_ONE_OF = lambda c, ws: "(" + " OR ".join(f"contains({c}, '{w}')" for w in ws) + ")"
+
 _HITS = lambda ws: "regexp_matches(lower(coalesce(text, '')), '(^|[^0-9a-z])(" + "|".join(ws) + ")([^0-9a-z]|$)')"
 ORACLE_SQL = {
+    "h9_section_trees": f"WITH {_SECTIONS_SQL} SELECT page_id, node, parent, depth, last, level, heading, length(content)::INT AS chars, sha256(content) AS content_sha256 FROM s",
+    "h11_subtrees": f"""WITH {_SECTIONS_SQL}, u AS (SELECT x.page_id, x.node, y.node AS k, CASE WHEN y.node = x.node THEN y.content WHEN y.content = '' THEN y.heading ELSE y.heading || chr(10) || y.content END AS said
+          FROM s AS x JOIN s AS y ON x.page_id = y.page_id AND y.node BETWEEN x.node AND x.last)
+        SELECT page_id, node, CASE WHEN depth = 0 THEN heading ELSE (SELECT heading FROM s AS t WHERE t.page_id = s.page_id AND t.node = 0) || ' > ' || heading END AS path,
+          (SELECT sha256(coalesce(string_agg(said, chr(10) ORDER BY k) FILTER (WHERE said <> ''), '')) FROM u WHERE u.page_id = s.page_id AND u.node = s.node) AS text_sha256 FROM s""",
+    "h11_scoped_pages": f"""WITH a AS (SELECT page_id, array_to_string({_LINES("regexp_extract(html, '<article>([\\s\\S]*?)</article>', 1)")}, chr(10)) AS t FROM pages)
+        SELECT page_id, length(t)::INT AS chars, sha256(t) AS text_sha256 FROM a""",
+    "h10_element_blocks": f"""WITH b AS (SELECT page_id, 'article' AS tag, {_PLAIN("regexp_extract(html, '<h1>([\\s\\S]*?)</h1>', 1)")} AS heading,
+            array_to_string({_LINES("regexp_extract(html, '<article>([\\s\\S]*?)</article>', 1)")}, ' ') AS content FROM pages
+          UNION ALL SELECT page_id, 'div', '', {_PLAIN("regexp_extract(html, '<div class=\"ad\">([^<]*)</div>', 1)")} FROM pages)
+        SELECT page_id, tag, heading, length(content)::INT AS chars, sha256(content) AS content_sha256 FROM b
+        WHERE length(content) BETWEEN 40 AND 3500 AND lower(heading) NOT IN ({", ".join(f"'{h}'" for h in sections.PART_HEADINGS)})
+          AND (length(content) >= 120 OR {_ONE_OF('lower(content)', BLOCK_WORDS)} OR (length(heading) >= 4 AND {_ONE_OF('lower(heading)', sections.PROGRAMME_WORDS)}))""",
+    "h12_content_blocks": f"""WITH RECURSIVE {_SECTIONS_SQL},
+        h AS (SELECT page_id, node, heading, content, lower(heading) AS k, trim(regexp_replace(lower(content), '\\s+', ' ', 'g')) AS c FROM s),
+        g AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY node) AS n, {{'heading': heading, 'content': content, 'k': k, 't': CASE WHEN starts_with(c, k) THEN trim(substr(c, length(k) + 1)) ELSE c END}} AS b
+          FROM h WHERE k <> '' AND CASE WHEN starts_with(c, k) THEN trim(substr(c, length(k) + 1)) ELSE c END <> ''),
+        f(page_id, n, acc) AS (SELECT page_id, n, [b] FROM g WHERE n = 1 UNION ALL
+          SELECT page_id, n, CASE WHEN hit > 0 THEN list_transform(acc, lambda o, i: CASE WHEN i = hit AND length(b.k) + length(b.t) > length(o.k) + length(o.t) THEN b ELSE o END) ELSE list_append(acc, b) END
+          FROM (SELECT g.page_id, g.n, acc, b, coalesce(list_position(list_transform(acc, lambda o: (contains(o.k, b.k) OR contains(b.k, o.k)) AND (contains(o.t, b.t) OR contains(b.t, o.t))), true), 0) AS hit
+            FROM f JOIN g ON g.page_id = f.page_id AND g.n = f.n + 1)),
+        z AS (SELECT page_id, unnest(acc) AS b, unnest(range(len(acc)))::INT AS place FROM f QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n DESC) = 1)
+        SELECT page_id, place, b.heading AS heading, sha256(b.content) AS content_sha256 FROM z
+        UNION ALL SELECT page_id, 0, heading, sha256(array_to_string({_ONCE('said')}, chr(10))) FROM (SELECT page_id, {_PLAIN("regexp_extract(html, '<title>([\\s\\S]*?)</title>', 1)")} AS heading,
+            {_LINES("regexp_extract(html, '(<div class=\"ad\">[\\s\\S]*?</article>)', 1)")} AS said FROM pages WHERE page_id NOT IN (SELECT page_id FROM z)) AS n""",
     "u1_canonical_urls": f"WITH {_URLS_SQL} SELECT page_id, form, {_CANON} AS canonical, {_HOST} AS host, regexp_replace({_HOST}, '^www[.]', '') AS domain FROM forms",
     "u6_url_scores": f"""WITH {_URLS_SQL}, s AS (SELECT {_CANON} AS link, {_HOST} AS host, CASE WHEN url LIKE '%ads-track%' OR url LIKE '%/login%' THEN -100
           ELSE 5 * (CAST(url LIKE '%/en/%' AS INT) + CAST(url LIKE '%blog%' AS INT) + CAST(url LIKE '%html%' AS INT)) END AS score FROM forms WHERE form IN (0, 3)),

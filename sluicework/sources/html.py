@@ -22,6 +22,13 @@ BLOCK = {"main", "details", "summary", "p", "div", "li", "tr", "br", "section",
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
+EMPHASIS = {"h1", "h2", "h3", "h4", "strong", "b"}
+ELEMENTS = {"article", "section", "li", "div", "tr", "table"}
+LAYOUT = ("menu", "sidebar", "footer", "header", "nav", "breadcrumb", "toolbar", "masthead", "site-nav")
+RUN_IN = 7
+"""Level of a heading that is a line in bold: below all others."""
+
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -47,6 +54,10 @@ class Page(HTMLParser):
         self._line: list[str] = []
         self._open: list[tuple[str, dict]] = []
         self._heading, self._link, self._label = None, None, None
+        self.marks: list[tuple[int, str, int]] = []  # level, heading, line behind it
+        self.elements: list[dict] = []
+        self._said: list[str] = []  # texts of headings and bold words, in order
+        self._bold: list | None = None  # texts of bold words, whether they began the line, whether still open
 
     def _within(self, tags: set[str]) -> bool:
         return any(t in tags for t, _ in self._open)
@@ -63,6 +74,14 @@ class Page(HTMLParser):
             self.meta.setdefault(name.lower(), " ".join(at["content"].split()))
         if tag in HEADING:
             self._heading = []
+        if tag in ("b", "strong") and self._bold is None and self._heading is None and not self._noise:
+            self._bold = [[], not "".join(self._line).strip(), True]
+        if tag in ELEMENTS:
+            names = f"{at.get('class', '')} {at.get('id', '')}".lower()
+            odd = any(t in NOISE - {"form"} or any(x in f"{a.get('class', '')} {a.get('id', '')}".lower() for x in LAYOUT) for t, a in self._open)
+            noise = odd or any(x in names for x in LAYOUT)
+            at = at | {"@": len(self.elements)}
+            self.elements.append({"tag": tag, "names": names.strip(), "noise": noise, "first": len(self.lines), "upto": None, "said": len(self._said), "heading": "", "links": [len(self.links), None]})
         if tag == "a" and at.get("href"):
             self._end_link()
             self._link = [at["href"], []]
@@ -87,16 +106,41 @@ class Page(HTMLParser):
                 self.headings.append(text)
                 self.sections.append((text, []))
                 self.lines.append(text)
+                self.marks.append((int(tag[1]), text, len(self.lines)))
+                if tag in EMPHASIS:
+                    self._said.append(text)
+        if tag in ("b", "strong") and self._bold is not None:
+            self._bold[2] = False
         if tag == "a":
             self._end_link()
         if any(t == tag for t, _ in self._open):
             while self._open:
                 t, at = self._open.pop()
+                if "@" in at:
+                    self._end_element(at["@"])
                 if self._label is not None and (t == "summary" or at.get("role") == "tab"):
                     self._end_label(t, at)
                 if t == tag:
                     break
 
+    def _end_element(self, k):
+        e = self.elements[k]
+        self._end_bold("")
+        e["upto"], e["links"][1] = len(self.lines), len(self.links)
+        if len(self._said) > e["said"]:
+            e["heading"] = self._said[e["said"]]
+
+    def _end_bold(self, line):
+        """Bold words end with their line; where they are all of it, it is a heading."""
+        if self._bold is None:
+            return
+        text = " ".join("".join(self._bold[0]).split())
+        if text:
+            self._said.append(text)
+            if line and text == line and self._bold[1]:
+                self.marks.append((RUN_IN, text, len(self.lines)))
+        self._bold = None
+
     def _end_label(self, tag, at):
         text = " ".join("".join(self._label[1]).split())
         if tag == "summary" and self.panels:
@@ -131,18 +175,39 @@ class Page(HTMLParser):
             self._heading.append(data)
         elif not self._noise:
             self._line.append(data)
+            if self._bold is not None and self._bold[2]:
+                self._bold[0].append(data)
 
     def _flush(self):
         text = " ".join("".join(self._line).split())
         self._line = []
         if text:
             self.lines.append(text)
+            self._end_bold(text)
             if self.sections:
                 self.sections[-1][1].append(text)
 
+    def outline(self) -> list[dict]:
+        """Headings in order, each with the lines up to the next one, its parent (the last heading before it of a lower level;
+        -1: none), its depth, and the last heading under it: the subtree of heading k is the headings k to ``last``."""
+        out, path = [], []
+        for k, (level, heading, first) in enumerate(self.marks):
+            upto = self.marks[k + 1][2] - 1 if k + 1 < len(self.marks) else len(self.lines)
+            while path and out[path[-1]]["level"] >= level:
+                path.pop()
+            body = dict.fromkeys(self.lines[first:upto])
+            out.append({"level": level, "heading": heading, "content": "\n".join(body), "parent": path[-1] if path else -1, "depth": len(path), "last": k})
+            for above in path:
+                out[above]["last"] = k
+            path.append(k)
+        return out
+
     def done(self) -> dict:
         self._flush()
         self._end_link()
+        for k, e in enumerate(self.elements):
+            if e["upto"] is None:
+                self._end_element(k)
         seen, sections = set(), []
         for heading, body in self.sections:
             key = (heading.lower(), "\n".join(body).lower())
@@ -159,6 +224,9 @@ class Page(HTMLParser):
             "panels": [p for p in panels if p["content"]],
             "summary": self.meta.get("description") or self.meta.get("og:description") or "",
             "data": [d for d in self.data if d],
+            "outline": self.outline(),
+            "lines": self.lines,
+            "elements": [e | {"links": [{"href": h, "text": t} for h, t in self.links[e["links"][0] : e["links"][1]]]} for e in self.elements],
         }
 
 
@@ -183,10 +251,22 @@ SCHEMA = (
 _pair = lambda *names: pa.list_(pa.struct([(n, pa.string()) for n in names]))
 _TYPES = [pa.string(), pa.list_(pa.string()), _pair("heading", "content"), _pair("href", "text"), pa.string(), _pair("kind", "label", "content"), pa.string(), pa.list_(pa.string())]
 _NAMES = ["title", "headings", "sections", "links", "text", "panels", "summary", "data"]
+# parts that say how a page is built, given on demand
+TREE_SCHEMA = (
+    "outline array<struct<level:int,heading:string,content:string,parent:int,depth:int,last:int>>, lines array<string>, "
+    "elements array<struct<tag:string,names:string,noise:boolean,first:int,upto:int,heading:string,links:array<struct<href:string,text:string>>>>"
+)
+_TREE_TYPES = [
+    pa.list_(pa.struct([("level", pa.int32()), ("heading", pa.string()), ("content", pa.string()), ("parent", pa.int32()), ("depth", pa.int32()), ("last", pa.int32())])),
+    pa.list_(pa.string()),
+    pa.list_(pa.struct([("tag", pa.string()), ("names", pa.string()), ("noise", pa.bool_()), ("first", pa.int32()), ("upto", pa.int32()), ("heading", pa.string()), ("links", _pair("href", "text"))])),
+]
+_TREE_NAMES = ["outline", "lines", "elements"]
 
 
-def documents(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``id, url`` and the parts of each page."""
+def documents(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", built: bool = False) -> DataFrame:
+    """``id, url`` and the parts of each page; with ``built`` also its outline, all its lines and its elements."""
+    names, types = (_NAMES + _TREE_NAMES, _TYPES + _TREE_TYPES) if built else (_NAMES, _TYPES)
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
 
     def run(batches):
@@ -194,11 +274,11 @@ def documents(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
                 made = [parse(h.as_py()) for h in part.column(2)]
-                cols = [pa.array([m[n] for m in made], type=t) for n, t in zip(_NAMES, _TYPES, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=["id", "url", *_NAMES])
+                cols = [pa.array([m[n] for m in made], type=t) for n, t in zip(names, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=["id", "url", *names])
 
     kind = dict(source.dtypes)["id"]
-    return source.mapInArrow(run, f"id {kind}, url string, {SCHEMA}")
+    return source.mapInArrow(run, f"id {kind}, url string, {SCHEMA}" + (f", {TREE_SCHEMA}" if built else ""))
 
 
 # What links to applications and documents are told by, and labels that are no programme's.
@@ -234,7 +314,9 @@ def with_links(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(k, type=pa.list_(pa.string())) for k in kinds)], names=[*batch.schema.names, "apply_links", "document_links", "page_links"])
 
     kind = dict(docs.dtypes)["id"]
-    return docs.select("id", "url", *_NAMES).mapInArrow(run, f"id {kind}, url string, {SCHEMA}, apply_links array<string>, document_links array<string>, page_links array<string>")
+    built = "outline" in docs.columns
+    names, shape = (_NAMES + _TREE_NAMES, f"{SCHEMA}, {TREE_SCHEMA}") if built else (_NAMES, SCHEMA)
+    return docs.select("id", "url", *names).mapInArrow(run, f"id {kind}, url string, {shape}, apply_links array<string>, document_links array<string>, page_links array<string>")
 
 
 def candidate_label(c):

@@ -9,10 +9,13 @@ tokens. Nodes that stay large because their documents are alike (they keep most
 ever: all of a node are compared with one of them, and later only those of other components with all, dealt in blocks.
 Independent trees are repeated until a pair is met with TARGET probability.
 
-Candidates are then tested on the whole sets, in rounds. First each document with the least of its candidates; verified
-links make components; then, for each document and component it meets but isn't of, the least candidate not tested yet,
-then four times as many, until none is left. No pair within a component is tested twice over, no unverified link joins
-anything, and no link between different texts is lost that a tree has met.
+Candidates are then tested on the whole sets. Each document is verified against the candidate most alike and against its
+reference: of its candidates and itself the one that most documents are most alike to. Verified links make components.
+The difference of a set to its reference, what it has more and what it has less, stands for the whole set: two documents of
+one reference are compared exactly by their differences, in the nodes where they meet, as one product of small matrices,
+and only links leave the task. What remains, candidates of different references and components, is verified in pairs, in
+rounds: for each document and component the most alike not tested yet, then four times as many, until none is left. No
+unverified link joins anything, and no link between different texts is lost that a tree has met.
 
 Cases: null and empty texts, and texts without words, have no set: linked with nothing, ``n_shingles`` 0; a text of fewer
 words than a shingle is one shingle; texts of equal sets are one member from the start, however many; rows that repeat an
@@ -28,11 +31,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bit_map, digest_place, dropped, in_map, map_size, written
-from .components import components
+from .components import components, spanning
 from .exactdedup import _batches
 from .simhash import shingle_digests
 
@@ -43,7 +46,7 @@ DEPTH = 24
 """Levels after which a node counts as one of alike documents whatever it keeps."""
 ALIKE = 0.7
 """Share of the documents two levels above from which a large node counts as one of alike documents."""
-TARGET, MEETS = 0.999999, 3
+TARGET, MEETS = 0.99999, 3
 """Probability that a pair of just the similarity sought meets in some tree, if its nodes are small after MEETS levels."""
 ERRORS = 5
 """Standard errors that a candidate's estimated similarity may lie under the one sought."""
@@ -209,31 +212,36 @@ def _all(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def alike_enough(one: np.ndarray, other: np.ndarray, n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
-    """Whether rows of token bytes and set sizes may be of sets with similarity ``least``."""
-    same = (one == other).mean(axis=1)
+def likeness(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Estimated similarity of rows of token bytes."""
+    return ((one == other).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+
+
+def alike_enough(like: np.ndarray, n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets of these sizes and this estimated similarity may have similarity ``least``."""
     loose = least - ERRORS * math.sqrt(least * (1 - least) / TOKENS)
-    return ((same - 1 / 256) / (1 - 1 / 256) >= loose) & (np.minimum(n, m) >= (least - 1e-9) * np.maximum(n, m))
+    return (like >= loose) & (np.minimum(n, m) >= (least - 1e-9) * np.maximum(n, m))
 
 
-PAIRS = "x long, y long, cut boolean"
+PAIRS = "x long, y long, like double, cut boolean"
 
 
-def _pairs(x: np.ndarray, y: np.ndarray, cut: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()), pa.array(y, type=pa.int64()), pa.array(cut, type=pa.bool_())], names=["x", "y", "cut"])
+def _pairs(x: np.ndarray, y: np.ndarray, like: np.ndarray, cut: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()), pa.array(y, type=pa.int64()), pa.array(like, type=pa.float64()), pa.array(cut, type=pa.bool_())], names=["x", "y", "like", "cut"])
 
 
-def least_of(x: np.ndarray, y: np.ndarray, part: np.ndarray, most: int) -> pa.RecordBatch:
-    """For each document ``x`` and component ``part`` of its candidates ``y``, the least ``most``; ``cut`` where there are more."""
-    order = np.lexsort((y, part, x))
-    x, y, part = x[order], y[order], part[order]
+def best_of(x: np.ndarray, y: np.ndarray, like: np.ndarray, part: np.ndarray, most: int) -> pa.RecordBatch:
+    """For each document ``x`` and component ``part`` the ``most`` candidates ``y`` of the highest ``like``, of equals the
+    least; ``cut`` where there are more."""
+    order = np.lexsort((y, -like, part, x))
+    x, y, part, like = x[order], y[order], part[order], like[order]
     new = np.concatenate([[True], (x[1:] != x[:-1]) | (part[1:] != part[:-1])]) if len(x) else np.zeros(0, dtype=bool)
     starts = np.flatnonzero(new)
     rank = np.arange(len(x)) - starts[np.cumsum(new) - 1] if len(x) else x
     sizes = np.diff(np.append(starts, len(x)))
     cut = np.repeat(sizes > most, sizes)
     at = np.flatnonzero(rank < most)
-    return _pairs(x[at], y[at], cut[at])
+    return _pairs(x[at], y[at], like[at], cut[at])
 
 
 def _columns(table) -> tuple[np.ndarray, ...]:
@@ -242,47 +250,127 @@ def _columns(table) -> tuple[np.ndarray, ...]:
     return *numbers, np.frombuffer(b"".join(table.column(4).to_pylist()), dtype=np.uint8).reshape(-1, TOKENS)
 
 
+def _whole_leaves(batches, columns, step: int = STEP):
+    """Columns of rows sorted by leaf, in groups of whole leaves of about ``step`` rows."""
+    held, size = [], 0
+    for batch in batches:
+        for lo in range(0, batch.num_rows, step):
+            held.append(columns(batch.slice(lo, step)))
+            size += len(held[-1][0])
+            if size >= step:
+                cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+                cut = int(np.searchsorted(cols[0], cols[0][-1], side="left"))  # the last node may go on
+                if cut:
+                    yield [c[:cut] for c in cols]
+                held, size = [tuple(c[cut:] for c in cols)], len(cols[0]) - cut
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _met(leaf, part, n, data, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of candidate pairs of different ``part`` within leaves, and their likeness."""
+    left, right, likes = [], [], []
+    at, shift = np.arange(len(leaf)), 1
+    while True:
+        at = at[at + shift < len(leaf)]
+        at = at[leaf[at] == leaf[at + shift]]
+        if not len(at):
+            break
+        for lo in range(0, len(at), 1 << 16):
+            a = at[lo : lo + (1 << 16)]
+            a = a[part[a] != part[a + shift]]
+            like = likeness(data[a], data[a + shift])
+            ok = alike_enough(like, n[a], n[a + shift], least)
+            left.append(a[ok])
+            right.append(a[ok] + shift)
+            likes.append(like[ok])
+        shift += 1
+    if not left:
+        return at, at, np.zeros(0)
+    return np.concatenate(left), np.concatenate(right), np.concatenate(likes)
+
+
 def small_candidates(members: DataFrame, least: float, most: int) -> DataFrame:
-    """Candidates ``x, y`` of different components within small nodes: ``leaf, node, part, n, bytes``."""
-
-    def compared(leaf, node, part, n, data) -> pa.RecordBatch:
-        left, right = [], []
-        at, shift = np.arange(len(leaf)), 1
-        while True:
-            at = at[at + shift < len(leaf)]
-            at = at[leaf[at] == leaf[at + shift]]
-            if not len(at):
-                break
-            for lo in range(0, len(at), 1 << 16):
-                a = at[lo : lo + (1 << 16)]
-                a = a[part[a] != part[a + shift]]
-                a = a[alike_enough(data[a], data[a + shift], n[a], n[a + shift], least)]
-                left.append(a)
-                right.append(a + shift)
-            shift += 1
-        i, j = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (left, right))
-        x, y = np.concatenate([i, j]), np.concatenate([j, i])
-        group = part[y] if most else np.zeros(len(y), dtype=np.int64)
-        return least_of(node[x], node[y], group, most or 1)
+    """Candidates ``x, y`` of different components within small nodes (``leaf, node, part, n, bytes``): the ``most`` for
+    each document and component, or with 0 the one for each document."""
 
     def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            for lo in range(0, batch.num_rows, STEP):
-                held.append(_columns(batch.slice(lo, STEP)))
-                size += len(held[-1][0])
-                if size >= STEP:
-                    cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-                    cut = int(np.searchsorted(cols[0], cols[0][-1], side="left"))  # the last node may go on
-                    if cut:
-                        yield compared(*(c[:cut] for c in cols))
-                    held, size = [tuple(c[cut:] for c in cols)], len(cols[0]) - cut
-        if held:
-            yield compared(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        for leaf, node, part, n, data in _whole_leaves(batches, _columns):
+            i, j, like = _met(leaf, part, n, data, least)
+            x, y = np.concatenate([i, j]), np.concatenate([j, i])
+            group = part[y] if most else np.zeros(len(y), dtype=np.int64)
+            yield best_of(node[x], node[y], np.concatenate([like, like]), group, most or 1)
 
     return members.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(run, PAIRS)
 
 
+def small_references(members: DataFrame, least: float) -> DataFrame:
+    """``x, y, like``: for each document of small nodes, of its candidates and itself the one with the highest ``part``
+    (here: how many documents are most alike to it; returned as ``like``), of equals the least."""
+
+    def run(batches):
+        for leaf, node, score, n, data in _whole_leaves(batches, _columns):
+            i, j, _ = _met(leaf, np.arange(len(leaf)), n, data, least)
+            own = np.arange(len(leaf))
+            x, y = np.concatenate([i, j, own]), np.concatenate([j, i, own])
+            yield best_of(node[x], node[y], score[y].astype(np.float64), np.zeros(len(y), dtype=np.int64), 1)
+
+    return members.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(run, PAIRS)
+
+
+def linked_by_difference(reference_size: int, n: np.ndarray, less: np.ndarray, items: list[np.ndarray], percent: int) -> np.ndarray:
+    """Matrix of the pairs that are alike among sets of one reference, from their differences to it.
+
+    ``items`` are the elements that a set has more or less than the reference, ``less`` the count of the latter. Of two sets,
+    the common elements are the reference's that neither lacks and the others that both have."""
+    m, sizes = len(n), [len(x) for x in items]
+    names, at, counts = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(m), sizes)
+    shared = counts > 1  # what only one set has or lacks changes no pair
+    number = np.cumsum(shared) - 1
+    row, column = row[shared[at]], number[at[shared[at]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((m, m), dtype=np.float64)
+    width = max(1024, (1 << 22) // max(m, 1))
+    for lo in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(column, [lo, lo + width])
+        part = np.zeros((m, width), dtype=np.float32)
+        part[row[a:b], column[a:b] - lo] = 1
+        both += part @ part.T
+    common = reference_size - less[:, None] - less[None, :] + both
+    return 100 * common >= percent * (n[:, None] + n[None, :] - common)
+
+
+def small_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` between documents of one reference and different components that meet in small nodes:
+    ``leaf, reference, node, part, n, size, less, items``."""
+
+    def columns(batch):
+        items = batch.column(7)
+        held = np.empty(batch.num_rows, dtype=object)
+        for k in range(batch.num_rows):
+            held[k] = items[k].values.to_numpy() if items[k].is_valid else np.zeros(0, dtype=np.int64)
+        return *(batch.column(k).to_numpy() for k in range(7)), held
+
+    def run(batches):
+        for leaf, reference, node, part, n, size, less, items in _whole_leaves(batches, columns, 2048):
+            cuts = np.flatnonzero(np.concatenate([[True], (leaf[1:] != leaf[:-1]) | (reference[1:] != reference[:-1]), [True]]))
+            left, right = [], []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if hi - lo > 1 and (part[lo:hi] != part[lo]).any():
+                    hit = linked_by_difference(int(size[lo]), n[lo:hi], less[lo:hi], list(items[lo:hi]), percent)
+                    a, b = np.nonzero(np.triu(hit & (part[lo:hi, None] != part[None, lo:hi]), 1))
+                    left.append(node[lo + a])
+                    right.append(node[lo + b])
+            if left:
+                a, b = spanning(np.concatenate(left), np.concatenate(right))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    columns_ = ["leaf", "reference", "node", "part", "n", "size", "less", "items"]
+    return members.select(*columns_).repartition("leaf").sortWithinPartitions("leaf", "reference").mapInArrow(run, "a long, b long")
+
+
 def large_candidates(members: DataFrame, least: float, most: int) -> DataFrame:
     """The same for large nodes: those outside a node's largest component are compared with all of it, in blocks."""
     counts = written(members.groupBy("leaf", "part").agg(F.count(F.lit(1)).alias("c")), "large-parts")
@@ -299,9 +387,11 @@ def large_candidates(members: DataFrame, least: float, most: int) -> DataFrame:
         out = []
         for _, z, p, m, own in zip(*_columns(mine), strict=True):
             hit = np.flatnonzero(part != p)
-            hit = hit[alike_enough(data[hit], own[None, :], n[hit], m, least)]
-            out.append(least_of(np.full(len(hit), z), node[hit], part[hit], most))
-        return pa.Table.from_batches(out) if out else pa.Table.from_batches([_pairs(node[:0], node[:0], np.zeros(0, dtype=bool))])
+            like = likeness(data[hit], own[None, :])
+            ok = alike_enough(like, n[hit], m, least)
+            hit, like = hit[ok], like[ok]
+            out.append(best_of(np.full(len(hit), z), node[hit], like, part[hit], most))
+        return pa.Table.from_batches(out) if out else pa.Table.from_batches([_pairs(node[:0], node[:0], np.zeros(0), np.zeros(0, dtype=bool))])
 
     keys = ["leaf", "salt", "block"]
     return rows.select(*columns).groupBy(*keys).cogroup(asked.select(*columns).groupBy(*keys)).applyInArrow(run, PAIRS)
@@ -330,12 +420,20 @@ def _sets(df: DataFrame, wanted: DataFrame, width: int, text_col: str) -> DataFr
     return held.groupBy("node").agg(F.first("items").alias("items"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs (a, b)`` whose whole sets have 100 * intersection >= percent * union."""
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs (a, b, ...)`` with the items of both as ``as`` and ``bs`` and how many they share."""
     side = lambda c: sets.select(F.col("node").alias(c), F.col("items").alias(f"{c}s"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
-    common = F.size(F.array_intersect("as", "bs")).cast("long")
-    return both.filter(100 * common >= percent * (F.size("as") + F.size("bs") - common)).select("a", "b")
+    return both.withColumn("common", F.size(F.array_intersect("as", "bs")).cast("long"))
+
+
+def _is_link(percent: int):
+    return 100 * F.col("common") >= percent * (F.size("as") + F.size("bs") - F.col("common"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs (a, b)`` whose whole sets have 100 * intersection >= percent * union."""
+    return _with_sets(pairs, sets).filter(_is_link(percent)).select("a", "b")
 
 
 def similar_groups(df: DataFrame, width: int = 5, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -356,71 +454,154 @@ def similar_groups(df: DataFrame, width: int = 5, percent: int = 85, id_col: str
     held = written(met.join(sketches, "node").select("leaf", "node", "n", "bytes", "large"), "path-members")
     dropped(met)
     any_large = not held.filter("large").isEmpty()
-    alone = lambda part: held.withColumn("part", F.col("node")) if part is None else held.join(part.withColumnRenamed("root", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
     shape = ["leaf", "node", "part", "n", "bytes"]
 
     def first_of_large() -> DataFrame:
-        """Each document of a large node with the first of it."""
+        """Each document of a large node with the one of it that has the most of its common token bytes, and back (``cut``)."""
         large = held.filter("large")
-        first = large.groupBy("leaf").agg(F.min(F.struct("node", "n", "bytes")).alias("f"))
+        sample = large.withColumn("turn", F.row_number().over(Window.partitionBy("leaf").orderBy(F.xxhash64("node"), "node"))).filter(F.col("turn") <= LEAF)
+
+        def common(table: pa.Table) -> pa.Table:
+            data = np.frombuffer(b"".join(table["bytes"].to_pylist()), dtype=np.uint8).reshape(-1, TOKENS)
+            mode = np.array([np.bincount(data[:, k], minlength=256).argmax() for k in range(TOKENS)], dtype=np.uint8)
+            return pa.table({"leaf": table["leaf"].slice(0, 1), "mode": pa.array([mode.tobytes()], type=pa.binary())})
+
+        modes = sample.select("leaf", "bytes").groupBy("leaf").applyInArrow(common, "leaf long, mode binary")
+
+        def near(batches):
+            for batch in batches:
+                one, other = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, TOKENS) for k in (3, 4))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array((one == other).sum(axis=1).astype(np.int64))], names=["leaf", "node", "n", "bytes", "same"])
+
+        near_mode = large.join(modes, "leaf").select("leaf", "node", "n", "bytes", "mode").mapInArrow(near, "leaf long, node long, n long, bytes binary, same long")
+        first = near_mode.groupBy("leaf").agg(F.max_by(F.struct("node", "n", "bytes"), F.struct("same", -F.col("node"))).alias("f"))
 
         def run(batches):
             for batch in batches:
                 data = [np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, TOKENS) for k in (2, 5)]
                 x, n, y, m = (batch.column(k).to_numpy() for k in (0, 1, 3, 4))
-                at = np.flatnonzero((x != y) & alike_enough(*data, n, m, least))
-                yield _pairs(np.concatenate([x[at], y[at]]), np.concatenate([y[at], x[at]]), np.zeros(2 * len(at), dtype=bool))
+                like = likeness(*data)
+                at = np.flatnonzero((x != y) & alike_enough(like, n, m, least))
+                yield _pairs(np.concatenate([x[at], y[at]]), np.concatenate([y[at], x[at]]), np.concatenate([like[at], like[at]]), np.arange(2 * len(at)) >= len(at))
 
         both = large.join(first, "leaf").select("node", "n", "bytes", F.col("f.node").alias("y"), F.col("f.n").alias("m"), F.col("f.bytes").alias("other"))
         return both.mapInArrow(run, PAIRS)
 
-    links = tested = sets = roots = None
-    most, turn = 0, 0
+    # each document's most alike candidate, and its reference
+    met_by = written(_joined(small_candidates(members_of(held, None, "node").filter(~F.col("large")).select(*shape), least, 0), first_of_large() if any_large else None), "path-candidates")
+    best = written(met_by.groupBy("x").agg(F.max_by("y", F.struct("like", -F.col("y"))).alias("y")), "path-best")
+    dropped(met_by)
+    if best.isEmpty():
+        named = nodes.select("key", F.col("low").alias("component_id"))
+        return _named(rows, named)
+    found = best.select(F.col("x").alias("node")).union(best.select("y")).distinct()
+    busy = written(held.join(found, "node", "left_semi"), "path-busy")
+    score = best.groupBy(F.col("y").alias("node")).agg(F.count(F.lit(1)).alias("part"))
+    scored = busy.join(score, "node", "left").withColumn("part", F.coalesce("part", F.lit(0).cast("long")))
+    owner = small_references(scored.filter(~F.col("large")).select(*shape), least).select("x", "y", "like")
+    if any_large:
+        owner = owner.union(first_of_large().filter(~F.col("cut")).select("x", "y", F.lit(float(1 << 40)).alias("like")))
+    owner = written(owner.groupBy("x").agg(F.max_by("y", F.struct("like", -F.col("y"))).alias("y")), "path-references")
+    both = best.select(F.col("x").alias("b"), F.col("y").alias("a"), F.lit(False).alias("own")).union(owner.filter("x <> y").select("x", "y", F.lit(True)))
+    both = written(both.groupBy("a", "b").agg(F.max("own").alias("own")), "path-first")
+    sets = _sets_of(df, both, None, nodes, width, text_col)
+    more, less = F.array_except("bs", "as"), F.array_except("as", "bs")
+    first = _with_sets(both, sets).select("a", "b", _is_link(percent).alias("link"), F.size("as").cast("long").alias("size"), F.size("bs").cast("long").alias("n"),
+        F.when(F.col("own"), F.size("as") - F.col("common")).alias("less"), F.when(F.col("own"), F.concat(more, less)).alias("items"))
+    first = written(first, "path-differences")
+    links = first.filter("link").select("a", "b")
+    roots = components(written(links, "path-links"))
+    none = F.array().cast("array<bigint>")
+    apart = first.filter("less IS NOT NULL").select(F.col("b").alias("node"), F.col("a").alias("reference"), "size", "less", "items")
+    itself = owner.filter("x = y").select(F.col("x").alias("node")).join(nodes.select("node", "n"), "node").select("node", F.col("node").alias("reference"), F.col("n").alias("size"), F.lit(0).cast("long").alias("less"), none.alias("items"))
+    apart = written(apart.union(itself), "path-apart")
+
+    # exact comparison of what has one reference
+    members = written(_mixed(members_of(busy, roots, "node")), "path-mixed")
+    more_links = small_links(members.filter(~F.col("large")).join(apart, "node"), percent)
+    links = written(links.union(more_links), "path-links")
+    roots = components(links)
+
+    # pairs of different references, in rounds
+    tested = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    most = 1
     while True:
-        turn += 1
-        members = alone(roots)
-        found = small_candidates(members.filter(~F.col("large")).select(*shape), least, most)
+        members = written(_mixed(members_of(busy, roots, "node")), "path-mixed")
+        referred = members.join(apart.select("node", "reference"), "node", "left")
+        found = small_candidates_apart(referred.filter(~F.col("large")), least, most)
         if any_large:
-            found = found.union(large_candidates(members.filter("large").select(*shape), least, most) if most else first_of_large())
+            found = found.union(large_candidates(members.filter("large").select(*shape), least, most))
         found = written(found, "path-candidates")
-        if most:
-            pairs = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        else:
-            each = found.groupBy("x").agg(F.min("y").alias("y"))
-            pairs = each.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "path-pairs")
+        pairs = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "path-pairs")
+        dropped(members)
         if pairs.isEmpty():
-            more = most and not found.filter("cut").isEmpty()
-            dropped(found)
-            if not more:
+            if found.filter("cut").isEmpty():
                 break
+            dropped(found)
             most *= 4
             continue
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        if sets is not None:
-            ends = ends.join(sets.select("node"), "node", "left_anti")
-        wanted = written(ends.join(nodes.select("node", "text_sha256"), "node"), "path-wanted")
-        if not wanted.isEmpty():
-            new = written(_sets(df, wanted, width, text_col), "path-sets")
-            sets = new if sets is None else sets.unionByName(new)
-        good = written(verified(pairs, sets, percent), "path-links")
-        links = good if links is None else links.union(good)
-        tested = pairs if tested is None else tested.union(pairs)
+        sets = _sets_of(df, pairs, sets, nodes, width, text_col)
+        links = links.union(written(verified(pairs, sets, percent), "path-links"))
+        tested = tested.union(pairs)
         roots = components(links)
         dropped(found)
-        most = 1 if not most else most * 4
-    named = nodes.select("key", "low", "node")
-    if roots is not None:
-        named = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        named = written(named.select("key", "low", "root"), "path-named")
-        lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-        named = named.join(lowest, "root").select("key", "component_id")
-    else:
-        named = named.select("key", F.col("low").alias("component_id"))
-    named = written(named, "path-components")
-    linked = rows.select("id", "n", "key").filter("n > 0").join(named, "key").select("id", "n", "component_id")
-    rest = rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    out = linked.union(rest)
+        most *= 4
+    named = nodes.select("key", "low", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = written(named.select("key", "low", "root"), "path-named")
+    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    return _named(rows, named.join(lowest, "root").select("key", "component_id"))
+
+
+def _joined(one: DataFrame, other: DataFrame | None) -> DataFrame:
+    return one if other is None else one.union(other)
+
+
+def members_of(held: DataFrame, roots: DataFrame | None, alone: str) -> DataFrame:
+    """Members of nodes with their component as ``part``."""
+    if roots is None:
+        return held.withColumn("part", F.col(alone))
+    return held.join(roots.withColumnRenamed("root", "part"), "node", "left").withColumn("part", F.coalesce("part", alone))
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members of the nodes where several components meet."""
+    several = members.groupBy("leaf").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("leaf")
+    return members.join(several, "leaf", "left_semi")
+
+
+def small_candidates_apart(members: DataFrame, least: float, most: int) -> DataFrame:
+    """Candidates of different components in small nodes whose references differ; those of one were compared exactly."""
+
+    def columns(batch):
+        return *_columns(batch), batch.column(5).to_numpy(zero_copy_only=False)
+
+    def run(batches):
+        for leaf, node, part, n, data, reference in _whole_leaves(batches, columns):
+            i, j, like = _met(leaf, part, n, data, least)
+            apart = reference[i] != reference[j]
+            i, j, like = i[apart], j[apart], like[apart]
+            x, y = np.concatenate([i, j]), np.concatenate([j, i])
+            yield best_of(node[x], node[y], np.concatenate([like, like]), part[y], most)
+
+    own = members.select("leaf", "node", "part", "n", "bytes", F.coalesce("reference", "node").alias("reference"))
+    return own.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(run, PAIRS)
+
+
+def _sets_of(df: DataFrame, pairs: DataFrame, held: DataFrame | None, nodes: DataFrame, width: int, text_col: str) -> DataFrame:
+    """Sets of all ends of pairs: those ``held`` and those that are missing there."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    if held is not None:
+        ends = ends.join(held.select("node"), "node", "left_anti")
+    wanted = written(ends.join(nodes.select("node", "text_sha256"), "node"), "path-wanted")
+    if wanted.isEmpty():
+        return held
+    new = written(_sets(df, wanted, width, text_col), "path-sets")
+    return new if held is None else held.unionByName(new)
+
+
+def _named(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """Every row with the component of its set; without a set it is its own."""
+    linked = rows.select("id", "n", "key").filter("n > 0").join(written(named, "path-components"), "key").select("id", "n", "component_id")
+    out = linked.union(rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id")))
     return out.select("id", F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

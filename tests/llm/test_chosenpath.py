@@ -72,6 +72,6 @@ def test_tokens_estimate_similarity():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 2**63, 3000).astype(np.uint64)
     same = [(chosenpath.minwise(np.unique(h[: 1000 + k])) == chosenpath.minwise(np.unique(h[k : 1000 + k]))).mean() for k in (0, 100, 300, 1000)]
-    assert np.allclose(same, [(1000 - k) / (1000 + k) for k in (0, 100, 300, 1000)], atol=0.13)
+    assert np.allclose(same, [1000 / (1000 + k) for k in (0, 100, 300, 1000)], atol=0.13)
     assert 8 <= chosenpath.trees_for(0.85) <= 20
     assert chosenpath.trees_for(0.85, 0.9) < chosenpath.trees_for(0.85)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import classify, dates, money, records, text, urls
-from ..operators import builder, hybrid, resolve
-from ..sources import html
-from .views import kept
+from sluicework.functions import classify, dates, money, records, text, urls
+from sluicework.operators import builder, hybrid, resolve
+from sluicework.sources import html
+from sluicework.plans.views import kept
 
 
 def _values(names: str, rows: list[tuple]) -> str:

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import taxonomy
-from ..operators import registry
-from .cases import _values
-from .views import table
+from sluicework.functions import taxonomy
+from sluicework.operators import registry
+from cases import _values
 
 # (text, scope, provinces, towns, postal codes)
 PLACES = [
@@ -130,15 +129,6 @@ def user_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return users.join(admin, F.col("id") == F.col("user_id"), "left").select("id", "email", "full_name", "role", F.coalesce("admin", F.lit(False)).alias("admin"))
 
 
-def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last patch of each customer over the table, and which rows it changed."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal", F.lit("1990-01-01").alias("updated_at"))
-    p = c.filter("c_acctbal < 2000").select("c_custkey", F.lit(None).cast("string").alias("c_mktsegment"), F.lit(0.0).alias("c_acctbal"), F.lit(1).alias("seq"))
-    p = p.unionByName(c.filter("c_acctbal < 1000").select("c_custkey", F.lit("HOUSEHOLD").alias("c_mktsegment"), F.lit(None).cast("double").alias("c_acctbal"), F.lit(2).alias("seq")))
-    new = registry.patched(c, p, "c_custkey", "seq")
-    return registry.touched(c, new, "c_custkey", F.lit("1995-01-01")).select("c_custkey", "c_mktsegment", "c_acctbal", "updated_at")
-
-
 EVIDENCE = [
     (1, "name", "llm_only_inference", 0.9, "Weak"), (1, "name", "regex_from_prose", 0.5, "Strong"), (1, "tags", "parent_page_inheritance", 0.7, "B"), (1, "tags", "parent_page_inheritance", 0.2, "a"), (2, "amount", "unknown way", 0.3, "5"),
 ]
@@ -154,13 +144,6 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("program_id", "name", F.array_join("tags", "|").alias("tags"), F.array_join(registry.by_confidence(F.col("confidence")), "|").alias("surest"), F.coalesce(F.to_json("best"), F.lit("")).alias("best"))
 
 
-def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two newest checkpoints of each user's visits, the newest of all marked."""
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("checkpoint_id"), (F.col("user_id") % 50).alias("run_id"), F.col("ts").alias("updated_at"))
-    last = registry.latest_checkpoint(e).select("checkpoint_id", F.lit(True).alias("newest"))
-    return registry.pruned(e, 2).join(last, "checkpoint_id", "left").select("checkpoint_id", "run_id", F.coalesce("newest", F.lit(False)).alias("newest"))
-
-
 def view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records as the catalogue shows them."""
     cols = "program_id int, funder_name string, source_domain string, source_url string, title string, provinces array<string>, municipalities array<string>, geography_scope string, funding_type string, deadline_type string, deadline_date date, confidence map<string,double>, approval_status string"
@@ -173,22 +156,9 @@ def view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.withColumn("geography", F.array_join("geography", "|"))
 
 
-def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records sent in batches that time out above two, and the sums of what came back."""
-
-    def send(rows: list[dict]) -> dict:
-        if len(rows) > 2:
-            raise TimeoutError
-        return {"stored": len(rows), "kinds": sorted({r["p_brand"] for r in rows})}
-
-    results = registry.uploaded(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), send)
-    return registry.merged_results(results, ["stored"], ["kinds"]).select(F.col("stored").cast("long").alias("stored"), F.array_join("kinds", "|").alias("kinds"))
-
-
 QUERIES = {
     "g3_places": places, "g13_categories": categories, "g14_known_categories": known_categories, "s28_domain_names": domain_names, "s20_shares": shares, "s19_list_items": list_items,
-    "g12_structures": structures, "m8_turnovers": turnovers, "b15_registry_upsert": registry_upsert, "b18_user_upsert": user_upsert, "b19_patches": patches, "k10_evidence": evidence,
-    "t4_checkpoints": checkpoints, "c17_view": view, "b10_uploads": uploads,
+    "g12_structures": structures, "m8_turnovers": turnovers, "b15_registry_upsert": registry_upsert, "b18_user_upsert": user_upsert,  "k10_evidence": evidence,  "c17_view": view, 
 }
 ORACLE_SQL = {
     "g3_places": _values("id, scope, provinces, municipalities, postal_codes", [(i, *r[1:]) for i, r in enumerate(PLACES)]),
@@ -201,13 +171,8 @@ ORACLE_SQL = {
     "m8_turnovers": _values("id, low, high", [(i, *r[1:]) for i, r in enumerate(TURNOVERS)]),
     "b15_registry_upsert": _values("site_key, display_name, seeds, rejects", [("a", "Newest A", "", 1), ("c", "C", "", 1)]),
     "b18_user_upsert": _values("id, email, full_name, role, admin", [("u1", "new@x", "Ann", "admin", True), ("u2", "bob@y", "bob", "admin", True), ("u3", "", "", "applicant", False), ("u4", "c@z", "Cy", "applicant", False)]),
-    "b19_patches": """SELECT c_custkey, CASE WHEN c_acctbal < 1000 THEN 'HOUSEHOLD' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_acctbal BETWEEN 1000 AND 1999.9999 THEN 0 ELSE c_acctbal END AS c_acctbal,
-        CASE WHEN (c_acctbal < 1000 AND c_mktsegment <> 'HOUSEHOLD') OR c_acctbal BETWEEN 1000 AND 1999.9999 THEN '1995-01-01' ELSE '1990-01-01' END AS updated_at FROM customer""",
     "k10_evidence": _values("program_id, name, tags, surest, best", [(1, "Weak", "A|B", "name|tags", '{"name":0.5,"tags":0.7}'), (2, "Kept", "", "amount", '{"amount":0.3}'), (3, "Alone", "", "", "")]),
-    "t4_checkpoints": """WITH e AS (SELECT event_id AS checkpoint_id, user_id % 50 AS run_id, ts FROM events)
-        SELECT checkpoint_id, run_id, row_number() OVER (ORDER BY ts DESC, checkpoint_id) = 1 AS newest FROM e QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, checkpoint_id) <= 2""",
     "c17_view": _values("program_id, provider, source_url, source_name, geography, funding_type, status, scrape_confidence, approval_status", [
         (1, "Fund", "u", "T", "P|M|Province", "loan", "active", 0.4, "approved"), (2, "d.org", "#", "d.org", "Unknown", "unknown", "draft", 0.5, "pending"),
         (3, "Unknown provider", "#", "Unknown provider", "National", "unknown", "active", 0.0, "pending")]),
-    "b10_uploads": "SELECT count(*) AS stored, string_agg(DISTINCT p_brand, '|' ORDER BY p_brand) AS kinds FROM part",
 }

@@ -229,14 +229,20 @@ def profile_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def preview_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many previews each profile has of each status, over all programmes.
 
-    Programmes that the preview can't tell apart are counted once, with their number; so are profiles of one kind."""
+    Programmes that the preview can't tell apart (by what kinds of profiles ask, amounts exactly) are counted once, with their
+    number; so are profiles of one kind."""
     none = F.array().cast("array<string>")
     p = programmes(spark, sf_dir).withColumn("geography", F.when(F.col("geography_scope") == "Unknown", none).otherwise(F.array(F.when(F.col("pk") % 3 == 0, "Southern Africa").otherwise(F.coalesce("province", F.lit("elsewhere"))))))
-    p = p.withColumn("level", F.floor(F.coalesce("ticket_min", F.lit(-1)) / 20000)).withColumns({"ticket_min": F.when(F.col("level") >= 0, F.col("level") * 20000), "ticket_max": F.when(F.col("ticket_max").isNotNull(), F.ceil(F.col("ticket_max") / 20000) * 20000)})
-    p = p.groupBy(F.col("industries").alias("sectors"), "geography", "funding_type", "ticket_min", "ticket_max").agg(F.count(F.lit(1)).alias("n"))
     users = _profiles(spark, sf_dir).select("user_id", F.col("sectors").alias("f_sectors"), F.regexp_extract(F.lower("province"), "|".join(matching.PREVIEW_PLACES), 0).alias("f_country"), F.col("preferred_types").alias("f_types"), F.col("requested_min").alias("f_min"), F.col("requested_max").alias("f_max"))
     kind = ["f_sectors", "f_country", "f_types", "f_min", "f_max"]
-    kinds = users.select(*kind).distinct().withColumn("kind", F.sha2(F.to_json(F.struct(*kind)), 256))
+    kinds = kept(users.select(*kind).distinct().withColumn("kind", F.sha2(F.to_json(F.struct(*kind)), 256)), "preview-kinds")
+    # amounts are told apart only by the bounds asked for: the greatest least one below, the least greatest one above
+    asked = kinds.agg(F.array_sort(F.collect_set(F.col("f_min").cast("double"))).alias("f"), F.array_sort(F.collect_set(F.col("f_max").cast("double"))).alias("t"))
+    p = p.crossJoin(F.broadcast(asked))  # one row
+    low = F.coalesce(F.try_element_at(F.filter("t", lambda b: b >= F.col("ticket_min")), F.lit(1)), F.lit(float("inf")))
+    high = F.coalesce(F.try_element_at(F.filter("f", lambda b: b <= F.col("ticket_max")), F.lit(-1)), F.lit(float("-inf")))
+    p = p.withColumns({"ticket_min": F.when(F.col("ticket_min").isNotNull(), low), "ticket_max": F.when(F.col("ticket_max").isNotNull(), high)})
+    p = p.groupBy(F.col("industries").alias("sectors"), "geography", "funding_type", "ticket_min", "ticket_max").agg(F.count(F.lit(1)).alias("n"))
     # of a profile's country only the words that count are kept, so kinds of profiles are as many as the form has answers, not as users: a stated query set against all rows
     seen = matching.preview(p.crossJoin(F.broadcast(kinds))).groupBy("kind", "preview_status").agg(F.sum("n").alias("n"), F.max("preview").alias("best"))
     return users.withColumn("kind", F.sha2(F.to_json(F.struct(*kind)), 256)).select("user_id", "kind").join(seen, "kind").drop("kind")
@@ -325,7 +331,7 @@ ORACLE_SQL = {
           JOIN (SELECT pid, view_reasons, view_blockers FROM slim) w ON w.pid = b.pid)""",
     "r9_preview_matches": f"""WITH {PROGRAMMES_SQL}, {PROFILES_SQL},
         p AS (SELECT industry, CASE WHEN geography_scope <> 'Unknown' THEN CASE WHEN pk % 3 = 0 THEN 'Southern Africa' ELSE coalesce(province, 'elsewhere') END END AS region, funding_type,
-            floor(ticket_min / 20000)::BIGINT * 20000 AS lo, ceil(ticket_max / 20000)::BIGINT * 20000 AS hi, count(*) AS n FROM programmes GROUP BY ALL),
+            ticket_min AS lo, ticket_max AS hi, count(*) AS n FROM programmes GROUP BY ALL),
         pre AS (SELECT own_place, segment, lv, n, region IS NOT NULL AND (lower(region) LIKE '%africa%' OR lower(region) LIKE '%malawi%' OR lower(own_place) LIKE '%africa%') AS fits,
             CASE WHEN coalesce(list_bool_or(list_transform(sectors, lambda s: contains(lower(industry), lower(s)))), false) THEN 35 ELSE 0 END + CASE WHEN fits THEN 30 ELSE 0 END
             + CASE WHEN list_contains(types, funding_type) THEN 20 ELSE 0 END + CASE WHEN coalesce(hi >= f_min AND lo <= f_max, false) THEN 15 ELSE 0 END AS preview FROM p CROSS JOIN kinds),

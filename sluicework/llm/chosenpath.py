@@ -14,7 +14,7 @@ reference: of its candidates and itself the one that most documents are most ali
 The difference of a set to its reference, what it has more and what it has less, stands for the whole set: two documents of
 one reference are compared exactly by their differences, in the nodes where they meet, as one product of small matrices,
 and only links leave the task. What remains, candidates of different references and components, is verified in pairs, in
-rounds: for each document and component the most alike not tested yet, then four times as many, until none is left. No
+rounds: for each document and component the most alike not tested yet, then MORE times as many, until none is left. No
 unverified link joins anything, and no link between different texts is lost that a tree has met.
 
 Cases: null and empty texts, and texts without words, have no set: linked with nothing, ``n_shingles`` 0; a text of fewer
@@ -50,6 +50,8 @@ TARGET, MEETS = 0.99999, 3
 """Probability that a pair of just the similarity sought meets in some tree, if its nodes are small after MEETS levels."""
 ERRORS = 5
 """Standard errors that a candidate's estimated similarity may lie under the one sought."""
+MORE = 16
+"""Factor by which a round of pairs grows."""
 STEP = 16_384
 """Rows of whole small nodes that a task compares at once."""
 
@@ -155,33 +157,35 @@ def walk(nodes: DataFrame, trees: int, least: float, level: int, split: np.ndarr
     return nodes.select("node", "tokens").mapInArrow(run, "leaf long, above long" if level else "leaf long, node long, large boolean")
 
 
-def _places(leaves: DataFrame) -> np.ndarray:
-    size = map_size(leaves.count())
-    unsigned = F.pmod(F.pmod(F.col("leaf"), F.lit(size)), F.lit(size))  # sizes are powers of 2: the same as of the unsigned name
-    return bit_map(leaves.select(unsigned.alias("at")), size)
+def _places(leaves: DataFrame, size: int) -> np.ndarray:
+    """Bit map of node names; ``size`` is a power of 2, so that the remainder of a signed name is that of the unsigned one."""
+    return bit_map(leaves.select(F.pmod(F.col("leaf"), F.lit(size)).alias("at")), size)
 
 
 def meetings(nodes: DataFrame, trees: int, least: float) -> DataFrame:
     """``leaf, node, large``: who meets where, in nodes of two and more."""
     split = alike = None
     counts: list[DataFrame] = []
-    parted, kept = [], []
+    size = 0
     for level in range(1, DEPTH + 1):
         found = walk(nodes, trees, least, level, split, alike).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("above").alias("above"))
         found = written(found.filter(F.col("n") > LEAF), "large-nodes")
         counts.append(found)
-        if found.isEmpty():
-            break
+        kept = F.lit(level == DEPTH)
         if level > 2:
-            upper = counts[-3].select(F.col("leaf").alias("above"), F.col("n").alias("n2"))
-            found = found.join(upper, "above", "left").withColumn("kept", F.coalesce(F.col("n") >= ALIKE * F.col("n2"), F.lit(False)))
-        else:
-            found = found.withColumn("kept", F.lit(False))
-        if level == DEPTH:
-            found = found.withColumn("kept", F.lit(True))
-        parted.append(found.filter(~F.col("kept")).select("leaf"))
-        kept.append(found.filter("kept").select("leaf"))
-        split, alike = _places(_all(parted)), _places(_all(kept))
+            found = found.join(counts[-3].select(F.col("leaf").alias("above"), F.col("n").alias("n2")), "above", "left")
+            kept = kept | F.coalesce(F.col("n") >= ALIKE * F.col("n2"), F.lit(False))
+        found = found.withColumn("kept", kept)
+        sizes = dict(found.groupBy("kept").count().collect())  # two rows at most
+        if not sizes:
+            break
+        size = size or map_size(4 * sum(sizes.values()))  # further levels go into the same map: a full one only lets more paths be walked
+        for which in sizes:
+            new = _places(found.filter(F.col("kept") == which), size)
+            if which:
+                alike = new if alike is None else alike | new
+            else:
+                split = new if split is None else split | new
     rows = written(walk(nodes, trees, least, 0, split, alike), "path-ends")
     for c in counts:
         dropped(c)
@@ -205,13 +209,6 @@ def meetings(nodes: DataFrame, trees: int, least: float) -> DataFrame:
     return written(small.withColumn("large", F.lit(False)).union(rows.filter("large").select("leaf", "node", "large")), "meetings")
 
 
-def _all(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.union(f)
-    return out
-
-
 def likeness(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Estimated similarity of rows of token bytes."""
     return ((one == other).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
@@ -422,7 +419,9 @@ def _sets(df: DataFrame, wanted: DataFrame, width: int, text_col: str) -> DataFr
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs (a, b, ...)`` with the items of both as ``as`` and ``bs`` and how many they share."""
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("items").alias(f"{c}s"))
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    own = sets.join(ends, "node", "left_semi")  # only these sets are shuffled
+    side = lambda c: own.select(F.col("node").alias(c), F.col("items").alias(f"{c}s"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     return both.withColumn("common", F.size(F.array_intersect("as", "bs")).cast("long"))
 
@@ -510,7 +509,7 @@ def similar_groups(df: DataFrame, width: int = 5, percent: int = 85, id_col: str
         F.when(F.col("own"), F.size("as") - F.col("common")).alias("less"), F.when(F.col("own"), F.concat(more, less)).alias("items"))
     first = written(first, "path-differences")
     links = first.filter("link").select("a", "b")
-    roots = components(written(links, "path-links"))
+    roots = roots_of(links)
     none = F.array().cast("array<bigint>")
     apart = first.filter("less IS NOT NULL").select(F.col("b").alias("node"), F.col("a").alias("reference"), "size", "less", "items")
     itself = owner.filter("x = y").select(F.col("x").alias("node")).join(nodes.select("node", "n"), "node").select("node", F.col("node").alias("reference"), F.col("n").alias("size"), F.lit(0).cast("long").alias("less"), none.alias("items"))
@@ -520,7 +519,7 @@ def similar_groups(df: DataFrame, width: int = 5, percent: int = 85, id_col: str
     members = written(_mixed(members_of(busy, roots, "node")), "path-mixed")
     more_links = small_links(members.filter(~F.col("large")).join(apart, "node"), percent)
     links = written(links.union(more_links), "path-links")
-    roots = components(links)
+    roots = roots_of(links)
 
     # pairs of different references, in rounds
     tested = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -539,20 +538,56 @@ def similar_groups(df: DataFrame, width: int = 5, percent: int = 85, id_col: str
             if found.filter("cut").isEmpty():
                 break
             dropped(found)
-            most *= 4
+            most *= MORE
             continue
         sets = _sets_of(df, pairs, sets, nodes, width, text_col)
-        links = links.union(written(verified(pairs, sets, percent), "path-links"))
+        good = written(verified(pairs, sets, percent), "path-links")
         tested = tested.union(pairs)
-        roots = components(links)
+        if not good.isEmpty():
+            links = links.union(good)
+            roots = roots_of(links)
         dropped(found)
-        most *= 4
+        most *= MORE
     named = nodes.select("key", "low", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = written(named.select("key", "low", "root"), "path-named")
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     return _named(rows, named.join(lowest, "root").select("key", "component_id"))
 
 
+FEW = 1 << 20
+"""Links up to which one task finds their components (16 MB); more are contracted in rounds over the cluster, to the same
+components."""
+
+
+def roots_of(links: DataFrame) -> DataFrame:
+    """``node, root`` of the nodes in ``links (a, b)``, a written table; root is the least node of a component."""
+    if links.count() > FEW:
+        return components(links)
+
+    def run(batches):
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if not held:
+            return
+        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        a, b = at[: len(a)], at[len(a) :]
+        root = np.arange(len(node))
+        while True:
+            new = root.copy()
+            low = np.minimum(root[a], root[b])
+            np.minimum.at(new, a, low)
+            np.minimum.at(new, b, low)
+            np.minimum.at(new, root[a], low)
+            np.minimum.at(new, root[b], low)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[root])], names=["node", "root"])
+
+    return written(links.select("a", "b").coalesce(1).mapInArrow(run, "node long, root long"), "path-roots")
+
+
 def _joined(one: DataFrame, other: DataFrame | None) -> DataFrame:
     return one if other is None else one.union(other)
 

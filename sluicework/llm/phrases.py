@@ -41,8 +41,10 @@ GROUP = 1 << 16
 """Blocks of bitmaps that are extended together; bounds the memory of a step, not its result."""
 BLOCK = 4
 """Block of a place: place >> BLOCK; blocks have 16 bits."""
-ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"\n" * 10)
-"""What ends a piece, as one character."""
+END = b"\xff"
+"""Stands between pieces: a byte that UTF-8 never has."""
+ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", END * 10)
+"""What ends a piece, as that byte."""
 COUNTS = "part string, phrase string, words int, n long"
 
 
@@ -63,12 +65,11 @@ def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def pieces_of(text: bytes) -> Iterator[list[bytes]]:
-    """Words of each piece of a lower-cased text."""
-    for piece in text.translate(ENDS).split(b"\n"):
-        words = piece.split()
-        if words:
-            yield words
+def tokens_of(text: bytes) -> list[bytes]:
+    """Words of a lower-cased text in a row, with END between pieces and at the end."""
+    tokens = text.translate(ENDS).replace(END, b" \xff ").split()
+    tokens.append(END)
+    return tokens
 
 
 class Shard:
@@ -162,6 +163,7 @@ def word_counts(source: DataFrame) -> DataFrame:
 
         def out():
             for part, counts in held.items():
+                del counts[END]
                 listed = list(counts)
                 yield _batch(part, pa.array(listed, type=pa.binary()).cast(pa.string()), 1, np.fromiter(counts.values(), dtype=np.int64, count=len(listed)))
             held.clear()
@@ -169,8 +171,7 @@ def word_counts(source: DataFrame) -> DataFrame:
         for batch in batches:
             for rows in _batches(batch):
                 for part, text in rows:
-                    for words in pieces_of(text):
-                        held[part].update(words)
+                    held[part].update(tokens_of(text))
                 if sum(map(len, held.values())) > SHARD // 2:
                     yield from out()
         yield from out()
@@ -216,12 +217,8 @@ def phrase_counts(source: DataFrame, words: np.ndarray, pairs: np.ndarray | None
         for batch in batches:
             for rows in _batches(batch):
                 for part, text in rows:
-                    tokens: list[bytes | None] = []
-                    for piece in pieces_of(text):
-                        tokens += piece
-                        tokens.append(None)
-                    ids = known[part]
-                    ids[None] = 0
+                    tokens, ids = tokens_of(text), known[part]
+                    ids[END] = 0
                     new = set(tokens).difference(ids)
                     if new:
                         number(part, new)

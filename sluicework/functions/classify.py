@@ -99,3 +99,46 @@ def month_range(c: Column) -> Column:
     high = F.when(has_pair, number(pair, 2) * times(F.regexp_extract(low, pair, 3))).otherwise(number(one, 1) * times(F.regexp_extract(low, one, 2)))
     least = F.when(has_pair, number(pair, 1) * times(F.regexp_extract(low, pair, 3))).when(~low.contains("up to"), high)
     return F.struct(least.alias("low"), high.alias("high"))
+
+
+def day_range(c: Column, words: Sequence[str]) -> Column:
+    """Struct of least and most days, and of the sentence, of the first sentence with one of the words that tells days or weeks:
+    two numbers joined by to or a dash, or one behind within. Null without one."""
+    from .text import sentences
+
+    pair, one = r"(\d+) *(?:to|-|–) *(\d+) *(day|week)", r"within +(\d+) *(day|week)"
+    number = lambda s, p, i: F.nullif(F.regexp_extract(F.lower(s), p, i), F.lit("")).cast("int")
+    days = lambda s, p, i: F.when(F.regexp_extract(F.lower(s), p, i) == "week", 7).otherwise(1)
+
+    def read(s):
+        both = F.lower(s).rlike(pair)
+        low = F.when(both, number(s, pair, 1) * days(s, pair, 3)).otherwise(number(s, one, 1) * days(s, one, 2))
+        high = F.when(both, number(s, pair, 2) * days(s, pair, 3)).otherwise(number(s, one, 1) * days(s, one, 2))
+        return F.struct(low.alias("low"), high.alias("high"), s.alias("said"))
+
+    about = F.filter(sentences(c), lambda s: _holds(F.lower(s), words))
+    return F.try_element_at(F.filter(F.transform(about, read), lambda r: r["high"].isNotNull()), F.lit(1))
+
+
+# Words of repayment structures with their names, in order, and names by frequency where no words tell one.
+STRUCTURES = (
+    (("interest-only", "interest only", "principal repayment", "capital repayment"), "interest-only period then principal repayment"),
+    (("bullet repayment", "bullet payment", "balloon payment", "lump sum repayment", "single repayment", "once-off"), "bullet repayment"),
+    (("repayment linked to cash flow", "linked to cash flow", "cash flow linked", "cash flow"), "repayment linked to cash flow"),
+    (("monthly repayment", "monthly repayments", "monthly instalment", "monthly installments"), "monthly instalments"),
+    (("quarterly repayment", "quarterly repayments", "quarterly instalment", "quarterly installments"), "quarterly repayments"),
+    (("annual repayment", "annually", "annual instalment", "annual installments", "yearly", "per annum"), "annual repayments"),
+    (("weekly repayment", "weekly repayments", "weekly instalment", "weekly installments"), "weekly repayments"),
+    (("moratorium", "grace period", "repayment holiday", "deferred payment"), "moratorium applies"),
+)
+BY_FREQUENCY = {"Once-off": "bullet repayment", "Flexible": "flexible repayment schedule", "Monthly": "monthly instalments", "Quarterly": "quarterly repayments", "Annually": "annual repayments"}
+
+
+def repayment_structure(c: Column, frequency: Column) -> Column:
+    """Name of a repayment's structure: by the first words found, else by its frequency; null where neither tells one."""
+    low, out = F.lower(F.coalesce(c, F.lit(""))), F.when(F.lit(False), "")
+    for words, name in STRUCTURES:
+        out = out.when(_holds(low, words), name)
+    for kind, name in BY_FREQUENCY.items():
+        out = out.when(frequency == kind, name)
+    return out

@@ -49,6 +49,21 @@ def published(records: DataFrame) -> DataFrame:
     return records.filter(F.col("approval_status") == "approved")
 
 
+def published_changes(final: DataFrame, changes: DataFrame, key: str = "program_id", order: str = "seq", now=None) -> DataFrame:
+    """``final`` (approved rows with ``published_at`` and ``source_approval_status``) after a feed of row changes (``op`` insert,
+    update or delete, ``order``, and the row): a change takes the key's published row away and, unless it deletes or the row
+    isn't approved, puts the new one in its place.
+
+    Only the last change of a key counts, as each undoes the one before; one aggregation of the feed and one anti-join. A
+    status of null is pending. Changes of one key and place are taken by the greatest row."""
+    now = F.current_timestamp() if now is None else now
+    last = latest_by(changes, [key], order)
+    kept = final.join(last.select(key), key, "left_anti")
+    new = last.filter((F.lower("op") != "delete") & (F.coalesce("approval_status", F.lit("pending")) == "approved"))
+    new = new.withColumns({"published_at": now, "source_approval_status": F.col("approval_status")})
+    return kept.select(*final.columns).unionByName(new.select(*final.columns))
+
+
 def backfill(final: DataFrame, records: DataFrame, keys: list[str]) -> DataFrame:
     """Adds approved rows that are not published yet; those that are stay untouched."""
     return final.unionByName(published(records).join(final.select(*keys), keys, "left_anti").select(*final.columns))

@@ -7,11 +7,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import money, records, taxonomy, text
-from ..operators import builder, hybrid, registry, resolve
-from ..sources import html
+from ..functions import classify, money, moneycheck, records, taxonomy, text
+from ..operators import adapters, builder, catalog, hybrid, registry, resolve
+from ..sources import html, paged
 from .pages import _LINES, _ONCE, _PLAIN
-from .views import AS_OF, PROGRAMMES_SQL, kept, programmes, table
+from ..operators.matching import ranked
+from .views import AS_OF, PROGRAMMES_SQL, folder, kept, programmes, table
 
 _any_sql = lambda c, words: "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
 _count_sql = lambda c, words: "(" + " + ".join(f"contains({c}, '{w}')::INT" for w in words) + ")"
@@ -257,12 +258,88 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.merged_results(results, ["stored"], ["kinds"]).select(F.col("stored").cast("long").alias("stored"), F.array_join("kinds", "|").alias("kinds"))
 
 
+def checked_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts of offers held against their evidence: right ones, and numbers of phones, years and shares taken for money."""
+    k, a = F.col("o_orderkey"), F.floor("o_totalprice").cast("long")
+    say = _choose(
+        k, F.concat(F.lit("Grant funding between R"), a.cast("string"), F.lit(" and R"), (a * 2).cast("string"), F.lit(" for firms.")), F.concat(F.lit("Call 011 555 "), (k % 9000 + 1000).cast("string"), F.lit(" for details.")),
+        "Apply before 2026.", "Support for all firms.", F.concat(F.lit("Owners hold 51% of R"), (k % 50 + 1).cast("string"), F.lit("m")), F.concat(F.lit("The loan amount is ZAR "), (k % 9 + 1).cast("string"), F.lit(" million.")),
+    )
+    budget = F.when(k % 12 == 0, 2020.0).when(k % 12 == 6, a * 10.0)
+    d = table(spark, sf_dir, "orders").select("o_orderkey", F.array(say, F.lit(None).cast("string")).alias("s"), F.lit("Offer").alias("t"), a.cast("double").alias("low"), F.when(k % 6 != 3, a * 2.0).alias("high"), budget.alias("budget"), F.lit(None).cast("string").alias("cur"))
+    c = moneycheck.checked_amounts("s", "t", "low", "high", "budget", "cur")
+    return d.select("o_orderkey", c.alias("c")).select("o_orderkey", "c.*")
+
+
+def page_adapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The adapter of every page, its settings with the site's laid over them, and the page's role.
+
+    Adapters are the pages' own domains of three labels, and com and org as a whole; a site of an even number of letters has a config."""
+    p = table(spark, sf_dir, "pages")
+    parts = F.split(F.regexp_extract("url", "^https?://([^/?#]*)", 1), "[.]")
+    end = lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), ".")
+    found = p.filter(F.size(parts) > 2).select(end(3).alias("domain")).filter("domain like 'th%'").union(p.select(end(1)).filter(end(1).isin("com", "org"))).distinct()
+    listed = found.select(F.length("domain").cast("long").alias("ord"), F.col("domain").alias("adapter_key"), "domain")
+    found = adapters.with_adapter(p.select("page_id", "url"), listed)
+    one = lambda *x: F.array(*[F.lit(v) for v in x])
+    none = F.array().cast("array<string>")
+    base = listed.select("adapter_key", one("/en/1").alias("child_page_terms"), none.alias("parent_page_terms"), none.alias("application_support_terms"), none.alias("supporting_programme_terms"), one("page=2").alias("support_page_terms"), one("/fr").alias("allowed_path_prefixes"), F.lit(50).alias("max_pages"), F.lit(True).alias("strict_path_prefixes"), F.lit("balanced").alias("crawl_mode"), F.create_map(F.lit("a"), F.lit("b")).alias("merge_aliases"))
+    config = listed.filter(F.length("domain") % 2 == 0).select("adapter_key", none.alias("child_page_terms"), one("/es/", " ").alias("parent_page_terms"), one("/DE/").alias("allowed_path_prefixes"), (F.length("domain") - 14).alias("max_pages"), F.lit(False).alias("strict_path_prefixes"), F.lit(" ").alias("crawl_mode"), F.create_map(F.lit("a"), F.lit("c"), F.lit("d"), F.lit("e")).alias("merge_aliases"))
+    rows = found.join(adapters.configured(base, config), "adapter_key", "left")
+    k = F.col("page_id")
+    role = adapters.page_role(F.col("url"), F.lit(None), F.lit("text"), (k % 3).cast("int"), (k % 2).cast("int"), (k % 11).cast("int"), (k % 4).cast("int"), F.when(k % 5 == 0, 1).otherwise(0), F.lit(0), F.lit("generic_content"))
+    return rows.select("page_id", "adapter_key", "max_pages", F.col("strict_path_prefixes").cast("int").alias("strict_path_prefixes"), "crawl_mode", F.col("merge_aliases")["a"].alias("alias"), F.coalesce(F.size("merge_aliases"), F.lit(-1)).alias("n_aliases"), role.alias("role"))
+
+
+def publish_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published orders after a feed of changes: filled ones are published, open and part filled ones change."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("program_id"), F.col("o_orderpriority").alias("name"), "o_orderstatus", "o_totalprice")
+    final = o.filter("o_orderstatus <> 'O'").select("program_id", "name", F.lit("approved").alias("approval_status"), F.lit("old").alias("published_at"), F.lit("approved").alias("source_approval_status"))
+    one = o.filter("o_orderstatus <> 'F'").select(F.lit("update").alias("op"), F.lit(1).alias("seq"), "program_id", F.upper("name").alias("name"), F.when(F.col("o_totalprice") > 100000, "approved").when(F.col("o_totalprice") > 50000, "rejected").alias("approval_status"))
+    two = o.filter("o_totalprice > 250000").select(F.lit("DELETE").alias("op"), F.lit(2).alias("seq"), "program_id", F.lit(None).cast("string").alias("name"), F.lit("approved").alias("approval_status"))
+    three = o.filter("o_totalprice > 400000").select(F.lit("insert").alias("op"), F.lit(3).alias("seq"), "program_id", F.lit("again").alias("name"), F.lit("approved").alias("approval_status"))
+    return catalog.published_changes(final, one.union(two).union(three), now=F.lit("new"))
+
+
+def paged_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as pages of JSON read through the source of paged tables, with a pushed filter."""
+    where = folder(spark, "json-pages")
+    pages = table(spark, sf_dir, "part").groupBy(F.expr("p_partkey div 500").alias("page")).agg(F.to_json(F.collect_list(F.struct("p_partkey", "p_name", "p_brand", "p_retailprice"))).alias("value"))
+    pages.repartition("page").write.partitionBy("page").text(where)
+    return paged.read_pages(spark, where, "p_partkey long, p_name string, p_brand string, p_retailprice double").filter("p_brand = 'Brand#2'").select("p_partkey", "p_name", "p_retailprice")
+
+
+def titles_by_locale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts, customers' segments and languages' words in the order of a reader, not of bytes: letters
+    before case, accents and marks."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split(F.substring("text", 1, 400), r"[\s\p{Punct}]+")).alias("title"))
+    names = words.union(table(spark, sf_dir, "part").select("p_name")).union(table(spark, sf_dir, "customer").select("c_mktsegment")).filter("title <> ''").distinct()
+    return ranked(names, [F.collate("title", "UNICODE"), F.col("title")], kept).select("title", "place")
+
+
+SPEED_WORDS = ("turnaround", "processing time")
+
+
+def speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of processing, and structures of repayment, read from texts made of orders."""
+    k = F.col("o_orderkey")
+    n, m = (k % 20 + 1).cast("string"), (k % 20 + 9).cast("string")
+    say = _choose(
+        k, F.concat(F.lit("Open for 3 days. Turnaround is "), n, F.lit(" to "), m, F.lit(" weeks.")), F.concat(F.lit("Processing time: within "), n, F.lit(" days. Turnaround 1-2 days.")), F.concat(F.lit("Turnaround times vary. Processing time "), n, F.lit("-"), m, F.lit(" days.")), "Paid in 5 days.",
+    )
+    pay = _choose(k, "Interest-only at first, monthly repayments later.", "A balloon payment.", "Linked to cash flow.", "Repay weekly: weekly instalment of R5.", "A grace period applies.", "As agreed.", None)
+    often = _choose(k, "Unknown", "Monthly")
+    d = table(spark, sf_dir, "orders").select("o_orderkey", classify.day_range(say, SPEED_WORDS).alias("d"), classify.repayment_structure(pay, often).alias("structure"))
+    return d.select("o_orderkey", "d.low", "d.high", "d.said", "structure")
+
+
 QUERIES = {
     "s1_document_texts": document_texts, "c5_page_reasons": render_reasons, "g9_document_types": page_types, "c20_document_preflights": preflights, "g12_page_structures": structures,
     "s28_site_names": site_names, "g3_order_places": places, "s20_order_shares": shares, "m5_order_amounts": amount_evidence, "g13_part_categories": categories,
     "b15_supplier_sites": registry_upsert, "b18_customer_users": user_upsert, "k10_event_evidence": evidence, "c17_programme_views": view, "e10_best_orders": best_by_key,
     "j1_order_sites": records_to_sites, "h23_order_drafts": draft_records, "j13_order_sources": draft_sources, "e1_order_stars": star_clusters,
-    "b19_patches": patches, "t4_checkpoints": checkpoints, "b10_uploads": uploads,
+    "c12_checked_amounts": checked_amounts, "x2_page_adapters": page_adapters, "b13_publish_feed": publish_feed, "a16_paged_table": paged_table, "w1_titles_by_locale": titles_by_locale,
+    "m9_order_speeds": speeds, "b19_patches": patches, "t4_checkpoints": checkpoints, "b10_uploads": uploads,
 }
 
 _TYPE_SQL = f"""CASE WHEN {_any_sql('low', records.PROCUREMENT)} THEN 'tender_procurement' WHEN {_any_sql('low', records.STATIONS)} AND NOT fundable THEN 'technology_station'
@@ -350,4 +427,32 @@ ORACLE_SQL = {
     "t4_checkpoints": """WITH e AS (SELECT event_id AS checkpoint_id, user_id % 50 AS run_id, ts FROM events)
         SELECT checkpoint_id, run_id, row_number() OVER (ORDER BY ts DESC, checkpoint_id) = 1 AS newest FROM e QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, checkpoint_id) <= 2""",
     "b10_uploads": "SELECT count(*) AS stored, string_agg(DISTINCT p_brand, '|' ORDER BY p_brand) AS kinds FROM part",
+    "c12_checked_amounts": """WITH o AS (SELECT o_orderkey, o_orderkey % 6 AS k, o_orderkey % 12 AS m, floor(o_totalprice) AS a FROM orders)
+        SELECT o_orderkey, CASE WHEN k IN (0, 5) THEN a END::DOUBLE AS low, CASE WHEN k IN (0, 5) THEN a * 2 END::DOUBLE AS high, CASE WHEN m = 6 THEN a * 10 END::DOUBLE AS budget, CASE WHEN k IN (0, 5) THEN 'ZAR' END AS currency,
+          CASE k WHEN 0 THEN CASE WHEN m = 0 THEN 'invalid_money_context' END WHEN 3 THEN 'weak_money_evidence' WHEN 5 THEN 'weak_money_evidence' ELSE 'invalid_money_context' END AS reason,
+          CASE WHEN k IN (1, 2, 4) THEN 'invalid money evidence context' WHEN k = 3 THEN 'money amount could not be validated from evidence' END AS error FROM o""",
+    "x2_page_adapters": r"""WITH p AS (SELECT page_id, lower(url) AS low, regexp_replace(regexp_extract(lower(url), '^https?://([^/?#]*)', 1), '^www[.]', '') AS host, string_split(regexp_extract(url, '^https?://([^/?#]*)', 1), '.') AS raw,
+            rtrim(regexp_extract(lower(url), '^https?://[^/?#]*([^?#]*)', 1), '/') AS path FROM pages),
+        ad AS (SELECT DISTINCT array_to_string(raw[-3:], '.') AS d FROM p WHERE len(raw) > 2 AND array_to_string(raw[-3:], '.') LIKE 'th%' UNION SELECT DISTINCT raw[-1] FROM p WHERE raw[-1] IN ('com', 'org')),
+        h AS (SELECT DISTINCT host FROM p), up AS (SELECT host, arg_max(d, length(d)) AS d FROM h JOIN ad ON host = d OR ends_with(host, '.' || d) GROUP BY host),
+        down AS (SELECT host, arg_min(d, (length(d), d)) AS d FROM h JOIN ad ON ends_with(d, '.' || host) GROUP BY host),
+        f AS (SELECT p.*, coalesce(up.d, down.d) AS d FROM p LEFT JOIN up USING (host) LEFT JOIN down USING (host)),
+        g AS (SELECT *, d IS NOT NULL AND length(d) % 2 = 0 AS own, page_id % 3 AS r FROM f)
+        SELECT page_id, d AS adapter_key, CASE WHEN own AND length(d) > 14 THEN length(d) - 14 WHEN d IS NOT NULL THEN 50 END::INT AS max_pages, CASE WHEN d IS NOT NULL THEN (NOT own)::INT END AS strict_path_prefixes, CASE WHEN d IS NOT NULL THEN 'balanced' END AS crawl_mode,
+          CASE WHEN own THEN 'c' WHEN d IS NOT NULL THEN 'b' END AS alias, CASE WHEN own THEN 2 WHEN d IS NOT NULL THEN 1 ELSE -1 END::INT AS n_aliases,
+          CASE WHEN d IS NOT NULL AND contains(low, '/en/1') THEN 'child' WHEN own AND contains(low, '/es/') THEN 'parent' WHEN d IS NOT NULL AND contains(low, 'page=2') THEN CASE WHEN r <= 1 THEN 'support-document' ELSE 'detail' END
+            WHEN d IS NOT NULL AND (path = CASE WHEN own THEN '/de' ELSE '/fr' END OR starts_with(path, CASE WHEN own THEN '/de/' ELSE '/fr/' END)) THEN 'programme_index_page' WHEN r > 1 THEN 'listing'
+            WHEN page_id % 5 = 0 THEN CASE WHEN r > 0 THEN 'detail' ELSE 'support' END WHEN page_id % 4 > 0 THEN CASE WHEN page_id % 4 > 2 THEN 'listing' ELSE 'detail' END WHEN page_id % 11 > 8 THEN 'listing' ELSE 'generic_content' END AS role FROM g""",
+    "b13_publish_feed": """WITH l AS (SELECT *, CASE WHEN o_totalprice > 400000 THEN 3 WHEN o_totalprice > 250000 THEN 2 WHEN o_orderstatus <> 'F' THEN 1 ELSE 0 END AS step FROM orders)
+        SELECT o_orderkey AS program_id, CASE step WHEN 3 THEN 'again' WHEN 1 THEN upper(o_orderpriority) ELSE o_orderpriority END AS name, 'approved' AS approval_status, CASE WHEN step > 0 THEN 'new' ELSE 'old' END AS published_at, 'approved' AS source_approval_status
+        FROM l WHERE step = 3 OR (step = 1 AND o_totalprice > 100000) OR (step = 0 AND o_orderstatus <> 'O')""",
+    "a16_paged_table": "SELECT p_partkey, p_name, p_retailprice FROM part WHERE p_brand = 'Brand#2'",
+    "w1_titles_by_locale": r"""WITH w AS (SELECT unnest(regexp_split_to_array(substr(text, 1, 400), '[\s\x{0B}!-/:-@\[-`{-~]+')) AS title FROM documents),
+        n AS (SELECT DISTINCT title FROM (SELECT title FROM w UNION ALL SELECT p_name FROM part UNION ALL SELECT c_mktsegment FROM customer) WHERE title <> '')
+        SELECT title, row_number() OVER (ORDER BY icu_sort_key(title, 'und'), title) AS place FROM n""",
+    "m9_order_speeds": """WITH o AS (SELECT o_orderkey, o_orderkey % 4 AS k, o_orderkey % 7 AS p, o_orderkey % 20 + 1 AS n, o_orderkey % 20 + 9 AS m FROM orders)
+        SELECT o_orderkey, CASE k WHEN 0 THEN n * 7 WHEN 3 THEN NULL ELSE n END::INT AS low, CASE k WHEN 0 THEN m * 7 WHEN 1 THEN n WHEN 2 THEN m END::INT AS high,
+          CASE k WHEN 0 THEN 'Turnaround is ' || n || ' to ' || m || ' weeks.' WHEN 1 THEN 'Processing time: within ' || n || ' days.' WHEN 2 THEN 'Processing time ' || n || '-' || m || ' days.' END AS said,
+          CASE p WHEN 0 THEN 'interest-only period then principal repayment' WHEN 1 THEN 'bullet repayment' WHEN 2 THEN 'repayment linked to cash flow' WHEN 3 THEN 'weekly repayments' WHEN 4 THEN 'moratorium applies'
+            ELSE CASE WHEN o_orderkey % 2 = 1 THEN 'monthly instalments' END END AS structure FROM o""",
 }

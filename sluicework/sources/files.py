@@ -17,6 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_ROWS, MOST_CELLS = 200, 2000
+"""Rows of a sheet and cells of a workbook that are read unless asked otherwise; what is left out is noted."""
+CUT = "cut: not all rows were read"
+BATCH = 4 << 20
+"""Letters of text in one Arrow batch, about."""
 
 
 def kind(url: Column, content_type: Column) -> Column:
@@ -62,8 +66,9 @@ def docx_text(data: bytes) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def xlsx_text(data: bytes) -> str:
-    """Sheets with a heading each and tab-joined rows, up to the limits of the format's readers."""
+def xlsx_text(data: bytes, most_rows: int | None = MOST_ROWS, most_cells: int | None = MOST_CELLS) -> tuple[str, str | None]:
+    """Sheets with a heading each and tab-joined rows, and a note if rows of a sheet or cells of the workbook over the limits
+    were left out; None is no limit."""
     book = zipfile.ZipFile(io.BytesIO(data))
     shared = []
     if "xl/sharedStrings.xml" in book.namelist():
@@ -71,10 +76,15 @@ def xlsx_text(data: bytes) -> str:
         shared = ["".join(t.text or "" for t in e.iter(f"{_S}t")) for e in root.iter(f"{_S}si")]
     names = [s.get("name") for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_S}sheet")]
     files = sorted((n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
-    lines, cells = [], 0
+    lines, cells, cut = [], 0, None
     for name, file in zip(names, files, strict=False):
         lines.append(f"[Sheet: {name}]")
-        for row in list(ElementTree.fromstring(book.read(file)).iter(f"{_S}row"))[:MOST_ROWS]:
+        rows = list(ElementTree.fromstring(book.read(file)).iter(f"{_S}row"))
+        if most_rows is not None and len(rows) > most_rows:
+            rows, cut = rows[:most_rows], CUT
+        for row in rows:
+            if most_cells is not None and cells >= most_cells:
+                return "\n".join(lines), CUT
             values = []
             for c in row.iter(f"{_S}c"):
                 v = c.find(f"{_S}v")
@@ -83,35 +93,40 @@ def xlsx_text(data: bytes) -> str:
             cells += len(values)
             if any(values):
                 lines.append("\t".join(values))
-            if cells >= MOST_CELLS:
-                return "\n".join(lines)
-    return "\n".join(lines)
+    return "\n".join(lines), cut
 
 
 READERS = {"pdf": pdf_text, "docx": docx_text, "xlsx": xlsx_text, "text": lambda b: b.decode("utf-8", "replace")}
 
 
-def read_text(what: str, data: bytes | None) -> tuple[str, str | None]:
-    """(text, note) of one file; the note says why a text is empty."""
+def read_text(what: str, data: bytes | None, **limits: int | None) -> tuple[str, str | None]:
+    """(text, note) of one file; the note says why a text is empty, or that it isn't whole. ``limits`` are those of
+    ``xlsx_text``."""
     if what not in READERS:
         return "", f"{what} files have no reader"
     try:
-        found = READERS[what](data or b"")
+        found = READERS[what](data or b"", **limits) if what == "xlsx" else READERS[what](data or b"")
     except Exception as e:  # a broken file is a row with a note, not a failed job
         return "", f"unreadable: {type(e).__name__}"
-    return found, None if found.strip() else "no text"
+    found, cut = found if isinstance(found, tuple) else (found, None)
+    return found, cut if found.strip() else "no text"
 
 
-def texts(files: DataFrame) -> DataFrame:
-    """``path, kind, text, note`` of a table ``path, content (binary)``, such as Spark's binaryFile source gives."""
+def texts(files: DataFrame, **limits: int | None) -> DataFrame:
+    """``path, kind, text, note`` of a table ``path, content (binary)``, such as Spark's binaryFile source gives; ``limits``:
+    ``most_rows, most_cells`` of workbooks."""
     rows = files.select("path", kind(F.col("path"), F.lit(None).cast("string")).alias("kind"), "content")
 
     def run(batches):
         for batch in batches:
+            held, size = [], 0
             for k in range(batch.num_rows):
                 what = batch.column(1)[k].as_py()
-                text, note = read_text(what, batch.column(2)[k].as_py())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([what]), pa.array([text]), pa.array([note], type=pa.string())], names=["path", "kind", "text", "note"])
+                held.append((batch.column(0)[k].as_py(), what, *read_text(what, batch.column(2)[k].as_py(), **limits)))
+                size += len(held[-1][2])
+                if size >= BATCH or k + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.string()) for c in zip(*held, strict=True)], names=["path", "kind", "text", "note"])
+                    held, size = [], 0
 
     return rows.mapInArrow(run, "path string, kind string, text string, note string")
 

@@ -82,7 +82,7 @@ def seed_urls(spark: SparkSession, path: str) -> DataFrame:
     items = text.select(F.posexplode(F.from_json("value", "array<string>")).alias("place", "item"))
     listed = F.coalesce(F.from_json(F.get_json_object("item", "$.seed_urls"), "array<string>"), F.array(F.coalesce(F.get_json_object("item", "$.url"), F.when(~F.col("item").startswith("{"), F.col("item")))))
     rows = items.select("place", F.posexplode(listed).alias("n", "url")).filter(F.length(F.trim(F.coalesce("url", F.lit("")))) > 0)
-    return rows.select((F.col("place") * 1_000_000 + F.col("n")).cast("long").alias("ord"), F.trim("url").alias("url"))
+    return rows.select((F.shiftleft(F.col("place").cast("long"), 32) + F.col("n")).alias("ord"), F.trim("url").alias("url"))
 
 
 def page_snapshots(pages: DataFrame, root: str) -> None:

@@ -10,7 +10,8 @@ ever: all of a node are compared with one of them, and later only those of other
 Independent trees are repeated until a pair is met with TARGET probability.
 
 Candidates are then tested on the whole sets. Each document is verified against the candidate most alike and against its
-reference: of its candidates and itself the one that most documents are most alike to. Verified links make components.
+reference: of its candidates and itself the one that most documents are most alike to, or that one's own reference. Verified
+links make components.
 The difference of a set to its reference, what it has more and what it has less, stands for the whole set: two documents of
 one reference are compared exactly by their differences, in the nodes where they meet, as one product of small matrices,
 and only links leave the task. What remains, candidates of different references and components, is verified in pairs, in
@@ -50,6 +51,8 @@ TARGET, MEETS = 0.99999, 3
 """Probability that a pair of just the similarity sought meets in some tree, if its nodes are small after MEETS levels."""
 ERRORS = 5
 """Standard errors that a candidate's estimated similarity may lie under the one sought."""
+HOPS = 2
+"""Times that a document may take over the reference of another."""
 MORE = 16
 """Factor by which a round of pairs grows."""
 STEP = 16_384
@@ -315,12 +318,14 @@ def small_references(members: DataFrame, least: float) -> DataFrame:
     return members.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(run, PAIRS)
 
 
-def linked_by_difference(reference_size: int, n: np.ndarray, less: np.ndarray, items: list[np.ndarray], percent: int) -> np.ndarray:
-    """Matrix of the pairs that are alike among sets of one reference, from their differences to it.
+def linked_by_difference(reference_size: int, n: np.ndarray, less: np.ndarray, items: list[np.ndarray], percent: int, upto: int | None = None) -> np.ndarray:
+    """Matrix of the pairs that are alike among sets of one reference, from their differences to it; with ``upto`` only of the
+    first sets with the others.
 
     ``items`` are the elements that a set has more or less than the reference, ``less`` the count of the latter. Of two sets,
     the common elements are the reference's that neither lacks and the others that both have."""
     m, sizes = len(n), [len(x) for x in items]
+    one, other = (slice(0, m), slice(0, m)) if upto is None else (slice(0, upto), slice(upto, m))
     names, at, counts = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(m), sizes)
     shared = counts > 1  # what only one set has or lacks changes no pair
@@ -328,15 +333,14 @@ def linked_by_difference(reference_size: int, n: np.ndarray, less: np.ndarray, i
     row, column = row[shared[at]], number[at[shared[at]]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    both = np.zeros((m, m), dtype=np.float64)
+    common = reference_size - less[one, None] - less[None, other].astype(np.float64)
     width = max(1024, (1 << 22) // max(m, 1))
     for lo in range(0, int(shared.sum()), width):
         a, b = np.searchsorted(column, [lo, lo + width])
         part = np.zeros((m, width), dtype=np.float32)
         part[row[a:b], column[a:b] - lo] = 1
-        both += part @ part.T
-    common = reference_size - less[:, None] - less[None, :] + both
-    return 100 * common >= percent * (n[:, None] + n[None, :] - common)
+        common += part[one] @ part[other].T
+    return 100 * common >= percent * (n[one, None] + n[None, other] - common)
 
 
 def small_links(members: DataFrame, percent: int) -> DataFrame:
@@ -368,8 +372,9 @@ def small_links(members: DataFrame, percent: int) -> DataFrame:
     return members.select(*columns_).repartition("leaf").sortWithinPartitions("leaf", "reference").mapInArrow(run, "a long, b long")
 
 
-def large_candidates(members: DataFrame, least: float, most: int) -> DataFrame:
-    """The same for large nodes: those outside a node's largest component are compared with all of it, in blocks."""
+def large_candidates(members: DataFrame, least: float, most: int, percent: int) -> DataFrame:
+    """The same for large nodes: those outside a node's largest component are compared with all of it, in blocks; pairs of one
+    reference exactly, by their differences (``like`` 2: a link), in the first round only."""
     counts = written(members.groupBy("leaf", "part").agg(F.count(F.lit(1)).alias("c")), "large-parts")
     top = counts.groupBy("leaf").agg(F.max_by("part", F.struct("c", "part")).alias("top"), F.sum("c").alias("all"), F.max("c").alias("c"))
     top = top.filter(F.col("all") > F.col("c")).select("leaf", "top", F.ceil(F.col("all") / (16 * LEAF)).alias("salts"), F.ceil((F.col("all") - F.col("c")) / LEAF).alias("blocks"))
@@ -377,17 +382,29 @@ def large_candidates(members: DataFrame, least: float, most: int) -> DataFrame:
     deal = F.xxhash64("node")
     rows = mixed_.withColumn("salt", F.pmod(deal, F.col("salts"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     asked = mixed_.filter("part <> top").withColumn("block", F.pmod(deal, F.col("blocks"))).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
-    columns = ["leaf", "node", "part", "n", "bytes", "salt", "block"]
+    columns = ["leaf", "node", "part", "n", "bytes", "reference", "size", "less", "items", "salt", "block"]
 
     def run(theirs: pa.Table, mine: pa.Table) -> pa.Table:
         _, node, part, n, data = _columns(theirs)
+        _, own, own_part, own_n, own_data = _columns(mine)
+        reference, own_reference = theirs["reference"].to_numpy(), mine["reference"].to_numpy()
         out = []
-        for _, z, p, m, own in zip(*_columns(mine), strict=True):
-            hit = np.flatnonzero(part != p)
-            like = likeness(data[hit], own[None, :])
+        for z, p, m, bits, r in zip(own, own_part, own_n, own_data, own_reference, strict=True):
+            hit = np.flatnonzero((part != p) & (reference != r))
+            like = likeness(data[hit], bits[None, :])
             ok = alike_enough(like, n[hit], m, least)
             hit, like = hit[ok], like[ok]
             out.append(best_of(np.full(len(hit), z), node[hit], like, part[hit], most))
+        for r in np.unique(own_reference) if most == 1 else ():
+            i, j = np.flatnonzero(own_reference == r), np.flatnonzero(reference == r)
+            if not len(j):
+                continue
+            items = [np.array(x["items"][k].as_py(), dtype=np.int64) for x, at in ((mine, i), (theirs, j)) for k in at.tolist()]
+            less = np.concatenate([mine["less"].to_numpy()[i], theirs["less"].to_numpy()[j]])
+            hit = linked_by_difference(int(mine["size"][int(i[0])].as_py()), np.concatenate([own_n[i], n[j]]), less, items, percent, len(i))
+            a, b = np.nonzero(hit & (own_part[i][:, None] != part[j][None, :]))
+            x, y = spanning(own[i][a], node[j][b])
+            out.append(_pairs(x, y, np.full(len(x), 2.0), np.zeros(len(x), dtype=bool)))
         return pa.Table.from_batches(out) if out else pa.Table.from_batches([_pairs(node[:0], node[:0], np.zeros(0), np.zeros(0, dtype=bool))])
 
     keys = ["leaf", "salt", "block"]
@@ -501,6 +518,11 @@ def similar_groups(df: DataFrame, width: int = 5, percent: int = 85, id_col: str
     if any_large:
         owner = owner.union(first_of_large().filter(~F.col("cut")).select("x", "y", F.lit(float(1 << 40)).alias("like")))
     owner = written(owner.groupBy("x").agg(F.max_by("y", F.struct("like", -F.col("y"))).alias("y")), "path-references")
+    scores = scored.select(F.col("node").alias("z"), "part").distinct()
+    for _ in range(HOPS):  # a document takes the reference of its reference, or of its most alike, if more are most alike to that
+        next_ = owner.union(best.select("x", "y")).join(owner.select(F.col("x").alias("y"), F.col("y").alias("z")), "y").select("x", "z").union(owner)
+        next_ = next_.toDF("x", "z").join(scores, "z")
+        owner = written(next_.groupBy("x").agg(F.max_by("z", F.struct("part", -F.col("z"))).alias("y")), "path-references")
     both = best.select(F.col("x").alias("b"), F.col("y").alias("a"), F.lit(False).alias("own")).union(owner.filter("x <> y").select("x", "y", F.lit(True)))
     both = written(both.groupBy("a", "b").agg(F.max("own").alias("own")), "path-first")
     sets = _sets_of(df, both, None, nodes, width, text_col)
@@ -526,12 +548,16 @@ def similar_groups(df: DataFrame, width: int = 5, percent: int = 85, id_col: str
     most = 1
     while True:
         members = written(_mixed(members_of(busy, roots, "node")), "path-mixed")
-        referred = members.join(apart.select("node", "reference"), "node", "left")
-        found = small_candidates_apart(referred.filter(~F.col("large")), least, most)
+        small = members.filter(~F.col("large")).join(apart.select("node", "reference"), "node", "left")
+        found = small_candidates_apart(small, least, most)
         if any_large:
-            found = found.union(large_candidates(members.filter("large").select(*shape), least, most))
+            large = members.filter("large").join(apart, "node", "left").withColumns({"reference": F.coalesce("reference", "node"), "size": F.coalesce("size", "n"), "less": F.coalesce("less", F.lit(0).cast("long")), "items": F.coalesce("items", none)})
+            found = found.union(large_candidates(large, least, most, percent))
         found = written(found, "path-candidates")
-        pairs = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        if any_large and most == 1:
+            links = written(links.union(found.filter("like > 1.5").select("x", "y")), "path-links")
+            roots = roots_of(links)
+        pairs = found.filter("like <= 1.5").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "path-pairs")
         dropped(members)
         if pairs.isEmpty():

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, money, moneycheck, records, taxonomy, text
-from ..operators import adapters, builder, catalog, hybrid, registry, resolve
+from ..operators import adapters, builder, catalog, evidence, hybrid, registry, resolve
 from ..sources import html, paged
-from .pages import _LINES, _ONCE, _PLAIN
+from .pages import _LINES, _ONCE, _PLAIN, _SECTIONS_SQL
 from ..operators.matching import ranked
 from .views import AS_OF, PROGRAMMES_SQL, folder, kept, programmes, table
 
@@ -161,7 +161,7 @@ def user_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WAYS = ("llm_only_inference", "regex_from_prose", "parent_page_inheritance", "unheard of")
 
 
-def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as evidence of fields: confidence by the best of each, and records with what evidence adds."""
     k = F.col("event_id")
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("program_id"), F.col("event_type").alias("field"), _choose(k, *_WAYS).alias("method"), (k % 997 / 1000).alias("confidence"), F.concat(F.lit("v"), k % 7).alias("value"))
@@ -333,13 +333,35 @@ def speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("o_orderkey", "d.low", "d.high", "d.said", "structure")
 
 
+def page_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of all pages with the buckets of fields that they speak of; on pages of several sections what all share is set apart."""
+    docs = kept(html.documents(table(spark, sf_dir, "pages"), built=True), "built-pages")
+    items = builder.content_items(docs)
+    built = docs.select("id", taxonomy.structure(F.lit("html"), F.size("outline"), F.lit(0), F.col("headings"), F.col("text")).alias("structure"))
+    routed = evidence.routed_items(items.join(built, "id"))
+    return routed.select(F.col("id").alias("page_id"), "place", "kind", F.array_join("buckets", "|").alias("buckets"))
+
+
+def order_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of texts made of orders (a page a customer, an item an order), folded by page."""
+    k, a = F.col("o_orderkey"), F.floor("o_totalprice").cast("long")
+    say = _choose(
+        k, F.concat(F.lit("Seed "), F.col("o_orderstatus"), F.lit(" | Agency of Trade")), F.concat(F.lit("Loan funding from R"), a.cast("string"), F.lit(" to R"), (a * 2).cast("string"), F.lit(" on offer.")),
+        F.concat(F.lit("Apply at https://a.example/apply/"), (k % 5).cast("string"), F.lit(" today.")), F.concat(F.lit("Contact us by email: d"), (k % 7).cast("string"), F.lit("@a.example")), "Municipality of the coast", F.concat(F.lit("Deadline: 2027-03-"), F.lpad((k % 28 + 1).cast("string"), 2, "0")), "Nothing else",
+    )
+    kind = _choose(k, "title", "section", "section", "interactive", "body", "section", "body")
+    items = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), k.alias("place"), kind.alias("kind"), F.lit("").alias("label"), say.alias("content"), F.lit(0.5).alias("certainty"), F.lit("single_program_page").alias("structure"))
+    found = evidence.folded_fields(evidence.field_evidence(evidence.routed_items(items), F.lit("2026-01-10").cast("date")))
+    return found.select(F.col("id").alias("page"), "field", F.when(F.col("value").rlike(r"^[0-9.]+(E[0-9]+)?$"), F.col("value").cast("double").cast("long").cast("string")).otherwise(F.col("value")).alias("value"), "confidence", "n")
+
+
 QUERIES = {
     "s1_document_texts": document_texts, "c5_page_reasons": render_reasons, "g9_document_types": page_types, "c20_document_preflights": preflights, "g12_page_structures": structures,
     "s28_site_names": site_names, "g3_order_places": places, "s20_order_shares": shares, "m5_order_amounts": amount_evidence, "g13_part_categories": categories,
-    "b15_supplier_sites": registry_upsert, "b18_customer_users": user_upsert, "k10_event_evidence": evidence, "c17_programme_views": view, "e10_best_orders": best_by_key,
+    "b15_supplier_sites": registry_upsert, "b18_customer_users": user_upsert, "k10_event_evidence": event_evidence, "c17_programme_views": view, "e10_best_orders": best_by_key,
     "j1_order_sites": records_to_sites, "h23_order_drafts": draft_records, "j13_order_sources": draft_sources, "e1_order_stars": star_clusters,
     "c12_checked_amounts": checked_amounts, "x2_page_adapters": page_adapters, "b13_publish_feed": publish_feed, "a16_paged_table": paged_table, "w1_titles_by_locale": titles_by_locale,
-    "m9_order_speeds": speeds, "b19_patches": patches, "t4_checkpoints": checkpoints, "b10_uploads": uploads,
+    "m9_order_speeds": speeds, "h26_page_routes": page_routes, "h17_order_evidence": order_evidence, "b19_patches": patches, "t4_checkpoints": checkpoints, "b10_uploads": uploads,
 }
 
 _TYPE_SQL = f"""CASE WHEN {_any_sql('low', records.PROCUREMENT)} THEN 'tender_procurement' WHEN {_any_sql('low', records.STATIONS)} AND NOT fundable THEN 'technology_station'
@@ -455,4 +477,22 @@ ORACLE_SQL = {
           CASE k WHEN 0 THEN 'Turnaround is ' || n || ' to ' || m || ' weeks.' WHEN 1 THEN 'Processing time: within ' || n || ' days.' WHEN 2 THEN 'Processing time ' || n || '-' || m || ' days.' END AS said,
           CASE p WHEN 0 THEN 'interest-only period then principal repayment' WHEN 1 THEN 'bullet repayment' WHEN 2 THEN 'repayment linked to cash flow' WHEN 3 THEN 'weekly repayments' WHEN 4 THEN 'moratorium applies'
             ELSE CASE WHEN o_orderkey % 2 = 1 THEN 'monthly instalments' END END AS structure FROM o""",
+    "h26_page_routes": f"""WITH {_SECTIONS_SQL}, p AS (SELECT page_id, {_PLAIN("regexp_extract(html, '<title>([\\s\\S]*?)</title>', 1)")} AS title, {_PLAIN("regexp_extract(html, '<h1>([\\s\\S]*?)</h1>', 1)")} AS head,
+            {_LINES("regexp_extract(html, '<article>([\\s\\S]*?)</article>', 1)")} AS inner_, {_LINES("regexp_extract(html, '(<div class=\"ad\">[\\s\\S]*?</article>)', 1)")} AS every, (SELECT count(*) FROM s WHERE s.page_id = pages.page_id) AS n FROM pages),
+        i AS (SELECT page_id, n, head, 0 AS place, 'title' AS kind, '' AS label, title AS content FROM p UNION ALL SELECT page_id, n, head, 1, 'heading', '', head FROM p
+          UNION ALL SELECT page_id, n, head, 2, 'section', head, array_to_string({_ONCE('inner_[2:]')}, chr(10)) FROM p UNION ALL SELECT page_id, n, head, 3, 'body', '', array_to_string({_ONCE('every')}, chr(10)) FROM p),
+        j AS (SELECT * FROM i WHERE trim(content) <> '' QUALIFY row_number() OVER (PARTITION BY page_id, lower(label || '|' || content) ORDER BY place) = 1),
+        k AS (SELECT *, lower(trim(regexp_replace(label || ' ' || content, '\\s+', ' ', 'g'))) AS low FROM j),
+        b AS (SELECT *, concat_ws('|', {", ".join(f"CASE WHEN {_any_sql('low', w)} THEN '{n}' END" for n, w in evidence.BUCKETS.items())}) AS hit FROM k)
+        SELECT page_id, place::INT AS place, kind, CASE WHEN n > 1 AND kind IN ('title', 'heading') THEN 'program' WHEN n > 1 AND kind = 'body' THEN 'supporting' WHEN hit <> '' THEN hit WHEN kind = 'body' THEN 'supporting' ELSE 'program' END AS buckets FROM b""",
+    "h17_order_evidence": """WITH o AS (SELECT *, o_orderkey % 7 AS k, floor(o_totalprice)::BIGINT AS a FROM orders),
+        e AS (SELECT o_custkey AS page, o_orderkey AS place, unnest(CASE k
+            WHEN 0 THEN [{'f': 'program_name', 'v': 'Seed ' || o_orderstatus, 'c': 0.95}, {'f': 'funder_name', 'v': 'Agency of Trade', 'c': 0.9}, {'f': 'source_page_title', 'v': 'Seed ' || o_orderstatus || ' | Agency of Trade', 'c': 0.9}]
+            WHEN 1 THEN [{'f': 'raw_offer', 'v': 'Loan funding from R' || a || ' to R' || (a * 2) || ' on offer.', 'c': 0.82}, {'f': 'ticket_min', 'v': a::VARCHAR, 'c': 0.9}, {'f': 'ticket_max', 'v': (a * 2)::VARCHAR, 'c': 0.9}, {'f': 'budget_total', 'v': (a * 2)::VARCHAR, 'c': 0.9}, {'f': 'currency', 'v': 'ZAR', 'c': 0.9}]
+            WHEN 2 THEN [{'f': 'raw_application', 'v': 'Apply at https://a.example/apply/' || (o_orderkey % 5) || ' today.', 'c': 0.82}, {'f': 'application_url', 'v': 'https://a.example/apply/' || (o_orderkey % 5), 'c': 0.86}, {'f': 'application_channel', 'v': 'Online form', 'c': 0.82}]
+            WHEN 3 THEN [{'f': 'raw_application', 'v': 'Contact us by email: d' || (o_orderkey % 7) || '@a.example', 'c': 0.75}, {'f': 'contact_email', 'v': 'd' || (o_orderkey % 7) || '@a.example', 'c': 0.9}]
+            WHEN 4 THEN [{'f': 'geography_scope', 'v': 'Municipality', 'c': 0.72}]
+            WHEN 5 THEN [{'f': 'raw_terms', 'v': 'Deadline: 2027-03-' || lpad((o_orderkey % 28 + 1)::VARCHAR, 2, '0'), 'c': 0.8}, {'f': 'deadline_date', 'v': '2027-03-' || lpad((o_orderkey % 28 + 1)::VARCHAR, 2, '0'), 'c': 0.88}, {'f': 'deadline_type', 'v': 'FixedDate', 'c': 0.8}]
+            ELSE [] END) AS x FROM o)
+        SELECT page, x.f AS field, arg_min(x.v, place) AS value, max(x.c)::DOUBLE AS confidence, count(*) AS n FROM e GROUP BY page, x.f""",
 }

@@ -99,4 +99,5 @@ class Catalog:
         return self.table(name).filter(F.col("user_id") == user_id)
 
     def providers(self) -> DataFrame:
-        return self.table("programmes").select("funder_name").distinct().orderBy("funder_name")
+        """Names of funders in the order of a reader: letters before case and accents."""
+        return self.table("programmes").select("funder_name").distinct().orderBy(F.collate("funder_name", "UNICODE"), "funder_name")

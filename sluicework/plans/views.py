@@ -17,9 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """Folder that driver and executors share: the session's, or one beside the warehouse where none is set."""
+    """Folder that driver and executors share: the session's, or one beside the warehouse where none is set; on a cluster that
+    must not be a folder of one machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return found.rstrip("/") if found else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    if found:
+        return found.rstrip("/")
+    beside = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    if not spark.sparkContext.master.startswith("local") and ("://" not in beside or beside.startswith("file:")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+    return beside
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:

@@ -61,7 +61,7 @@ def view_status(kind: Column, deadline: Column, as_of: Column) -> Column:
 
 def seconds_between(start: Column, end: Column) -> Column:
     """Seconds, null where either is missing or the end is first."""
-    d = F.unix_millis(end) - F.unix_millis(start)
+    d = F.unix_millis(end.cast("timestamp")) - F.unix_millis(start.cast("timestamp"))
     return F.when(d >= 0, d / 1000.0)
 
 

@@ -94,18 +94,30 @@ def importance(quality: Column, match: Column) -> Column:
     return half_up(quality * 0.4 + match * 0.6).cast("int")
 
 
+TEXT_PARTS = ("f_sectors", "f_stage_words", "f_owned", "f_use", "f_types")
+"""Answers of a profile that are matched with texts of a programme; the other parts of a kind are numbers."""
+_TEXT_BITS = (0, 2, 3, 4, 8, 9)
+"""Places of the conditions on texts among the bits of a match (place left out)."""
+
+
 def scored_kinds(programmes: DataFrame, kinds: DataFrame) -> DataFrame:
     """Each programme with each kind of profile, both for a place that fits and for one that doesn't (``fits``).
 
-    Programmes are read once for a block of kinds, which is broadcast; of National ones only the fit is kept, of placeless
-    ones only the misfit. The number of kinds grows with the options of the profile form, not with users."""
-    kinds = kinds.select("kind", *KIND)
-    pairs = programmes.crossJoin(F.broadcast(kinds))
+    Texts are searched once for each programme and set of text answers, of which there are far fewer than kinds; kinds of
+    one set then differ in numbers only, which are compared on slim rows. Programmes are read once for a block of kinds, which
+    is broadcast; of National ones only the fit is kept, of placeless ones only the misfit."""
+    kinds = kinds.select("kind", *KIND).withColumn("_texts", F.sha2(F.to_json(F.struct(*TEXT_PARTS)), 256))
+    texts = kinds.dropDuplicates(["_texts"]).select("_texts", *TEXT_PARTS)
+    numbers = kinds.select("kind", "_texts", *[c for c in KIND if c not in TEXT_PARTS])
     national = F.concat(F.lit("|"), "p_place", F.lit("|")).contains("|national|")
     outcomes = F.when(national, F.array(F.lit(True))).when(F.col("p_place") == "", F.array(F.lit(False))).otherwise(F.array(F.lit(True), F.lit(False)))
     good, bad, plus, minus = match_parts(F.lit(False))
-    base = flags([c for i, c in enumerate(good) if i != 1] + [bad[0], bad[2]])
-    slim = pairs.select("pid", "program_name", "view_quality", "view_reasons", "view_blockers", F.when(national, F.lit("national")).otherwise(F.col("p_place")).alias("p_place"), "kind", base.alias("bits"), outcomes.alias("outcomes"))
+    conditions = [c for i, c in enumerate(good) if i != 1] + [bad[0], bad[2]]
+    some = lambda of_texts: flags([c if (i in _TEXT_BITS) == of_texts else F.lit(False) for i, c in enumerate(conditions)])
+    shown = ["pid", "program_name", "view_quality", "view_reasons", "view_blockers", "ticket_min", "ticket_max", "years_min", "years_max", "turnover_min", "turnover_max", "staff_min", "staff_max"]
+    sides = programmes.crossJoin(F.broadcast(texts)).select(*shown, F.when(national, F.lit("national")).otherwise(F.col("p_place")).alias("p_place"), "_texts", some(True).alias("_bits"), outcomes.alias("outcomes"))
+    pairs = sides.join(F.broadcast(numbers), "_texts")
+    slim = pairs.select("pid", "program_name", "view_quality", "view_reasons", "view_blockers", "p_place", "kind", F.col("_bits").bitwiseOR(some(False)).alias("bits"), "outcomes")
     out = slim.select("*", F.explode("outcomes").alias("fits")).drop("outcomes")
     points = [p for i, p in enumerate(plus) if i != 1] + [minus[0], minus[2]]
     total = sum((F.when(F.col("bits").bitwiseAND(F.lit(1 << i)) != 0, p).otherwise(0) for i, p in enumerate(points)), F.when(F.col("fits"), plus[1]).otherwise(minus[1]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -39,6 +40,13 @@ _WORD = re.compile(r"\w+")
 RANKED = ArrayType(StructType([StructField("score", DoubleType()), StructField("lang", StringType())]))
 
 
+def half_up(x: float, digits: int) -> float:
+    """A number of no sign rounded half up after scaling in doubles, as SQL rounds."""
+    scaled = x * 10**digits
+    low = math.floor(scaled)
+    return (low + (scaled - low >= 0.5)) / 10**digits
+
+
 def ranked_languages(text: str | None, top: int = 3) -> list[tuple[float, str]]:
     """(score, language), best first: ten times the rate of common words, five times the share of letters, ten more for a
     script of its own, over the best. Languages without a point are left out; equal scores keep the order above; short texts
@@ -46,19 +54,20 @@ def ranked_languages(text: str | None, top: int = 3) -> list[tuple[float, str]]:
     clean = " ".join((text or "").split()).lower()
     if len(clean) < LEAST:
         return [(0.5, "en")]
-    score = [0.0] * len(_LANGS)
+    common = [0] * len(_LANGS)  # counts, not sums of rates: those depend on the order of words
     words = max(1, clean.count(" ") + 1)
     for w, n in Counter(_WORD.findall(clean)).items():
         for i in _WORDS.get(w, ()):
-            score[i] += 10.0 * n / words
+            common[i] += n
     chars = Counter(clean)
+    score = []
     for i, lang in enumerate(_LANGS):
         letters = LETTERS[lang]
-        score[i] += 5.0 * sum(n for c, n in chars.items() if c in letters) / len(clean)
+        score.append(common[i] / words * 10 + sum(n for c, n in chars.items() if c in letters) / len(clean) * 5)
         if lang in SCRIPTS and any(SCRIPTS[lang][0] <= c <= SCRIPTS[lang][1] for c in chars):
             score[i] += 10.0
     order = [i for i in sorted(range(len(_LANGS)), key=lambda i: (-score[i], i)) if score[i] > 0]
-    return [(round(score[i] / score[order[0]], 4), _LANGS[i]) for i in order[:top]] or [(0.5, "en")]
+    return [(half_up(score[i] / score[order[0]], 4), _LANGS[i]) for i in order[:top]] or [(0.5, "en")]
 
 
 @F.pandas_udf(RANKED)

@@ -83,7 +83,7 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three likeliest languages of each document by common words, letters and scripts."""
     d = language.languages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = F.array_join(F.transform("languages", lambda x: x["lang"]), "|")
-    return d.select("doc_id", names.alias("langs"), F.round(F.element_at("languages", -1)["score"], 3).alias("last_score"), language.multilingual(F.col("languages")).alias("several"))
+    return d.select("doc_id", names.alias("langs"), (F.round(F.element_at("languages", -1)["score"] * 1000) / 1000).alias("last_score"), language.multilingual(F.col("languages")).alias("several"))
 
 
 def _languages_sql() -> str:

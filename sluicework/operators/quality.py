@@ -22,24 +22,36 @@ ACCEPT, REVIEW = 35, 20
 
 
 def _any_of(c: Column, terms: tuple[str, ...]) -> Column:
-    return c.rlike("|".join(t.replace("/", "[/]") for t in terms))
+    return c.rlike("(?i)" + "|".join(t.replace("/", "[/]") for t in terms))
 
 
 def computed(df: DataFrame, **columns: Column) -> DataFrame:
-    """Adds columns through a one-row generator.
+    """Adds columns in a projection of their own, behind a one-row generator.
 
     Later filters and sorts then refer to the values: the optimiser cannot copy these large expressions into
-    every condition above them, which would multiply planning time and work.
+    every condition above them, which would multiply planning time and work. The generator itself only passes values on, as
+    what stands within one is interpreted for each row, shared parts again at every place. The test with a lambda keeps the
+    projection out of the stage's one generated method, which past 8,000 bytes the JVM never compiles; alone it is split.
     """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    made = {f"_made_{n}": c for n, c in columns.items()}
+    apart = F.exists(F.array(F.col(f"`{df.columns[0]}`").isNull()), lambda x: x)
+    inner = df.select("*", *[c.alias(n) for n, c in made.items()], apart.alias("_apart"))
+    passed = F.struct(*[F.col(m).alias(n) for m, n in zip(made, columns, strict=True)], F.col("_apart").alias("_apart_"))
+    return inner.select(*[F.col(f"`{c}`") for c in df.columns], F.inline(F.array(passed))).drop("_apart_")
+
+
+def compact(items: list[Column]) -> Column:
+    """Array of the different texts that are not null, in order, without a lambda (which would be interpreted)."""
+    return F.array_except(F.array(*items), F.array(F.lit(None).cast("string")))
 
 
 def is_article(url: Column, title: Column, notes: Column) -> Column:
-    """The page reads like an article: by a term in its path or title, or a telling note."""
-    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
-    way = F.regexp_extract(low(url), r"^[a-z]+://[^/?#]*([^?#]*)", 1)
-    all_text = F.concat_ws(" ", low(url), low(title), F.lower(F.array_join(notes, " ")))
-    return _any_of(all_text, ARTICLE_NOTES) | _any_of(way, ARTICLE_PATHS) | _any_of(low(title), ARTICLE_PATHS)
+    """The page reads like an article: by a term in its path or title, or a telling note. Case is left to the patterns, as lower
+    case of each text costs more than the search in it."""
+    some = lambda c: F.coalesce(c, F.lit(""))
+    way = F.regexp_extract(some(url), r"(?i)^[a-z\x{212A}]+://[^/?#]*([^?#]*)", 1)
+    all_text = F.concat_ws(" ", some(url), some(title), F.array_join(notes, " "))
+    return _any_of(all_text, ARTICLE_NOTES) | _any_of(way, ARTICLE_PATHS) | _any_of(some(title), ARTICLE_PATHS)
 
 
 def _filled(c: str) -> Column:
@@ -60,7 +72,7 @@ def score(df: DataFrame, as_of: Column) -> DataFrame:
     open_now = F.col("deadline_type").isin("Open", "Rolling")
     fixed = ~open_now & F.col("deadline_date").isNotNull()
     past = fixed & (F.col("deadline_date") < as_of)
-    ended = F.lower(F.array_join("notes", " ")).rlike("archived|closed")
+    ended = F.array_join("notes", " ").rlike("(?i)archived|closed")
     article = is_article(F.col("source_url"), F.col("source_title"), F.col("notes"))
     # two of the eight signals are booleans and count whatever they say, so only six can be missing
     signals = [name, funder, channel | contact, _filled("raw_eligibility"), _filled("industries"), _filled("funds_used")]
@@ -99,8 +111,8 @@ def score(df: DataFrame, as_of: Column) -> DataFrame:
     return computed(
         computed(df, overall_confidence=mean_of(F.col("confidence"))),
         quality=clamp(total, 0, 100).cast("int"),
-        reasons=F.array_compact(F.array(*said)),
-        blockers=F.array_compact(F.array(*against)),
+        reasons=compact(said),
+        blockers=compact(against),
     )
 
 
@@ -131,7 +143,7 @@ def flags(conditions: list[Column]) -> Column:
 
 def labels(bits: Column, names: tuple[str, ...]) -> Column:
     """The names whose bits are set, in order."""
-    return F.array_compact(F.array(*[F.when(bits.bitwiseAND(F.lit(1 << i)) != 0, F.lit(n)) for i, n in enumerate(names)]))
+    return compact([F.when(bits.bitwiseAND(F.lit(1 << i)) != 0, F.lit(n)) for i, n in enumerate(names)])
 
 
 def catalogue_score(df: DataFrame, as_of: Column) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp, half_up, overlap
 from ..functions.text import unique_by, words_only
-from .quality import flags, labels
+from .quality import labels
 
 # Words of each stage of a business, and reasons and blockers of the match score in order.
 STAGE_WORDS = {
@@ -96,33 +99,142 @@ def importance(quality: Column, match: Column) -> Column:
 
 TEXT_PARTS = ("f_sectors", "f_stage_words", "f_owned", "f_use", "f_types")
 """Answers of a profile that are matched with texts of a programme; the other parts of a kind are numbers."""
-_TEXT_BITS = (0, 2, 3, 4, 8, 9)
-"""Places of the conditions on texts among the bits of a match (place left out)."""
+MOST_HELD, MOST_LIMITS = 100_000, 4_000_000
+"""Rows and limits (one a kind, outcome and place) that a task holds at once; beyond them it gives its rows on and starts anew."""
 
 
-def scored_kinds(programmes: DataFrame, kinds: DataFrame) -> DataFrame:
-    """Each programme with each kind of profile, both for a place that fits and for one that doesn't (``fits``).
-
-    Texts are searched once for each programme and set of text answers, of which there are far fewer than kinds; kinds of
-    one set then differ in numbers only, which are compared on slim rows. Programmes are read once for a block of kinds, which
-    is broadcast; of National ones only the fit is kept, of placeless ones only the misfit."""
-    kinds = kinds.select("kind", *KIND).withColumn("_texts", F.sha2(F.to_json(F.struct(*TEXT_PARTS)), 256))
-    texts = kinds.dropDuplicates(["_texts"]).select("_texts", *TEXT_PARTS)
-    numbers = kinds.select("kind", "_texts", *[c for c in KIND if c not in TEXT_PARTS])
+def _sides(programmes: DataFrame) -> DataFrame:
+    """Programmes as ``shortlists`` reads them: ``sides`` has bit 0 if the place may fit, bit 1 if it may not. NaN is more than
+    any number, as in Spark's comparisons."""
     national = F.concat(F.lit("|"), "p_place", F.lit("|")).contains("|national|")
-    outcomes = F.when(national, F.array(F.lit(True))).when(F.col("p_place") == "", F.array(F.lit(False))).otherwise(F.array(F.lit(True), F.lit(False)))
-    good, bad, plus, minus = match_parts(F.lit(False))
-    conditions = [c for i, c in enumerate(good) if i != 1] + [bad[0], bad[2]]
-    some = lambda of_texts: flags([c if (i in _TEXT_BITS) == of_texts else F.lit(False) for i, c in enumerate(conditions)])
-    shown = ["pid", "program_name", "view_quality", "view_reasons", "view_blockers", "ticket_min", "ticket_max", "years_min", "years_max", "turnover_min", "turnover_max", "staff_min", "staff_max"]
-    sides = programmes.crossJoin(F.broadcast(texts)).select(*shown, F.when(national, F.lit("national")).otherwise(F.col("p_place")).alias("p_place"), "_texts", some(True).alias("_bits"), outcomes.alias("outcomes"))
-    pairs = sides.join(F.broadcast(numbers), "_texts")
-    slim = pairs.select("pid", "program_name", "view_quality", "view_reasons", "view_blockers", "p_place", "kind", F.col("_bits").bitwiseOR(some(False)).alias("bits"), "outcomes")
-    out = slim.select("*", F.explode("outcomes").alias("fits")).drop("outcomes")
-    points = [p for i, p in enumerate(plus) if i != 1] + [minus[0], minus[2]]
-    total = sum((F.when(F.col("bits").bitwiseAND(F.lit(1 << i)) != 0, p).otherwise(0) for i, p in enumerate(points)), F.when(F.col("fits"), plus[1]).otherwise(minus[1]))
-    out = out.withColumn("match", clamp(total, 0, 100).cast("int"))
-    return out.withColumn("importance", importance(F.col("view_quality"), F.col("match")))
+    number = lambda c: F.nanvl(c.cast("double"), F.lit(float("inf")))
+    numbers = {"ticket_low": F.coalesce("ticket_min", "ticket_max"), "ticket_high": F.coalesce("ticket_max", "ticket_min")} | {c: F.col(c) for c in ("years_min", "years_max", "turnover_min", "turnover_max", "staff_min", "staff_max")}
+    return programmes.select(
+        "pid", F.coalesce("program_name", F.lit("")).alias("program_name"), *[F.col(c).cast("int").alias(c) for c in ("view_quality", "view_reasons", "view_blockers")],
+        F.when(national, "national").otherwise(F.col("p_place")).alias("p_place"), F.when(national, 1).when(F.col("p_place") == "", 2).otherwise(3).alias("sides"),
+        "p_industry", "p_stage", "p_owned", "p_use", "p_type", *[number(v).alias(k) for k, v in numbers.items()],
+    )
+
+
+def _kind_rows(kinds: DataFrame) -> list[dict]:
+    """A block of kinds, at most about MOST_CLASSES, as rows for the tasks; amounts with one bound are points."""
+    number = lambda c: F.nanvl(c.cast("double"), F.lit(float("inf")))
+    bounds = {"low": F.coalesce("f_min", "f_max"), "high": F.coalesce("f_max", "f_min")} | {c: F.col(c) for c in ("f_years", "f_turnover_min", "f_turnover_max", "f_staff")}
+    wants = (F.coalesce("f_min", F.lit(0)) != 0) | (F.coalesce("f_max", F.lit(0)) != 0)
+    return [r.asDict() for r in kinds.select("kind", *TEXT_PARTS, wants.alias("wants"), *[number(v).alias(k) for k, v in bounds.items()]).collect()]
+
+
+def _conditions(batch: pa.RecordBatch, kinds: list[dict]):
+    """Bits of the match (as ``match_parts``, place left out) of a batch's programmes, kind by kind. A word is looked for once
+    in a batch, whatever the number of kinds that have it."""
+    col = lambda c: batch.column(c)
+    nums = {c: col(c).to_numpy(zero_copy_only=False).astype(float) for c in ("ticket_low", "ticket_high", "years_min", "years_max", "turnover_min", "turnover_max", "staff_min", "staff_max")}
+    nothing, held, sets = np.zeros(batch.num_rows, dtype=bool), {}, {}
+
+    def has(part: str, word: str) -> np.ndarray:
+        if (part, word) not in held:
+            found = pc.equal(col(part), word) if part == "p_type" else pc.match_substring(col(part), word)
+            held[part, word] = found.to_numpy(zero_copy_only=False)
+        return held[part, word]
+
+    def of_texts(kind: dict) -> np.ndarray:
+        key = tuple(tuple(kind[c]) for c in TEXT_PARTS)
+        if key not in sets:
+            industry, stage, owned, use, types = (np.logical_or.reduce([nothing, *(has(part, w) for w in words)]) for part, words in zip(("p_industry", "p_stage", "p_owned", "p_use", "p_type"), key, strict=True))
+            sets[key] = industry | stage << 2 | owned << 3 | use << 4 | types << 8 | (~industry if key[0] else nothing) << 9
+        return sets[key]
+
+    def inside(x, low, high) -> np.ndarray:
+        return nothing if x is None else (nums[low] <= x) & (nums[high] >= x)
+
+    def met(low: float | None, high: float | None, least: str, most: str) -> np.ndarray:
+        return nothing if low is None or high is None else (nums[least] <= high) & (nums[most] >= low)
+
+    for kind in kinds:
+        asked = kind["low"] is not None
+        amount = met(kind["low"], kind["high"], "ticket_low", "ticket_high") if kind["wants"] else nothing
+        years, staff = inside(kind["f_years"], "years_min", "years_max"), inside(kind["f_staff"], "staff_min", "staff_max")
+        turnover = met(kind["f_turnover_min"], kind["f_turnover_max"], "turnover_min", "turnover_max")
+        yield of_texts(kind) | amount << 1 | years << 5 | turnover << 6 | staff << 7 | (~amount if asked else nothing) << 10
+
+
+def shortlists(programmes: DataFrame, kinds: DataFrame, k: int, most_held: int = MOST_HELD, most_limits: int = MOST_LIMITS) -> DataFrame:
+    """Of each task's programmes the best k for each kind of profile, place and outcome (``fits``: the place does or doesn't).
+
+    Programmes of each batch are scored for all kinds of the block at once, as columns, and only those that reach the k-th best so
+    far are looked at more closely; no row is made for the others. Of National programmes only the fit is kept, of placeless
+    ones only the misfit."""
+    sides = _sides(programmes)
+    shared = sides.sparkSession.sparkContext.broadcast(_kind_rows(kinds))
+    _, _, plus, minus = match_parts(F.lit(False))
+    weights = [*[p for i, p in enumerate(plus) if i != 1], minus[0], minus[2]]
+    of_place = {True: plus[1], False: minus[1]}
+    pid = dict(sides.dtypes)["pid"]
+    shape = f"kind string, p_place string, fits boolean, pid {pid}, program_name string, view_quality int, view_reasons int, view_blockers int, bits int, match int, importance int"
+    names = [x.split()[0] for x in shape.split(", ")]
+
+    def run(batches):
+        kinds = shared.value
+        points = np.array([sum(w for i, w in enumerate(weights) if b >> i & 1) for b in range(1 << len(weights))])
+        places: dict[str, int] = {}
+        limits: dict[tuple, np.ndarray] = {}
+        held: dict[tuple, list] = {}
+        n_held = 0
+
+        def given(types):
+            rows = [(kinds[t]["kind"], p, fits, r[2], r[1], *r[3:]) for (t, fits, p), best in held.items() for r in best]
+            return pa.RecordBatch.from_arrays([pa.array(x, type=types[n]) for n, x in zip(names, zip(*rows, strict=True), strict=True)], names=names)
+
+        for batch in batches:
+            int_, text = pa.int32(), pa.string()
+            types = dict(zip(names, [text, text, pa.bool_(), batch.column("pid").type, text, *[int_] * 6], strict=True))
+            if 2 * len(kinds) * len(places) > most_limits:
+                places, limits = {}, {}
+            listed = pc.dictionary_encode(batch.column("p_place"))
+            known = np.array([places.setdefault(p, len(places)) for p in listed.dictionary.to_pylist()], dtype=np.int64)
+            here = known[listed.indices.to_numpy(zero_copy_only=False)] if batch.num_rows else known
+            spots = list(places)
+            quality, outcome = batch.column("view_quality").to_numpy(zero_copy_only=False), batch.column("sides").to_numpy(zero_copy_only=False)
+            shown = {c: batch.column(c) for c in ("program_name", "pid", "view_reasons", "view_blockers")}
+            order = pc.sort_indices(pa.table([shown["program_name"], shown["pid"]], names=["n", "p"]), sort_keys=[("n", "ascending"), ("p", "ascending")]).to_numpy()
+            rank = np.empty(len(order), dtype=np.int64)
+            rank[order] = np.arange(len(order))
+            for t, bits in enumerate(_conditions(batch, kinds)):
+                base = points[bits]
+                for fits, more in of_place.items():
+                    match = np.clip(base + more, 0, 100)
+                    blended = np.floor(quality * 0.4 + match * 0.6 + 0.5).astype(np.int64)
+                    worth = (blended * 1000 + quality) * 1000 + match
+                    limit = limits.get((t, fits), np.zeros(0, dtype=np.int64))
+                    if len(limit) < len(places):
+                        limit = limits[t, fits] = np.concatenate([limit, np.full(len(places) - len(limit), -1)])
+                    some = np.nonzero((outcome & (1 if fits else 2) != 0) & (worth >= limit[here]))[0]
+                    if not len(some):
+                        continue
+                    some = some[np.lexsort((rank[some], -worth[some], here[some]))]
+                    first = np.r_[True, np.diff(here[some]) != 0]
+                    starts = np.nonzero(first)[0]
+                    some = some[np.arange(len(some)) - starts[np.cumsum(first) - 1] < k]
+                    touched = set()
+                    for i in some.tolist():
+                        row = (-int(worth[i]), *(shown[c][i].as_py() for c in ("program_name", "pid")), int(quality[i]), *(shown[c][i].as_py() for c in ("view_reasons", "view_blockers")), int(bits[i]), int(match[i]), int(blended[i]))
+                        held.setdefault((t, fits, spots[here[i]]), []).append(row)
+                        touched.add(here[i])
+                    n_held += len(some)
+                    for place in touched:
+                        mine = held[t, fits, spots[place]]
+                        mine.sort(key=lambda r: r[:3])
+                        n_held -= len(mine[k:])
+                        del mine[k:]
+                        if len(mine) == k:
+                            limit[place] = max(limit[place], -mine[-1][0])
+                if n_held > most_held:
+                    yield given(types)
+                    held, n_held = {}, 0
+        if held:
+            yield given(types)
+
+    return sides.mapInArrow(run, shape)
 
 
 def reason_tags(bits: Column, fits: Column, match: Column, quality: Column, view_reasons: Column, view_blockers: Column) -> Column:
@@ -148,13 +260,10 @@ def _best_first() -> list[Column]:
     return [F.desc("importance"), F.desc("view_quality"), F.desc("match"), F.coalesce("program_name", F.lit("")), F.col("pid")]
 
 
-def place_fits(programmes: DataFrame, profiles: DataFrame) -> DataFrame:
-    """``p_place, f_country, f_province, f_municipality, fits`` of all places of both sides (lists of places, not of rows)."""
-    mine = programmes.select(F.when(F.concat(F.lit("|"), "p_place", F.lit("|")).contains("|national|"), "national").otherwise(F.col("p_place")).alias("p_place")).distinct()
-    theirs = profiles.select(*PLACE).distinct()
+def place_fits() -> Column:
+    """Whether a programme's place (``national`` for all of them) is the profile's country, province or municipality."""
     wanted = F.filter(F.array(*PLACE), lambda x: F.length(x) > 0)
-    fits = (F.col("p_place") == "national") | ((F.col("p_place") != "") & holds_any(F.col("p_place"), wanted))
-    return mine.join(theirs, F.lit(True)).withColumn("fits", fits)
+    return (F.col("p_place") == "national") | ((F.col("p_place") != "") & holds_any(F.col("p_place"), wanted))
 
 
 def _kind_blocks(profiles: DataFrame) -> list[DataFrame]:
@@ -171,15 +280,15 @@ def best_for_profiles(programmes: DataFrame, profiles: DataFrame, k: int) -> Dat
     outcome hold the best k of every profile; each task cuts its rows down to them before the shuffle. Profiles then join
     those short lists by kind and place."""
     programmes, profiles = prepared_programmes(programmes), prepared_profiles(profiles)
-    fits = place_fits(programmes, profiles)
     per_place = Window.partitionBy("kind", "p_place", "fits").orderBy(*_best_first())
     lists = None
     for block in _kind_blocks(profiles):
-        short = scored_kinds(programmes, block).withColumn("n", F.row_number().over(per_place)).filter(F.col("n") <= k).drop("n")
+        short = shortlists(programmes, block, k)
         lists = short if lists is None else lists.unionByName(short)
+    lists = lists.withColumn("n", F.row_number().over(per_place)).filter(F.col("n") <= k).drop("n")
     spots = profiles.select("kind", *PLACE).distinct()
     per_spot = Window.partitionBy("kind", *PLACE).orderBy(*_best_first())
-    met = spots.join(lists, "kind").join(fits, [*PLACE, "p_place", "fits"])
+    met = spots.join(lists, "kind").filter(F.col("fits") == place_fits())
     top = met.withColumn("place", F.row_number().over(per_spot)).filter(F.col("place") <= k)
     tags = reason_tags(F.col("bits"), F.col("fits"), F.col("match"), F.col("view_quality"), F.col("view_reasons"), F.col("view_blockers"))
     return profiles.select("user_id", "kind", *PLACE).join(top.withColumn("tags", tags), ["kind", *PLACE]).select("user_id", "place", "pid", "match", "importance", "tags")

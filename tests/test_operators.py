@@ -150,3 +150,30 @@ def test_best_for_profiles_equals_all_pairs(spark):
     pairs = pairs.withColumn("importance", matching.importance(F.col("view_quality"), F.col("match")))
     top = matching.top_per(pairs, ["user_id"], matching._best_first(), 4)
     assert got == sorted((r.user_id, r.place, r.pid, r.match, r.importance) for r in top.collect())
+
+
+def test_shortlists_do_not_depend_on_batches(spark):
+    """Best programmes of a kind are the same by one task or many, in small batches, with few rows or limits held; NaN is more than any number."""
+    rng = random.Random(8)
+    some = lambda *xs: rng.choice([None, *xs])
+    progs = [
+        (f"k{i:03}", some("a", "b"), rng.choice([20, 60, 90]), i, i % 5, some(1.0, 5.0, float("nan")), some(6.0, float("nan")), some(2), 5, some(1), 9, some(1), 9, rng.choice(["agri", "mine", ""]), "", "", "", "loan", rng.choice(["", "north", "south|national", "east"]))
+        for i in range(300)
+    ]
+    p = spark.createDataFrame(progs, "pid string, program_name string, view_quality int, view_reasons int, view_blockers int, ticket_min double, ticket_max double, years_min int, years_max int, turnover_min int, turnover_max int, staff_min int, staff_max int, p_industry string, p_stage string, p_owned string, p_use string, p_type string, p_place string")
+    kinds = spark.createDataFrame([("x", ["agri"], [], [], [], ["loan"], 3, 2, 7, None, 3.0, None), ("y", ["mine", "agri"], [], [], [], [], None, None, None, 4, 2.0, 7.0), ("z", [], [], [], [], [], None, 3, 3, 4, None, None)], "kind string, " + ", ".join(f"{c} array<string>" for c in matching.TEXT_PARTS) + ", f_years int, f_turnover_min int, f_turnover_max int, f_staff int, f_min double, f_max double")
+    good, bad, plus, minus = matching.match_parts(F.col("fits"))
+    spots = matching._sides(p).select("pid", F.col("p_place").alias("spot"), "sides")
+    both = F.when(F.col("sides") == 1, F.array(F.lit(True))).when(F.col("sides") == 2, F.array(F.lit(False))).otherwise(F.array(F.lit(True), F.lit(False)))
+    pairs = p.join(spots, "pid").crossJoin(kinds).withColumn("fits", F.explode(both))
+    total = sum((F.when(F.coalesce(c, F.lit(False)), n).otherwise(0) for c, n in zip([*good, *bad], [*plus, *minus], strict=True)), F.lit(0))
+    pairs = pairs.withColumn("match", F.greatest(F.lit(0), F.least(F.lit(100), total))).withColumn("importance", matching.importance(F.col("view_quality"), F.col("match")))
+    cut = lambda df: sorted((r.kind, r.spot, r.fits, r.place, r.pid, r.match, r.importance) for r in matching.top_per(df, ["kind", "spot", "fits"], matching._best_first(), 4).collect())
+    want = cut(pairs)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for parts, rows, bounds in ((1, "10000", ()), (3, "17", (7, 9))):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            assert cut(matching.shortlists(p.repartition(parts), kinds, 4, *bounds).withColumnRenamed("p_place", "spot")) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.html import spread
 from .catalog import latest_by, upsert
 
 SITE = "site_key string, display_name string, primary_domain string, adapter_key string, seed_urls array<string>, adapter_config string, ai_enrichment_required boolean, active boolean, notes array<string>"
@@ -79,8 +81,8 @@ def patched(table: DataFrame, patches: DataFrame, key: str, order: str) -> DataF
 def uploaded(records: DataFrame, send: Callable[[list[dict]], dict], batch: int = 5) -> DataFrame:
     """Results of sending records in batches (``sent, result``), halved on a timeout down to single records.
 
-    Batches are cut within partitions, so sending is spread over the cluster; ``send`` must bear repeats, as a lost
-    executor's records are sent again."""
+    Records are dealt over the cluster and batches cut within partitions; ``send`` must bear repeats, as a lost executor's
+    records are sent again."""
 
     def push(rows: list[dict]):
         try:
@@ -92,24 +94,34 @@ def uploaded(records: DataFrame, send: Callable[[list[dict]], dict], batch: int
             yield from push(rows[:half])
             yield from push(rows[half:])
 
+    def written(result: dict) -> str:
+        try:
+            return json.dumps(result, allow_nan=False)
+        except (TypeError, ValueError):  # values that JSON lacks
+            return pd.Series(result).to_json()
+
     def run(parts):
         for part in parts:
             rows = part.to_dict("records")
-            for lo in range(0, len(rows), batch):
-                found = list(push(rows[lo : lo + batch]))
-                yield pd.DataFrame({"sent": [n for n, _ in found], "result": [pd.Series(r).to_json() for _, r in found]})
+            found = [x for lo in range(0, len(rows), batch) for x in push(rows[lo : lo + batch])]
+            yield pd.DataFrame({"sent": [n for n, _ in found], "result": [written(r) for _, r in found]})
 
-    return records.mapInPandas(run, "sent long, result string")
+    return spread(records).mapInPandas(run, "sent long, result string")
 
 
 def merged_results(results: DataFrame, numbers: list[str], lists: list[str]) -> DataFrame:
-    """One row: sums of the numbers of all results (JSON) and the distinct items of their lists, sorted."""
+    """One row: sums of the numbers of all results (JSON) and the distinct items of their lists, sorted.
+
+    One pass, as every pass over ``uploaded`` sends all records again."""
     field = lambda c: F.get_json_object("result", f"$.{c}")
-    sums = results.agg(*[F.sum(field(c).cast("double")).alias(c) for c in numbers])
-    for c in lists:
-        items = results.select(F.explode(F.from_json(field(c), "array<string>")).alias("v")).distinct()
-        sums = sums.join(items.agg(F.array_sort(F.collect_list("v")).alias(c)), F.lit(True))
-    return sums
+    none = F.array().cast("array<struct<c:string,v:string>>")
+    named = lambda c: F.transform(F.from_json(field(c), "array<string>"), lambda v: F.struct(F.lit(c).alias("c"), v.alias("v")))
+    items = [F.coalesce(named(c), none) for c in lists]
+    rows = results.select(*[field(c).cast("double").alias(f"_n{i}") for i, c in enumerate(numbers)], F.posexplode_outer(F.concat(none, *items)).alias("_at", "_item"))
+    first = F.coalesce(F.col("_at"), F.lit(0)) == 0
+    sums = rows.agg(*[F.sum(F.when(first, F.col(f"_n{i}"))).alias(c) for i, c in enumerate(numbers)], F.collect_set(F.when(F.col("_item.v").isNotNull(), F.col("_item"))).alias("_items"))
+    of = lambda c: F.array_sort(F.transform(F.filter("_items", lambda x: x["c"] == c), lambda x: x["v"]))
+    return sums.select(*numbers, *[of(c).alias(c) for c in lists])
 
 
 # Rank of the ways in which evidence was found.

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from sluicework.operators import catalog, matching, resolve, telemetry
+from sluicework.operators import catalog, matching, registry, resolve, telemetry
 
 
 def test_upsert_and_rerun(spark):
@@ -177,3 +177,20 @@ def test_shortlists_do_not_depend_on_batches(spark):
             assert cut(matching.shortlists(p.repartition(parts), kinds, 4, *bounds).withColumnRenamed("p_place", "spot")) == want
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_uploads_are_sent_once_and_summed(spark):
+    sent = spark.sparkContext.accumulator(0)
+
+    def send(rows):
+        if len(rows) > 2:
+            raise TimeoutError
+        sent.add(len(rows))
+        return {"stored": len(rows), "kinds": [r["k"] for r in rows], "none": [], "half": 0.5, "odd": None}
+
+    rows = spark.range(203).selectExpr("id", "concat('k', id % 3) AS k").coalesce(1)
+    got = registry.merged_results(registry.uploaded(rows, send), ["stored", "odd"], ["kinds", "none", "missing"]).collect()
+    assert [r.asDict() for r in got] == [{"stored": 203.0, "odd": None, "kinds": ["k0", "k1", "k2"], "none": [], "missing": []}]
+    assert sent.value == 203
+    empty = registry.merged_results(registry.uploaded(rows.limit(0), send), ["stored"], ["kinds"]).first()
+    assert (empty.stored, empty.kinds) == (None, [])

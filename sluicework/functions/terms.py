@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,22 +43,21 @@ def hits_in(machine, some: bool, low: str | None, whole: bool = False) -> list[i
 
 
 def with_hits(df: DataFrame, text_col: str, terms: Sequence[str], name: str = "hits", whole: bool = False) -> DataFrame:
-    """``df`` with the places of the lower-case ``terms`` that its lower-case text holds, as an array of ints."""
+    """``df`` with the places of the lower-case ``terms`` that its lower-case text holds, as an array of ints.
+
+    Only the text goes to Python; the other columns, of which some may be as long, stay in Spark."""
     shared = df.sparkSession.sparkContext.broadcast(list(terms))
-    keep = df.columns
     held: dict[str, tuple] = {}
 
-    def run(batches):
+    @F.arrow_udf("array<int>")
+    def found(texts: pa.Array) -> pa.Array:
         if "machine" not in held:
             held["machine"] = automaton(shared.value)
-        machine = held["machine"]
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                rows = [hits_in(*machine, t, whole) for t in part.column(len(keep)).to_pylist()]
-                offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-                values = pa.ListArray.from_arrays(pa.array(offsets), pa.array([x for r in rows for x in r], type=pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], values], names=[*keep, name])
-
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, f"{shape}, `{name}` array<int>")
+        offsets, values = [0], []
+        for lo in range(0, len(texts), 256):
+            for t in texts.slice(lo, 256).to_pylist():
+                values += hits_in(*held["machine"], t, whole)
+                offsets.append(len(values))
+        return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(values, type=pa.int32()))
+
+    return df.withColumn(name, found(F.col(text_col)))

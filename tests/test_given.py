@@ -107,3 +107,11 @@ def test_workbook_limits_are_noted(monkeypatch):
     text, note = files.read_text("xlsx", data.getvalue(), most_rows=None, most_cells=None)
     assert note is None and len(text.split("\n")) == 301
     assert files.read_text("xlsx", data.getvalue(), most_rows=None, most_cells=10)[1] == files.CUT
+
+
+def test_terms_take_only_the_text_to_python(spark):
+    rows = spark.createDataFrame([(1, "a grant", "long"), (2, None, None)], "id int, t string, other string")
+    got = terms.with_hits(rows, "t", ["grant", "a", "x"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+    assert [(r.id, r.other, r.hits) for r in got.orderBy("id").collect()] == [(1, "long", [0, 1]), (2, None, [])]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, dates, money, records, text
 from ..functions.terms import with_hits
 from .builder import funder_name
+from .quality import computed
 
 # Terms of the buckets, in order; words of fields; certainties.
 BUCKETS = {
@@ -73,18 +74,23 @@ def field_evidence(routed: DataFrame, as_of: Column) -> DataFrame:
     only = lambda b: F.when(within(b), F.col("said"))
     rows = routed.withColumns({"_money": only("funding"), "_day": only("deadline")})
     rows = rows.withColumns({"m": money.money_range_of("_money", F.lit(None).cast("string")), "d": dates.deadline_of("_day", as_of)})
-    said, low, own = F.col("said"), F.lower("said"), F.col("certainty")
-    snippet = F.substring("said", 1, MOST_CHARS)
-    pay = records.repayment(F.when(within("terms"), said))
-    criteria = records.criteria(said)
-    papers = F.filter(text.sentences(F.when(F.length(F.trim(F.col("content"))) > 0, F.col("content")).otherwise(said)), lambda s: _has(F.lower(s), DOCUMENT_WORDS))
-    forms = F.filter(text.urls(said), lambda u: _has(F.lower(u), FORM_WORDS))
-    mail, phone, form = (F.try_element_at(x, F.lit(1)) for x in (text.emails(said), text.phones(said), forms))
+    said, own = F.col("said"), F.col("certainty")
     scope = F.when(F.lit(False), "")
     for name, words in SCOPES:
-        scope = scope.when(_has(low, words), name)
+        scope = scope.when(_has(F.lower("said"), words), name)
     title = text.strip_numbering(F.trim(F.regexp_extract("said", r"^(.*?)(?: - | \| |$)", 1)))
-    is_title = F.col("kind") == "title"
+    papers = F.filter(text.sentences(F.when(F.length(F.trim(F.col("content"))) > 0, F.col("content")).otherwise(said)), lambda s: _has(F.lower(s), DOCUMENT_WORDS))
+    forms = F.filter(text.urls(said), lambda u: _has(F.lower(u), FORM_WORDS))
+    is_title, reach = F.col("kind") == "title", within("application") | within("contact")
+    first = lambda x: F.try_element_at(x, F.lit(1))
+    # read once for each item, and only where its buckets ask for it: the rows below are made in a generator, which is interpreted
+    rows = computed(
+        rows, _pay=F.when(within("terms"), records.repayment(said)), _criteria=F.when(within("eligibility"), records.criteria(said)), _papers=F.when(within("documents"), papers),
+        _form=F.when(within("application"), first(forms)), _mail=F.when(reach, first(text.emails(said))), _phone=F.when(reach, first(text.phones(said))),
+        _scope=F.when(within("geography"), scope), _title=F.when(is_title, title), _funder=F.when(is_title, funder_name(said, F.lit(None).cast("string"))), _snippet=F.substring("said", 1, MOST_CHARS),
+    )
+    rows = computed(rows, _structure=F.when(within("terms"), classify.repayment_structure(said, F.col("_pay")["frequency"])))
+    pay, criteria, papers, form, mail, phone, scope, title, funder, snippet = (F.col(f"_{c}") for c in ("pay", "criteria", "papers", "form", "mail", "phone", "scope", "title", "funder", "snippet"))
     sure = lambda k: F.greatest(own, F.lit(LEAST[k]))
     told = lambda c: F.greatest(own, c)
     rules: list[tuple[Column, str, Column, Column, str]] = []
@@ -93,7 +99,7 @@ def field_evidence(routed: DataFrame, as_of: Column) -> DataFrame:
         rules.append((when, field, value, confidence, method))
 
     rule(is_title, "program_name", F.coalesce(F.nullif(F.trim(title), F.lit("")), said), sure("program_name"), "deterministic_parser")
-    rule(is_title, "funder_name", funder_name(said, F.lit(None).cast("string")), sure("funder_name"), "deterministic_parser")
+    rule(is_title, "funder_name", funder, sure("funder_name"), "deterministic_parser")
     rule(is_title, "source_page_title", said, sure("source_page_title"), "direct_page_evidence")
     rule(within("eligibility"), "raw_eligibility", snippet, sure("eligibility"), "heading_based_inference")
     rule(within("eligibility"), "raw_criteria", F.when(F.size(criteria) > 0, F.array_join(criteria, "\n")).otherwise(snippet), sure("eligibility"), "deterministic_parser")
@@ -107,7 +113,7 @@ def field_evidence(routed: DataFrame, as_of: Column) -> DataFrame:
     rule(within("terms"), "payback_months_max", pay["high"].cast("string"), told(pay["confidence"]), "regex_from_prose")
     rule(within("terms"), "grace_months", pay["grace"].cast("string"), told(pay["confidence"]), "regex_from_prose")
     rule(within("terms"), "repayment_frequency", F.when(pay["frequency"] != "Unknown", pay["frequency"]), told(pay["confidence"]), "regex_from_prose")
-    rule(within("terms"), "payback_structure", classify.repayment_structure(said, pay["frequency"]), told(pay["confidence"]), "regex_from_prose")
+    rule(within("terms"), "payback_structure", F.col("_structure"), told(pay["confidence"]), "regex_from_prose")
     rule(within("documents"), "raw_documents", snippet, sure("documents"), "heading_based_inference")
     rule(within("documents"), "required_documents", F.nullif(F.array_join(papers, "\n"), F.lit("")), sure("required_documents"), "deterministic_parser")
     rule(within("application"), "raw_application", snippet, sure("application"), "heading_based_inference")

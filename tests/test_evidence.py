@@ -40,3 +40,12 @@ def test_routes_and_fields(spark):
 def test_no_items(spark):
     routed = evidence.routed_items(spark.createDataFrame([], SHAPE))
     assert evidence.field_evidence(routed, F.current_date()).count() == 0
+
+
+def test_items_are_read_once_before_rows_are_made(spark):
+    """Patterns stand in projections, none in the generator that makes the rows."""
+    items = spark.createDataFrame([(1, 0, "section", "", "Apply by email: a@b.co or https://b.co/apply/1 today", 0.5, "x")], "id int, place int, kind string, label string, content string, certainty double, structure string")
+    found = evidence.field_evidence(evidence.routed_items(items), F.lit("2026-01-10").cast("date"))
+    made = [x for x in found._jdf.queryExecution().analyzed().toString().splitlines() if "Generate inline(filter(" in x]
+    assert len(made) == 1 and "regexp" not in made[0] and "RLIKE" not in made[0]
+    assert {(r.field, r.value) for r in found.collect()} >= {("contact_email", "a@b.co"), ("application_url", "https://b.co/apply/1"), ("application_channel", "Online form")}

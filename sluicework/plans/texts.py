@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import money, numbers, records, taxonomy, text, urls
 from ..operators import catalog, hybrid
 from ..sources import files, tables
+from ..sources.html import spread
 from .given import _choose
 from .views import folder, kept, table
 
@@ -29,7 +30,7 @@ def part_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = F.array(n, F.concat(F.upper(n), F.lit("!")), t, F.lit(" "), b)
     said = F.concat(F.lit("About a "), n, F.lit(". It is of "), b, F.lit("! Made as "), t, F.lit("\n\nabout A "), n, F.lit("."))
     title = F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("Eligibility of "), n)).otherwise(n)
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part")).select(
         "p_partkey", F.array_join(text.unique_words(items), "|").alias("unique_items"), text.any_contains(F.array(n), F.array(F.lit("RING!"), F.lit(""), F.lit("wid-get"))).alias("any_hit"),
         F.size(text.sentences(said)).alias("n_sentences"), records.best_snippet(F.array(n, t, b)).alias("best"), records.is_support_title(title).alias("support"),
         F.array_join(records.matching_sentences(said, ("about",), 4), "|").alias("about"), text.programme_key(F.concat(n, F.lit(" Funding programme, "), b), b).alias("key"),

@@ -115,3 +115,12 @@ def test_terms_take_only_the_text_to_python(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
     assert [(r.id, r.other, r.hits) for r in got.orderBy("id").collect()] == [(1, "long", [0, 1]), (2, None, [])]
+
+
+def test_parts_of_one_file_are_read_by_many_tasks(spark, tmp_path):
+    from sluicework.plans import texts
+
+    spark.createDataFrame([(k, f"ring {k}", "tin", "Brand#1", k) for k in range(200)], "p_partkey long, p_name string, p_type string, p_brand string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = texts.part_texts(spark, str(tmp_path))
+    assert found.count() == 200
+    assert found.groupBy(F.spark_partition_id()).count().count() > 4

@@ -194,3 +194,15 @@ def test_uploads_are_sent_once_and_summed(spark):
     assert sent.value == 203
     empty = registry.merged_results(registry.uploaded(rows.limit(0), send), ["stored"], ["kinds"]).first()
     assert (empty.stored, empty.kinds) == (None, [])
+
+
+def test_blocks_go_over_nodes_of_equal_keys(spark, tmp_path):
+    """Records of equal shared keys are one node; blocks are the components, single records included."""
+    rng = random.Random(4)
+    row = lambda k, d, n: (k, d, n, "f", "", f"https://{d}/x{k}", [f"https://{d}/x{k}"], [], "", "overview", "funding_programme")
+    rows = [row(k, f"d{k % 3}", f"n{k % 3}") for k in range(300)] + [row(900, "e", "alone"), row(901, "g", "alone")]
+    df = spark.createDataFrame(rows, resolve.FIELDS)
+    keep = lambda d, name: (d.write.parquet(path := f"{tmp_path}/{rng.random()}"), spark.read.parquet(path))[1]
+    keys = resolve.block_keys(df).select("ord", F.xxhash64("key").alias("key")).distinct()
+    assert resolve.key_nodes(keys, keep)[1].count() == 3
+    assert {r.ord: r.block for r in resolve.blocks(df, keep).collect()} == {k: k % 3 for k in range(300)} | {900: 900, 901: 901}
